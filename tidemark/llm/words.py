@@ -129,3 +129,24 @@ def anchors(hashes: np.ndarray, row: np.ndarray, k: int, window: int) -> tuple[n
     best = np.lib.stride_tricks.sliding_window_view(value, window).argmin(1) + np.arange(n)
     whole = row[at[:n]] == row[at[window - 1 :]]
     return at[:n][whole], at[best[whole]], value, at
+
+
+def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The slices data[start:end] one after the other, ``gap`` places left after each; and where each begins."""
+    size = end - start + gap
+    at = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    index = np.arange(at[-1]) + np.repeat(start - at[:-1], size)
+    return (data[np.minimum(index, len(data) - 1)] if len(data) else np.zeros(0, data.dtype)), at
+
+
+def binary_array(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data, np.uint8).tobytes())])
+
+
+def context_hash(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of each run of words [low, high)."""
+    power, inverse = _power_tables(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, U)
+    np.cumsum(hashes * power[: len(hashes)], dtype=U, out=total[1:])
+    return mix((total[high] - total[low]) * inverse[low] + (high - low).astype(U))
