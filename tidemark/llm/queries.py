@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import lines, near, spans, suffixes
+from . import langid, lines, near, spans, suffixes
 
 QUERIES = {
     "op1_substring_dedup": spans.op1_substring_dedup,
     "op2_line_dedup": lines.op2_line_dedup,
     "op4_near_dedup": near.op4_near_dedup,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
+    "op8_language_id": langid.op8_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
