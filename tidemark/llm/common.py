@@ -59,19 +59,34 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(roots).distinct()
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], alike=None, stars: int = 3) -> DataFrame:
+def shared(members: DataFrame) -> DataFrame:
+    """Those members (bucket, ...) whose bucket has another."""
+    many = members.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1").select("bucket")
+    return members.join(many, "bucket", "left_semi")
+
+
+def supported(items: DataFrame, threshold: float) -> DataFrame:
+    """Of sets given by their items (id, item), the ids of those that can reach a Jaccard similarity with another.
+
+    Two such sets share at least that part of each; a set of which fewer items stand in any other set has no partner.
+    """
+    known = items.groupBy("item").agg(F.count("*").alias("n")).select("item", (F.col("n") > 1).cast("int").alias("known"))
+    return items.join(known, "item").groupBy("id").agg(F.sum("known").alias("k"), F.count("*").alias("n")).where(F.col("k") >= F.col("n") * threshold).select("id")
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame] | None = None, alike=None, stars: int = 3) -> DataFrame:
     """Components (id, component) of the verified links between members (bucket, id, ...) that share a bucket.
 
     Never all pairs of a bucket: in each of ``stars`` rounds the components that a bucket holds are each compared with one
     member of the bucket's first component, and what is verified is merged. What then still shares a bucket without being
     in one component is compared pair by pair, so that no verified link between two components can be missed; by then
-    copies of one another have merged, and ``alike(x, y)``, a condition on the other columns, rules out most of the rest.
+    copies of one another have merged, ``possible`` takes ids and leaves out those that no link among them can have, and
+    ``alike(x, y)`` is a condition on the other columns that every link meets.
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are links.
     """
     spark = members.sparkSession
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(sizes.select("bucket"), "bucket", "left_semi"))
     links = groups = tried = None
+    members = cut(members)
     pairs_of = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     for turn in range(stars + 1):
@@ -89,6 +104,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], a
             if turn == 0:  # one comparison a member to begin with
                 found = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         else:
+            if possible is not None:
+                placed = placed.join(cut(possible(placed.select("id").distinct())), "id", "left_semi")
             x, y = placed.alias("x"), placed.alias("y")
             on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))
             if alike is not None:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import bounded_batches, components, cut, link_buckets
+from .common import bounded_batches, cut, link_buckets, shared, supported
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -126,6 +126,18 @@ def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id", bands: i
     return docs.mapInArrow(run, "id long, exact binary, n long, bands array<long>")
 
 
+def shingle_rows(docs: DataFrame) -> DataFrame:
+    """(id, item): the distinct shingles of documents (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.chunks(batch, "text"):
+                row, value, _ = weighted_shingles(part.column("text"))
+                yield pa.record_batch({"id": part.column("id").take(pa.array(row)), "item": pa.array(value.view(np.int64))})
+
+    return docs.select("id", "text").mapInArrow(run, "id long, item long")
+
+
 def similar_pairs(pairs: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Those pairs (a, b) of docs (id, text) whose sets of shingles have at least this Jaccard similarity."""
 
@@ -166,17 +178,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", thr
     many = head.where("head < last").select("exact", "head")
     copies = cut(signed.select("id", "exact").join(many, "exact").select("id", "head").distinct())
     single = signed.join(copies.where("id <> head"), "id", "left_anti")
-    members = single.select("id", F.explode("bands").alias("bucket"), "n", "bands")
-    ids = cut(members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"))
-    members = members.join(ids, "bucket", "left_semi")
+    members = cut(shared(single.select("id", F.explode("bands").alias("bucket"))))
     near = cut(members.select("id").distinct())
     texts = cut(docs.join(near, "id", "left_semi").dropDuplicates(["id"]))
-
-    def alike(x: str, y: str):
-        size = F.least(f"{x}.n", f"{y}.n") >= threshold * F.greatest(f"{x}.n", f"{y}.n")
-        return size & (F.size(F.array_intersect(f"{x}.bands", f"{y}.bands")) >= 1)
-
-    groups = link_buckets(members, lambda p: similar_pairs(p, texts, threshold), alike)
+    members = members.join(single.select("id", "n"), "id")
+    alike = lambda x, y: F.least(f"{x}.n", f"{y}.n") >= threshold * F.greatest(f"{x}.n", f"{y}.n")
+    possible = lambda ids: supported(shingle_rows(texts.join(ids, "id", "left_semi")), threshold)
+    groups = link_buckets(members, lambda p: similar_pairs(p, texts, threshold), possible, alike)
     found = copies.join(groups.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("component", "head").alias("class"))
     found = found.unionAll(groups.select("id", F.col("component").alias("class"))).groupBy("id").agg(F.min("class").alias("class"))
     return docs.select("id").distinct().join(found, "id", "left").select(F.col("id"), F.coalesce("class", "id").alias("class"))
