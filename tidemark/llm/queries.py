@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, near, spans, suffixes
+from . import langid, leaks, lines, near, spans, suffixes
 
 QUERIES = {
     "op1_substring_dedup": spans.op1_substring_dedup,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_near_dedup": near.op4_near_dedup,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op8_language_id": langid.op8_language_id,
+    "op10_decontamination": leaks.op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}

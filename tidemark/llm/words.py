@@ -20,6 +20,10 @@ _rng = np.random.default_rng(20240229)
 _BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: For plain words: ASCII other than letters and digits separates, ASCII capitals are small letters.
+_PLAIN_SPACE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_PLAIN_VALUE = _BYTE_VALUE.copy()
+_PLAIN_VALUE[65:91] = _BYTE_VALUE[97:123]
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -50,6 +54,7 @@ class Words:
     end: np.ndarray
     row: np.ndarray  # of the words
     first: np.ndarray  # of the rows: their first word; one more than rows
+    plain: bool = False
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
@@ -57,7 +62,7 @@ class Words:
             return np.zeros(0, U)
         power, inverse = _power_tables(len(self.data))
         total = np.zeros(len(self.data) + 1, U)
-        np.cumsum(_BYTE_VALUE[self.data] * power, dtype=U, out=total[1:])
+        np.cumsum((_PLAIN_VALUE if self.plain else _BYTE_VALUE)[self.data] * power, dtype=U, out=total[1:])
         value = (total[self.end] - total[self.start]) * inverse[self.start]
         return mix(value + (self.end - self.start).astype(U))
 
@@ -75,12 +80,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def split_words(column: pa.Array) -> Words:
+def split_words(column: pa.Array, plain: bool = False) -> Words:
     data, offsets = text_bytes(column)
     if not len(data):
         none = np.zeros(0, np.int64)
-        return Words(data, offsets, none, none, none, np.zeros(len(offsets), np.int64))
-    inside = ~_SPACE[data]
+        return Words(data, offsets, none, none, none, np.zeros(len(offsets), np.int64), plain)
+    inside = ~(_PLAIN_SPACE if plain else _SPACE)[data]
     edge = np.zeros(len(data) + 1, bool)  # a row begins here
     edge[offsets] = True
     start = inside.copy()
@@ -89,7 +94,7 @@ def split_words(column: pa.Array) -> Words:
     end[:-1] &= ~inside[1:] | edge[1:-1]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
     row = np.searchsorted(offsets, start, "right") - 1
-    return Words(data, offsets, start, end, row, np.searchsorted(row, np.arange(len(offsets))))
+    return Words(data, offsets, start, end, row, np.searchsorted(row, np.arange(len(offsets))), plain)
 
 
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
