@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, leaks, lines, near, spans, suffixes
+from . import langid, leaks, lines, near, quality, spans, suffixes
 
 QUERIES = {
     "op1_substring_dedup": spans.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_near_dedup": near.op4_near_dedup,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op8_language_id": langid.op8_language_id,
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_decontamination": leaks.op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
