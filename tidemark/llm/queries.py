@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, leaks, lines, near, quality, spans, suffixes
+from . import langid, leaks, lines, near, quality, secrets, spans, suffixes, urls
 
 QUERIES = {
     "op1_substring_dedup": spans.op1_substring_dedup,
     "op2_line_dedup": lines.op2_line_dedup,
     "op4_near_dedup": near.op4_near_dedup,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_url_filter": urls.op7_url_filter,
     "op8_language_id": langid.op8_language_id,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_decontamination": leaks.op10_decontamination,
