@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, leaks, lines, near, quality, secrets, spans, suffixes, urls
+from . import langid, leaks, lines, near, packing, quality, secrets, spans, suffixes, urls
 
 QUERIES = {
     "op1_substring_dedup": spans.op1_substring_dedup,
     "op2_line_dedup": lines.op2_line_dedup,
+    "op3_packing": packing.op3_packing,
     "op4_near_dedup": near.op4_near_dedup,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_secret_scan": secrets.op6_secret_scan,
