@@ -2,14 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame
+
+from .fixtures import with_views
+
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, views: str = "", sql: str | None = None):
+    """Register a function of (spark, sf_dir); ``sql`` is DuckDB SQL after the named fixture views, none where SQL has no form."""
+
+    def add(f: Callable) -> Callable:
+        assert name not in QUERIES, name
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = with_views(views, sql) if views else sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import book_queries, feature_queries, signal_queries, stat_queries, stream_queries, table_queries  # noqa: F401
+
+
+def queries() -> dict[str, Callable]:
+    _load()
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return SQL
+
 
+def flagship(spark, sf_dir: str) -> DataFrame:
+    from .book_queries import basket_book_equity
 
-def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    return basket_book_equity(spark, sf_dir, "p_type")
