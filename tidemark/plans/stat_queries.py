@@ -1 +1,167 @@
-"""Queries."""
+"""Statistics of pairs and baskets over the weekly closes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import detectors, scan, stats
+from . import fixtures as fx
+from .registry import query
+from .table_queries import r
+
+V = "closes sectors pairs"
+BY = ["leg_a", "leg_b"]
+ROWS = """+ l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS rn FROM closes WHERE close > 0 QUALIFY rn <= 150),
+x AS (SELECT leg_a, leg_b, x.rn, -x.rn AS k, ln(y.close) AS x, ln(x.close) AS y FROM pairs JOIN l x ON x.symbol = leg_a JOIN l y ON y.symbol = leg_b AND y.rn = x.rn)"""
+TLS = "f AS (SELECT *, CASE WHEN abs(c) >= 1e-15 THEN (vy - vx + sqrt((vy - vx) ** 2 + 4 * c * c)) / (2 * c) END AS beta FROM (SELECT leg_a, leg_b, count(*) AS n, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(y, x) AS c, avg(x) AS mx, avg(y) AS my FROM x GROUP BY 1, 2))"
+SPREAD = f"{ROWS}, {TLS}, s AS (SELECT leg_a, leg_b, k, y - beta * x AS spread FROM x JOIN f USING (leg_a, leg_b))"
+ROLL = f"{ROWS}, w AS (SELECT *, count(*) OVER q AS m, var_pop(x) OVER q AS vx, var_pop(y) OVER q AS vy, covar_pop(y, x) OVER q AS c FROM x WINDOW q AS (PARTITION BY leg_a, leg_b ORDER BY k ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)), b AS (SELECT leg_a, leg_b, k, CASE WHEN abs(c) >= 1e-15 THEN (vy - vx + sqrt((vy - vx) ** 2 + 4 * c * c)) / (2 * c) END AS beta FROM w WHERE m = 30)"
+
+
+def pair_rows(spark, sf):
+    return stats.pair_spreads(fx.closes(spark, sf), fx.candidates(spark, sf))
+
+
+def spreads(spark, sf):
+    rows = pair_rows(spark, sf)
+    return rows.join(stats.tls(rows, BY, "x", "y").select(*BY, "beta"), BY).withColumn("spread", F.col("y") - F.col("beta") * F.col("x"))
+
+
+@query("t01_ols", V, f"{ROWS} SELECT leg_a, leg_b, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2, round(sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2) / regr_sxx(y, x)), 6) AS se FROM x GROUP BY 1, 2")
+def _(spark, sf):
+    return stats.ols(pair_rows(spark, sf), BY, "x", "y").select(*BY, "n", r("slope"), r("intercept"), r("r2"), r("se"))
+
+
+@query("t02_tls", V, f"{ROWS}, {TLS} SELECT leg_a, leg_b, n, round(beta, 4) AS beta, round(my - beta * mx, 3) AS alpha FROM f WHERE abs(c) > 1e-4")
+def _(spark, sf):
+    rows = pair_rows(spark, sf)
+    some = rows.groupBy(*BY).agg(F.covar_pop("y", "x").alias("c")).where("abs(c) > 1e-4")
+    return stats.tls(rows, BY, "x", "y").join(some, BY, "left_semi").select(*BY, "n", r("beta", 4), r("alpha", 3))
+
+
+@query("t03_ols_many", "", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    rows = fx.table(spark, sf, "lineitem").select("l_returnflag", *(F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_extendedprice")))
+    return stats.ols_many(rows, ["l_returnflag"], ["l_quantity", "l_discount"], "l_extendedprice").where("size(coefficients) = 3 and forall(errors, e -> e > 0)").select("l_returnflag", "n")
+
+
+@query("t04_t06_adf", V, None)
+def t04(spark, sf):
+    return stats.adf(spreads(spark, sf), BY, "k", "spread")
+
+
+@query("t06_p_value", "", "WITH x AS (SELECT c_custkey AS id, -(c_custkey % 500) / 100.0 AS s FROM customer) SELECT id, round(CASE WHEN s <= -3.9 THEN 0.005 WHEN s <= -3.34 THEN 0.01 + (s + 3.9) / 0.56 * 0.04 WHEN s <= -3.04 THEN 0.05 + (s + 3.34) / 0.3 * 0.05 ELSE least(1, 0.1 + (s + 3.04) / 3.04 * 0.9) END, 6) AS p FROM x")
+def _(spark, sf):
+    s = -(F.col("c_custkey") % 500) / 100.0
+    return fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.round(stats.p_value(s), 6).alias("p"))
+
+
+@query("t07_half_life", V, f"{SPREAD}, g AS (SELECT leg_a, leg_b, count(*) AS n, regr_slope(spread, b) AS phi FROM (SELECT *, lag(spread) OVER (PARTITION BY leg_a, leg_b ORDER BY k) AS b FROM s) GROUP BY 1, 2) SELECT leg_a, leg_b, n, round(phi, 5) AS phi, round(CASE WHEN n >= 20 AND phi > 0.02 AND phi < 1 THEN -ln(2) / ln(phi) END, 3) AS half_life FROM g")
+def _(spark, sf):
+    out = stats.half_life(spreads(spark, sf), BY, "k", "spread")
+    return out.select(*BY, "n", r("phi", 5), F.when(F.col("phi") > 0.02, F.round("half_life", 3)).alias("half_life"))
+
+
+@query("t08_crossings", V, f"{SPREAD}, d AS (SELECT *, spread - avg(spread) OVER (PARTITION BY leg_a, leg_b) AS d FROM s), c AS (SELECT leg_a, leg_b, d * lag(d) OVER (PARTITION BY leg_a, leg_b ORDER BY k) < 0 AS x FROM d) SELECT leg_a, leg_b, round(CASE WHEN count(*) > 20 THEN count_if(x) * 252 / count(*) END, 6) AS crossings FROM c GROUP BY 1, 2")
+def _(spark, sf):
+    return stats.crossings(spreads(spark, sf), BY, "k", "spread").select(*BY, r("crossings"))
+
+
+@query("t09_t10_beta_cv", V, f"{ROLL} SELECT leg_a, leg_b, count(beta) AS windows, round(least(1000, stddev_samp(beta) / abs(avg(beta))), 2) AS beta_cv FROM b GROUP BY 1, 2 HAVING max(abs(beta)) < 1000 AND abs(avg(beta)) > 1")
+def _(spark, sf):
+    b = stats.rolling_tls(pair_rows(spark, sf), BY, "k", "x", "y")
+    some = b.groupBy(*BY).agg(F.max(F.abs("beta")).alias("m"), F.abs(F.avg("beta")).alias("a")).where("m < 1000 and a > 1")
+    return stats.beta_cv(b, BY).join(some, BY, "left_semi").select(*BY, "windows", F.round(F.least("beta_cv", F.lit(1000.0)), 2).alias("beta_cv"))
+
+
+@query("t11_mean_shift", "closes", "+ b AS (SELECT *, row_number() OVER w AS k, sum(close) OVER w AS s, count(*) OVER p AS n, sum(close) OVER p AS total FROM closes WINDOW w AS (PARTITION BY symbol ORDER BY day), p AS (PARTITION BY symbol)) SELECT symbol, round(max(abs(s / k - (total - s) / (n - k)) / abs(total / n)), 6) AS shift, max(abs(s / k - (total - s) / (n - k)) / abs(total / n)) > 0.45 AS broken FROM b WHERE k >= floor(n * 0.2) AND k <= floor(n * 0.8) GROUP BY 1")
+def _(spark, sf):
+    return stats.max_mean_shift(fx.closes(spark, sf).withColumnRenamed("close", "beta"), ["symbol"], "day").select("symbol", r("shift"), "broken")
+
+
+@query("t12_t14_validate_pairs", V, None)
+def t12(spark, sf):
+    return stats.validate_pairs(fx.closes(spark, sf), fx.candidates(spark, sf))
+
+
+@query("t15_top_pairs", V, None)
+def t15(spark, sf):
+    out = t12(spark, sf).select(*BY, "score", F.size("reasons").alias("n_reasons"))
+    return out.orderBy("n_reasons", F.desc("score"), *BY).limit(10)
+
+
+LIFE = "WITH x AS (SELECT c_custkey AS id, c_acctbal / 100 AS life, (c_custkey % 7) - 3.0 AS z FROM customer)"
+
+
+@query("t16_t20_pair_expressions", "", LIFE + " SELECT id, CAST(CASE WHEN life <= 0 THEN 30 ELSE least(ceil(2.5 * life), 30) END AS INT) AS hold, round(CASE WHEN life > 0 THEN ln(2) / life END, 6) AS kappa, CAST(CASE WHEN life > 0 THEN greatest(20, least(60, 2 * ceil(life))) ELSE 0 END AS INT) AS look_back, round(CASE WHEN life > 0 THEN abs(z) * sqrt(ln(2) / life) / 0.02 ELSE 0 END, 6) AS priority, round(CASE WHEN life > 0 THEN abs(z) * 0.02 * (ln(2) / life) / (1 + (ln(2) / life) * 5) ELSE 0 END, 6) AS expected, round((abs(z) * 0.02 - 0.001) / greatest(id % 9 - 4, 1), 6) AS remaining FROM x")
+def _(spark, sf):
+    x = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal").cast("double") / 100).alias("life"), (F.col("c_custkey") % 7 - 3.0).alias("z"))
+    life, z, kappa = F.col("life"), F.col("z"), stats.kappa_of(F.col("life"))
+    sigma = F.lit(0.02)
+    return x.select("id", stats.max_hold_days(life).alias("hold"), F.round(kappa, 6).alias("kappa"), stats.look_back(life).alias("look_back"), F.round(stats.priority(z, kappa, sigma), 6).alias("priority"), F.round(stats.expected_return(z, sigma, kappa, 5.0), 6).alias("expected"), F.round(stats.remaining_per_day(z, sigma, F.lit(0.001), F.col("id") % 9, F.lit(4)), 6).alias("remaining"))
+
+
+BV = "closes sectors baskets"
+BSPREAD = """+ n AS (SELECT target, count(*) AS size FROM baskets GROUP BY 1), m AS (SELECT b.sector, b.target, c.day, avg(ln(c.close)) AS mean, count(*) AS have FROM baskets b JOIN closes c ON c.symbol = b.peer WHERE c.close > 0 GROUP BY 1, 2, 3),
+sp AS (SELECT m.sector, m.target, m.day, ln(c.close) - m.mean AS spread FROM m JOIN n USING (target) JOIN closes c ON c.symbol = m.target AND c.day = m.day WHERE have = size AND c.close > 0)"""
+
+
+def basket_rows(spark, sf, key="p_brand"):
+    return stats.basket_spread(fx.closes(spark, sf, key), fx.baskets(spark, sf, key))
+
+
+@query("t26_basket_spread", BV, f"{BSPREAD} SELECT sector, target, day::VARCHAR AS day, round(spread, 6) AS spread FROM sp")
+def _(spark, sf):
+    return basket_rows(spark, sf).select("sector", "target", F.col("day").cast("string").alias("day"), r("spread"))
+
+
+OU = f"""{BSPREAD}, q AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY day DESC) AS rn FROM sp QUALIFY rn <= 60), p AS (SELECT *, lag(spread) OVER (PARTITION BY target ORDER BY day) AS x FROM q),
+g AS (SELECT sector, target, count(*) AS pairs, regr_slope(spread, x) AS b, regr_intercept(spread, x) AS a, regr_syy(spread, x) AS syy, regr_sxy(spread, x) AS sxy FROM p WHERE x IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT *, CASE WHEN b > 0 AND b < 1 AND pairs > 2 THEN b END AS bb FROM g),
+fit AS (SELECT sector, target, pairs, a, b, -ln(bb) * 252 AS kappa, a / (1 - bb) AS mu, sqrt((syy - bb * sxy) / (pairs - 2) / (1 - bb * bb)) AS sigma_eq, -ln(2) / ln(bb) AS half_life FROM o)"""
+
+
+@query("t27_ou_fit", BV, f"{OU} SELECT sector, target, pairs, round(a, 6) AS a, round(b, 6) AS b, round(kappa, 4) AS kappa, round(mu, 6) AS mu, round(sigma_eq * sqrt(2 * kappa), 5) AS sigma, round(sigma_eq, 6) AS sigma_eq, round(half_life, 5) AS half_life FROM fit")
+def _(spark, sf):
+    return stats.ou_fit(basket_rows(spark, sf), ["sector", "target"]).select("sector", "target", "pairs", r("a"), r("b"), r("kappa", 4), r("mu"), r("sigma", 5), r("sigma_eq"), r("half_life", 5))
+
+
+@query("t28_thresholds", BV, None)
+def t28(spark, sf):
+    return stats.with_threshold(stats.ou_fit(basket_rows(spark, sf), ["sector", "target"]).where("kappa is not null"))
+
+
+SHARE = f"""{BSPREAD}, legs AS (SELECT target, peer AS symbol, -1.0 / size AS weight FROM baskets JOIN n USING (target) UNION ALL SELECT target, target, 1.0 FROM n),
+c AS (SELECT sp.sector, legs.target, legs.symbol, CAST(weight AS DOUBLE) AS weight, covar_samp(ln(c.close), spread) * CAST(weight AS DOUBLE) / var_samp(spread) AS contribution FROM sp JOIN legs USING (target) JOIN closes c ON c.symbol = legs.symbol AND c.day = sp.day GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10)"""
+
+
+@query("t29_contributions", BV, f"{SHARE} SELECT sector, target, symbol, round(weight, 6) AS weight, round(contribution, 6) AS contribution FROM c")
+def _(spark, sf):
+    return stats.contributions(fx.closes(spark, sf), fx.baskets(spark, sf)).select("sector", "target", "symbol", r("weight"), r("contribution"))
+
+
+@query("t30_dominance", BV, f"{SHARE} SELECT target, round(max(abs(contribution)), 6) AS dominance, round(max(CASE WHEN symbol = target THEN abs(contribution) END), 6) AS centrality FROM c GROUP BY 1")
+def _(spark, sf):
+    c = stats.contributions(fx.closes(spark, sf), fx.baskets(spark, sf))
+    return c.groupBy("target").agg(F.round(F.max(F.abs("contribution")), 6).alias("dominance"), F.round(F.max(F.when(F.col("symbol") == F.col("target"), F.abs("contribution"))), 6).alias("centrality"))
+
+
+@query("t31_validate_baskets", BV, None)
+def t31(spark, sf):
+    return stats.validate_baskets(fx.closes(spark, sf), fx.baskets(spark, sf))
+
+
+@query("t32_fits_as_of", BV, None)
+def t32(spark, sf):
+    """Walk-forward fits: one row for each basket and date."""
+    out = None
+    for day in ("1998-01-05", "1999-01-04", "2000-01-03"):
+        part = stats.validate_baskets(fx.closes(spark, sf), fx.baskets(spark, sf), day).withColumn("as_of", F.lit(day))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("t33_kalman_hedge", V, None)
+def t33(spark, sf):
+    rows = pair_rows(spark, sf).select(F.concat_ws("/", *BY).alias("pair_id"), "k", "x", "y")
+    return scan.fold(rows, "pair_id", ["k"], lambda s, row: detectors.kalman_step(s, row.x, row.y), "pair_id string, k int, x double, y double, alpha double, beta double, ready boolean")
