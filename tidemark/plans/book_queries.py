@@ -1 +1,228 @@
-"""Queries."""
+"""Books, orders, fills and reports over basket positions, trades and the brand books."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..operators import book as bk
+from ..operators import reports as rp
+from . import fixtures as fx
+from .registry import query
+from .signal_queries import ZS, basket_positions
+from .stat_queries import BV
+from .table_queries import day, r
+
+MOST, CAPITAL, LEVERAGE = 5, 10_000.0, 4.0
+NOTIONAL = bk.notional_per_basket(CAPITAL, LEVERAGE, MOST)
+ADMIT = f"{ZS}, a AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY abs(z) DESC, target) AS place FROM pos WHERE position <> 0)"
+LEGS = f"{ADMIT}, lg AS (SELECT day, target, target AS symbol, position * 0.5 * {NOTIONAL} AS notional FROM a WHERE place <= {MOST} UNION ALL SELECT a.day, a.target, b.peer, -position * 0.5 / size * {NOTIONAL} FROM a JOIN baskets b USING (target) JOIN n USING (target) WHERE place <= {MOST})"
+BOOK = f"{LEGS}, book AS (SELECT day, symbol, sum(notional) AS notional FROM lg GROUP BY 1, 2 HAVING abs(sum(notional)) > 1e-9)"
+
+
+def admitted(spark, sf, key="p_brand"):
+    return bk.admit(basket_positions(spark, sf, key), ["day"], MOST)
+
+
+def legs(spark, sf, key="p_brand"):
+    return bk.basket_legs(admitted(spark, sf, key).where("admitted"), fx.baskets(spark, sf, key), NOTIONAL)
+
+
+def target_book(spark, sf, key="p_brand"):
+    return bk.summed(legs(spark, sf, key), ["day"])
+
+
+def basket_book_equity(spark, sf, key="p_brand"):
+    """The flagship: fits, positions, admission, legs, shares, marks."""
+    closes = fx.closes(spark, sf, key)
+    shares, _ = bk.target_shares(target_book(spark, sf, key), closes, ["day", "symbol"])
+    return bk.equity_curve(shares, closes, CAPITAL).select(day(), r("pnl", 3), r("equity", 3))
+
+
+@query("p02_admission_cap", BV, f"{ADMIT} SELECT day::VARCHAR AS day, target, place, place <= {MOST} AS admitted FROM a")
+def _(spark, sf):
+    return admitted(spark, sf).select(day(), "target", "place", "admitted")
+
+
+@query("p01_p03_legs", BV, f"{LEGS} SELECT day::VARCHAR AS day, target, symbol, round(notional, 4) AS notional FROM lg")
+def _(spark, sf):
+    return legs(spark, sf).select(day(), "target", "symbol", r("notional", 4))
+
+
+@query("a05_book", BV, f"{BOOK} SELECT day::VARCHAR AS day, symbol, round(notional, 4) AS notional FROM book")
+def _(spark, sf):
+    return target_book(spark, sf).select(day(), "symbol", r("notional", 4))
+
+
+@query("a06_a07_book_summary", BV, f"{BOOK} SELECT day::VARCHAR AS day, round(sum(greatest(notional, 0)), 4) AS gross_long, round(sum(greatest(-notional, 0)), 4) AS gross_short, round(max(abs(notional)), 4) AS max_abs, round(quantile_cont(abs(notional), 0.5), 4) AS median_abs FROM book GROUP BY 1")
+def _(spark, sf):
+    return bk.summary(target_book(spark, sf), ["day"]).select(day(), r("gross_long", 4), r("gross_short", 4), r("max_abs", 4), r("median_abs", 4))
+
+
+@query("p04_short_suppression", BV, f"{ZS} SELECT day::VARCHAR AS day, target FROM pos WHERE position > 0 OR (position < 0 AND NOT (sector IN ('S1', 'S2') AND month(day) % 2 = 0))")
+def _(spark, sf):
+    p = basket_positions(spark, sf).where("position <> 0")
+    active = p.select("day", "sector").distinct().where("sector in ('S1', 'S2') and month(day) % 2 = 0")
+    return bk.without_shorts_of(p, active).select(day(), "target")
+
+
+@query("p05_long_only_sleeve", "closes sectors", "SELECT day::VARCHAR AS day, symbol, round(5000.0 / count(*) OVER (PARTITION BY day), 6) AS notional FROM closes JOIN sectors USING (symbol) WHERE sector = 'S1'")
+def _(spark, sf):
+    s = fx.closes(spark, sf).join(fx.sectors(spark, sf).where("sector = 'S1'"), "symbol", "left_semi").select("day", "symbol")
+    return bk.long_only_sleeve(s, 5000.0, ["day"]).select(day(), "symbol", r("notional"))
+
+
+@query("p07_merge_books", BV, f"{BOOK}, u AS (SELECT day, symbol, notional * 0.5 AS notional FROM book UNION ALL SELECT day, 'Brand#11', 100.0 FROM (SELECT DISTINCT day FROM book)) SELECT day::VARCHAR AS day, symbol, round(sum(notional), 4) AS notional FROM u GROUP BY 1, 2")
+def _(spark, sf):
+    b = target_book(spark, sf)
+    sleeve = b.select("day").distinct().select("day", F.lit("Brand#11").alias("symbol"), F.lit(100.0).alias("notional"))
+    return bk.merge_books(b.withColumn("notional", F.col("notional") * 0.5), sleeve, by=["day"]).select(day(), "symbol", r("notional", 4))
+
+
+@query("p08_drop_shorts", BV, f"{BOOK}, l AS (SELECT *, sum(notional) OVER (PARTITION BY day) AS total FROM book WHERE notional > 0) SELECT day::VARCHAR AS day, symbol, round(notional * least(1.0, 10000.0 / total), 4) AS notional FROM l")
+def _(spark, sf):
+    return bk.drop_shorts(target_book(spark, sf), ["day"], 10_000.0).select(day(), "symbol", r("notional", 4))
+
+
+@query("p09_peer_mirror", BV, f"{LEGS}, w AS (SELECT *, sum(greatest(notional, 0)) OVER (PARTITION BY day, target) AS l, sum(greatest(-notional, 0)) OVER (PARTITION BY day, target) AS s FROM lg) SELECT day::VARCHAR AS day, target, symbol, round(notional * (1 + s / l), 4) AS notional FROM w WHERE notional > 0")
+def _(spark, sf):
+    return bk.mirror_peers(legs(spark, sf), ["day"]).select(day(), "target", "symbol", r("notional", 4))
+
+
+@query("p10_short_penalty", BV, f"{LEGS}, gl AS (SELECT day, symbol, sum(greatest(notional, 0)) AS l, sum(greatest(-notional, 0)) AS s FROM lg GROUP BY 1, 2) SELECT day::VARCHAR AS day, symbol, round(l - 0.5 * s, 4) AS notional FROM gl WHERE l - 0.5 * s > 0 AND l >= 0.6 * (l + s)")
+def _(spark, sf):
+    return bk.penalise_shorts(legs(spark, sf), ["day"]).select(day(), "symbol", r("notional", 4))
+
+
+@query("p11_p12_target_shares", BV, f"{BOOK} SELECT b.day::VARCHAR AS day, b.symbol, trunc(round(notional / close, 9)) AS shares FROM book b JOIN closes c ON c.symbol = b.symbol AND c.day = b.day WHERE abs(trunc(round(notional / close, 9))) >= 1")
+def _(spark, sf):
+    shares, _ = bk.target_shares(target_book(spark, sf).withColumn("notional", F.round("notional", 9)), fx.closes(spark, sf), ["day", "symbol"])
+    return shares.select(day(), "symbol", (F.col("shares") + 0.0).alias("shares"))
+
+
+@query("j09_missing_prices", BV, f"{BOOK} SELECT day::VARCHAR AS day, symbol FROM book b WHERE NOT EXISTS (SELECT 1 FROM closes c WHERE c.symbol = b.symbol AND c.day = b.day AND year(c.day) <> 1997)")
+def _(spark, sf):
+    _, missing = bk.target_shares(target_book(spark, sf), fx.closes(spark, sf).where("year(day) <> 1997"), ["day", "symbol"])
+    return missing.select(day(), "symbol")
+
+
+@query("p13_j08_orders", "books", "SELECT symbol, CASE WHEN target_shares > current_shares THEN 'buy' ELSE 'sell' END AS side, round(abs(target_shares - current_shares)) AS qty FROM books WHERE round(abs(target_shares - current_shares)) > 0")
+def _(spark, sf):
+    return bk.orders_between(fx.books(spark, sf)).select("symbol", "side", "qty")
+
+
+@query("p14_staged_orders", "books", "SELECT symbol, 1 AS phase, CASE WHEN current_shares > 0 THEN 'sell' ELSE 'buy' END AS side, abs(current_shares) AS qty FROM books WHERE current_shares * target_shares < 0 UNION ALL SELECT symbol, 2, CASE WHEN target_shares > 0 THEN 'buy' ELSE 'sell' END, abs(target_shares) FROM books WHERE current_shares * target_shares < 0 UNION ALL SELECT symbol, CASE WHEN abs(target_shares) < abs(current_shares) THEN 1 ELSE 2 END, CASE WHEN target_shares > current_shares THEN 'buy' ELSE 'sell' END, abs(target_shares - current_shares) FROM books WHERE current_shares * target_shares >= 0 AND target_shares <> current_shares")
+def _(spark, sf):
+    return bk.staged_orders(fx.books(spark, sf)).select("symbol", "phase", "side", "qty")
+
+
+@query("a08_a09_order_flow", "books", "+ k AS (SELECT CASE WHEN current_shares = 0 AND target_shares <> 0 THEN 'open' WHEN current_shares <> 0 AND target_shares = 0 THEN 'close' WHEN current_shares * target_shares < 0 THEN 'flip' WHEN abs(target_shares) > abs(current_shares) THEN 'increase' WHEN abs(target_shares) < abs(current_shares) THEN 'reduce' ELSE 'keep' END AS kind, abs(target_shares - current_shares) AS q FROM books) SELECT kind, count(*) AS n, round(sum(q), 4) AS shares FROM k GROUP BY 1")
+def _(spark, sf):
+    c, t = F.col("current_shares"), F.col("target_shares")
+    return fx.books(spark, sf).groupBy(bk.flow_kind(c, t).alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum(F.abs(t - c)), 4).alias("shares"))
+
+
+@query("a10_class_counts", "books", "+ c(kind) AS (VALUES ('open'), ('close'), ('flip'), ('increase'), ('reduce'), ('keep')), k AS (SELECT CASE WHEN current_shares * target_shares < 0 THEN 'flip' WHEN abs(target_shares) > abs(current_shares) THEN 'increase' WHEN abs(target_shares) < abs(current_shares) THEN 'reduce' ELSE 'keep' END AS kind FROM books WHERE current_shares <> 0 AND target_shares <> 0) SELECT c.kind, count(k.kind) AS n FROM c LEFT JOIN k USING (kind) GROUP BY 1")
+def _(spark, sf):
+    kinds = spark.createDataFrame([(k,) for k in ("open", "close", "flip", "increase", "reduce", "keep")], "kind string")
+    c, t = F.col("current_shares"), F.col("target_shares")
+    have = fx.books(spark, sf).where((c != 0) & (t != 0)).select(bk.flow_kind(c, t).alias("kind"), F.lit(1).alias("one"))
+    return kinds.join(have, "kind", "left").groupBy("kind").agg(F.count("one").alias("n"))
+
+
+@query("a11_position_drift", "books closes", "+ l AS (SELECT symbol, max_by(close, day) AS close FROM closes GROUP BY 1), d AS (SELECT symbol, current_shares * close AS a, target_shares * close AS b FROM books JOIN l USING (symbol)), s AS (SELECT greatest(sum(abs(a)), sum(abs(b)), 1.0) AS scale FROM d), v AS (SELECT list_sort(list(abs(a - b) / scale * 1e4)) AS s FROM d, s) SELECT round(s[1 + CAST(round((len(s) - 1) * 0.5) AS INT)], 5) AS p50, round(s[1 + CAST(round((len(s) - 1) * 0.95) AS INT)], 5) AS p95, round(s[len(s)], 5) AS max FROM v")
+def _(spark, sf):
+    last = fx.closes(spark, sf).groupBy("symbol").agg(F.max_by("close", "day").alias("close"))
+    return bk.nearest_rank(bk.drift(fx.books(spark, sf), last), "bps", (0.5, 0.95)).select(r("p50", 5), r("p95", 5), r("max", 5))
+
+
+@query("p17_apply_orders", "books", "SELECT symbol, current_shares + CASE WHEN target_shares > current_shares THEN 1 ELSE -1 END * round(abs(target_shares - current_shares)) AS shares FROM books WHERE abs(current_shares + CASE WHEN target_shares > current_shares THEN 1 ELSE -1 END * round(abs(target_shares - current_shares))) >= 0.5")
+def _(spark, sf):
+    b = fx.books(spark, sf)
+    return bk.apply_orders(b, bk.orders_between(b), ["symbol"])
+
+
+@query("p21_top_deltas", "books", "SELECT symbol, abs(target_shares - current_shares) AS delta FROM books ORDER BY 2 DESC, 1 LIMIT 8")
+def _(spark, sf):
+    return fx.books(spark, sf).select("symbol", F.abs(F.col("target_shares") - F.col("current_shares")).alias("delta")).orderBy(F.desc("delta"), "symbol").limit(8)
+
+
+@query("p18_peak_gross", "", "WITH f AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE -l_quantity END AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N'), d AS (SELECT symbol, day, sum(q) AS q FROM f GROUP BY 1, 2), h AS (SELECT *, sum(q) OVER (PARTITION BY symbol ORDER BY day) AS held FROM d), x AS (SELECT day, sum(abs(held) - abs(held - q)) AS delta FROM h GROUP BY 1), g AS (SELECT sum(delta) OVER (ORDER BY day) AS gross FROM x) SELECT round(max(gross), 4) AS peak FROM g")
+def _(spark, sf):
+    q = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity")).cast("double")
+    f = fx.lines(spark, sf).where("l_returnflag <> 'N'").groupBy(F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(F.sum(q).alias("q")).withColumn("price", F.lit(1.0))
+    return bk.peak_gross(f, "day").select(r("peak", 4))
+
+
+EQ = f"{BOOK}, sh AS (SELECT b.day, b.symbol, trunc(notional / close) AS shares FROM book b JOIN closes c ON c.symbol = b.symbol AND c.day = b.day WHERE abs(trunc(notional / close)) >= 1), mv AS (SELECT symbol, day, lead(day) OVER w AS t, lead(close) OVER w - close AS move FROM closes WINDOW w AS (PARTITION BY symbol ORDER BY day)), pl AS (SELECT t AS day, sum(shares * move) AS pnl FROM sh JOIN mv USING (symbol, day) WHERE move IS NOT NULL GROUP BY 1), eq AS (SELECT day, pnl, 10000.0 + sum(pnl) OVER (ORDER BY day) AS equity FROM pl)"
+
+
+@query("p24_p25_basket_book_equity", BV, f"{EQ} SELECT day::VARCHAR AS day, round(pnl, 3) AS pnl, round(equity, 3) AS equity FROM eq")
+def _(spark, sf):
+    return basket_book_equity(spark, sf)
+
+
+@query("r01_equity_stats", "equity", "+ x AS (SELECT *, equity / lag(equity) OVER (ORDER BY day) - 1 AS ret, max(equity) OVER (ORDER BY day) AS peak FROM equity) SELECT count(*) AS n, round(max_by(equity, day) / min_by(equity, day) - 1, 6) AS total, round(avg(ret), 8) AS mean, round(stddev_samp(ret), 8) AS std, round(avg(ret) / stddev_samp(ret) * sqrt(252), 5) AS sharpe, round(avg(ret) * 252, 6) AS annual, round(max((peak - equity) / peak), 6) AS max_drawdown FROM x")
+def _(spark, sf):
+    e = fx.equity(spark, sf).withColumn("run", F.lit("r"))
+    return rp.equity_stats(e, ["run"]).select("n", r("total"), r("mean", 8), r("std", 8), r("sharpe", 5), r("annual"), r("max_drawdown"))
+
+
+@query("r02_drawdowns", "equity", "+ x AS (SELECT *, max(equity) OVER (ORDER BY day) AS peak FROM equity) SELECT day::VARCHAR AS day, round(peak, 2) AS peak, round((peak - equity) / peak, 8) AS drawdown FROM x")
+def _(spark, sf):
+    return rp.drawdowns(fx.equity(spark, sf).withColumn("run", F.lit("r")), ["run"]).select(day(), r("peak", 2), r("drawdown", 8))
+
+
+@query("r04_probabilistic_sharpe", "trades", """+ m AS (SELECT pair_id, year(exit_day) AS y, count(*) AS n, avg(pnl) AS a, stddev_samp(pnl) AS s, avg(pnl ** 2) AS m2, avg(pnl ** 3) AS m3, avg(pnl ** 4) AS m4 FROM trades GROUP BY 1, 2), q AS (SELECT *, a / s AS sr, (m3 - 3 * a * m2 + 2 * a ** 3) / s ** 3 AS sk, (m4 - 4 * a * m3 + 6 * a ** 2 * m2 - 3 * a ** 4) / s ** 4 AS ku FROM m), z AS (SELECT *, sr * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr ** 2) AS z, 1 / (1 + 0.2316419 * abs(sr * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr ** 2))) AS t FROM q), p AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) AS tail FROM z)
+SELECT pair_id, y, n, round(sr, 6) AS sharpe, round(sk, 5) AS skew, round(ku, 5) AS kurtosis, round(CASE WHEN z >= 0 THEN 1 - tail ELSE tail END, 6) AS psr FROM p""")
+def _(spark, sf):
+    t = fx.trades(spark, sf).withColumn("y", F.year("exit_day"))
+    return rp.probabilistic_sharpe(t, ["pair_id", "y"]).select("pair_id", "y", "n", r("sharpe"), r("skew", 5), r("kurtosis", 5), r("psr"))
+
+
+@query("r05_deflated_sharpe", "trades", None)
+def r05(spark, sf):
+    t = fx.trades(spark, sf).withColumn("y", F.year("exit_day"))
+    best = rp.expected_best_sharpe(20, 0.05)
+    return rp.probabilistic_sharpe(t, ["pair_id", "y"], best).withColumn("benchmark", F.lit(best))
+
+
+@query("a15_capital_metrics", "trades", "SELECT pair_id, round(sum(pnl) / avg(2 * capital_per_leg), 6) AS roec, round(greatest(0, least(1, sum(2 * capital_per_leg * hold_days) / sum(hold_days) / 1e6)), 6) AS utilisation, round(sum(pnl) / 1e6, 6) AS rocc, round(avg(pnl / (2 * capital_per_leg)), 6) AS per_trade, round(sum(pnl) / sum(2 * capital_per_leg * hold_days), 8) AS per_dollar_day FROM trades GROUP BY 1")
+def _(spark, sf):
+    return rp.capital_metrics(fx.trades(spark, sf), ["pair_id"], 1e6).select("pair_id", r("roec"), r("utilisation"), r("rocc"), r("per_trade"), r("per_dollar_day", 8))
+
+
+KW = "(PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS UNBOUNDED PRECEDING)"
+
+
+@query("a16_kelly", "trades", f"+ x AS (SELECT trade_id, 1 + count(CASE WHEN pnl > 0 THEN 1 END) OVER {KW} AS a, 1 + count(CASE WHEN pnl <= 0 THEN 1 END) OVER {KW} AS b, avg(CASE WHEN pnl > 0 THEN pnl END) OVER {KW} / avg(CASE WHEN pnl <= 0 THEN -pnl END) OVER {KW} AS payoff FROM trades), p AS (SELECT *, a / (a + b) AS p, sqrt((a / (a + b)) * (1 - a / (a + b)) / (a + b + 1)) AS sd FROM x) SELECT trade_id, round(p, 6) AS win_rate, round(greatest(0, least(0.25, coalesce(p - sd - (1 - p + sd) / payoff, 0))), 6) AS fraction FROM p")
+def _(spark, sf):
+    return rp.kelly(fx.trades(spark, sf), ["pair_id"], ["exit_day", "trade_id"]).select("trade_id", r("win_rate"), r("fraction"))
+
+
+@query("a23_worst_days", "equity", "SELECT day::VARCHAR AS day, round(pnl, 2) AS pnl FROM (SELECT day, equity - lag(equity) OVER (ORDER BY day) AS pnl FROM equity) WHERE pnl IS NOT NULL ORDER BY pnl, day LIMIT 10")
+def _(spark, sf):
+    e = fx.equity(spark, sf).select("day", (F.col("equity") - F.lag("equity").over(W.orderBy("day"))).alias("pnl")).where("pnl is not null")
+    return e.orderBy("pnl", "day").limit(10).select(day(), r("pnl", 2))
+
+
+@query("a26_attribution", BV, f"{LEGS}, mv AS (SELECT symbol, day, lead(close) OVER (PARTITION BY symbol ORDER BY day) / close - 1 AS move FROM closes) SELECT coalesce(sector, 'ALL') AS sector, coalesce(role, 'ALL') AS role, round(sum(pnl), 3) AS pnl, count(*) AS n FROM (SELECT sector, CASE WHEN lg.symbol = lg.target THEN 'target' ELSE 'peer' END AS role, notional * move AS pnl FROM lg JOIN mv USING (symbol, day) JOIN sectors ON sectors.symbol = lg.target WHERE move IS NOT NULL) GROUP BY CUBE (sector, role)")
+def _(spark, sf):
+    c = fx.closes(spark, sf)
+    mv = c.select("symbol", "day", (F.lead("close").over(W.partitionBy("symbol").orderBy("day")) / F.col("close") - 1).alias("move")).where("move is not null")
+    x = legs(spark, sf).join(mv, ["symbol", "day"]).join(fx.sectors(spark, sf).withColumnRenamed("symbol", "target"), "target")
+    x = x.select("sector", F.when(F.col("symbol") == F.col("target"), "target").otherwise("peer").alias("role"), (F.col("notional") * F.col("move")).alias("pnl"))
+    g = x.cube("sector", "role").agg(F.sum("pnl").alias("pnl"), F.count("*").alias("n"))
+    return g.select(F.coalesce("sector", F.lit("ALL")).alias("sector"), F.coalesce("role", F.lit("ALL")).alias("role"), r("pnl", 3), "n")
+
+
+@query("a27_cap_pressure", BV, f"{ADMIT}, d AS (SELECT day, count(*) AS active, count_if(place > {MOST}) AS excluded FROM a GROUP BY 1) SELECT round(avg(active), 6) AS mean_active, max(active) AS max_active, round(avg(excluded), 6) AS mean_excluded, max(excluded) AS max_excluded FROM d")
+def _(spark, sf):
+    d = admitted(spark, sf).groupBy("day").agg(F.count("*").alias("active"), F.count_if(~F.col("admitted")).alias("excluded"))
+    return d.agg(F.round(F.avg("active"), 6).alias("mean_active"), F.max("active").alias("max_active"), F.round(F.avg("excluded"), 6).alias("mean_excluded"), F.max("excluded").alias("max_excluded"))
+
+
+@query("a28_churn", BV, f"{BOOK}, gr AS (SELECT day, sum(abs(notional)) AS gross, count(*) AS names FROM book GROUP BY 1) SELECT day::VARCHAR AS day, round(gross, 4) AS gross, names, round(gross - lag(gross) OVER (ORDER BY day), 4) AS change FROM gr")
+def _(spark, sf):
+    g = target_book(spark, sf).groupBy("day").agg(F.sum(F.abs("notional")).alias("gross"), F.count("*").alias("names"))
+    return g.select(day(), r("gross", 4), "names", F.round(F.col("gross") - F.lag("gross").over(W.orderBy("day")), 4).alias("change"))

@@ -1 +1,235 @@
-"""Queries."""
+"""Scores, gates and positions over bars, trades and basket spreads."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..operators import features as ft
+from ..operators import scan, signals as sg, stats
+from . import fixtures as fx
+from .feature_queries import T, TR, WS, ret, win
+from .registry import query
+from .stat_queries import BV, OU, basket_rows
+from .table_queries import day, r, secs
+
+X = f"""+ a AS (SELECT *, {ret(1)} AS r1, {TR} AS tr, volume / avg(volume) {win(32)} AS rv, close > avg(close) {win(64)} AS up, row_number() OVER w % 2 = 0 AS holds, count(*) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sb FROM bars {WS}),
+x AS (SELECT *, round(coalesce(r1 / nullif(stddev_pop(r1) {win(32)}, 0), 0), 4) AS z, avg(close) {win(32)} AS m, stddev_pop(close) {win(32)} AS s, avg(tr) {win(16)} AS atr FROM a), y AS (SELECT *, round(CASE WHEN 4 * s <= 1e-10 THEN 0.5 ELSE (close - m + 2 * s) / (4 * s) END, 4) AS pb FROM x)"""
+
+
+def scored(spark, sf):
+    b = fx.bars(spark, sf).withColumns({"holds": F.row_number().over(W.partitionBy("symbol").orderBy("ts")) % 2 == 0, "sb": F.count("*").over(W.partitionBy("symbol", F.to_date("ts")).orderBy("ts").rowsBetween(W.unboundedPreceding, 0))})
+    for add in (ft.with_returns, ft.with_trend, ft.with_ranges, ft.with_zscore, ft.with_bands):
+        b = add(b)
+    return b.withColumns({"z": F.round("return_z", 4), "pb": F.round("percent_b", 4)})
+
+
+def unit(x):
+    return f"greatest(0.0, least(1.0, {x}))"
+
+
+@query("g01_mean_reversion", "bars", f"{X} SELECT {T}, CASE WHEN NOT holds AND z < -0.5 AND rv >= 0.8 AND up THEN 'buy' WHEN holds AND z > 0.5 THEN 'sell' END AS side, round(CASE WHEN (NOT holds AND z < -0.5 AND rv >= 0.8 AND up) OR (holds AND z > 0.5) THEN 0.6 * {unit('abs(z) / 1.0')} + 0.4 * {unit('rv / 1.6')} END, 6) AS score FROM y")
+def _(spark, sf):
+    x = scored(spark, sf)
+    side, score = sg.reversion_score(F.col("z"), F.col("relative_volume"), F.col("trend_up"), F.col("holds"), 0.5, 0.8)
+    return x.select("symbol", secs(), side.alias("side"), F.round(score, 6).alias("score"))
+
+
+@query("g03_breakout", "bars", f"{X} SELECT {T}, CASE WHEN holds AND pb < 0 THEN 'sell' WHEN NOT holds AND s < m AND pb > 1 AND rv >= 1.5 THEN 'buy' END AS side FROM y")
+def _(spark, sf):
+    side, _ = sg.breakout_score(F.col("band_std") < F.col("band_mid"), F.col("pb"), F.col("relative_volume"), F.col("holds"))
+    return scored(spark, sf).select("symbol", secs(), side.alias("side"))
+
+
+@query("g04_vwap_reversion", "bars", f"{X} SELECT {T}, CASE WHEN NOT holds AND sb >= 10 AND z < -0.4 THEN 'buy' WHEN holds AND sb >= 10 AND z > 0 THEN 'sell' END AS side, round(CASE WHEN (NOT holds AND sb >= 10 AND z < -0.4) OR (holds AND sb >= 10 AND z > 0) THEN {unit('abs(z) / 0.8')} * {unit('sb / 20.0')} END, 6) AS score FROM y")
+def _(spark, sf):
+    side, score = sg.vwap_score(F.col("z"), F.col("sb"), F.col("holds"), 0.4, 10)
+    return scored(spark, sf).select("symbol", secs(), side.alias("side"), F.round(score, 6).alias("score"))
+
+
+@query("g02_momentum", "bars", None)
+def g02(spark, sf):
+    b = scan.adx(ft.with_ranges(fx.bars(spark, sf)), chunk=256)
+    b = scan.ema(scan.ema(b, "symbol", "ts", "close", 2 / 11, "fast", 256), "symbol", "ts", "close", 2 / 31, "slow", 256)
+    side, score = sg.momentum_score(F.col("fast") > F.col("slow"), F.col("adx"), F.col("plus_di"), F.col("minus_di"), F.col("relative_volume"), F.lit(False))
+    return b.select("symbol", "ts", side.alias("side"), score.alias("score"))
+
+
+@query("g05_vote_combiner", "", """WITH v AS (SELECT user_id, date_trunc('day', ts) AS d, CASE WHEN value > 60 THEN 'buy' WHEN value < 40 THEN 'sell' END AS side, CASE WHEN value > 60 OR value < 40 THEN round(abs(value - 50) / 100, 4) END AS score, CASE event_type WHEN 'click' THEN 2.0 WHEN 'view' THEN 1.0 ELSE 0.5 END AS weight FROM events),
+g AS (SELECT user_id, d, sum(CASE side WHEN 'buy' THEN score * weight ELSE 0 END) - sum(CASE side WHEN 'sell' THEN score * weight ELSE 0 END) AS net, count(side) AS voters FROM v GROUP BY 1, 2)
+SELECT user_id, CAST(d AS DATE)::VARCHAR AS day, CASE WHEN voters >= 1 AND round(net, 6) >= 0.2 THEN 'buy' WHEN voters >= 1 AND round(net, 6) <= -0.2 THEN 'sell' END AS side, round(net, 6) AS net, voters FROM g""")
+def _(spark, sf):
+    v = F.col("value")
+    votes = fx.ticks(spark, sf).select("user_id", F.to_date("ts").alias("day"), F.col("symbol").alias("name"), F.when(v > 60, "buy").when(v < 40, "sell").alias("side"), F.when((v > 60) | (v < 40), F.round(F.abs(v - 50) / 100, 4)).alias("score"), F.when(F.col("symbol") == "click", 2.0).when(F.col("symbol") == "view", 1.0).otherwise(0.5).alias("weight"))
+    return sg.combine(votes, ["user_id", "day"], 0.2 - 5e-7).select("user_id", day(), "side", r("net"), "voters")
+
+
+EXIT = "WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS price, (l_extendedprice / l_quantity) * (0.9 + 0.2 * l_tax / 0.08) AS entry, CAST(l_quantity AS INT) AS held FROM lineitem)"
+
+
+@query("g06_exit_rules", "", EXIT + " SELECT l_orderkey, l_linenumber, CASE WHEN entry - price > 2.5 * (price * 0.018) THEN 'vol_stop' WHEN round(price / entry - 1, 6) <= -0.03 THEN 'stop' WHEN round(price / entry - 1, 6) >= 0.06 THEN 'take_profit' WHEN held >= 40 THEN 'max_hold' END AS reason FROM x WHERE abs(price / entry - 0.97) > 1e-6 AND abs(price / entry - 1.06) > 1e-6 AND abs(entry / price - 1.045) > 1e-6")
+def _(spark, sf):
+    li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), "l_tax", F.col("l_quantity").cast("int").alias("held"))
+    li = li.withColumn("entry", F.col("price") * (0.9 + 0.2 * F.col("l_tax").cast("double") / 0.08))
+    li = li.where("abs(price / entry - 0.97) > 1e-6 and abs(price / entry - 1.06) > 1e-6 and abs(entry / price - 1.045) > 1e-6")
+    return li.select("l_orderkey", "l_linenumber", sg.exit_reason(F.col("price"), F.col("entry"), F.col("held"), F.col("price") * 0.018, 2.5, 0.03, 0.06, 40).alias("reason"))
+
+
+SIZED = "WITH x AS (SELECT o_orderkey AS id, o_totalprice / 200 AS price, (o_orderkey % 20) / 100.0 AS dd, (o_orderkey % 5) / 4.0 AS kelly, o_orderstatus = 'P' AS killed, (o_orderkey % 7) / 1000.0 AS edge FROM orders), y AS (SELECT *, CASE WHEN dd < 0.05 THEN 1.0 WHEN dd < 0.1 THEN 0.5 WHEN dd < 0.15 THEN 0.25 ELSE 0.0 END AS sc FROM x), z AS (SELECT *, CAST(least(100, floor(10000.0 * sc * kelly / price)) AS INT) AS n FROM y)"
+
+
+@query("g07_risk_sizing", "", SIZED + " SELECT id, CASE WHEN NOT killed AND edge > 0.001 AND price <= 1000 AND sc > 0 AND n >= 1 THEN n ELSE 0 END AS shares, CASE WHEN killed THEN 'killed' WHEN edge <= 0.001 THEN 'cost' WHEN price > 1000 THEN 'price' WHEN sc = 0 THEN 'drawdown' WHEN n < 1 THEN 'size' END AS reason FROM z")
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    o = fx.table(spark, sf, "orders").select(k.alias("id"), (F.col("o_totalprice") / 200).cast("double").alias("price"), ((k % 20) / 100.0).alias("dd"), ((k % 5) / 4.0).alias("kelly"), (F.col("o_orderstatus") == "P").alias("killed"), ((k % 7) / 1000.0).alias("edge"))
+    shares, reason = sg.sized(F.col("price"), F.lit(10000.0), F.col("dd"), F.col("kelly"), F.col("killed"), F.col("edge"))
+    return o.select("id", shares.alias("shares"), reason.alias("reason"))
+
+
+DAYW = "(PARTITION BY pair_id, exit_day ORDER BY trade_id ROWS UNBOUNDED PRECEDING)"
+
+
+@query("g08_kill_switch", "trades", f"+ x AS (SELECT *, sum(pnl) OVER {DAYW} AS d FROM trades) SELECT trade_id, pair_id, round(d, 2) AS day_pnl, min(d) OVER {DAYW} < -100000 AS killed FROM x")
+def _(spark, sf):
+    return sg.kill_flags(fx.trades(spark, sf), 100000, ["pair_id", "exit_day"], ["trade_id"]).select("trade_id", "pair_id", r("day_pnl", 2), "killed")
+
+
+@query("g09_g10_signal_fold", "bars", None)
+def g09(spark, sf):
+    rows = ft.with_warm_up(ft.with_zscore(ft.with_returns(fx.bars(spark, sf))), 64).select("symbol", "ts", "close", "return_z", "warmed_up")
+    machine = sg.SingleMachine()
+    return scan.fold(rows, "symbol", ["ts"], lambda s, x: machine.step(s, x.close, x.return_z, x.warmed_up), "symbol string, ts timestamp, close double, return_z double, warmed_up boolean, side string, reason string, holds int")
+
+
+@query("g11_g12_average_cost", "", None)
+def g11(spark, sf):
+    """Signed quantity, average price and realised profit over fills by symbol."""
+
+    def step(state, x):
+        q, p = state.get("q", 0.0), state.get("p", 0.0)
+        gain = 0.0
+        if q * x.qty >= 0:
+            p = (q * p + x.qty * x.price) / (q + x.qty) if q + x.qty else 0.0
+        else:
+            closed = min(abs(q), abs(x.qty)) * (1 if q > 0 else -1)
+            gain = closed * (x.price - p)
+            p = x.price if abs(x.qty) > abs(q) else p if abs(x.qty) < abs(q) else 0.0
+        state["q"], state["p"] = q + x.qty, p
+        return state["q"], p, gain
+
+    li = fx.lines(spark, sf).where("l_returnflag <> 'N'")
+    qty = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity")).cast("double")
+    rows = li.select(F.col("p_brand").alias("symbol"), "l_shipdate", "l_orderkey", "l_linenumber", qty.alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price")).withColumn("l_shipdate", F.to_date("l_shipdate"))
+    return scan.fold(rows, "symbol", ["l_shipdate", "l_orderkey", "l_linenumber"], step, "symbol string, l_shipdate date, l_orderkey long, l_linenumber int, qty double, price double, held double, average double, realised double")
+
+
+SPW = "(PARTITION BY target ORDER BY day ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)"
+
+
+@query("g13_pair_z", BV, f"{OU}, z AS (SELECT target, day, CASE WHEN count(*) OVER {SPW} = 40 AND stddev_pop(spread) OVER {SPW} > 1e-10 THEN (spread - avg(spread) OVER {SPW}) / stddev_pop(spread) OVER {SPW} END AS z FROM sp) SELECT target, day::VARCHAR AS day, round(z, 5) AS z FROM z")
+def _(spark, sf):
+    return sg.pair_z(basket_rows(spark, sf), ["target"], "day", 40).select("target", day(), r("z", 5))
+
+
+@query("g14_pair_machine", BV, None)
+def g14(spark, sf):
+    rows = basket_rows(spark, sf).select("target", "day", "spread")
+    machine = sg.PairMachine()
+    return scan.fold(rows, "target", ["day"], lambda s, x: machine.step(s, x.spread), "target string, day date, spread double, z double, side int, event string, gain double")
+
+
+@query("g15_persistence", BV, f"{OU}, z AS (SELECT target, day, CASE WHEN count(*) OVER {SPW} = 40 THEN round((spread - avg(spread) OVER {SPW}) / stddev_pop(spread) OVER {SPW}, 5) END AS z FROM sp), ov AS (SELECT *, coalesce(z > 1, false) AS over_, row_number() OVER (PARTITION BY target ORDER BY day) AS n FROM z), gg AS (SELECT *, n - row_number() OVER (PARTITION BY target, over_ ORDER BY day) AS isle FROM ov), s AS (SELECT *, CASE WHEN over_ THEN count(*) OVER (PARTITION BY target, over_, isle ORDER BY day ROWS UNBOUNDED PRECEDING) ELSE 0 END AS streak FROM gg) SELECT target, day::VARCHAR AS day, streak FROM s WHERE streak >= 2")
+def _(spark, sf):
+    rows = sg.pair_z(basket_rows(spark, sf), ["target"], "day", 40).withColumn("over", F.coalesce(F.round("z", 5) > 1, F.lit(False)))
+    return rows.select("target", day(), ft.streak(F.col("over"), ["target"], ["day"]).alias("streak")).where("streak >= 2")
+
+
+@query("g16_decayed_exit", "", "WITH x AS (SELECT o_orderkey AS id, (o_orderkey % 100) / 100.0 AS z, o_orderkey % 23 AS held FROM orders) SELECT id, CASE WHEN held >= 20 THEN 'max_hold' WHEN round(abs(z), 6) <= round(0.5 - 0.4 * least(1.0, held / 20), 6) THEN 'reversion' END AS reason FROM x WHERE abs(abs(z) - (0.5 - 0.4 * held / 20)) > 1e-6")
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    o = fx.table(spark, sf, "orders").select(k.alias("id"), ((k % 100) / 100.0).cast("double").alias("z"), (k % 23).alias("held")).where("abs(abs(z) - (0.5 - 0.4 * held / 20)) > 1e-6")
+    return o.select("id", sg.decayed_exit(F.col("z"), F.col("held"), F.lit(20)).alias("reason"))
+
+
+@query("g18_loss_pause", "trades", "SELECT trade_id, (count(*) OVER l = 5 AND max(pnl) OVER l < 0) OR (count(*) OVER s = 3 AND bool_and(exit_reason = 'F') OVER s) AS pause FROM trades WINDOW l AS (PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), s AS (PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def _(spark, sf):
+    return sg.loss_pause(fx.trades(spark, sf), ["pair_id"], ["exit_day", "trade_id"]).select("trade_id", "pause")
+
+
+@query("g19_entry_cap", "trades", "SELECT trade_id, exit_day::VARCHAR AS day, row_number() OVER (PARTITION BY exit_day ORDER BY pnl DESC, trade_id) AS place, row_number() OVER (PARTITION BY exit_day ORDER BY pnl DESC, trade_id) <= 3 AS admitted FROM trades")
+def _(spark, sf):
+    return sg.entry_cap(fx.trades(spark, sf), "exit_day", "pnl", "trade_id", 3).select("trade_id", day("exit_day"), "place", "admitted")
+
+
+ZS = f"{OU}, z AS (SELECT sp.target, sp.sector, sp.day, round((spread - mu) / sigma_eq, 5) AS z, 0.9 AS k FROM sp JOIN fit USING (target) WHERE mu IS NOT NULL), pos AS (SELECT *, coalesce(last_value(CASE WHEN z < -k THEN 1 WHEN z > k THEN -1 END IGNORE NULLS) OVER (PARTITION BY target ORDER BY day), 0) AS position FROM z)"
+
+
+def basket_positions(spark, sf, key="p_brand", k=0.9):
+    """(sector, target, day, z, k, position) of every basket with a fit; the thresholds are frozen."""
+    spread = basket_rows(spark, sf, key)
+    fit = stats.ou_fit(spread, ["sector", "target"]).where("mu is not null").select("target", "mu", "sigma_eq")
+    z = spread.join(fit, "target").select("sector", "target", "day", F.round((F.col("spread") - F.col("mu")) / F.col("sigma_eq"), 5).alias("z"), F.lit(k).alias("k"))
+    return sg.frozen_position(z, ["target"], ["day"])
+
+
+@query("g20_g21_basket_positions", BV, f"{ZS} SELECT target, day::VARCHAR AS day, z, position FROM pos")
+def _(spark, sf):
+    return basket_positions(spark, sf).select("target", day(), "z", "position")
+
+
+@query("g22_rolling_policy", BV, None)
+def g22(spark, sf):
+    policy = sg.RollingScore(confirm=2)
+    return scan.fold(basket_rows(spark, sf).select("target", "day", "spread"), "target", ["day"], lambda s, x: policy.step(s, x.spread), "target string, day date, spread double, score double, position int")
+
+
+@query("g23_transitions", BV, f"{ZS}, t AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY target ORDER BY day), 0) AS b FROM pos) SELECT target, day::VARCHAR AS day, position, CASE WHEN b = 0 THEN CASE WHEN position > 0 THEN 'open_long' ELSE 'open_short' END WHEN position = 0 THEN 'close' ELSE 'flip' END AS reason FROM t WHERE position <> b")
+def _(spark, sf):
+    return sg.transitions(basket_positions(spark, sf), ["target"], ["day"]).select("target", day(), "position", "reason")
+
+
+@query("g24_day_summary", BV, f"{ZS}, t AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY target ORDER BY day), 0) AS b FROM pos) SELECT day::VARCHAR AS day, count(*) AS evaluated, count_if(abs(z) > 0.75 * k) AS near, count_if(position <> b) AS changed FROM t GROUP BY 1")
+def _(spark, sf):
+    p = basket_positions(spark, sf)
+    return sg.day_summary(p, sg.transitions(p, ["target"], ["day"])).select(day(), "evaluated", "near", "changed")
+
+
+SECT = "+ rt AS (SELECT c.symbol, sector, day, close / lag(close) OVER (PARTITION BY c.symbol ORDER BY day) - 1 AS ret FROM closes c JOIN sectors USING (symbol)), sd AS (SELECT sector, day, avg(ret) AS ret, avg(CAST(ret > 0 AS INT)) AS breadth FROM rt WHERE ret IS NOT NULL GROUP BY 1, 2)"
+
+
+def sector_days(spark, sf):
+    c = fx.closes(spark, sf).join(fx.sectors(spark, sf), "symbol")
+    c = c.withColumn("ret", F.col("close") / F.lag("close").over(W.partitionBy("symbol").orderBy("day")) - 1).where("ret is not null")
+    return c.groupBy("sector", "day").agg(F.avg("ret").alias("ret"), F.avg((F.col("ret") > 0).cast("int")).alias("breadth"))
+
+
+@query("a18_sector_breadth", "closes sectors", f"{SECT} SELECT sector, day::VARCHAR AS day, round(ret, 6) AS ret, round(breadth, 6) AS breadth FROM sd")
+def _(spark, sf):
+    return sector_days(spark, sf).select("sector", day(), r("ret"), r("breadth"))
+
+
+@query("f26_sector_leadership", "closes sectors", f"{SECT}, w AS (SELECT sector, day, count(*) OVER q AS n, exp(sum(ln(1 + ret)) OVER q) - 1 AS r5, avg(breadth) OVER q AS b5 FROM sd WINDOW q AS (PARTITION BY sector ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT sector, day::VARCHAR AS day, round(r5, 6) AS ret_5, round(b5, 6) AS breadth_5 FROM w WHERE n = 5")
+def _(spark, sf):
+    w = W.partitionBy("sector").orderBy("day").rowsBetween(-4, 0)
+    s = sector_days(spark, sf).select("sector", "day", F.count("*").over(w).alias("n"), (F.exp(F.sum(F.log(1 + F.col("ret"))).over(w)) - 1).alias("ret_5"), F.avg("breadth").over(w).alias("breadth_5"))
+    return s.where("n = 5").select("sector", day(), r("ret_5"), r("breadth_5"))
+
+
+@query("g25_leadership_fold", "closes sectors", None)
+def g25(spark, sf):
+    rule = sg.Leadership()
+    return scan.fold(sector_days(spark, sf), "sector", ["day"], lambda s, x: (rule.step(s, x.ret, x.breadth),), "sector string, day date, ret double, breadth double, leads boolean")
+
+
+@query("g26_overlay_rule", "closes sectors", None)
+def g26(spark, sf):
+    rows = sector_days(spark, sf).groupBy("day").agg(F.max("ret").alias("lead"), F.greatest(F.lit(0.0), -F.min("ret")).alias("drawdown")).select(F.lit("run").alias("run_id"), "day", "lead", "drawdown")
+    rule = sg.OverlayRule()
+    return scan.fold(rows, "run_id", ["day"], lambda s, x: rule.step(s, x.lead, x.drawdown), "run_id string, day date, lead double, drawdown double, mode string, scale double")
+
+
+@query("g28_f25_exposure_gate", "equity", "+ w AS (SELECT day, equity / first_value(equity) OVER q - 1 AS ret, (max(equity) OVER q - equity) / max(equity) OVER q AS dd, count(*) OVER q AS n FROM equity WINDOW q AS (ORDER BY day ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) SELECT day::VARCHAR AS day, round(ret, 8) AS ret, round(dd, 8) AS drawdown, CASE WHEN n < 21 THEN 1.0 WHEN round(ret, 8) < 0 OR round(dd, 8) > 0.05 THEN 0.0 ELSE 1.0 END AS scale FROM w")
+def _(spark, sf):
+    from ..operators.book import exposure_gate
+
+    return exposure_gate(fx.equity(spark, sf)).select(day(), r("ret", 8), r("drawdown", 8), "scale")

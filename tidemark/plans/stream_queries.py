@@ -1 +1,92 @@
-"""Queries."""
+"""Streams over the events, drained to their end, and the file sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import signals as sg
+from ..operators import tables as op
+from ..sources import bars_io
+from ..sources.shared import written
+from ..streaming import streams as st
+from . import fixtures as fx
+from .feature_queries import seeded
+from .registry import query
+from .table_queries import day, r, secs
+
+
+def ticks(spark, sf):
+    return st.read_ticks(spark, sf)
+
+
+@query("st01_ingest", "ticks", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) + 60 AS t FROM ticks WHERE value > 0")
+def _(spark, sf):
+    return st.drain(st.stamped(ticks(spark, sf)).select("event_id", "closed_at"), "st01").select("event_id", secs("closed_at"))
+
+
+@query("st02_once", "ticks", "SELECT symbol, CAST(floor(epoch(ts)) AS BIGINT) AS t, count(*) AS n FROM (SELECT DISTINCT symbol, ts FROM ticks WHERE value > 0) GROUP BY 1, 2")
+def _(spark, sf):
+    rows = st.drain(st.once(st.stamped(ticks(spark, sf), delay="400 days")).select("symbol", "ts"), "st02")
+    return rows.groupBy("symbol", secs()).agg(F.count("*").alias("n"))
+
+
+@query("st03_late_rows", "ticks", "SELECT event_id, coalesce(ts < max(ts) OVER w, false) AS late, coalesce(ts = max(ts) OVER w, false) AS repeated FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def _(spark, sf):
+    counter = st.LateCounter()
+    rows = ticks(spark, sf).select("symbol", "event_id", "ts")
+    out = st.fold_stream(rows, "symbol", "string", ["event_id"], lambda s, x: counter.step(s, x.ts), "symbol string, event_id long, ts timestamp, late boolean, repeated boolean")
+    return st.drain(out, "st03").select("event_id", "late", "repeated")
+
+
+WINDOW = "+ c AS (SELECT symbol, ts + INTERVAL 60 SECOND AS closed, ts, value FROM ticks WHERE value > 0), g AS (SELECT symbol, date_trunc('{n}', closed) AS start, count(*) AS n, avg(value) AS mean, max_by(value, ts) AS close FROM c GROUP BY 1, 2), m AS (SELECT max(closed) - INTERVAL 2 MINUTE AS mark FROM c)"
+
+
+@query("st04_windows", "ticks", WINDOW.format(n="hour") + " SELECT symbol, CAST(epoch(start) AS BIGINT) AS t, n, round(mean, 6) AS mean FROM g, m WHERE start + INTERVAL 1 HOUR <= mark")
+def _(spark, sf):
+    return st.drain(st.windowed(st.stamped(ticks(spark, sf)), "1 hour"), "st04").select("symbol", secs("start"), "n", r("mean"))
+
+
+@query("st05_daily_close", "ticks", WINDOW.format(n="day") + " SELECT symbol, CAST(start AS DATE)::VARCHAR AS day, round(close, 6) AS close FROM g, m WHERE start + INTERVAL 1 DAY <= mark")
+def _(spark, sf):
+    return st.drain(st.windowed(st.stamped(ticks(spark, sf)), "1 day"), "st05").select("symbol", F.to_date("start").cast("string").alias("day"), r("close"))
+
+
+@query("st07_ema", "ticks", f"+ v AS (SELECT symbol, event_id AS ts, value FROM ticks WHERE value > 0 AND event_id % 4 = 0) SELECT symbol, ts AS event_id, round(y, 6) AS ema FROM {seeded('value', 0.2, 'v')}")
+def _(spark, sf):
+    ema = st.Ema(0.2)
+    rows = ticks(spark, sf).where("event_id % 4 = 0").select("symbol", "event_id", "value")
+    out = st.fold_stream(rows, "symbol", "string", ["event_id"], lambda s, x: ema.step(s, x.value), "symbol string, event_id long, value double, ema double")
+    return st.drain(out, "st07").select("symbol", "event_id", r("ema"))
+
+
+@query("st08_st09_pair_machine", "ticks", None)
+def st09(spark, sf):
+    machine = sg.PairMachine()
+    rows = ticks(spark, sf).select("symbol", "event_id", F.log("value").alias("spread"))
+    out = st.fold_stream(rows, "symbol", "string", ["event_id"], lambda s, x: machine.step(s, x.spread), "symbol string, event_id long, spread double, z double, side int, event string, gain double")
+    return st.drain(out, "st09")
+
+
+@query("st11_st13_batches", "ticks", "SELECT symbol, count(*) AS n, round(sum(value), 4) AS total FROM ticks WHERE value > 0 GROUP BY 1")
+def _(spark, sf):
+    rows = st.drain_batches(ticks(spark, sf), "st11")
+    return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("s05_json_lines", "bars", "SELECT symbol, CAST(epoch(ts) AS BIGINT) AS t, round(close, 6) AS close FROM bars WHERE symbol <> 'view'")
+def _(spark, sf):
+    b = fx.bars(spark, sf).select("symbol", secs(), "close", "volume")
+    good, _ = bars_io.read_json_lines(spark, bars_io.write_json_lines(b, "view"))
+    return good.select("symbol", "t", r("close"))
+
+
+@query("s07_write_bars", "bars", "SELECT symbol, CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n, round(sum(close), 5) AS total FROM bars WHERE CAST(ts AS DATE) = DATE '2024-01-09' GROUP BY 1, 2")
+def _(spark, sf):
+    b = written(fx.bars(spark, sf).withColumn("day", F.to_date("ts")), "bars", ["day"])
+    return b.where("day = '2024-01-09'").groupBy("symbol", day()).agg(F.count("*").alias("n"), F.round(F.sum("close"), 5).alias("total"))
+
+
+@query("s11_audit_tables", "bars", "SELECT symbol, count(*) AS n, count_if(close > open) AS up FROM bars GROUP BY 1")
+def _(spark, sf):
+    b, d = bars_io.audit_tables(fx.bars(spark, sf).select("symbol", "ts", "close", (F.col("close") > F.col("open")).alias("up")))
+    return b.join(d, "bar_id").groupBy("symbol").agg(F.count("*").alias("n"), F.count_if("up").alias("up"))
