@@ -23,7 +23,7 @@ KINDS = ("assign", "access", "hex", "crf")
 
 OUT, BEGIN, INSIDE = 0, 1, 2
 BITS = 15  # of a hashed feature
-SAMPLE = 1500  # documents with a base secret to learn from, about, and half as many others
+SAMPLE = 800  # documents with a base secret to learn from, about, and half as many others
 SAMPLE_CHARS = 20_000  # of a document to learn from
 U = np.uint64
 
@@ -137,7 +137,7 @@ class Field:
         return tags
 
 
-def train(found: np.ndarray, tags: np.ndarray, line: np.ndarray, rounds: int = 60, rate: float = 0.15, decay: float = 1e-4) -> Field:
+def train(found: np.ndarray, tags: np.ndarray, line: np.ndarray, rounds: int = 40, rate: float = 0.15, decay: float = 1e-4) -> Field:
     """Adam on the conditional log-likelihood of the lines' tags, by forward and backward sums over all lines at once."""
     first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
     size = np.diff(np.append(first, len(line)))
@@ -198,26 +198,30 @@ def learn(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Field | No
         return None
     share = F.when(F.col("has"), F.lit(min(1.0, SAMPLE / counts[True]))).otherwise(F.lit(min(1.0, SAMPLE / 2 / max(1, counts.get(False, 0)))))
     picked = marked.where(F.pmod(F.xxhash64("id", F.lit("secrets")), F.lit(1_000_003)) / 1_000_003 < share)
-    texts = [r["text"] for r in sorted(picked.select("id", "text").limit(4 * SAMPLE).collect())]
-    w = words.split_words(pa.array(texts, pa.string()))
-    if not len(w.start):
+    texts = pa.record_batch({"text": pa.array([r["text"] for r in sorted(picked.select("id", "text").limit(4 * SAMPLE).collect())], pa.string())})
+    parts, lines = [], 0
+    for part in words.chunks(texts, "text", words.CHUNK_BYTES // 2):
+        w = words.split_words(part.column("text"))
+        if not len(w.start):
+            continue
+        found, line = features(w)
+        heads = _heads(w)
+        tags = np.zeros(len(line), np.int64)
+        for row, t in enumerate(part.column("text").to_pylist()):
+            at = slice(w.first[row], w.first[row + 1])
+            start, end = heads[w.start[at]] - heads[w.offsets[row]], heads[w.end[at]] - heads[w.offsets[row]]
+            for a, b, _ in base_spans(t):
+                i, j = np.searchsorted(end, a, "right"), np.searchsorted(start, b, "left")
+                tags[w.first[row] + i : w.first[row] + j] = INSIDE
+                tags[w.first[row] + i] = BEGIN
+        # every line with a secret, and every eighth of the others
+        pick = np.isin(line, np.unique(line[tags > 0])) | (words.mix(line.astype(U)) % U(8) == 0)
+        parts.append((found[pick], tags[pick], line[pick] + lines))
+        lines += int(line[-1]) + 1
+    if not parts:
         return None
-    found, line = features(w)
-    heads = _heads(w)
-    tags = np.zeros(len(line), np.int64)
-    for row, t in enumerate(texts):
-        at = slice(w.first[row], w.first[row + 1])
-        start, end = heads[w.start[at]] - heads[w.offsets[row]], heads[w.end[at]] - heads[w.offsets[row]]
-        for a, b, _ in base_spans(t):
-            i, j = np.searchsorted(end, a, "right"), np.searchsorted(start, b, "left")
-            tags[w.first[row] + i : w.first[row] + j] = INSIDE
-            tags[w.first[row] + i] = BEGIN
-    # every line with a secret, and every eighth of the others
-    marked_lines = np.unique(line[tags > 0])
-    if not len(marked_lines):
-        return None
-    pick = np.isin(line, marked_lines) | (words.mix(line.astype(U)) % U(8) == 0)
-    return train(found[pick], tags[pick], line[pick])
+    found, tags, line = (np.concatenate(x) for x in zip(*parts))
+    return train(found, tags, line) if tags.any() else None
 
 
 def scan(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
