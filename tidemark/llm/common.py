@@ -65,23 +65,21 @@ def shared(members: DataFrame) -> DataFrame:
     return members.join(many, "bucket", "left_semi")
 
 
-def supported(items: DataFrame, threshold: float) -> DataFrame:
-    """Of sets given by their items (id, item), the ids of those that can reach a Jaccard similarity with another.
-
-    Two such sets share at least that part of each; a set of which fewer items stand in any other set has no partner.
-    """
+def support(items: DataFrame) -> DataFrame:
+    """Of sets given by their items (id, item): (id, k, n), n being the set's size and k how many items stand in another set too."""
     known = items.groupBy("item").agg(F.count("*").alias("n")).select("item", (F.col("n") > 1).cast("int").alias("known"))
-    return items.join(known, "item").groupBy("id").agg(F.sum("known").alias("k"), F.count("*").alias("n")).where(F.col("k") >= F.col("n") * threshold).select("id")
+    return items.join(known, "item").groupBy("id").agg(F.sum("known").alias("k"), F.count("*").alias("n"))
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame] | None = None, alike=None, stars: int = 3) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 1.0, stars: int = 3) -> DataFrame:
     """Components (id, component) of the verified links between members (bucket, id, ...) that share a bucket.
 
     Never all pairs of a bucket: in each of ``stars`` rounds the components that a bucket holds are each compared with one
     member of the bucket's first component, and what is verified is merged. What then still shares a bucket without being
-    in one component is compared pair by pair, so that no verified link between two components can be missed; by then
-    copies of one another have merged, ``possible`` takes ids and leaves out those that no link among them can have, and
-    ``alike(x, y)`` is a condition on the other columns that every link meets.
+    in one component is compared pair by pair, so that no verified link between two components can be missed. By then
+    copies of one another have merged. Where links are Jaccard similarities of a threshold at least, ``items`` gives the
+    sets' items (id, item) for a table of ids, and two bounds leave out what cannot link: sizes differ too much, or fewer
+    of a set's items stand in any other set than the smallest set of its bucket would need.
     ``verify`` takes distinct pairs (a, b), a < b, and returns those that are links.
     """
     spark = members.sparkSession
@@ -104,12 +102,17 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], p
             if turn == 0:  # one comparison a member to begin with
                 found = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         else:
-            if possible is not None:
-                placed = placed.join(cut(possible(placed.select("id").distinct())), "id", "left_semi")
             x, y = placed.alias("x"), placed.alias("y")
             on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))
-            if alike is not None:
-                on = on & alike("x", "y")
+            if items is not None:
+                sized = cut(support(items(placed.select("id").distinct())))
+                placed = placed.select("bucket", "id", "component").join(sized, "id")
+                for _ in range(2):
+                    least = placed.groupBy("bucket").agg(F.min("n").alias("least"), F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
+                    need = (F.col("n") + F.greatest("least", F.col("n") * threshold)) * (threshold / (1 + threshold))
+                    placed = cut(placed.join(least, "bucket").where(F.col("k") >= need - 1e-6).select("bucket", "id", "component", "k", "n"))
+                x, y = placed.alias("x"), placed.alias("y")
+                on = on & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
             found = x.join(y, on).select(*pairs_of(F.col("x.id"), F.col("y.id")))
         found = found.distinct()
         found = cut(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))

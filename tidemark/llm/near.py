@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import bounded_batches, cut, link_buckets, shared, supported
+from .common import bounded_batches, cut, link_buckets, shared
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -181,10 +181,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", thr
     members = cut(shared(single.select("id", F.explode("bands").alias("bucket"))))
     near = cut(members.select("id").distinct())
     texts = cut(docs.join(near, "id", "left_semi").dropDuplicates(["id"]))
-    members = members.join(single.select("id", "n"), "id")
-    alike = lambda x, y: F.least(f"{x}.n", f"{y}.n") >= threshold * F.greatest(f"{x}.n", f"{y}.n")
-    possible = lambda ids: supported(shingle_rows(texts.join(ids, "id", "left_semi")), threshold)
-    groups = link_buckets(members, lambda p: similar_pairs(p, texts, threshold), possible, alike)
+    items = lambda ids: shingle_rows(texts.join(ids, "id", "left_semi"))
+    groups = link_buckets(members, lambda p: similar_pairs(p, texts, threshold), items, threshold)
     found = copies.join(groups.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("component", "head").alias("class"))
     found = found.unionAll(groups.select("id", F.col("component").alias("class"))).groupBy("id").agg(F.min("class").alias("class"))
     return docs.select("id").distinct().join(found, "id", "left").select(F.col("id"), F.coalesce("class", "id").alias("class"))
