@@ -187,7 +187,7 @@ def r05(spark, sf):
     return rp.probabilistic_sharpe(t, ["pair_id", "y"], best).withColumn("benchmark", F.lit(best))
 
 
-@query("a15_capital_metrics", "trades", "SELECT pair_id, round(sum(pnl) / avg(2 * capital_per_leg), 6) AS roec, round(greatest(0, least(1, sum(2 * capital_per_leg * hold_days) / sum(hold_days) / 1e6)), 6) AS utilisation, round(sum(pnl) / 1e6, 6) AS rocc, round(avg(pnl / (2 * capital_per_leg)), 6) AS per_trade, round(sum(pnl) / sum(2 * capital_per_leg * hold_days), 8) AS per_dollar_day FROM trades GROUP BY 1")
+@query("a15_capital_metrics", "trades", "SELECT pair_id, round(sum(pnl) / avg(2 * capital_per_leg), 6) + 0.0 AS roec, round(greatest(0, least(1, sum(2 * capital_per_leg * hold_days) / sum(hold_days) / 1e6)), 6) AS utilisation, round(sum(pnl) / 1e6, 6) + 0.0 AS rocc, round(avg(pnl / (2 * capital_per_leg)), 6) AS per_trade, round(sum(pnl) / sum(2 * capital_per_leg * hold_days), 8) + 0.0 AS per_dollar_day FROM trades GROUP BY 1")
 def _(spark, sf):
     return rp.capital_metrics(fx.trades(spark, sf), ["pair_id"], 1e6).select("pair_id", r("roec"), r("utilisation"), r("rocc"), r("per_trade"), r("per_dollar_day", 8))
 
@@ -216,7 +216,7 @@ def _(spark, sf):
     return g.select(F.coalesce("sector", F.lit("ALL")).alias("sector"), F.coalesce("role", F.lit("ALL")).alias("role"), r("pnl", 3), "n")
 
 
-@query("a27_cap_pressure", BV, f"{ADMIT}, d AS (SELECT day, count(*) AS active, count_if(place > {MOST}) AS excluded FROM a GROUP BY 1) SELECT round(avg(active), 6) AS mean_active, max(active) AS max_active, round(avg(excluded), 6) AS mean_excluded, max(excluded) AS max_excluded FROM d")
+@query("a27_cap_pressure", BV, f"{ADMIT}, d AS (SELECT day, count(*) AS active, count(*) FILTER (WHERE place > {MOST}) AS excluded FROM a GROUP BY 1) SELECT round(avg(active), 6) AS mean_active, max(active) AS max_active, round(avg(excluded), 6) AS mean_excluded, max(excluded) AS max_excluded FROM d")
 def _(spark, sf):
     d = admitted(spark, sf).groupBy("day").agg(F.count("*").alias("active"), F.count_if(~F.col("admitted")).alias("excluded"))
     return d.agg(F.round(F.avg("active"), 6).alias("mean_active"), F.max("active").alias("max_active"), F.round(F.avg("excluded"), 6).alias("mean_excluded"), F.max("excluded").alias("max_excluded"))

@@ -89,7 +89,7 @@ def _(spark, sf):
 SV = "OVER (PARTITION BY symbol, d ORDER BY ts ROWS UNBOUNDED PRECEDING)"
 
 
-@query("f13_session_vwap", "bars", f"+ b AS (SELECT *, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS d FROM bars), x AS (SELECT *, sum((high + low + close) / 3 * volume) {SV} / sum(volume) {SV} AS v, count(*) {SV} AS n FROM b), y AS (SELECT *, close - v AS dev FROM x), z AS (SELECT *, stddev_pop(dev) {win(32)} AS s FROM y) SELECT {T}, round(v, 6) AS vwap_s, round(dev, 6) AS vwap_dev, round(CASE WHEN s <= 1e-10 THEN 0 ELSE dev / s END, 5) AS vwap_z, n AS session_bars, n >= 10 AS vwap_ready FROM z")
+@query("f13_session_vwap", "bars", f"+ b AS (SELECT *, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS d FROM bars), x AS (SELECT *, sum((high + low + close) / 3 * volume) {SV} / sum(volume) {SV} AS v, count(*) {SV} AS n FROM b), y AS (SELECT *, close - v AS dev FROM x), z AS (SELECT *, stddev_pop(dev) {win(32)} AS s FROM y) SELECT {T}, round(v, 6) AS vwap_s, round(dev, 6) + 0.0 AS vwap_dev, round(CASE WHEN s <= 1e-10 THEN 0 ELSE dev / s END, 5) + 0.0 AS vwap_z, n AS session_bars, n >= 10 AS vwap_ready FROM z")
 def _(spark, sf):
     return ft.with_vwap(fx.bars(spark, sf), cal.trading_day(F.col("ts"))).select("symbol", secs(), r("vwap_s"), r("vwap_dev"), r("vwap_z", 5), "session_bars", "vwap_ready")
 

@@ -46,7 +46,7 @@ def _(spark, sf):
     return lg.held_position(b.select(F.col("symbol").alias("target")), b.select("symbol", F.col("current_shares").alias("shares"))).select("target", "position")
 
 
-@query("a13_experiment_metrics", "trades", "+ x AS (SELECT *, sum(pnl) OVER (PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS UNBOUNDED PRECEDING) AS run FROM trades), y AS (SELECT *, greatest(0, max(run) OVER (PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS UNBOUNDED PRECEDING)) - run AS dd FROM x) SELECT pair_id, count(*) AS n, round(100.0 * count_if(pnl > 0) / count(*), 6) AS win_pct, round(max(dd), 2) AS max_drawdown, count_if(exit_reason = 'F') AS n_f, count_if(exit_reason = 'O') AS n_o FROM y GROUP BY 1")
+@query("a13_experiment_metrics", "trades", "+ x AS (SELECT *, sum(pnl) OVER (PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS UNBOUNDED PRECEDING) AS run FROM trades), y AS (SELECT *, greatest(0, max(run) OVER (PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS UNBOUNDED PRECEDING)) - run AS dd FROM x) SELECT pair_id, count(*) AS n, round(100.0 * count(*) FILTER (WHERE pnl > 0) / count(*), 6) AS win_pct, round(max(dd), 2) AS max_drawdown, count(*) FILTER (WHERE exit_reason = 'F') AS n_f, count(*) FILTER (WHERE exit_reason = 'O') AS n_o FROM y GROUP BY 1")
 def _(spark, sf):
     t = ft.with_drawdown(fx.trades(spark, sf), "pnl", ["pair_id"], ["exit_day", "trade_id"])
     return t.groupBy("pair_id").agg(F.count("*").alias("n"), F.round(100.0 * F.count_if(F.col("pnl") > 0) / F.count("*"), 6).alias("win_pct"), F.round(F.max("drawdown"), 2).alias("max_drawdown"), F.count_if(F.col("exit_reason") == "F").alias("n_f"), F.count_if(F.col("exit_reason") == "O").alias("n_o"))
@@ -64,7 +64,7 @@ def a21(spark, sf):
     return lg.distribution(fx.ticks(spark, sf), ["symbol"], "value")
 
 
-@query("a25_baseline_comparison", "trades", "+ s AS (SELECT pair_id, count(*) AS n, count_if(pnl > 0) AS wins FROM trades GROUP BY 1), b AS (SELECT pair_id, count(*) AS n0 FROM trades WHERE trade_id % 2 = 0 GROUP BY 1) SELECT pair_id, n, n0, n = n0 AS matched FROM s JOIN b USING (pair_id)")
+@query("a25_baseline_comparison", "trades", "+ s AS (SELECT pair_id, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS wins FROM trades GROUP BY 1), b AS (SELECT pair_id, count(*) AS n0 FROM trades WHERE trade_id % 2 = 0 GROUP BY 1) SELECT pair_id, n, n0, n = n0 AS matched FROM s JOIN b USING (pair_id)")
 def _(spark, sf):
     t = fx.trades(spark, sf)
     now = rp.trade_statistics(t, "pair_id").select("pair_id", "n")
@@ -72,7 +72,7 @@ def _(spark, sf):
     return now.join(base, "pair_id").withColumn("matched", F.col("n") == F.col("n0"))
 
 
-@query("t13_profiles", V, f"{ROWS}, {TLS}, c(profile, least) AS (VALUES ('strict', 120), ('loose', 60)) SELECT profile, count(*) AS n, count_if(n >= least) AS enough FROM f, c GROUP BY 1")
+@query("t13_profiles", V, f"{ROWS}, {TLS}, c(profile, least) AS (VALUES ('strict', 120), ('loose', 60)) SELECT profile, count(*) AS n, count(*) FILTER (WHERE n >= least) AS enough FROM f, c GROUP BY 1")
 def _(spark, sf):
     profiles = spark.createDataFrame([("strict", 120), ("loose", 60)], "profile string, least int")
     f = stats.tls(pair_rows(spark, sf), BY, "x", "y").join(F.broadcast(profiles))
@@ -114,7 +114,7 @@ def _(spark, sf):
     return g.select(day(), F.round(lg.sleeve_scale(F.col("gross"), F.lit(15000.0), 40000.0), 6).alias("scale"))
 
 
-@query("p15_symbol_support", BV, f"{LEGS} SELECT day::VARCHAR AS day, symbol, count_if(notional > 0) AS long, count_if(notional < 0) AS short, count_if(symbol = target) AS as_target, count_if(symbol <> target) AS as_peer FROM lg GROUP BY 1, 2")
+@query("p15_symbol_support", BV, f"{LEGS} SELECT day::VARCHAR AS day, symbol, count(*) FILTER (WHERE notional > 0) AS long, count(*) FILTER (WHERE notional < 0) AS short, count(*) FILTER (WHERE symbol = target) AS as_target, count(*) FILTER (WHERE symbol <> target) AS as_peer FROM lg GROUP BY 1, 2")
 def _(spark, sf):
     return lg.symbol_support(legs(spark, sf), ["day"]).select(day(), "symbol", "long", "short", "as_target", "as_peer")
 
@@ -176,7 +176,7 @@ def _(spark, sf):
     return fx.books(spark, sf).join(last, "symbol").select("symbol", F.round(F.col("current_shares") * (F.col("close") - F.col("average")), 4).alias("pnl"))
 
 
-@query("p30_settled", "books sectors", "SELECT sector, count_if(round(abs(target_shares - current_shares)) > 0) = 0 AS settled FROM books JOIN sectors USING (symbol) GROUP BY 1")
+@query("p30_settled", "books sectors", "SELECT sector, count(*) FILTER (WHERE round(abs(target_shares - current_shares)) > 0) = 0 AS settled FROM books JOIN sectors USING (symbol) GROUP BY 1")
 def _(spark, sf):
     return lg.settled(fx.books(spark, sf).join(fx.sectors(spark, sf), "symbol"), ["sector"])
 

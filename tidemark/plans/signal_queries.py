@@ -188,7 +188,7 @@ def _(spark, sf):
     return sg.transitions(basket_positions(spark, sf), ["target"], ["day"]).select("target", day(), "position", "reason")
 
 
-@query("g24_day_summary", BV, f"{ZS}, t AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY target ORDER BY day), 0) AS b FROM pos) SELECT day::VARCHAR AS day, count(*) AS evaluated, count_if(abs(z) > 0.75 * k) AS near, count_if(position <> b) AS changed FROM t GROUP BY 1")
+@query("g24_day_summary", BV, f"{ZS}, t AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY target ORDER BY day), 0) AS b FROM pos) SELECT day::VARCHAR AS day, count(*) AS evaluated, count(*) FILTER (WHERE abs(z) > 0.75 * k) AS near, count(*) FILTER (WHERE position <> b) AS changed FROM t GROUP BY 1")
 def _(spark, sf):
     p = basket_positions(spark, sf)
     return sg.day_summary(p, sg.transitions(p, ["target"], ["day"])).select(day(), "evaluated", "near", "changed")
@@ -228,7 +228,7 @@ def g26(spark, sf):
     return scan.fold(rows, "run_id", ["day"], lambda s, x: rule.step(s, x.lead, x.drawdown), "run_id string, day date, lead double, drawdown double, mode string, scale double")
 
 
-@query("g28_f25_exposure_gate", "equity", "+ w AS (SELECT day, equity / first_value(equity) OVER q - 1 AS ret, (max(equity) OVER q - equity) / max(equity) OVER q AS dd, count(*) OVER q AS n FROM equity WINDOW q AS (ORDER BY day ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) SELECT day::VARCHAR AS day, round(ret, 8) AS ret, round(dd, 8) AS drawdown, CASE WHEN n < 21 THEN 1.0 WHEN round(ret, 8) < 0 OR round(dd, 8) > 0.05 THEN 0.0 ELSE 1.0 END AS scale FROM w")
+@query("g28_f25_exposure_gate", "equity", "+ w AS (SELECT day, equity / first_value(equity) OVER q - 1 AS ret, (max(equity) OVER q - equity) / max(equity) OVER q AS dd, count(*) OVER q AS n FROM equity WINDOW q AS (ORDER BY day ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) SELECT day::VARCHAR AS day, round(ret, 8) AS ret, round(dd, 8) AS drawdown, CASE WHEN n < 21 THEN 1.0 WHEN round(ret, 8) < 0 OR round(dd, 8) > 0.05 THEN 0.0 ELSE 1.0 END::DOUBLE AS scale FROM w")
 def _(spark, sf):
     from ..operators.book import exposure_gate
 

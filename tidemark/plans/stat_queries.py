@@ -62,7 +62,7 @@ def _(spark, sf):
     return out.select(*BY, "n", r("phi", 5), F.when(F.col("phi") > 0.02, F.round("half_life", 3)).alias("half_life"))
 
 
-@query("t08_crossings", V, f"{SPREAD}, d AS (SELECT *, spread - avg(spread) OVER (PARTITION BY leg_a, leg_b) AS d FROM s), c AS (SELECT leg_a, leg_b, d * lag(d) OVER (PARTITION BY leg_a, leg_b ORDER BY k) < 0 AS x FROM d) SELECT leg_a, leg_b, round(CASE WHEN count(*) > 20 THEN count_if(x) * 252 / count(*) END, 6) AS crossings FROM c GROUP BY 1, 2")
+@query("t08_crossings", V, f"{SPREAD}, d AS (SELECT *, spread - avg(spread) OVER (PARTITION BY leg_a, leg_b) AS d FROM s), c AS (SELECT leg_a, leg_b, d * lag(d) OVER (PARTITION BY leg_a, leg_b ORDER BY k) < 0 AS x FROM d) SELECT leg_a, leg_b, round(CASE WHEN count(*) > 20 THEN count(*) FILTER (WHERE x) * 252 / count(*) END, 6) AS crossings FROM c GROUP BY 1, 2")
 def _(spark, sf):
     return stats.crossings(spreads(spark, sf), BY, "k", "spread").select(*BY, r("crossings"))
 

@@ -86,7 +86,7 @@ def _(spark, sf):
     return b.where("day = '2024-01-09'").groupBy("symbol", day()).agg(F.count("*").alias("n"), F.round(F.sum("close"), 5).alias("total"))
 
 
-@query("s11_audit_tables", "bars", "SELECT symbol, count(*) AS n, count_if(close > open) AS up FROM bars GROUP BY 1")
+@query("s11_audit_tables", "bars", "SELECT symbol, count(*) AS n, count(*) FILTER (WHERE close > open) AS up FROM bars GROUP BY 1")
 def _(spark, sf):
     b, d = bars_io.audit_tables(fx.bars(spark, sf).select("symbol", "ts", "close", (F.col("close") > F.col("open")).alias("up")))
     return b.join(d, "bar_id").groupBy("symbol").agg(F.count("*").alias("n"), F.count_if("up").alias("up"))

@@ -20,7 +20,8 @@ def day(c="day"):
 
 
 def r(c, n=6, name=None):
-    return F.round(c, n).alias(name or c)
+    # a zero has no sign, here or in the SQL
+    return (F.round(c, n) + F.lit(0.0)).alias(name or c)
 
 
 SCAN = "SELECT symbol, CAST(epoch(ts) AS BIGINT) AS t, round(close, 6) AS close FROM bars WHERE symbol IN ('click', 'view', 'purchase') AND CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12' AND close > 0"
@@ -116,7 +117,7 @@ def _(spark, sf):
 
 
 @query("q01_validate_bars", "", """WITH x AS (SELECT *, lag(ts) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM events)
-SELECT event_type AS symbol, count(*) AS n, 0 AS n_shape, count_if(value <= 0) AS n_price, count_if(user_id = 0) AS n_no_volume, count_if(ts < before) AS n_backwards, count_if(ts = before) AS n_repeated, round(100.0 * count_if(user_id = 0) / count(*), 6) AS no_volume_pct, count_if(value <= 0) > 0 OR count_if(ts < before) > 0 AS critical FROM x GROUP BY 1""")
+SELECT event_type AS symbol, count(*) AS n, 0 AS n_shape, count(*) FILTER (WHERE value <= 0) AS n_price, count(*) FILTER (WHERE user_id = 0) AS n_no_volume, count(*) FILTER (WHERE ts < before) AS n_backwards, count(*) FILTER (WHERE ts = before) AS n_repeated, round(100.0 * count(*) FILTER (WHERE user_id = 0) / count(*), 6) AS no_volume_pct, count(*) FILTER (WHERE value <= 0) > 0 OR count(*) FILTER (WHERE ts < before) > 0 AS critical FROM x GROUP BY 1""")
 def _(spark, sf):
     t = fx.ticks(spark, sf).select("event_id", "symbol", "ts", *(F.col("value").alias(c) for c in ("open", "high", "low", "close")), F.col("user_id").alias("volume"))
     return op.validate_bars(t, "event_id").withColumn("no_volume_pct", F.round("no_volume_pct", 6)).withColumn("n_shape", F.col("n_shape").cast("int"))
@@ -159,13 +160,13 @@ def _(spark, sf):
     return d.select(day(), F.unix_timestamp(cal.session_open(F.col("day"))).alias("opens"), F.unix_timestamp(cal.session_close(F.col("day"))).alias("closes"))
 
 
-@query("q10_stale_filter", "ticks", "SELECT symbol, count_if(CAST(floor(epoch(TIMESTAMP '2024-01-15')) AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) > 86400) AS n_stale, count(*) AS n FROM ticks GROUP BY 1")
+@query("q10_stale_filter", "ticks", "SELECT symbol, count(*) FILTER (WHERE CAST(floor(epoch(TIMESTAMP '2024-01-15')) AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) > 86400) AS n_stale, count(*) AS n FROM ticks GROUP BY 1")
 def _(spark, sf):
     old = op.stale(None, F.lit("2024-01-15").cast("timestamp"), 86400)
     return fx.ticks(spark, sf).groupBy("symbol").agg(F.count_if(old).alias("n_stale"), F.count("*").alias("n"))
 
 
-@query("q11_overrides", "sectors", "SELECT symbol, sector, coalesce(CASE symbol WHEN 'Brand#11' THEN 1.5 WHEN 'Brand#22' THEN 2.5 END, CASE sector WHEN 'S1' THEN 3.0 END, 9.0) AS limit_ FROM sectors")
+@query("q11_overrides", "sectors", "SELECT symbol, sector, coalesce(CASE symbol WHEN 'Brand#11' THEN 1.5 WHEN 'Brand#22' THEN 2.5 END, CASE sector WHEN 'S1' THEN 3.0 END, 9.0)::DOUBLE AS limit_ FROM sectors")
 def _(spark, sf):
     own = spark.createDataFrame([("Brand#11", 1.5), ("Brand#22", 2.5)], "symbol string, limit_ double")
     kind = spark.createDataFrame([("S1", 3.0)], "sector string, limit_ double")
@@ -273,19 +274,19 @@ def _(spark, sf):
     return fx.bars(spark, sf).groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("a12_trade_statistics", "trades", """SELECT pair_id, count(*) AS n, count_if(pnl > 0) AS wins, round(count_if(pnl > 0) / count(*), 6) AS win_rate, round(sum(pnl), 2) AS total, round(avg(pnl) FILTER (pnl > 0), 4) AS avg_win, round(avg(pnl) FILTER (pnl <= 0), 4) AS avg_loss, round(sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl <= 0), 6) AS profit_factor, round(avg(pnl), 4) AS expectancy, round(avg(pnl) / stddev_samp(pnl), 6) AS sharpe FROM trades GROUP BY 1""")
+@query("a12_trade_statistics", "trades", """SELECT pair_id, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS wins, round(count(*) FILTER (WHERE pnl > 0) / count(*), 6) AS win_rate, round(sum(pnl), 2) + 0.0 AS total, round(avg(pnl) FILTER (pnl > 0), 4) AS avg_win, round(avg(pnl) FILTER (pnl <= 0), 4) AS avg_loss, round(sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl <= 0), 6) AS profit_factor, round(avg(pnl), 4) + 0.0 AS expectancy, round(avg(pnl) / stddev_samp(pnl), 6) + 0.0 AS sharpe FROM trades GROUP BY 1""")
 def _(spark, sf):
     from ..operators.reports import trade_statistics
 
     return trade_statistics(fx.trades(spark, sf), "pair_id").select("pair_id", "n", "wins", r("win_rate"), r("total", 2), r("avg_win", 4), r("avg_loss", 4), r("profit_factor"), r("expectancy", 4), r("sharpe"))
 
 
-@query("a14_pnl_rollup", "trades", "SELECT coalesce(pair_id, 'ALL') AS pair_id, coalesce(exit_day::VARCHAR, 'ALL') AS exit_day, round(sum(pnl), 2) AS pnl, count(*) AS n, count_if(pnl > 0) AS wins, round(count_if(pnl > 0) / count(*), 6) AS win_rate FROM trades GROUP BY ROLLUP (pair_id, exit_day)")
+@query("a14_pnl_rollup", "trades", "SELECT coalesce(pair_id, 'ALL') AS pair_id, coalesce(exit_day::VARCHAR, 'ALL') AS exit_day, round(sum(pnl), 2) + 0.0 AS pnl, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS wins, round(count(*) FILTER (WHERE pnl > 0) / count(*), 6) AS win_rate FROM trades GROUP BY ROLLUP (pair_id, exit_day)")
 def _(spark, sf):
     return op.rollup_all(fx.trades(spark, sf)).select("pair_id", "exit_day", r("pnl", 2), "n", "wins", r("win_rate"))
 
 
-@query("a20_feed_counters", "ticks", "+ x AS (SELECT *, max(ts) OVER (PARTITION BY symbol ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM ticks) SELECT symbol, count(*) AS n, count_if(value <= 0) AS n_invalid, count_if(ts < newest) AS n_late, count_if(ts = newest) AS n_repeated, CAST(floor(epoch(max(ts))) AS BIGINT) AS last FROM x GROUP BY 1")
+@query("a20_feed_counters", "ticks", "+ x AS (SELECT *, max(ts) OVER (PARTITION BY symbol ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM ticks) SELECT symbol, count(*) AS n, count(*) FILTER (WHERE value <= 0) AS n_invalid, count(*) FILTER (WHERE ts < newest) AS n_late, count(*) FILTER (WHERE ts = newest) AS n_repeated, CAST(floor(epoch(max(ts))) AS BIGINT) AS last FROM x GROUP BY 1")
 def _(spark, sf):
     return op.stream_counters(fx.ticks(spark, sf), "event_id").withColumn("last", F.unix_timestamp("last"))
 
