@@ -195,9 +195,9 @@ def _(spark, sf):
 KW = "(PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS UNBOUNDED PRECEDING)"
 
 
-@query("a16_kelly", "trades", f"+ x AS (SELECT trade_id, 1 + count(CASE WHEN pnl > 0 THEN 1 END) OVER {KW} AS a, 1 + count(CASE WHEN pnl <= 0 THEN 1 END) OVER {KW} AS b, avg(CASE WHEN pnl > 0 THEN pnl END) OVER {KW} / avg(CASE WHEN pnl <= 0 THEN -pnl END) OVER {KW} AS payoff FROM trades), p AS (SELECT *, a / (a + b) AS p, sqrt((a / (a + b)) * (1 - a / (a + b)) / (a + b + 1)) AS sd FROM x) SELECT trade_id, round(p, 6) AS win_rate, round(greatest(0, least(0.25, coalesce(p - sd - (1 - p + sd) / payoff, 0))), 6) AS fraction FROM p")
+@query("a16_kelly", "trades", f"+ x AS (SELECT trade_id, 1 + count(CASE WHEN pnl > 0 THEN 1 END) OVER {KW} AS a, 1 + count(CASE WHEN pnl <= 0 THEN 1 END) OVER {KW} AS b, avg(CASE WHEN pnl > 0 THEN pnl END) OVER {KW} / avg(CASE WHEN pnl <= 0 THEN -pnl END) OVER {KW} AS payoff FROM trades), p AS (SELECT *, a / (a + b) AS p, sqrt((a / (a + b)) * (1 - a / (a + b)) / (a + b + 1)) AS sd FROM x) SELECT trade_id, round(p, 9) AS win_rate, round(greatest(0, least(0.25, coalesce(p - sd - (1 - p + sd) / payoff, 0))), 6) AS fraction FROM p")
 def _(spark, sf):
-    return rp.kelly(fx.trades(spark, sf), ["pair_id"], ["exit_day", "trade_id"]).select("trade_id", r("win_rate"), r("fraction"))
+    return rp.kelly(fx.trades(spark, sf), ["pair_id"], ["exit_day", "trade_id"]).select("trade_id", r("win_rate", 9), r("fraction"))
 
 
 @query("a23_worst_days", "equity", "SELECT day::VARCHAR AS day, round(pnl, 2) AS pnl FROM (SELECT day, equity - lag(equity) OVER (ORDER BY day) AS pnl FROM equity) WHERE pnl IS NOT NULL ORDER BY pnl, day LIMIT 10")

@@ -31,9 +31,9 @@ def _(spark, sf):
     return ft.with_returns(fx.bars(spark, sf)).select("symbol", secs(), r("return_1"), r("return_5"), r("return_20"), r("log_return"))
 
 
-@query("f03_f04_trend", "bars", f"SELECT {T}, round(avg(close) {win(32)}, 6) AS sma_20, round(avg(close) {win(64)}, 6) AS sma_50, close > avg(close) {win(64)} AS trend_up FROM bars")
+@query("f03_f04_trend", "bars", f"SELECT {T}, round(avg(close) {win(32)}, 9) AS sma_20, round(avg(close) {win(64)}, 9) AS sma_50, close > avg(close) {win(64)} AS trend_up FROM bars")
 def _(spark, sf):
-    return ft.with_trend(fx.bars(spark, sf)).select("symbol", secs(), r("sma_20"), r("sma_50"), "trend_up")
+    return ft.with_trend(fx.bars(spark, sf)).select("symbol", secs(), r("sma_20", 9), r("sma_50", 9), "trend_up")
 
 
 @query("f05_f06_ranges", "bars", f"+ x AS (SELECT *, {TR} AS tr FROM bars {WS}) SELECT {T}, round(tr, 6) AS true_range, round(avg(tr) {win(16)}, 6) AS atr, round(volume / avg(volume) {win(32)}, 6) AS relative_volume FROM x")
@@ -146,12 +146,12 @@ def _(spark, sf):
     return ft.with_warm_up(fx.bars(spark, sf), 64).select("symbol", secs(), "warmed_up")
 
 
-@query("f23_feature_pipeline", "bars", f"+ x AS (SELECT *, {ret(1)} AS r1, {TR} AS tr FROM bars {WS}) SELECT {T}, round(r1, 6) AS return_1, round(avg(close) {win(32)}, 6) AS sma_20, round(avg(tr) {win(16)}, 6) AS atr, round(stddev_pop(r1) {win(32)}, 6) AS return_std, round(avg(close) {win(32)} + 2 * stddev_pop(close) {win(32)}, 6) AS band_upper, round(max(high) {win(32)}, 6) AS channel_high, row_number() OVER w >= 64 AS warmed_up FROM x {WS}")
+@query("f23_feature_pipeline", "bars", f"+ x AS (SELECT *, {ret(1)} AS r1, {TR} AS tr FROM bars {WS}) SELECT {T}, round(r1, 6) AS return_1, round(avg(close) {win(32)}, 9) AS sma_20, round(avg(tr) {win(16)}, 9) AS atr, round(stddev_pop(r1) {win(32)}, 6) AS return_std, round(avg(close) {win(32)} + 2 * stddev_pop(close) {win(32)}, 6) AS band_upper, round(max(high) {win(32)}, 6) AS channel_high, row_number() OVER w >= 64 AS warmed_up FROM x {WS}")
 def _(spark, sf):
     rows = fx.bars(spark, sf)
     for add in (ft.with_returns, ft.with_trend, ft.with_ranges, ft.with_zscore, ft.with_bands, ft.with_channel):
         rows = add(rows)
-    return ft.with_warm_up(rows, 64).select("symbol", secs(), *(r(c) for c in ("return_1", "sma_20", "atr", "return_std", "band_upper", "channel_high")), "warmed_up")
+    return ft.with_warm_up(rows, 64).select("symbol", secs(), *(r(c, 9 if c in ("sma_20", "atr") else 6) for c in ("return_1", "sma_20", "atr", "return_std", "band_upper", "channel_high")), "warmed_up")
 
 
 @query("f24_dispersion", "bars", f"+ x AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN coalesce(lag(close) OVER w, 0) <= 0 THEN 0 ELSE ln(close / lag(close) OVER w) END AS lr FROM bars {WS}), y AS (SELECT day, count(*) AS n, stddev_samp(lr) AS s FROM x WHERE lr <> 0 GROUP BY 1 HAVING count(*) >= 5), z AS (SELECT *, list_sort(list(s) OVER (ORDER BY day ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) AS l FROM y) SELECT day::VARCHAR AS day, n, round(s, 6) AS dispersion, CASE WHEN len(l) >= 10 THEN s > l[1 + CAST(floor(len(l) * 3 / 4) AS INT)] ELSE false END AS high FROM z")

@@ -138,11 +138,11 @@ def day_orders(spark, sf):
     return fx.table(spark, sf, "orders").select(k.alias("order_id"), F.concat(F.lit("Brand#"), (11 + (k % 5) * 10 + k % 3).cast("string")).alias("symbol"), F.to_date("o_orderdate").alias("day"), F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"))
 
 
-@query("p22_next_open_fills", "closes", FILLS + " SELECT order_id, round(c.close * (1 + CASE side WHEN 'buy' THEN 5 ELSE -5 END / 1e4), 6) AS price FROM o ASOF JOIN closes c ON o.symbol = c.symbol AND o.day < c.day")
+@query("p22_next_open_fills", "closes", FILLS + " SELECT order_id, round(c.close * (1 + CASE side WHEN 'buy' THEN 5 ELSE -5 END / 1e4), 9) AS price FROM o ASOF JOIN closes c ON o.symbol = c.symbol AND o.day < c.day")
 def _(spark, sf):
     o = day_orders(spark, sf)
     f = op.next_after(o, fx.closes(spark, sf)).join(o.select("order_id", "side"), "order_id").where("price is not null")
-    return f.select("order_id", F.round(lg.fill_price(F.col("price"), F.col("side"), 5.0), 6).alias("price"))
+    return f.select("order_id", F.round(lg.fill_price(F.col("price"), F.col("side"), 5.0), 9).alias("price"))
 
 
 @query("p23_same_close_fills", "closes", FILLS + " SELECT order_id, round(c.close, 6) AS price FROM o JOIN closes c ON c.symbol = o.symbol AND c.day = CAST(date_trunc('week', o.day) AS DATE)")

@@ -41,10 +41,10 @@ def _(spark, sf):
     return scored(spark, sf).select("symbol", secs(), side.alias("side"))
 
 
-@query("g04_vwap_reversion", "bars", f"{X} SELECT {T}, CASE WHEN NOT holds AND sb >= 10 AND z < -0.4 THEN 'buy' WHEN holds AND sb >= 10 AND z > 0 THEN 'sell' END AS side, round(CASE WHEN (NOT holds AND sb >= 10 AND z < -0.4) OR (holds AND sb >= 10 AND z > 0) THEN {unit('abs(z) / 0.8')} * {unit('sb / 20.0')} END, 6) AS score FROM y")
+@query("g04_vwap_reversion", "bars", f"{X} SELECT {T}, CASE WHEN NOT holds AND sb >= 10 AND z < -0.4 THEN 'buy' WHEN holds AND sb >= 10 AND z > 0 THEN 'sell' END AS side, round(CASE WHEN (NOT holds AND sb >= 10 AND z < -0.4) OR (holds AND sb >= 10 AND z > 0) THEN {unit('abs(z) / 0.8')} * {unit('sb / 20.0')} END, 9) AS score FROM y")
 def _(spark, sf):
     side, score = sg.vwap_score(F.col("z"), F.col("sb"), F.col("holds"), 0.4, 10)
-    return scored(spark, sf).select("symbol", secs(), side.alias("side"), F.round(score, 6).alias("score"))
+    return scored(spark, sf).select("symbol", secs(), side.alias("side"), F.round(score, 9).alias("score"))
 
 
 @query("g02_momentum", "bars", None)
