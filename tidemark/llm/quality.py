@@ -19,7 +19,7 @@ STEPS = 5  # concentration steps
 LEAST_GROUP = 50  # smaller groups are judged by the estimate of all
 TAIL = 1e-7  # chance of a regular text to be rejected, were its statistics normal
 FEATURES = ("f0", "f1", "f2", "f3")
-FLOORS = (0.6, 0.35, 0.12, 0.06)  # least standard deviations: no statistic is trusted beyond this
+FLOORS = (0.9, 0.35, 0.12, 0.06)  # least standard deviations: no statistic is trusted beyond this
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
