@@ -14,7 +14,7 @@ from . import words
 from .common import bounded_batches
 
 WINDOW = 13  # words of a run that counts
-ANCHOR = 5  # words of an anchor
+ANCHOR = 4  # words of an anchor
 SHARD_WORDS = 100_000  # bound of one automaton
 SEEN = 50_000  # segments of one anchor that are remembered whole
 CHECK = 3  # bytes of a window's hash
