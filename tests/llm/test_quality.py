@@ -56,3 +56,18 @@ def test_estimates_resist_contamination(spark):
     assert np.allclose(r["mean"], [5, 1, 1, 1], atol=0.35)
     cov = np.linalg.inv(np.array(r["inverse"]).reshape(4, 4))
     assert np.all(np.diag(cov) < 2.2) and np.all(np.diag(cov) > 0.5)
+
+
+def test_planted_junk_goes_and_short_clean_texts_stay(spark):
+    rnd = random.Random(7)
+    words = ["some", "plain", "words", "of", "various", "length", "in", "a", "text", "about", "nothing", "language", "it"]
+    vocabulary = words + ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
+    clean = {i: " ".join(rnd.choices(vocabulary, k=rnd.choice([11, 15, 25, 60, 150, 400]))) for i in range(600)}
+    menu = {1000 + i: " ".join(w + (" |" if rnd.random() < 0.3 else "") for w in rnd.choices(vocabulary, k=rnd.randint(60, 200))) for i in range(30)}
+    wide = {2000 + i: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(6, 11))) for _ in range(150)) for i in range(30)}
+    lines = {3000 + i: "\n".join([" ".join(rnd.choices(vocabulary, k=4)) for _ in range(60)] + ["read more"] * 25) for i in range(30)}
+    df = spark.createDataFrame([(i, t, "en", "s") for x in (clean, menu, wide, lines) for i, t in x.items()], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(df).collect()}
+    assert sum(got[i] for i in clean) >= 0.99 * len(clean)
+    for junk in (menu, wide, lines):
+        assert sum(got[i] for i in junk) <= 0.1 * len(junk)

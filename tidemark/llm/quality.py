@@ -17,9 +17,10 @@ from .common import bounded_batches, cut
 COVERAGE = 0.75  # share of a group that the determinant is minimised over
 STEPS = 5  # concentration steps
 LEAST_GROUP = 50  # smaller groups are judged by the estimate of all
-TAIL = 1e-7  # chance of a regular text to be rejected, were its statistics normal
+TAIL = 1e-4  # chance of a regular text to be rejected, were its statistics normal
 FEATURES = ("f0", "f1", "f2", "f3")
-FLOORS = (0.9, 0.35, 0.12, 0.06)  # least standard deviations: no statistic is trusted beyond this
+LEAST_SD = 1e-3  # standard deviation of a statistic that does not vary, so that a scatter can be inverted
+REPEAT = 10  # words of a 5-word run and its repetition
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -92,23 +93,23 @@ def with_features(stats: DataFrame) -> DataFrame:
 
 
 def _shapes(mean: pd.Series, cov: pd.Series, factor: pd.Series) -> pd.DataFrame:
-    """Inverse and determinant of a covariance, made consistent by a factor, whose variances have their floors."""
+    """Covariance made consistent by a factor and kept from being singular, its inverse and determinant."""
     p = len(FEATURES)
     out = []
     for m, c, f in zip(mean, cov, factor):
         c = np.array(c, float).reshape(p, p) * f
-        scale = np.sqrt(np.maximum(np.diag(c), np.array(FLOORS) ** 2))
+        scale = np.sqrt(np.maximum(np.diag(c), LEAST_SD**2))
         own = np.sqrt(np.maximum(np.diag(c), 1e-12))
         r = c / np.outer(own, own)
         r = 0.95 * r + 0.05 * np.eye(p)
         np.fill_diagonal(r, 1.0)
         full = r * np.outer(scale, scale)
-        out.append((list(m), np.linalg.inv(full).ravel().tolist(), float(np.linalg.det(full))))
-    return pd.DataFrame(out, columns=["mean", "inverse", "det"])
+        out.append((list(m), full.ravel().tolist(), np.linalg.inv(full).ravel().tolist(), float(np.linalg.det(full))))
+    return pd.DataFrame(out, columns=["mean", "cov", "inverse", "det"])
 
 
 def _shape(mean, cov, factor):
-    return F.pandas_udf(_shapes, "struct<mean array<double>, inverse array<double>, det double>")(mean, cov, factor)
+    return F.pandas_udf(_shapes, "struct<mean array<double>, cov array<double>, inverse array<double>, det double>")(mean, cov, factor)
 
 
 def distance(mean, inverse):
@@ -122,8 +123,32 @@ def distance(mean, inverse):
     return total
 
 
+def sampling_variances(mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Variances that the features of regular texts of n words have by chance alone, a row a text.
+
+    Word lengths spread by about half their mean; symbols, repeated runs and repeated lines are counts, which vary by their
+    expected number, one at least.
+    """
+    n = np.maximum(n, 1.0)
+    symbols = np.maximum(n * np.expm1(mean[:, 1]) / 10, 1.0)
+    return np.stack([(mean[:, 0] / 2) ** 2 / n, symbols * (10 / (n + 10 * symbols)) ** 2, REPEAT / n / 4, 1 / n / 4], 1)
+
+
+def _row_distances(mean: pd.Series, cov: pd.Series, n: pd.Series, *features: pd.Series) -> pd.Series:
+    """Squared distance by the scatter of a text's group, each variance being at least that of chance at its n words."""
+    out, p = np.full(len(n), np.nan), len(FEATURES)
+    some = np.flatnonzero(mean.notna().to_numpy())
+    if len(some):
+        m, c = np.stack(mean.iloc[some].tolist()), np.stack(cov.iloc[some].tolist()).reshape(-1, p, p)
+        own = np.sqrt(np.diagonal(c, axis1=1, axis2=2))
+        stretch = np.maximum(np.sqrt(sampling_variances(m, n.to_numpy(float)[some])) / own, 1.0)
+        d = np.stack([f.to_numpy(float)[some] for f in features], 1) - m
+        out[some] = (d * np.linalg.solve(c * stretch[:, :, None] * stretch[:, None, :], d[:, :, None])[:, :, 0]).sum(1)
+    return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+
 def _moments(rows: DataFrame, factor: float) -> DataFrame:
-    """(g, mean, inverse, det) of each group of rows (g, features)."""
+    """(g, mean, cov, inverse, det) of each group of rows (g, features)."""
     pairs = [(a, b) for a in FEATURES for b in FEATURES]
     cov = F.array(*(F.covar_pop(a, b) for a, b in pairs))
     found = rows.groupBy("g").agg(F.array(*(F.avg(f) for f in FEATURES)).alias("m"), cov.alias("c"))
@@ -131,11 +156,11 @@ def _moments(rows: DataFrame, factor: float) -> DataFrame:
 
 
 def robust_estimates(stats: DataFrame) -> DataFrame:
-    """(g, mean, inverse, det): location and scatter of the half-spread COVERAGE of each group's rows (g, features).
+    """(g, mean, cov, inverse, det): location and scatter of the half-spread COVERAGE of each group's rows (g, features).
 
     Deterministic fast MCD. It begins with medians and scaled median absolute deviations; each concentration step keeps
     the COVERAGE of a group nearest to the last estimate and estimates again, by which the determinant never grows but
-    through the floors. Every step is two groupings of all rows with map-side aggregates.
+    through LEAST_SD. Every step is two groupings of all rows with map-side aggregates.
     """
     p = len(FEATURES)
     reach = _chi2_quantile(COVERAGE, p)
@@ -158,7 +183,8 @@ def judged(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "
     """The documents' columns but the text, the counts, base_failed, kept and the squared distance.
 
     A text that passes the base rules is kept unless its transformed statistics lie further from those of its language and
-    source than all but TAIL of a normal distribution. The estimates come from all texts that pass; groups with fewer than
+    source than all but TAIL of a normal distribution; the scatter is the robust one, and no statistic is taken for more exact
+    than its sampling error at the text's number of words. The estimates come from all texts that pass; groups with fewer than
     LEAST_GROUP of them are judged by the estimate of all. A null language or source is a value like another. A null text
     has no words, and fails.
     """
@@ -172,11 +198,11 @@ def judged(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "
     # the estimate of all has the key ''; salted partial sums are Spark's own map-side aggregates
     estimates = robust_estimates(good.join(large, "g").select("g", *FEATURES).unionAll(good.select(F.lit("").alias("g"), *FEATURES)))
     placed = stats.join(large, "g", "left").withColumn("own", F.coalesce("own", F.lit("")))
-    estimates = estimates.select(F.col("g").alias("own"), "mean", "inverse")
-    placed = placed.join(estimates, "own", "left").withColumn("d2", distance(F.col("mean"), F.col("inverse")))
+    estimates = estimates.select(F.col("g").alias("own"), "mean", "cov")
+    placed = placed.join(estimates, "own", "left").withColumn("d2", F.pandas_udf(_row_distances, "double")("mean", "cov", "n_words", *FEATURES))
     limit = _chi2_quantile(1 - TAIL, len(FEATURES))
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= limit)
-    return placed.withColumn("kept", kept).drop("own", "g", "mean", "inverse", *FEATURES)
+    return placed.withColumn("kept", kept).drop("own", "g", "mean", "cov", *FEATURES)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
