@@ -8,21 +8,20 @@ from pyspark.sql import functions as F
 from .common import cut, link_buckets, shared
 
 MIN_CHARS = 30  # shorter lines are left alone
-NEXT_CHARS = 3
+SHINGLE_CHARS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 6, 3
 
 
-def shingled(lines: DataFrame, chars: int = NEXT_CHARS) -> DataFrame:
-    """lines (line, ...) with ``shingles``, hashes of runs of characters: from each word's start to ``chars`` characters
-    into the next word.
+def shingled(lines: DataFrame, chars: int = SHINGLE_CHARS) -> DataFrame:
+    """lines (line, ...) with ``shingles``, hashes of the runs of ``chars`` characters that begin at each character.
 
-    Word starts are positions that the content selects, so an edit changes no shingle but those that cover it, and a
-    line has one shingle a word instead of one a character. Words are what stands between spaces.
+    A line of fewer characters is one shingle.
     """
-    words = lines.withColumn("__words", F.split("line", " "))
-    run = lambda w, i: F.xxhash64(w, F.substring(F.get(F.col("__words"), i + 1), 1, chars))
-    return words.withColumn("shingles", F.transform("__words", run)).drop("__words")
+    split = lines.withColumn("__chars", F.split("line", ""))
+    heads = F.slice("__chars", 1, F.greatest(F.size("__chars") - (chars - 1), F.lit(1)))
+    run = lambda x, i: F.xxhash64(x, *(F.get(F.col("__chars"), i + j) for j in range(1, chars)))
+    return split.withColumn("shingles", F.transform(heads, run)).drop("__chars")
 
 
 def line_rows(docs: DataFrame, text: str = "text", id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
