@@ -53,3 +53,9 @@ def test_one_edited_letter_matches_brute_force(spark):
     assert len(want) > 30
     # links are exact; a candidate is missed with a chance of a few hundredths at the threshold
     assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
+
+
+def test_short_lines_take_part(spark):
+    docs = [(1, "Share\nRead more\n\nx\nTheand thble reingwh thorin."), (2, "Read more\n \nx\n\nabc"), (3, " Share \nTheand thble reingwh thorin!\nabd")]
+    got = {r["doc"]: list(r["removed"]) for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs, min_chars=1) == {2: [0, 2], 3: [0, 1]}

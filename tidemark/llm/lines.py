@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, link_buckets, shared
 
-MIN_CHARS = 30  # shorter lines are left alone
+MIN_CHARS = 1  # shorter lines are left alone: every line that is not blank takes part
 SHINGLE_CHARS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 6, 3
