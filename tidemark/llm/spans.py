@@ -17,7 +17,7 @@ WINDOW = 13  # words of a run that counts
 ANCHOR = 4  # words of an anchor
 SHARD_WORDS = 100_000  # bound of one automaton
 SEEN = 50_000  # segments of one anchor that are remembered whole
-CHECK = 3  # bytes of a window's hash
+CHECK = 8  # bytes of a window's hash: all of them, for a byte a word confuses windows
 ROWS = "key long, doc long, pos long, n int, seg binary, checks binary"
 
 
@@ -76,9 +76,10 @@ class Automaton:
 
 
 class Shards:
-    """The reference segments of one anchor, in automata of at most SHARD_WORDS words each."""
+    """The reference segments of one anchor, in automata of at most SHARD_WORDS words each; ``check`` bytes tell a window apart."""
 
-    def __init__(self) -> None:
+    def __init__(self, check: int = 3) -> None:
+        self.check = check
         self.automata: list[Automaton] = []
         self.waiting: list[bytes] = []
         self.seen: set[bytes] = set()
@@ -87,14 +88,15 @@ class Shards:
     def add(self, text: bytes, checks: bytes) -> None:
         if checks not in self.seen:
             self.waiting.append(text)
-            self.checks.update(checks[i : i + CHECK] for i in range(0, len(checks), CHECK))
+            self.checks.update(checks[i : i + self.check] for i in range(0, len(checks), self.check))
             if len(self.seen) < SEEN:
                 self.seen.add(checks)
 
     def covered(self, text: bytes, checks: bytes, window: int) -> list[int]:
         """First places of the windows of a segment that the reference has.
 
-        A byte a word lets one window in 256 that differs in one word pass for another; the window hashes tell them apart.
+        A byte a word lets one window in 256 that differs in one word pass for another; the 64-bit window hashes tell them
+        apart, wherever in the reference they come from: a window is covered when its own hash is there.
         """
         if checks in self.seen:
             return list(range(len(text) - window + 1))
@@ -104,7 +106,7 @@ class Shards:
             self.automata[-1].add(x)
         self.waiting = []
         found = {i - window + 1 for a in self.automata for i, n in enumerate(a.statistics(text)) if n >= window}
-        return sorted(p for p in found if checks[p * CHECK : (p + 1) * CHECK] in self.checks)
+        return sorted(p for p in found if checks[p * self.check : (p + 1) * self.check] in self.checks)
 
 
 def segments(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
@@ -112,8 +114,8 @@ def segments(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFram
 
     An anchor is the smallest hash of the k-word shingles of a window, so two equal windows have the same anchor at the
     same place, and meet under its hash. Inside a chunk of texts only the smallest document with a segment is sent; the
-    others are covered whole, and each run of them is one row without ``seg``, dealt by document. ``checks`` has 3 bytes of each
-    window's hash.
+    others are covered whole, and each run of them is one row without ``seg``, dealt by document. ``checks`` has the
+    64-bit hash of each window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +182,7 @@ def _match(window: int):
                 found = []
                 for i in rows[~alone]:
                     if keys[i] != key:
-                        key, shards, current, own = keys[i], Shards(), doc[i], []
+                        key, shards, current, own = keys[i], Shards(CHECK), doc[i], []
                     elif doc[i] != current:
                         for x in own:
                             shards.add(*x)
