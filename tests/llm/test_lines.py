@@ -4,15 +4,19 @@ import re
 from tidemark.llm import lines
 
 
-def brute(docs, chars=3, threshold=0.8, min_chars=30):
+def shingles(line, k=5):
+    return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
+
+
+def brute(docs, threshold=0.8):
+    """Numbers of the lines that go, by the sets of all runs of five characters."""
     place, sets = {}, {}
     for d, t in sorted(docs):
         for no, line in enumerate((t or "").split("\n")):
             line = line.strip(" ")
-            if len(line) >= min_chars and re.search(r"\S", line):
+            if re.search(r"\S", line):
                 place.setdefault(line, []).append((d, no))
-                w = line.split(" ")
-                sets[line] = {(x, y[:chars]) for x, y in zip(w, w[1:] + [""])}
+                sets[line] = shingles(line)
     root = {x: x for x in sets}
 
     def find(x):
@@ -58,10 +62,12 @@ def test_lines_match_brute_force(spark):
     df = spark.createDataFrame([(d, t, 0, 0, 0) for d, t in docs], "doc_id long, text string, doc long, h long, removed long").repartition(3)
     got = {r["doc"]: list(r["removed"]) for r in lines.repeated_lines(df).collect()}
     want = brute(docs)
-    # candidates are found with high probability, links are exact
-    assert got == want
+    # links are exact; a candidate is missed with a chance of a few hundredths at the threshold
+    found, due = ({(d, n) for d, x in y.items() for n in x} for y in (got, want))
+    assert found <= due and len(found) >= 0.95 * len(due)
+    want = got
     left = {r["doc_id"]: r for r in lines.without_lines(df, lines.repeated_lines(df)).collect()}
-    assert len(left) == len(docs) and left[200]["text"] is None and left[203]["text"] == "short\nshort"
+    assert len(left) == len(docs) and left[200]["text"] is None and left[203]["text"] == "short"
     for d, t in docs:
         if t is not None:
             assert left[d]["text"] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want.get(d, []))
@@ -72,3 +78,65 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, line), (1, line), (2, f"x\n{line}"), (None, line)], "doc_id long, text string")
     assert [tuple(r) for r in lines.repeated_lines(df).collect()] == [(2, [1])]
     assert lines.repeated_lines(df.limit(0)).count() == 0
+
+
+def edited(min_length, max_length, n, seed):
+    rnd = random.Random(seed)
+    docs = []
+    for d in range(n):
+        line = " ".join("".join(rnd.choice("abcdeéfghi😀") for _ in range(rnd.randint(2, 8))) for _ in range(20))[: rnd.randint(min_length, max_length)].strip()
+        at = rnd.randrange(len(line))
+        docs += [(2 * d, line), (2 * d + 1, line[:at] + "z" + line[at + 1 :])]
+    return docs
+
+
+def test_one_edited_letter_matches_brute_force(spark):
+    docs = edited(50, 90, 60, 3)
+    got = {r["doc"]: list(r["removed"]) for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute(docs)
+    assert len(want) > 30
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
+
+
+def test_short_lines_take_part(spark):
+    docs = [(1, "Share\nRead more\n\nx\nTheand thble reingwh thorin."), (2, "Read more\n \nx\n\nabc"), (3, " Share \nTheand thble reingwh thorin!\nabd")]
+    got = {r["doc"]: list(r["removed"]) for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) == {2: [0, 2], 3: [0, 1]}
+
+
+def test_text_without_spaces(spark):
+    line = "这是一个没有空格的很长的句子它有三十五个字左右并且只有最后一个字不同于另外那一行天地玄黄宇宙洪荒日"
+    docs = [(1, line + "甲"), (2, line + "乙"), (3, "完全不同的另一行文字在这里没有任何重复的内容出现")]
+    got = {r["doc"]: list(r["removed"]) for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) == {2: [0]}
+
+
+def test_shingles_are_runs_of_characters(spark):
+    texts = ["a😀b😀cdé", "abc", "ab\tcd ef", "😀" * 9, "", "abcde" * 5]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, line string")
+    got = {}
+    for r in lines.items_of(df).collect():
+        got.setdefault(r["id"], []).append(r["item"])
+    assert {i: len(s) for i, s in got.items()} == {i: len(shingles(t)) for i, t in enumerate(texts)}
+    assert all(len(s) == len(set(s)) for s in got.values())
+
+
+def test_large_bucket_of_near_copies_loses_no_link(spark):
+    """Copies of one line with edits that recur: pairs grow with the copies, not with their square."""
+    rnd = random.Random(8)
+    base = "".join(rnd.choice("abcdefghij klmnop") for _ in range(160))
+    docs = [(0, base)]
+    for d in range(1, 400):
+        line = list(base)
+        for _ in range(rnd.randint(1, 4)):
+            line[rnd.randrange(160)] = rnd.choice("XYZ")
+        docs.append((d, "".join(line)))
+    got = {r["doc"] for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = set(brute(docs))
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_repetitive_long_lines(spark):
+    docs = [(1, "The " * 3000), (2, "The " * 3001 + "x"), (3, "abcdefghijklm" * 900), (4, "abcdefghijklm" * 700 + "q")]
+    got = {r["doc"]: list(r["removed"]) for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got) <= set(brute(docs))

@@ -7,9 +7,12 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 500
+BROADCAST_ROWS = 1_000_000  # of a few numbers each: some tens of MB
+DIRECT = 8  # members of a bucket whose pairs are compared one by one: a few a member at most
 
 
 def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -65,22 +68,40 @@ def shared(members: DataFrame) -> DataFrame:
     return members.join(many, "bucket", "left_semi")
 
 
-def support(items: DataFrame) -> DataFrame:
-    """Of sets given by their items (id, item): (id, k, n), n being the set's size and k how many items stand in another set too."""
-    known = items.groupBy("item").agg(F.count("*").alias("n")).select("item", (F.col("n") > 1).cast("int").alias("known"))
-    return items.join(known, "item").groupBy("id").agg(F.sum("known").alias("k"), F.count("*").alias("n"))
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """df with the hint to broadcast it where it is known to have that many rows of a few numbers each at most."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def prefix_pairs(items: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of sets in different components that may have the Jaccard similarity, given their items (id, item).
+
+    Prefix filter: in one order of all items, the rarest first, two such sets share one of the first
+    n - ceil(threshold * n) + 1 items of each. Items of one set alone count in the order and are not joined; sizes and the
+    places of the shared item bound the overlap before a row is made. No pair above the threshold is left out.
+    """
+    known = items.groupBy("item").agg(F.count("*").alias("df"))
+    order = W.partitionBy("id").orderBy("df", "item")
+    own = items.join(known, "item").select("id", "item", "df", (F.row_number().over(order) - 1).alias("at"), F.count("*").over(W.partitionBy("id")).alias("n"))
+    own = own.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-6)))
+    own = cut(own.join(groups, "id", "left").select("id", "item", "at", "n", F.coalesce("component", "id").alias("component")))
+    x, y = own.alias("x"), own.alias("y")
+    low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    on = (F.col("x.item") == F.col("y.item")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+    on = on & (low >= threshold * high - 1e-6) & (left >= (low + high) * (threshold / (1 + threshold)) - 1e-6)
+    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 1.0, stars: int = 3) -> DataFrame:
-    """Components (id, component) of the verified links between members (bucket, id, ...) that share a bucket.
-
-    Never all pairs of a bucket: in each of ``stars`` rounds the components that a bucket holds are each compared with one
-    member of the bucket's first component, and what is verified is merged. What then still shares a bucket without being
-    in one component is compared pair by pair, so that no verified link between two components can be missed. By then
-    copies of one another have merged. Where links are Jaccard similarities of a threshold at least, ``items`` gives the
-    sets' items (id, item) for a table of ids, and two bounds leave out what cannot link: sizes differ too much, or fewer
-    of a set's items stand in any other set than the smallest set of its bucket would need.
-    ``verify`` takes distinct pairs (a, b), a < b, and returns those that are links.
+    """Components (id, component) of the verified links between members (bucket, id) that share a bucket.
+
+    Never all pairs of a large bucket: in each of ``stars`` rounds the components that a bucket holds are each compared with
+    one member of the bucket's first component, and what is verified is merged. What then still shares a bucket without
+    being in one component is compared pair by pair in buckets of DIRECT members at most, and by ``prefix_pairs`` over the
+    items of their members in larger ones, so that no link can be missed. ``items`` gives the sets' items (id, item) for a
+    table of ids; without it large buckets are compared pair by pair too. ``verify`` takes distinct pairs (a, b), a < b, and
+    returns those that are links.
     """
     spark = members.sparkSession
     links = groups = tried = None
@@ -91,36 +112,30 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
         placed = members if groups is None else members.join(groups, "id", "left")
         placed = placed.withColumn("component", F.coalesce("component", "id") if groups is not None else F.col("id"))
         if groups is not None:
-            mixed = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
-            placed = cut(placed.join(mixed, "bucket", "left_semi"))
+            mixed = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("size"))
+            # the one pair of a bucket of two has been compared
+            placed = cut(placed.join(mixed.where("p <> q and size > 2").select("bucket", "size"), "bucket"))
         if turn < stars:
             # a different member stands for its component in each turn
             order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id") if turn else F.struct(F.lit(0).alias("h"), "id")
             one = placed.groupBy("bucket", "component").agg(F.min(order).alias("o")).select("bucket", "component", F.col("o.id").alias("id"))
             head = one.groupBy("bucket").agg(F.min(F.struct("component", "id")).alias("head"))
             found = one.join(head, "bucket").where(F.col("component") != F.col("head.component")).select(*pairs_of(F.col("id"), F.col("head.id")))
-            if turn == 0:  # one comparison a member to begin with
-                found = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         else:
-            x, y = placed.alias("x"), placed.alias("y")
-            on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))
+            some = placed if items is None else placed.where(F.col("size") <= DIRECT)
+            x, y = some.alias("x"), some.alias("y")
+            found = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))).select(*pairs_of(F.col("x.id"), F.col("y.id")))
             if items is not None:
-                sized = cut(support(items(placed.select("id").distinct())))
-                placed = placed.select("bucket", "id", "component").join(sized, "id")
-                for _ in range(2):
-                    least = placed.groupBy("bucket").agg(F.min("n").alias("least"), F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
-                    need = (F.col("n") + F.greatest("least", F.col("n") * threshold)) * (threshold / (1 + threshold))
-                    placed = cut(placed.join(least, "bucket").where(F.col("k") >= need - 1e-6).select("bucket", "id", "component", "k", "n"))
-                x, y = placed.alias("x"), placed.alias("y")
-                on = on & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
-            found = x.join(y, on).select(*pairs_of(F.col("x.id"), F.col("y.id")))
+                large = cut(placed.where(F.col("size") > DIRECT).select("id").distinct())
+                if not large.isEmpty():
+                    found = found.unionAll(prefix_pairs(items(large), groups, threshold).select(*pairs_of(F.col("a"), F.col("b"))))
         found = found.distinct()
         found = cut(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
-        tried = found if tried is None else tried.unionAll(found)
         if found.isEmpty():
             if groups is None:
                 break
             continue
+        tried = found if tried is None else tried.unionAll(found)
         good = cut(verify(found).select("a", "b"))
         links = good if links is None else links.unionAll(good)
         if turn == 0 or not good.isEmpty():
