@@ -96,3 +96,10 @@ def test_components_and_link_buckets(spark):
     members = spark.createDataFrame([(1, i) for i in range(40)], "bucket long, id long")
     got = dict(map(tuple, link_buckets(members, lambda p: p.where("b - a = 7")).collect()))
     assert got == {i: i % 7 for i in range(40)}
+
+
+def test_repeated_blocks_do_not_hide_a_copy(spark):
+    rnd = random.Random(2)
+    base = [f"w{rnd.randrange(500)}" for _ in range(80)]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base * 10)), (3, " ".join(base[:79] + ["new"] + base))], "doc_id long, text string")
+    assert dict(map(tuple, near.near_duplicates(df).collect())) == brute_classes([tuple(r) for r in df.collect()]) == {1: 1, 2: 1, 3: 1}

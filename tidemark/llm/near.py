@@ -94,10 +94,11 @@ def dart_minhash(row: np.ndarray, value: np.ndarray, weight: np.ndarray, rows: i
     return out
 
 
-def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id", bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id", bands: int = BANDS, band_rows: int = BAND_ROWS, weighted: bool = False) -> DataFrame:
     """(id, exact, n, bands): a digest of the word sequence, the number of shingles, and a hash per band.
 
-    One pass over the texts, no shuffle. Null ids, and texts without a word, have no row.
+    Each distinct shingle weighs 1, as in the sets that are compared, or 1 + ln(count) if ``weighted``. One pass over the
+    texts, no shuffle. Null ids, and texts without a word, have no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +107,7 @@ def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id", bands: i
                 w = words.split_words(part.column("text"))
                 h = w.hashes()
                 row, value, weight = weighted_shingles(part.column("text"))
+                weight = weight if weighted else np.ones(len(row))
                 sketch = dart_minhash(row, value, weight, part.num_rows, bands * band_rows)
                 band = np.zeros((part.num_rows, bands), U)
                 for j in range(band_rows):
@@ -166,7 +168,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", thr
 
     Documents with the same words are one class. Others are linked when the sets of their 5-word shingles have at least
     the given Jaccard similarity, candidates being those that agree on a whole band of a DartMinHash signature whose
-    weights are 1 + ln(count); classes are the components of the links. A text of fewer than five words is one shingle.
+    elements weigh the same; classes are the components of the links. A text of fewer than five words is one shingle.
     Null and empty texts, and texts of separators only, are each a class of their own. Rows that share an id are one
     document: their rows must be the same. Other columns are not read.
     """
