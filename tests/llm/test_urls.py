@@ -41,3 +41,17 @@ def test_mined_rules_and_defined_cases(spark):
     assert all(got[i]["verdict"] == ("block" if i % 3 == 0 else "allow") for i in range(90))
     assert urls.judged(df.limit(0), labels).count() == 0
     assert {r["verdict"] for r in urls.judged(df, labels.limit(0)).where("rule is null").collect()} == {"allow"}
+
+
+def test_rules_beat_the_base_rate(spark):
+    """Three quarters are allowed: a rule has to say more than that, and unlabelled hosts get both verdicts."""
+    kind = lambda i: "bad" if i % 4 == 0 else "fine"
+    pages = [(i, f"http://{kind(i)}{i % 5}.example.info/{'win' if i % 4 == 0 else 'read'}/{i % 2}") for i in range(200)]
+    new = [(1000, "http://other.example.info/win/1"), (1001, "http://other.example.info/read/1")]
+    df = spark.createDataFrame(pages + new, "page_id long, url string")
+    labels = spark.createDataFrame([(i, urls.BLOCK if i % 4 == 0 else urls.ALLOW) for i in range(200)], "id long, label string")
+    got = {r["id"]: r["verdict"] for r in urls.judged(df, labels).collect()}
+    assert got[1000] == "block" and got[1001] == "allow"
+    tokens = df.select(urls.tokens(df["url"], *urls.host_and_path(df["url"])).alias("tokens"), "page_id").join(labels.withColumnRenamed("id", "page_id"), "page_id")
+    rules = urls.mine(tokens.select("tokens", "label")).collect()
+    assert rules and all(r["confidence"] >= 1.1 * (0.25 if r["blocks"] else 0.75) for r in rules)

@@ -6,12 +6,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_side
 
 # Host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SUPPORT, CONFIDENCE = 0.002, 0.6
 LEAST = 5  # labelled urls that a rule must fit
+LIFT = 1.1  # of a rule: its confidence over the share of its label among all labelled urls
+STEPS = 10**6  # of a confidence or a support in the order of rules
 BLOCK, ALLOW = "label=block", "label=allow"
 
 
@@ -52,11 +54,12 @@ def tokens(url, host, path):
     return F.array_distinct(F.filter(named, lambda x: x.isNotNull()))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, lift: float = LIFT) -> DataFrame:
     """Rules (rule_id, antecedent, index_token, blocks, confidence, support) from labelled urls (tokens, label).
 
     Frequent combinations of tokens by FP-growth over all labelled urls; those rules are kept whose consequent is a label,
-    with the given support and confidence. ``index_token`` is the antecedent's rarest token. No labels give no rules.
+    with the given support and confidence, if their confidence is at least ``lift`` times the share of that label among all
+    labelled urls: others restate the share. ``index_token`` is the antecedent's rarest token. No labels give no rules.
     """
     baskets = cut(labelled.select(F.concat("tokens", F.array("label")).alias("items")))
     total = baskets.count()
@@ -65,6 +68,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     model = FPGrowth(itemsCol="items", minSupport=max(support, least / total), minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.element_at("consequent", 1).isin(BLOCK, ALLOW))
     rules = rules.where(~F.array_contains("antecedent", BLOCK) & ~F.array_contains("antecedent", ALLOW))
+    rules = rules.where(F.col("lift") >= lift)
     rules = rules.select(F.xxhash64(F.array_sort("antecedent"), "consequent").alias("rule_id"), "antecedent", (F.element_at("consequent", 1) == BLOCK).alias("blocks"), "confidence", "support")
     counts = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
     each = rules.select("rule_id", F.explode("antecedent").alias("token")).join(counts, "token")
@@ -76,9 +80,10 @@ def judged(pages: DataFrame, labels: DataFrame, url: str = "url", id: str = "pag
     """(id, host, path, rule, verdict, confidence) of each url, one row for each row of pages.
 
     A url gets the verdict of the longest fixed rule that fits it. Others get that of the mined rule with the highest
-    confidence, then support, then longest antecedent, among those whose antecedent's tokens it all has; rules are found by an
-    inverted index from their rarest token. Where none fits, and for a null url, the verdict is allow. Labels (id, label)
-    are of any urls in pages; a null label or id teaches nothing.
+    confidence, then support, both to 1e-6, then longest antecedent, then block, among those whose antecedent's tokens it all
+    has; rules are found by an inverted index from their rarest token, which is broadcast where it is small. Where none fits, and for a null url, the verdict is allow. Labels (id, label)
+    are of any urls in pages; a null label or id teaches nothing, and a null page id is a
+    page like others.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(id).alias("id"), host.alias("host"), path.alias("path"), F.col(url).alias("url"))
@@ -89,10 +94,13 @@ def judged(pages: DataFrame, labels: DataFrame, url: str = "url", id: str = "pag
     known = pages.select(F.col(id).alias("id"), F.col(url).alias("url")).where("url is not null").join(labels.where("id is not null and label is not null"), "id")
     known = known.select("url", "label", *(c.alias(n) for c, n in zip(host_and_path(F.col("url")), ("host", "path"))))
     mined = mine(known.select(tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "label"))
-    hits = kinds.select("url", "tokens", F.explode("tokens").alias("index_token")).join(mined, "index_token")
+    # one number orders the rules and says what they say: confidence and support in 21 bits each, then length, then the verdict
+    order = F.round(F.col("confidence") * STEPS).cast("long") * 2**42 + F.round(F.col("support") * STEPS).cast("long") * 2**21 + F.least(F.size("antecedent"), F.lit(2**19)) * 2 + F.col("blocks").cast("long")
+    index = cut(mined.select("index_token", "antecedent", order.alias("order")))
+    hits = kinds.select("url", "tokens", F.explode("tokens").alias("index_token")).join(small_side(index, 10 * index.count()), "index_token")
     hits = hits.where(F.size(F.array_except("antecedent", "tokens")) == 0)
-    best = F.max(F.struct("confidence", "support", F.size("antecedent").alias("size"), "blocks", "rule_id")).alias("best")
-    best = hits.groupBy("url").agg(best).select("url", F.when(F.col("best.blocks"), "block").otherwise("allow").alias("mined"), F.col("best.confidence").alias("confidence"))
+    best = hits.groupBy("url").agg(F.max("order").alias("best"))
+    best = best.select("url", F.when(F.col("best") % 2 == 1, "block").otherwise("allow").alias("mined"), (F.shiftright("best", 42) / STEPS).alias("confidence"))
     out = rows.join(best, "url", "left")
     return out.select("id", "host", "path", "rule", F.coalesce("fixed", "mined", F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNull(), F.col("confidence")).alias("confidence"))
 
