@@ -75,3 +75,14 @@ def test_least_slack_is_optimal_for_one_sequence_and_uses_all():
         best = min(packing.padding(max(counts) + s, 64) for s in reach if max(counts) + s <= 64)
         first = plan[0][1]
         assert packing.padding(sum(k * n for k, n in first.items()), 64) == best
+
+
+def test_long_runs_give_the_tokenizer_s_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = packing.Encoder(path, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    texts = [" " * 1_000_000, "\t" * 200_000, "a" * 200_000, "x" + " " * 5000 + "y", "\u3000" * 3000, "字" * 3000, "plain text, don't worry"]
+    for t, ids in zip(texts, encoder.encode(texts)):
+        assert list(np.frombuffer(ids, "<u4")) == plain.encode(t, add_special_tokens=False).ids

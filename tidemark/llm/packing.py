@@ -15,9 +15,20 @@ from .common import bounded_batches, cut
 
 CAPACITY = 2048
 END = 1  # the id after each document
-SALTS = 64
-#: Fixed value: what a byte-level tokenizer cuts text into before it merges.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SALTS = 64  # parts of a length's pieces, at least
+SALT_ROWS = 200_000  # pieces of one length in a part, about, at most
+LONG_RUN = 2000  # bytes with or without white space
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def long_run(text: str, limit: int = LONG_RUN) -> bool:
+    """Whether a text has that many bytes in a row that are all ASCII white space, or all not."""
+    if len(text) * 4 < limit:
+        return False
+    space = _SPACE[np.frombuffer(text.encode(), np.uint8)]
+    edges = np.flatnonzero(np.append(True, space[1:] != space[:-1]))
+    return bool((np.diff(np.append(edges, len(space))) >= limit).any())
 
 
 def byte_ranks(tokenizer) -> dict[bytes, int]:
@@ -31,30 +42,31 @@ class Encoder:
     """Ids of a byte-level BPE tokenizer, little-endian unsigned 32-bit.
 
     Texts are merged by tiktoken over the tokenizer's own vocabulary, which gives the same ids several times as fast; one
-    with the string of a special token goes through the tokenizer itself.
+    with the string of a special token, or with a run of LONG_RUN bytes, for which tiktoken has no bound of its stack, goes
+    through the tokenizer itself. ``pattern`` is what the tokenizer cuts text into before it merges.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pattern: str) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.merge = tiktoken.Encoding("texts", pat_str=PIECES, mergeable_ranks=byte_ranks(self.tokenizer), special_tokens={}).encode_ordinary
+        self.merge = tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=byte_ranks(self.tokenizer), special_tokens={}).encode_ordinary
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for t in texts:
-            if any(s in t for s in self.special):
+            if any(s in t for s in self.special) or long_run(t):
                 yield array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
             else:
                 yield array("I", self.merge(t)).tobytes()
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and END, cut into whole sequences and a rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, pattern)
         tail = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
@@ -121,11 +133,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     """The pieces with sequence_id and offset.
 
     The plan is made from the number of pieces of each length alone, at most ``capacity`` numbers; pieces of one length
-    are interchangeable, so each gets its place from its rank among them. Ranks are counted in ``salts`` parts of a length,
-    for one length may have most of the pieces.
+    are interchangeable, so each gets its place from its rank among them. Ranks are counted in ``salts`` parts of a length, or
+    as many more as leave SALT_ROWS pieces to each, for one length may have most of the pieces.
     """
     spark = pieces.sparkSession
-    pieces = cut(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts))))
+    pieces = cut(pieces)
+    salts = max(salts, pieces.count() // SALT_ROWS)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
     parts = cut(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     # for each run of equal sequences and each place in it: which ranks of a length stand there
@@ -154,18 +168,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     )
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, pattern: str | None = None, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """Every document's ids, and END after each document, in sequences of at most ``capacity``: one row a piece.
 
     A null or empty text is END alone. Long texts fill whole sequences, and what is left of each document is packed with
     the rests of others by ``least_slack``. Rows that share an id are packed each; a null id stays null.
     """
-    if tokenizer is None:
+    if tokenizer is None or pattern is None:
         import public_tokenizers
 
-        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+        tokenizer, pattern = tokenizer or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
     bounded_batches(docs.sparkSession)
-    return pack(cut_pieces(docs, tokenizer, text, id, capacity), capacity)
+    return pack(cut_pieces(docs, tokenizer, pattern, text, id, capacity), capacity)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
