@@ -67,3 +67,9 @@ def test_defined_cases_and_shards(spark, monkeypatch):
     monkeypatch.setattr(leaks, "SHARD_BYTES", 20)
     assert sorted((r["id"], r["item_id"]) for r in leaks.find(docs, bench).collect()) == want
     assert leaks.find(docs, bench.limit(0)).count() == 0 and leaks.find(docs.limit(0), bench).count() == 0
+
+
+def test_scores_do_not_depend_on_shards(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = [{tuple(r[:2]): round(r["score"], 9) for r in leaks.find(docs, items, threshold=0.3, overlap=0.0, shard_bytes=b).collect()} for b in (4 << 20, 16_000)]
+    assert rows[0] and rows[0] == rows[1]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import bounded_batches
+from .common import bounded_batches, cut
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5  # of the score that an item has with itself
@@ -42,8 +42,18 @@ class Index:
     parts: list[tuple[tuple[int, np.ndarray], tuple[int, np.ndarray]]]  # of each item: words of a shingle and shingles, for question and answer
 
 
-def build(items: list[tuple[int, str]]) -> Index | None:
-    """None where no item has a word."""
+@dataclass
+class Corpus:
+    """Of all items, whatever shards they are dealt into: their number, mean and greatest words, and the items of each term."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[int, int]  # of the terms that a shard has
+
+
+def build(items: list[tuple[int, str]], corpus: Corpus | None = None) -> Index | None:
+    """The index of a shard's items, or of all where no corpus is given. None where no item has a word."""
     items = sorted((i, t) for i, t in items if t is not None and i is not None)
     column = pa.array([t for _, t in items], pa.string())
     w = words.split_words(column, True)
@@ -55,8 +65,10 @@ def build(items: list[tuple[int, str]]) -> Index | None:
     pair, tf = np.unique(term * n + w.row, return_counts=True)
     term, item = pair // n, pair % n
     df = np.bincount(term, minlength=len(vocabulary))
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    score = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / length[length > 0].mean()))
+    whole = corpus or Corpus(n, float(length[length > 0].mean()), int(length.max()), {})
+    count = np.array([whole.df[int(v)] for v in vocabulary.view(np.int64)]) if corpus else df
+    idf = np.log(1 + (whole.n - count + 0.5) / (count + 0.5))
+    score = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / whole.mean))
     impact = score / np.bincount(item, score, n)[item]
     first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
     key = term * (n // BLOCK + 1) + item // BLOCK
@@ -72,7 +84,7 @@ def build(items: list[tuple[int, str]]) -> Index | None:
         last = words.split_words(pa.array([SENTENCE.split(t.strip())[-1]]), True)
         cut = max(0, len(own) - max(SHINGLE, len(last.start)))
         parts.append(tuple((k := min(SHINGLE, len(x)), _shingles(x, k)) for x in (own[:cut] if cut else own, own[cut:])))
-    return Index(np.array([i for i, _ in items]), vocabulary, first, item, impact, np.searchsorted(block_term, np.arange(len(vocabulary) + 1)), (item // BLOCK)[at], np.maximum.reduceat(impact, at), rare, rest, int(length.max()), parts)
+    return Index(np.array([i for i, _ in items]), vocabulary, first, item, impact, np.searchsorted(block_term, np.arange(len(vocabulary) + 1)), (item // BLOCK)[at], np.maximum.reduceat(impact, at), rare, rest, whole.longest, parts)
 
 
 def _shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -121,7 +133,21 @@ def candidates(index: Index, term: np.ndarray, passage: np.ndarray, threshold: f
     return key[good] // len(index.ids), key[good] % len(index.ids), score[good]
 
 
-def find(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", item_id: str = "item_id", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def item_terms(items: DataFrame) -> DataFrame:
+    """(item_id, term, words): each distinct term of each item, and a row without a term that has its number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = words.split_words(batch.column("text"), True)
+            ids = batch.column("item_id").to_numpy()
+            row, term = np.unique(np.stack([w.row, w.hashes().view(np.int64)]), axis=1) if len(w.start) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield pa.record_batch({"item_id": pa.array(ids[row]), "term": pa.array(term), "words": pa.nulls(len(row), pa.int64())})
+            yield pa.record_batch({"item_id": pa.array(ids), "term": pa.nulls(len(ids), pa.int64()), "words": pa.array(np.diff(w.first).astype(np.int64))})
+
+    return items.select("item_id", "text").mapInArrow(run, "item_id long, term long, words long")
+
+
+def find(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", item_id: str = "item_id", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, item_id, score, question, answer): the items that a document has leaked from, one row each.
 
     A document's passages are windows of twice the words of the longest item, each half of which begins another, so that
@@ -132,18 +158,30 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_i
     words are one shingle. Words are runs of letters and digits, ASCII capitals made small. Values are of the best passage.
 
     Items without words, null texts and null ids match nothing. Rows that share an id must be one row repeated. The items
-    are indexed in shards of SHARD_BYTES of text, one after the other; one shard at a time is on the driver and broadcast.
+    are indexed in shards of about ``shard_bytes`` of text, one after the other; one shard at a time is on the driver and
+    broadcast. Number, lengths and document frequencies are of all items, so that scores do not depend on the shards.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     items = items.where(F.col(item_id).isNotNull() & F.col("text").isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = -(-total // (SHARD_BYTES // 2))
+    shards = -(-total // (shard_bytes // 2))
+    if shards > 1:
+        terms = cut(item_terms(items))
+        size = terms.where("term is null").agg(F.count("*"), F.avg(F.when(F.col("words") > 0, F.col("words"))), F.max("words")).first()
+        terms = terms.where("term is not null")
+        df = cut(terms.groupBy("term").agg(F.count("*").alias("df")))
     schema = "id long, item_id long, score double, question double, answer double"
     out = None
     for k in range(shards):
-        index = build([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()])
+        own = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k
+        texts = [(r["item_id"], r["text"]) for r in items.where(own).collect()]
+        corpus = None
+        if shards > 1:
+            frequent = df.join(terms.where(own).select("term").distinct(), "term")  # as many as the shard has words at most
+            corpus = Corpus(size[0], size[1] or 1.0, size[2] or 0, {r["term"]: r["df"] for r in frequent.collect()})
+        index = build(texts, corpus)
         if index is None:
             continue
         shared = spark.sparkContext.broadcast(index)
