@@ -23,6 +23,7 @@ KINDS = ("assign", "access", "hex", "crf")
 
 OUT, BEGIN, INSIDE = 0, 1, 2
 BITS = 15  # of a hashed feature
+MASKED = (0, 2, 4, 6)  # features that name a word or a neighbour, or begin with its first letters
 SAMPLE = 800  # documents with a base secret to learn from, about, and half as many others
 SAMPLE_CHARS = 20_000  # of a document to learn from
 U = np.uint64
@@ -187,18 +188,19 @@ def _heads(w: words.Words) -> np.ndarray:
 def learn(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Field | None:
     """A field learnt from base spans as labels, on about SAMPLE documents that have one and half as many that have none.
 
-    Documents are picked by a hash of their ids, and the first SAMPLE_CHARS of each are learnt from; what reaches the
-    driver is bounded by these parameters. The names and forms that the base patterns ask for are features like others, so
-    the field learns what secrets and their neighbourhoods look like. None without a base span.
+    Documents are picked by a hash of their ids, those whose whole text has a base form apart from others, and the first
+    SAMPLE_CHARS of each are learnt from; what reaches the driver is bounded by these parameters. Every line is learnt twice,
+    the second time with what names it masked (MASKED): so that the field finds values that look like secrets beside words
+    that the base patterns do not know. None without a base span.
     """
-    known = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("text"))
+    known = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
     marked = known.withColumn("has", F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"))
     counts = {r["has"]: r["n"] for r in marked.groupBy("has").agg(F.count("*").alias("n")).collect()}
     if not counts.get(True):
         return None
     share = F.when(F.col("has"), F.lit(min(1.0, SAMPLE / counts[True]))).otherwise(F.lit(min(1.0, SAMPLE / 2 / max(1, counts.get(False, 0)))))
     picked = marked.where(F.pmod(F.xxhash64("id", F.lit("secrets")), F.lit(1_000_003)) / 1_000_003 < share)
-    texts = pa.record_batch({"text": pa.array([r["text"] for r in sorted(picked.select("id", "text").limit(4 * SAMPLE).collect())], pa.string())})
+    texts = pa.record_batch({"text": pa.array([r["text"] for r in sorted(picked.select("id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect())], pa.string())})
     parts, lines = [], 0
     for part in words.chunks(texts, "text", words.CHUNK_BYTES // 2):
         w = words.split_words(part.column("text"))
@@ -216,8 +218,10 @@ def learn(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Field | No
                 tags[w.first[row] + i] = BEGIN
         # every line with a secret, and every eighth of the others
         pick = np.isin(line, np.unique(line[tags > 0])) | (words.mix(line.astype(U)) % U(8) == 0)
-        parts.append((found[pick], tags[pick], line[pick] + lines))
-        lines += int(line[-1]) + 1
+        masked = found[pick]
+        masked[:, MASKED] = 0
+        parts += [(found[pick], tags[pick], line[pick] + lines), (masked, tags[pick], line[pick] + lines + int(line[-1]) + 1)]
+        lines += 2 * (int(line[-1]) + 1)
     if not parts:
         return None
     found, tags, line = (np.concatenate(x) for x in zip(*parts))
@@ -228,8 +232,10 @@ def scan(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
     """The other columns with n_assign, n_access, n_hex, base_sha256 and spans, over every whole text.
 
     Spans are ``kind:start:end`` in code points, by start and then kind, joined by commas. The field's are of kind ``crf``;
-    one that overlaps a base span is left out. A null text is an empty one.
+    one that overlaps a base span is left out. A null text is an empty one. Columns with the names of results are replaced;
+    repeated rows and null ids are rows like others; of kinds that begin together the one listed first comes first.
     """
+    docs = docs.drop("n_assign", "n_access", "n_hex", "base_sha256", "spans")
     rest = [f for f in docs.schema.fields if f.name != text]
     names = [f.name for f in rest]
 
