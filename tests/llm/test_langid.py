@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import langid
 
 
@@ -50,3 +52,10 @@ def test_lookup_equals_convolution():
 def test_windows_cover_whole_texts():
     w, row, used = langid.text_windows(pa.array(["a" * 300, None, "", "b"]))
     assert row.tolist() == [0, 0, 3] and used.tolist() == [256, 44, 1] and (w[1] == 97).sum() == 44
+
+
+def test_letters_and_clashing_columns(spark):
+    assert [bool(langid.LETTER.search(t)) for t in ("½ ² Ⅷ 12_", "é", "字", "ª")] == [False, True, True, True]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({"score": F.lit("old"), "lang_pred": F.lit(7)})
+    out = langid.stage(spark, docs, "")
+    assert out.columns == docs.columns and out.count() > 0.9 * docs.count() and out.select("score", "lang_pred").distinct().collect() == [("old", 7)]

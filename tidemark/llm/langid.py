@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 12, 8
 SAMPLE = 400  # documents a language to learn from, about
 SAMPLE_WINDOWS = 4  # of a document
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -151,8 +151,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
 def predict(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
     """The documents' columns, lang_pred and score: the language likeliest over all windows of the whole text, by bytes.
 
-    ``und`` and 0 where the text is null or has no letter, or nothing could be learnt.
+    ``und`` and 0 where the text is null or has no letter, or nothing could be learnt. Columns of the same names are replaced.
+    Of languages that are equally likely the first by name is taken; repeated rows and null ids are rows like others.
     """
+    docs = docs.drop("lang_pred", "score")
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,5 +197,5 @@ def stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Pipeline stage: documents without a language, or with one less likely than ``least``, go."""
     bounded_batches(spark)
     network = learn(docs)
-    row = docs.withColumn("__text", F.col("text"))
-    return predict(row, network, "__text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
+    row = docs.select(F.struct("*").alias("row"), F.col("text"))
+    return predict(row, network).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
