@@ -71,3 +71,8 @@ def test_planted_junk_goes_and_short_clean_texts_stay(spark):
     assert sum(got[i] for i in clean) >= 0.99 * len(clean)
     for junk in (menu, wide, lines):
         assert sum(got[i] for i in junk) <= 0.1 * len(junk)
+
+
+def test_clashing_columns_are_replaced(spark):
+    docs = spark.createDataFrame([(i, "one two three four five six seven eight nine ten eleven", None, "s", -1, 2.0, "x") for i in range(3)], "doc_id long, text string, lang string, source string, n_words long, d2 double, mean string")
+    assert {(r["n_words"], r["base_failed"]) for r in quality.judged(docs).collect()} == {(11, False)}

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, small_side
 
 COVERAGE = 0.75  # share of a group that the determinant is minimised over
 STEPS = 5  # concentration steps
 LEAST_GROUP = 50  # smaller groups are judged by the estimate of all
 TAIL = 1e-4  # chance of a regular text to be rejected, were its statistics normal
 FEATURES = ("f0", "f1", "f2", "f3")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 LEAST_SD = 1e-3  # standard deviation of a statistic that does not vary, so that a scatter can be inverted
 REPEAT = 10  # words of a 5-word run and its repetition
 SYMBOLS = np.zeros(256, bool)
@@ -68,12 +69,12 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
                 for t in part.column(text).to_pylist():
                     lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
                     dup.append(len(lines) - len(set(lines)))
-                yield pa.record_batch([*(part.column(c) for c in names), *(pa.array(np.asarray(x).astype(np.int64)) for x in (n, chars, symbols, dup, repeat))], names=[*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+                yield pa.record_batch([*(part.column(c) for c in names), *(pa.array(np.asarray(x).astype(np.int64)) for x in (n, chars, symbols, dup, repeat))], names=[*names, *COUNTS])
 
     from pyspark.sql.types import LongType, StructType
 
     schema = StructType(rest)
-    for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
+    for c in COUNTS:
         schema = schema.add(c, LongType())
     return docs.mapInArrow(run, schema)
 
@@ -148,35 +149,38 @@ def _row_distances(mean: pd.Series, cov: pd.Series, n: pd.Series, *features: pd.
 
 
 def _moments(rows: DataFrame, factor: float) -> DataFrame:
-    """(g, mean, cov, inverse, det) of each group of rows (g, features)."""
+    """(g, start, mean, cov, inverse, det) of each group of rows (g, start, features)."""
     pairs = [(a, b) for a in FEATURES for b in FEATURES]
     cov = F.array(*(F.covar_pop(a, b) for a, b in pairs))
-    found = rows.groupBy("g").agg(F.array(*(F.avg(f) for f in FEATURES)).alias("m"), cov.alias("c"))
-    return found.select("g", _shape("m", "c", F.lit(float(factor))).alias("s")).select("g", "s.*")
+    found = rows.groupBy("g", "start").agg(F.array(*(F.avg(f) for f in FEATURES)).alias("m"), cov.alias("c"))
+    return found.select("g", "start", _shape("m", "c", F.lit(float(factor))).alias("s")).select("g", "start", "s.*")
 
 
 def robust_estimates(stats: DataFrame) -> DataFrame:
     """(g, mean, cov, inverse, det): location and scatter of the half-spread COVERAGE of each group's rows (g, features).
 
-    Deterministic fast MCD. It begins with medians and scaled median absolute deviations; each concentration step keeps
-    the COVERAGE of a group nearest to the last estimate and estimates again, by which the determinant never grows but
-    through LEAST_SD. Every step is two groupings of all rows with map-side aggregates.
+    Deterministic fast MCD of two starts: medians with scaled median absolute deviations, and the mean and covariance of all.
+    Each concentration step keeps the COVERAGE of a group nearest to the last estimate and estimates again, by which the
+    determinant never grows but through LEAST_SD; of the two ends the one with the lesser determinant is taken. Every step is
+    two groupings of all rows with map-side aggregates; estimates are a few numbers a group.
     """
     p = len(FEATURES)
     reach = _chi2_quantile(COVERAGE, p)
     factor = COVERAGE / _chi2(reach, p + 2)
-    mid = stats.groupBy("g").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"m_{f}") for f in FEATURES))
-    off = stats.join(mid, "g").select("g", *(F.abs(F.col(f) - F.col(f"m_{f}")).alias(f) for f in FEATURES))
+    mid = cut(stats.groupBy("g").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"m_{f}") for f in FEATURES)))
+    groups = mid.count()
+    off = stats.join(small_side(mid, groups), "g").select("g", *(F.abs(F.col(f) - F.col(f"m_{f}")).alias(f) for f in FEATURES))
     mad = off.groupBy("g").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"d_{f}") for f in FEATURES))
-    start = mid.join(mad, "g")
     diagonal = F.array(*((F.col(f"d_{f}") * 1.4826) ** 2 if i == j else F.lit(0.0) for i, f in enumerate(FEATURES) for j in range(p)))
-    estimate = start.select("g", _shape(F.array(*(F.col(f"m_{f}") for f in FEATURES)), diagonal, F.lit(1.0)).alias("s")).select("g", "s.*")
+    robust = mid.join(mad, "g").select("g", _shape(F.array(*(F.col(f"m_{f}") for f in FEATURES)), diagonal, F.lit(1.0)).alias("s")).select("g", "s.*")
+    estimate = robust.withColumn("start", F.lit(0)).unionByName(_moments(stats.withColumn("start", F.lit(1)), 1.0))
     for _ in range(STEPS):
         estimate = cut(estimate)
-        near = stats.join(estimate, "g").select("g", *FEATURES, distance(F.col("mean"), F.col("inverse")).alias("d2"))
-        limit = cut(near.groupBy("g").agg(F.percentile_approx("d2", COVERAGE, 1000).alias("q")))
-        estimate = _moments(near.join(limit, "g").where("d2 <= q"), factor)
-    return cut(estimate)
+        near = stats.join(small_side(estimate, 2 * groups), "g").select("g", "start", *FEATURES, distance(F.col("mean"), F.col("inverse")).alias("d2"))
+        limit = cut(near.groupBy("g", "start").agg(F.percentile_approx("d2", COVERAGE, 1000).alias("q")))
+        estimate = _moments(near.join(small_side(limit, 2 * groups), ["g", "start"]).where("d2 <= q"), factor)
+    best = F.min_by(F.struct("mean", "cov", "inverse", "det"), F.struct("det", "start")).alias("s")
+    return cut(cut(estimate).groupBy("g").agg(best).select("g", "s.*"))
 
 
 def judged(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -186,11 +190,12 @@ def judged(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "
     source than all but TAIL of a normal distribution; the scatter is the robust one, and no statistic is taken for more exact
     than its sampling error at the text's number of words. The estimates come from all texts that pass; groups with fewer than
     LEAST_GROUP of them are judged by the estimate of all. A null language or source is a value like another. A null text
-    has no words, and fails.
+    has no words, and fails. Columns with the names of results are replaced; repeated rows count as often as they stand, and
+    get equal verdicts, as ties do.
     """
     bounded_batches(docs.sparkSession)
     key = F.to_json(F.array(*(F.col(c).cast("string") for c in by)))
-    clash = [c for c in docs.columns if c in ("g", "kept", "d2", *FEATURES)]
+    clash = [c for c in docs.columns if c in ("g", "kept", "d2", "own", "mean", "cov", "base_failed", *COUNTS, *FEATURES)]
     stats = cut(with_features(statistics(docs.drop(*clash).withColumn("g", key), text)))
     good = stats.where(~F.col("base_failed")).select("g", *FEATURES)
     large = good.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_GROUP).select("g", F.col("g").alias("own"))
@@ -199,7 +204,7 @@ def judged(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "
     estimates = robust_estimates(good.join(large, "g").select("g", *FEATURES).unionAll(good.select(F.lit("").alias("g"), *FEATURES)))
     placed = stats.join(large, "g", "left").withColumn("own", F.coalesce("own", F.lit("")))
     estimates = estimates.select(F.col("g").alias("own"), "mean", "cov")
-    placed = placed.join(estimates, "own", "left").withColumn("d2", F.pandas_udf(_row_distances, "double")("mean", "cov", "n_words", *FEATURES))
+    placed = placed.join(small_side(estimates, estimates.count()), "own", "left").withColumn("d2", F.pandas_udf(_row_distances, "double")("mean", "cov", "n_words", *FEATURES))
     limit = _chi2_quantile(1 - TAIL, len(FEATURES))
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= limit)
     return placed.withColumn("kept", kept).drop("own", "g", "mean", "cov", *FEATURES)
