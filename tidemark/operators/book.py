@@ -71,10 +71,12 @@ def mirror_peers(legs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def penalise_shorts(legs: DataFrame, by: list[str], penalty: float = 0.5, purity: float = 0.6) -> DataFrame:
-    """Long less penalised short notional per symbol, where longs are at least ``purity`` of both."""
+    """Long less penalised short notional per symbol, where longs are at least ``purity`` of longs and penalised shorts.
+
+    Legs of a weak basket are left out before, by its signal."""
     g = legs.groupBy(*by, "symbol").agg(F.sum(F.when(F.col("notional") > 0, F.col("notional")).otherwise(0.0)).alias("long"), F.sum(F.when(F.col("notional") < 0, -F.col("notional")).otherwise(0.0)).alias("short"))
     g = g.withColumn("notional", F.col("long") - penalty * F.col("short"))
-    return g.where((F.col("notional") > 0) & (F.col("long") >= purity * (F.col("long") + F.col("short")))).select(*by, "symbol", "notional")
+    return g.where((F.col("notional") > 0) & (F.col("long") >= purity * (F.col("long") + penalty * F.col("short")))).select(*by, "symbol", "notional")
 
 
 def whole_shares(notional: Column, price: Column) -> Column:

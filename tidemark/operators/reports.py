@@ -61,25 +61,33 @@ def probabilistic_sharpe(trades: DataFrame, by: list[str], benchmark: float = 0.
     return m.select(*by, "n", "sharpe", "skew", "kurtosis", phi(z).alias("psr"))
 
 
-def expected_best_sharpe(n: int, deviation: float) -> float:
-    """The largest of n independent Sharpe ratios without skill, expected."""
-    e = 0.5772156649015329
-    return deviation * ((1 - e) * phi_inverse(1 - 1 / n) + e * phi_inverse(1 - 1 / (n * math.e)))
+def expected_best_sharpe(n: int) -> float:
+    """The largest of n independent Sharpe ratios without skill, expected, in their standard deviations; 0 for one."""
+    e = 0.5772156649
+    return 0.0 if n <= 1 else (1 - e) * phi_inverse(min(1 - 1 / n, 0.9999999)) + e * phi_inverse(min(1 - 1 / (n * math.e), 0.9999999))
 
 
-def capital_metrics(trades: DataFrame, by: list[str], total: float) -> DataFrame:
-    """Return on employed capital, use of it, return a trade and a dollar-day, from pnl, capital_per_leg and hold_days."""
-    used = F.sum(2 * F.col("capital_per_leg") * F.col("hold_days"))
-    g = trades.groupBy(*by).agg(F.sum("pnl").alias("pnl"), F.avg(2 * F.col("capital_per_leg")).alias("employed"), used.alias("dollar_days"), F.sum("hold_days").alias("days"), F.avg(F.col("pnl") / (2 * F.col("capital_per_leg"))).alias("per_trade"))
-    return g.select(*by, (F.col("pnl") / F.col("employed")).alias("roec"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("dollar_days") / F.col("days") / total)).alias("utilisation"), (F.col("pnl") / total).alias("rocc"), "per_trade", (F.col("pnl") / F.col("dollar_days")).alias("per_dollar_day"))
+def capital_metrics(trades: DataFrame, by: list[str], total: float, days: int) -> DataFrame:
+    """Profit a dollar-day employed, use of the capital over so many days, their product, and means of the trades' returns.
 
+    A trade deploys twice its capital_per_leg for its hold_days; trades without a finite profit, or without capital or
+    days above 0, don't count."""
+    finite = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")) for c in ("pnl", "capital_per_leg", "hold_days")]
+    good = trades.where(finite[0] & finite[1] & finite[2] & (F.col("capital_per_leg") > 0) & (F.col("hold_days") > 0))
+    deployed = 2 * F.col("capital_per_leg")
+    g = good.groupBy(*by).agg(F.sum("pnl").alias("pnl"), F.sum(deployed * F.col("hold_days")).alias("dollar_days"), F.avg(F.col("pnl") / deployed).alias("per_trade"), F.avg(F.col("pnl") / (deployed * F.col("hold_days"))).alias("per_dollar_day"))
+    roec, use = F.col("pnl") / F.col("dollar_days"), F.least(F.lit(1.0), F.col("dollar_days") / (total * days))
+    return g.select(*by, roec.alias("roec"), use.alias("utilisation"), (roec * use).alias("rocc"), "per_trade", "per_dollar_day")
 
-def kelly(trades: DataFrame, by: list[str], order: list[str], most: float = 0.25) -> DataFrame:
-    """Running posterior win rate with a flat prior, payoff ratio, and the Kelly fraction less a penalty for uncertainty."""
+
+def kelly(trades: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Running posterior win rate from two wins and two losses, payoff ratio, and the Kelly fraction times a factor for its
+    uncertainty: one less four posterior deviations, a fifth at least. A side without trades counts 1; no edge, no stake."""
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     win, loss = F.when(F.col("pnl") > 0, F.col("pnl")), F.when(F.col("pnl") <= 0, -F.col("pnl"))
-    rows = trades.withColumns({"a": 1 + F.count(win).over(w), "b": 1 + F.count(loss).over(w), "payoff": F.avg(win).over(w) / F.avg(loss).over(w)})
+    mean = lambda x: F.coalesce(F.avg(x).over(w), F.lit(1.0))
+    rows = trades.withColumns({"a": 2 + F.count(win).over(w), "b": 2 + F.count(loss).over(w), "payoff": mean(win) / F.greatest(mean(loss), F.lit(1e-10))})
     p = F.col("a") / (F.col("a") + F.col("b"))
     sd = F.sqrt(p * (1 - p) / (F.col("a") + F.col("b") + 1))
-    f = p - sd - (1 - p + sd) / F.col("payoff")
-    return rows.withColumns({"win_rate": p, "fraction": F.greatest(F.lit(0.0), F.least(F.lit(most), F.coalesce(f, F.lit(0.0))))})
+    f = p - (1 - p) / F.col("payoff")
+    return rows.withColumns({"win_rate": p, "fraction": F.when(f <= 0, 0.0).otherwise(F.least(F.lit(1.0), f * F.greatest(F.lit(0.2), 1 - 4 * sd)))})

@@ -10,29 +10,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def affine_scan(rows: DataFrame, key: str, order: str, a: Column, b: Column, out: str, chunk: int = 1024) -> DataFrame:
+WIDTH = 256  # rows of a chunk that are folded in one go
+
+
+def _affine(rows: DataFrame, key: str, levels: int, width: int) -> DataFrame:
+    """(key, n, y): y = a * (y before) + b over rows (key, n, a, b) with n from 0."""
+    steps = rows.withColumn("chunk", F.floor(F.col("n") / width).cast("long")).groupBy(key, "chunk").agg(F.sort_array(F.collect_list(F.struct("n", "a", "b"))).alias("s"))
+    compose = lambda m, x: F.struct((x["a"] * m["a"]).alias("a"), (x["a"] * m["b"] + x["b"]).alias("b"))
+    whole = steps.select(key, "chunk", F.aggregate("s", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), compose).alias("m"))
+    if levels:
+        ends = _affine(whole.select(key, F.col("chunk").alias("n"), "m.a", "m.b"), key, levels - 1, width)
+        starts = ends.select(key, (F.col("n") + 1).alias("chunk"), F.col("y").alias("y0"))
+    else:
+        before = F.collect_list(F.struct("chunk", "m")).over(W.partitionBy(key).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
+        starts = whole.withColumn("before", before).select(key, "chunk", F.aggregate("before", F.lit(0.0), lambda y, x: x["m"]["a"] * y + x["m"]["b"]).alias("y0"))
+    next_y = lambda t, x: x["a"] * F.element_at(t, -1)["y"] + x["b"]
+    seed = F.array(F.struct(F.lit(-1).cast("long").alias("n"), F.coalesce("y0", F.lit(0.0)).alias("y")))
+    trail = F.aggregate("s", seed, lambda t, x: F.concat(t, F.array(F.struct(x["n"].cast("long").alias("n"), next_y(t, x).alias("y")))))
+    values = steps.join(starts, [key, "chunk"], "left").select(key, F.explode(trail).alias("x"))
+    return values.select(key, F.col("x.n").alias("n"), F.col("x.y").alias("y")).where("n >= 0")
+
+
+def affine_scan(rows: DataFrame, key: str, order: str, a: Column, b: Column, out: str, chunk: int = WIDTH, levels: int = 1) -> DataFrame:
     """``out`` = a * (``out`` of the row before) + b, from 0 before the first row of a key.
 
     Maps y -> a y + b compose to maps of the same form, so a key's rows are cut into chunks, each chunk is folded to one
-    map, the few chunk maps of a key are folded in order, and each chunk is run again from its start: a long series is
-    the work of many tasks. Numbering the rows of a key is one window; all else is keyed by (key, chunk).
+    map, the maps are scanned in the same way, ``levels`` times, and each chunk is run again from its start: a long series
+    is the work of many tasks, and no task holds more than a chunk. Numbering a key's rows is one sort; all else is keyed
+    by (key, chunk).
     """
     n = F.row_number().over(W.partitionBy(key).orderBy(order)) - 1
-    rows = rows.withColumns({"__a": a.cast("double"), "__b": b.cast("double")}).withColumn("__n", n)
-    rows = rows.withColumn("__chunk", F.floor(F.col("__n") / chunk).cast("long"))
-    steps = rows.groupBy(key, "__chunk").agg(F.sort_array(F.collect_list(F.struct("__n", "__a", "__b"))).alias("s"))
-    whole = steps.select(key, "__chunk", F.aggregate("s", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), lambda m, x: F.struct((x["__a"] * m["a"]).alias("a"), (x["__a"] * m["b"] + x["__b"]).alias("b"))).alias("m"))
-    before = F.collect_list(F.struct("__chunk", "m")).over(W.partitionBy(key).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1))
-    starts = whole.withColumn("before", before).select(key, "__chunk", F.aggregate("before", F.lit(0.0), lambda y, x: x["m"]["a"] * y + x["m"]["b"]).alias("y0"))
-    trail = F.aggregate(
-        "s", F.struct(F.col("y0").alias("y"), F.array().cast("array<struct<n:int,y:double>>").alias("t")),
-        lambda m, x: F.struct((x["__a"] * m["y"] + x["__b"]).alias("y"), F.concat(m["t"], F.array(F.struct(x["__n"].alias("n"), (x["__a"] * m["y"] + x["__b"]).alias("y")))).alias("t")),
-    )
-    values = steps.join(starts, [key, "__chunk"]).select(key, F.explode(trail["t"]).alias("x")).select(key, F.col("x.n").alias("__n"), F.col("x.y").alias(out))
-    return rows.join(values, [key, "__n"]).drop("__a", "__b", "__n", "__chunk")
-
-
-def ema(rows: DataFrame, key: str, order: str, value: str, alpha: float, out: str, chunk: int = 1024) -> DataFrame:
+    rows = rows.withColumns({"__a": a.cast("double"), "__b": b.cast("double")}).withColumn("__n", n.cast("long"))
+    values = _affine(rows.select(key, F.col("__n").alias("n"), F.col("__a").alias("a"), F.col("__b").alias("b")), key, levels, chunk)
+    return rows.join(values.select(key, F.col("n").alias("__n"), F.col("y").alias(out)), [key, "__n"]).drop("__a", "__b", "__n")
+
+
+def ema(rows: DataFrame, key: str, order: str, value: str, alpha: float, out: str, chunk: int = WIDTH) -> DataFrame:
     """Exponential mean with the first value as its seed."""
     first = F.row_number().over(W.partitionBy(key).orderBy(order)) == 1
     rows = rows.withColumn("__first", first)
@@ -41,7 +54,7 @@ def ema(rows: DataFrame, key: str, order: str, value: str, alpha: float, out: st
     return affine_scan(rows, key, order, a, b, out, chunk).drop("__first")
 
 
-def garch(rows: DataFrame, key: str, order: str, value: str, out: str, omega: float = 1e-6, alpha: float = 0.05, gamma: float = 0.1, beta: float = 0.85, chunk: int = 1024) -> DataFrame:
+def garch(rows: DataFrame, key: str, order: str, value: str, out: str, omega: float = 1e-6, alpha: float = 0.05, gamma: float = 0.1, beta: float = 0.85, chunk: int = WIDTH) -> DataFrame:
     """Volatility whose variance is omega + (alpha + gamma [r < 0]) r^2 + beta * variance, r being the return before.
 
     It begins at the long-run variance, which the first return does not change."""
@@ -54,7 +67,7 @@ def garch(rows: DataFrame, key: str, order: str, value: str, out: str, omega: fl
     return found.withColumn(out, F.sqrt("__variance")).drop("__variance", "__r", "__k")
 
 
-def adx(bars: DataFrame, key: str = "symbol", order: str = "ts", n: int = 14, chunk: int = 1024) -> DataFrame:
+def adx(bars: DataFrame, key: str = "symbol", order: str = "ts", n: int = 14, chunk: int = WIDTH) -> DataFrame:
     """plus_di, minus_di and adx: Wilder means of directional movement over that of the true range, from the second bar on."""
     w = W.partitionBy(key).orderBy(order)
     ph, pl, pc = (F.lag(c).over(w) for c in ("high", "low", "close"))

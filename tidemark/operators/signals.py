@@ -14,32 +14,44 @@ from . import scan
 unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def reversion_score(z: Column, volume: Column, trend_up: Column, holds: Column, entry: float = 2.0, least_volume: float = 1.2) -> tuple[Column, Column]:
-    """(side, score): buys a fall below -entry on volume in an uptrend, sells a holding on a rise above entry."""
-    buy = ~holds & (z < -entry) & (volume >= least_volume) & trend_up
-    sell = holds & (z > entry)
-    score = 0.6 * unit(F.abs(z) / (2 * entry)) + 0.4 * unit(volume / (2 * least_volume))
-    return F.when(buy, "buy").when(sell, "sell"), F.when(buy | sell, score)
+def _vote(buy: Column, buy_score: Column, sell: Column, sell_score: Column, least_buy: float, least_sell: float) -> tuple[Column, Column]:
+    """(side, score): a signal counts if its score is at least the least."""
+    buy, sell = buy & (buy_score >= least_buy), sell & (sell_score >= least_sell)
+    return F.when(buy, "buy").when(sell, "sell"), F.when(buy, buy_score).when(sell, sell_score)
 
 
-def momentum_score(fast_above: Column, adx: Column, plus_di: Column, minus_di: Column, volume: Column, holds: Column, least_adx: float = 20.0) -> tuple[Column, Column]:
-    buy = ~holds & fast_above & (adx >= least_adx) & (plus_di > minus_di) & (volume >= 1.0)
-    sell = holds & (~fast_above | ((adx >= least_adx) & (minus_di > plus_di)))
-    score = 0.5 * unit(adx / 50) + 0.3 * unit(F.abs(plus_di - minus_di) / 30) + 0.2 * unit(volume / 2)
-    return F.when(buy, "buy").when(sell, "sell"), F.when(buy | sell, score)
+def reversion_score(z: Column, volume: Column, trend_up: Column, holds: Column, entry: float = 2.0, least_volume: float = 1.2, least: float = 0.5, percentile: Column | None = None, tail: float = 0.05) -> tuple[Column, Column]:
+    """(side, score): buys a fall of z below -entry on volume in an uptrend, sells a holding on a rise above entry.
 
+    Given the percentile of z among its past, a negative z in the lowest ``tail`` buys instead.
+    """
+    low, depth = (z < -entry, F.abs(-entry - z)) if percentile is None else ((percentile < tail) & (z < 0), F.abs(z))
+    return _vote(low & (volume > least_volume) & ~holds & trend_up, 0.6 * depth + 0.4 * (volume - 1), holds & (z > entry), z - entry, least, least)
 
-def breakout_score(squeeze: Column, percent_b: Column, volume: Column, holds: Column) -> tuple[Column, Column]:
-    buy = ~holds & squeeze & (percent_b > 1) & (volume >= 1.5)
-    sell = holds & (percent_b < 0)
-    score = 0.4 * unit(percent_b - 0.5) + 0.3 * unit(volume / 3) + 0.3 * squeeze.cast("double")
-    return F.when(buy, "buy").when(sell, "sell"), F.when(buy | sell, score)
 
+def momentum_score(fast: Column, slow: Column, atr: Column, adx: Column, plus_di: Column, minus_di: Column, volume: Column, holds: Column, least_adx: float = 20.0, least_volume: float = 0.8, least: float = 0.3) -> tuple[Column, Column]:
+    """(side, score): buys a strong rising trend, sells a holding when the fast mean is no longer above the slow one."""
+    apart = lambda x, flat: F.when(atr > 1e-10, unit(x / atr / 2)).otherwise(flat)
+    buy = ~holds & (fast > slow) & ~F.isnan(adx) & (adx >= least_adx) & (plus_di > minus_di) & (volume >= least_volume)
+    score = 0.5 * unit((adx - least_adx) / 40) + 0.3 * apart(fast - slow, 0.0) + 0.2 * unit((volume - 1) / 2)
+    return _vote(buy, score, holds & ~(fast > slow), apart(slow - fast, 0.5), least, 0.0)
 
-def vwap_score(z: Column, session_bars: Column, holds: Column, entry: float = 2.0, least_bars: int = 30) -> tuple[Column, Column]:
+
+def breakout_score(squeeze: Column, rank: Column, percent_b: Column, width: Column, top: Column, mid: Column, atr: Column, volume: Column, holds: Column, least_volume: float = 1.2, stop: float = 3.0, least: float = 0.3) -> tuple[Column, Column]:
+    """(side, score): buys a close above the band out of a squeeze on volume; sells a holding under the band, or when the
+    channel's middle is more than ``stop`` ranges under its top. ``rank`` is the percentile of the band's width."""
+    strength = F.when(atr > 1e-10, unit((percent_b - 1) * width / atr / 2)).otherwise(0.5)
+    score = 0.4 * unit(1 - rank) + 0.3 * unit((volume - 1) / 2) + 0.3 * strength
+    sell = holds & ((percent_b < 0) | (mid < top - stop * atr))
+    return _vote(~holds & squeeze & (percent_b > 1) & (volume >= least_volume), score, sell, F.greatest(F.lit(0.1), F.least(F.lit(1.0), 1 - percent_b)), least, 0.0)
+
+
+def vwap_score(z: Column, session_bars: Column, volume: Column, holds: Column, entry: float = 2.0, leave: float = 1.5, least_volume: float = 1.0, least_bars: int = 30, least: float = 0.3) -> tuple[Column, Column]:
+    """(side, score): buys at a deviation of -entry or less from the session's VWAP on volume, sells above ``leave``."""
     ready = session_bars >= least_bars
-    buy, sell = ~holds & ready & (z < -entry), holds & ready & (z > 0)
-    return F.when(buy, "buy").when(sell, "sell"), F.when(buy | sell, unit(F.abs(z) / (2 * entry)) * unit(session_bars / (2.0 * least_bars)))
+    quality = F.when(session_bars > 200, 0.5).when(session_bars > 60, 1.0).otherwise(0.3)
+    score = 0.5 * unit(F.abs(z + entry) / 3) + 0.3 * unit((volume - 1) / 2) + 0.2 * quality
+    return _vote(ready & ~holds & ~F.isnan(z) & (z <= -entry) & (volume >= least_volume), score, ready & holds & (z > leave), unit((z - leave) / 2), least, 0.0)
 
 
 def combine(votes: DataFrame, by: list[str], least_net: float = 0.2, least_voters: int = 1) -> DataFrame:
@@ -55,9 +67,14 @@ def combine(votes: DataFrame, by: list[str], least_net: float = 0.2, least_voter
     return g.select(*by, side.alias("side"), net.alias("net"), "voters", F.when(side.isNotNull(), F.col("best")).alias("best"))
 
 
-def exit_reason(price: Column, entry: Column, held: Column, vol: Column, stop: float = 2.5, stop_pct: float = 0.05, take_pct: float = 0.10, longest: int = 60) -> Column:
-    gain = price / entry - 1
-    return F.when(entry - price > stop * vol, "vol_stop").when(gain <= -stop_pct, "stop").when(gain >= take_pct, "take_profit").when(held >= longest, "max_hold")
+def exit_reason(price: Column, entry: Column, held: Column, atr: Column, vol: Column, stop: float = 2.5, stop_pct: float = 0.05, take_pct: float = 0.10, longest: int = 60) -> Column:
+    """Why a long position is left: a stop at ``stop`` times the volatility of returns, or else the mean range; a share of the
+    entry price where neither is known; the profit is reached; it was held too long."""
+    gain = (price - entry) / entry
+    distance = F.when(vol > 0, vol * price).when(atr > 0, atr).otherwise(0.0)
+    stops = (F.lit(stop) > 0) & (distance > 0)
+    stopped = F.when(stops, price < entry - distance * stop).otherwise((F.lit(stop_pct) > 0) & (gain < -stop_pct))
+    return F.when(stopped, F.when(stops, "vol_stop").otherwise("stop")).when((F.lit(take_pct) > 0) & (gain > take_pct), "take_profit").when((F.lit(longest) > 0) & (held >= longest), "max_hold")
 
 
 def sized(price: Column, notional: Column, drawdown: Column, kelly: Column, killed: Column, edge: Column, cost: float = 0.001, most_price: float = 1000.0, most: int = 100) -> tuple[Column, Column]:

@@ -257,13 +257,23 @@ def remaining_per_day(z_entry: Column, sigma: Column, gained: Column, hold: Colu
     return (F.abs(z_entry) * sigma - gained) / F.greatest(hold - held, F.lit(1))
 
 
-def score(p: Column, life: Column, cv: Column, r2: Column) -> Column:
-    """A weighted sum of four parts in [0, 1]: cointegration, half-life, stability of the slope, fit."""
+#: Weights of cointegration, half-life, stability and fit in a pair's score.
+SCORE_WEIGHTS = (0.35, 0.25, 0.25, 0.15)
+
+
+def score(p: Column, life: Column, cv: Column, r2: Column, broken: Column) -> Column:
+    """A weighted sum of four parts in [0, 1]; what is missing scores 0.
+
+    Cointegration falls in a line from 1 at p = 0.01 to 0 at 0.10; a half-life of 2 to 15 days is best, under 1 or over 40
+    it counts nothing; the slope's stability falls from 1 at a variation of 0.05 to 0 at 0.20, and is 0 at a break; the
+    fit is r2.
+    """
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    coint = unit(1 - p / 0.05)
-    speed = F.when(life.isNull(), 0.0).when(life < 5, unit(life / 5)).when(life <= 20, 1.0).otherwise(unit(1 - (life - 20) / 20))
-    stable = unit(1 - F.coalesce(cv, F.lit(1.0)) / 0.35)
-    return 0.35 * coint + 0.25 * speed + 0.25 * stable + 0.15 * unit(F.coalesce(r2, F.lit(0.0)))
+    coint = unit(1 - (p - 0.01) / 0.09)
+    speed = F.when((life >= 1) & (life < 2), life - 1).when((life >= 2) & (life <= 15), 1.0).when((life > 15) & (life <= 40), 1 - (life - 15) / 25).otherwise(0.0)
+    stable = F.when(broken, 0.0).otherwise(unit(1 - (cv - 0.05) / 0.15))
+    parts = zip(SCORE_WEIGHTS, (coint, speed, stable, unit(r2)))
+    return unit(sum((w * F.coalesce(F.when(F.isnan(x), 0.0).otherwise(x), F.lit(0.0)) for w, x in parts), F.lit(0.0)))
 
 
 def validate_pairs(closes: DataFrame, pairs: DataFrame, window: int = 150, history: int = 90, min_r2: float = 0.30, max_p: float = 0.05, life: tuple[float, float] = (1.0, 40.0), min_crossings: float = 12.0) -> DataFrame:
@@ -284,7 +294,7 @@ def validate_pairs(closes: DataFrame, pairs: DataFrame, window: int = 150, histo
         "half_life": ~F.coalesce(F.col("half_life").between(*life), F.lit(False)), "structural_break": F.coalesce("broken", F.lit(True)), "few_crossings": F.coalesce("crossings", F.lit(0.0)) < min_crossings,
     }
     out = out.withColumn("reasons", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in gates.items()))))
-    return out.withColumns({"passed": F.size("reasons") == 0, "score": score(F.coalesce("adf_p", F.lit(1.0)), F.col("half_life"), F.col("beta_cv"), F.col("r2"))})
+    return out.withColumns({"passed": F.size("reasons") == 0, "score": score(F.coalesce("adf_p", F.lit(1.0)), F.col("half_life"), F.col("beta_cv"), F.col("r2"), F.coalesce("broken", F.lit(True)))})
 
 
 def validate_baskets(closes: DataFrame, baskets: DataFrame, as_of: str | None = None, days: int = 180, least: int = 60, max_p: float = 0.05, max_share: float = 0.70, max_centrality: float = 0.90, cost: float = 0.0005, clip: tuple[float, float] = (0.15, 2.5)) -> DataFrame:

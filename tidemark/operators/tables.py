@@ -13,9 +13,9 @@ def clean(x: Column) -> Column:
 
 
 def scan_bars(bars: DataFrame, symbols: list[str], first: str, last: str) -> DataFrame:
-    """Bars of the symbols between two inclusive dates with a usable close; both filters reach the scan."""
-    day = F.to_date("ts")
-    return bars.where(F.col("symbol").isin(*symbols) & (day >= first) & (day <= last) & clean(F.col("close")))
+    """Bars of the symbols between two inclusive dates with a usable close; symbols and bounds of time can be pushed to a scan."""
+    begin, end = F.to_date(F.lit(first)).cast("timestamp"), F.date_add(F.to_date(F.lit(last)), 1).cast("timestamp")
+    return bars.where(F.col("symbol").isin(*symbols) & (F.col("ts") >= begin) & (F.col("ts") < end) & clean(F.col("close")))
 
 
 def in_minutes(bars: DataFrame, first: int, last: int) -> DataFrame:
@@ -53,9 +53,7 @@ def needing_refresh(symbols: DataFrame, covered: DataFrame, expected_day: str) -
 
 def latest_status(events: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:
     """Each key's last non-null value of every column, in event order: an update that keeps what it does not set."""
-    w = W.partitionBy(key).orderBy(at).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    cols = [F.last(v, ignorenulls=True).over(w).alias(v) for v in values]
-    return events.select(key, *cols).distinct()
+    return events.groupBy(key).agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), F.col(at))).alias(v) for v in values))
 
 
 def validate_bars(bars: DataFrame, order: str) -> DataFrame:
@@ -155,11 +153,11 @@ def recent_pairs(closes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
 
 
 def next_after(orders: DataFrame, bars: DataFrame, delay_days: int = 0) -> DataFrame:
-    """Orders (order_id, symbol, day) with the first bar of a later day: one union and one window, no inequality join."""
+    """Orders (order_id, symbol, day) with the first bar of a later day: one union and one pass of a window from the end."""
     o = orders.select("symbol", F.col("day").alias("at"), F.lit(1).alias("kind"), "order_id", F.lit(None).cast("date").alias("fill_day"), F.lit(None).cast("double").alias("price"))
     b = bars.select("symbol", F.date_sub("day", 1 + delay_days).alias("at"), F.lit(2).alias("kind"), F.lit(None).cast("long").alias("order_id"), F.col("day").alias("fill_day"), F.col("close").cast("double").alias("price"))
-    w = W.partitionBy("symbol").orderBy("at", "kind", "order_id").rowsBetween(0, W.unboundedFollowing)
-    first = lambda c: F.first(c, ignorenulls=True).over(w).alias(c)
+    w = W.partitionBy("symbol").orderBy(F.desc("at"), F.desc("kind"), F.desc("order_id")).rowsBetween(W.unboundedPreceding, 0)
+    first = lambda c: F.last(c, ignorenulls=True).over(w).alias(c)
     rows = o.unionByName(b).select("symbol", "kind", "order_id", "at", first("fill_day"), first("price"))
     return rows.where("kind = 1").select("order_id", "symbol", F.col("at").alias("day"), "fill_day", "price")
 

@@ -89,7 +89,7 @@ def _(spark, sf):
     return bk.mirror_peers(legs(spark, sf), ["day"]).select(day(), "target", "symbol", r("notional", 4))
 
 
-@query("p10_short_penalty", BV, f"{LEGS}, gl AS (SELECT day, symbol, sum(greatest(notional, 0)) AS l, sum(greatest(-notional, 0)) AS s FROM lg GROUP BY 1, 2) SELECT day::VARCHAR AS day, symbol, round(l - 0.5 * s, 4) AS notional FROM gl WHERE l - 0.5 * s > 0 AND l >= 0.6 * (l + s)")
+@query("p10_short_penalty", BV, f"{LEGS}, gl AS (SELECT day, symbol, sum(greatest(notional, 0)) AS l, sum(greatest(-notional, 0)) AS s FROM lg GROUP BY 1, 2) SELECT day::VARCHAR AS day, symbol, round(l - 0.5 * s, 4) AS notional FROM gl WHERE l - 0.5 * s > 0 AND l >= 0.6 * (l + 0.5 * s)")
 def _(spark, sf):
     return bk.penalise_shorts(legs(spark, sf), ["day"]).select(day(), "symbol", r("notional", 4))
 
@@ -173,29 +173,36 @@ def _(spark, sf):
     return rp.drawdowns(fx.equity(spark, sf).withColumn("run", F.lit("r")), ["run"]).select(day(), r("peak", 2), r("drawdown", 8))
 
 
-@query("r04_probabilistic_sharpe", "trades", """+ m AS (SELECT pair_id, year(exit_day) AS y, count(*) AS n, avg(pnl) AS a, stddev_samp(pnl) AS s, avg(pnl ** 2) AS m2, avg(pnl ** 3) AS m3, avg(pnl ** 4) AS m4 FROM trades GROUP BY 1, 2), q AS (SELECT *, a / s AS sr, (m3 - 3 * a * m2 + 2 * a ** 3) / s ** 3 AS sk, (m4 - 4 * a * m3 + 6 * a ** 2 * m2 - 3 * a ** 4) / s ** 4 AS ku FROM m), z AS (SELECT *, sr * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr ** 2) AS z, 1 / (1 + 0.2316419 * abs(sr * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr ** 2))) AS t FROM q), p AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) AS tail FROM z)
+PSR = """+ m AS (SELECT pair_id, year(exit_day) AS y, count(*) AS n, avg(pnl) AS a, stddev_samp(pnl) AS s, avg(pnl ** 2) AS m2, avg(pnl ** 3) AS m3, avg(pnl ** 4) AS m4 FROM trades GROUP BY 1, 2), q AS (SELECT *, a / s AS sr, (m3 - 3 * a * m2 + 2 * a ** 3) / s ** 3 AS sk, (m4 - 4 * a * m3 + 6 * a ** 2 * m2 - 3 * a ** 4) / s ** 4 AS ku FROM m), z AS (SELECT *, sr * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr ** 2) AS z, 1 / (1 + 0.2316419 * abs(sr * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr ** 2))) AS t FROM q), p AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) AS tail FROM z)"""
+
+
+@query("r04_probabilistic_sharpe", "trades", PSR + """
 SELECT pair_id, y, n, round(sr, 6) AS sharpe, round(sk, 5) AS skew, round(ku, 5) AS kurtosis, round(CASE WHEN z >= 0 THEN 1 - tail ELSE tail END, 6) AS psr FROM p""")
 def _(spark, sf):
     t = fx.trades(spark, sf).withColumn("y", F.year("exit_day"))
     return rp.probabilistic_sharpe(t, ["pair_id", "y"]).select("pair_id", "y", "n", r("sharpe"), r("skew", 5), r("kurtosis", 5), r("psr"))
 
 
-@query("r05_deflated_sharpe", "trades", None)
+#: The largest Sharpe ratio expected of 20 tries without skill.
+BEST = rp.expected_best_sharpe(20)
+
+
+@query("r05_deflated_sharpe", "trades", PSR.replace("sr * sqrt(n - 1)", f"(sr - {BEST!r}) * sqrt(n - 1)") + " SELECT pair_id, y, n, round(sr, 6) AS sharpe, round(CASE WHEN z >= 0 THEN 1 - tail ELSE tail END, 6) AS dsr FROM p")
 def r05(spark, sf):
     t = fx.trades(spark, sf).withColumn("y", F.year("exit_day"))
-    best = rp.expected_best_sharpe(20, 0.05)
-    return rp.probabilistic_sharpe(t, ["pair_id", "y"], best).withColumn("benchmark", F.lit(best))
+    return rp.probabilistic_sharpe(t, ["pair_id", "y"], BEST).select("pair_id", "y", "n", r("sharpe"), F.round("psr", 6).alias("dsr"))
 
 
-@query("a15_capital_metrics", "trades", "SELECT pair_id, round(sum(pnl) / avg(2 * capital_per_leg), 6) + 0.0 AS roec, round(greatest(0, least(1, sum(2 * capital_per_leg * hold_days) / sum(hold_days) / 1e6)), 6) AS utilisation, round(sum(pnl) / 1e6, 6) + 0.0 AS rocc, round(avg(pnl / (2 * capital_per_leg)), 6) AS per_trade, round(sum(pnl) / sum(2 * capital_per_leg * hold_days), 8) + 0.0 AS per_dollar_day FROM trades GROUP BY 1")
+@query("a15_capital_metrics", "trades", "+ g AS (SELECT pair_id, sum(pnl) AS pnl, sum(2 * capital_per_leg * hold_days) AS dd, avg(pnl / (2 * capital_per_leg)) AS per_trade, avg(pnl / (2 * capital_per_leg * hold_days)) AS per_dollar_day FROM trades WHERE capital_per_leg > 0 AND hold_days > 0 GROUP BY 1) SELECT pair_id, round(pnl / dd, 10) + 0.0 AS roec, round(least(1, dd / (1e8 * 2500)), 6) AS utilisation, round(pnl / dd * least(1, dd / (1e8 * 2500)), 10) + 0.0 AS rocc, round(per_trade, 6) + 0.0 AS per_trade, round(per_dollar_day, 8) + 0.0 AS per_dollar_day FROM g")
 def _(spark, sf):
-    return rp.capital_metrics(fx.trades(spark, sf), ["pair_id"], 1e6).select("pair_id", r("roec"), r("utilisation"), r("rocc"), r("per_trade"), r("per_dollar_day", 8))
+    m = rp.capital_metrics(fx.trades(spark, sf), ["pair_id"], 1e8, 2500)
+    return m.select("pair_id", *((F.round(c, n) + 0.0).alias(c) for c, n in (("roec", 10), ("utilisation", 6), ("rocc", 10), ("per_trade", 6), ("per_dollar_day", 8))))
 
 
 KW = "(PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS UNBOUNDED PRECEDING)"
 
 
-@query("a16_kelly", "trades", f"+ x AS (SELECT trade_id, 1 + count(CASE WHEN pnl > 0 THEN 1 END) OVER {KW} AS a, 1 + count(CASE WHEN pnl <= 0 THEN 1 END) OVER {KW} AS b, avg(CASE WHEN pnl > 0 THEN pnl END) OVER {KW} / avg(CASE WHEN pnl <= 0 THEN -pnl END) OVER {KW} AS payoff FROM trades), p AS (SELECT *, a / (a + b) AS p, sqrt((a / (a + b)) * (1 - a / (a + b)) / (a + b + 1)) AS sd FROM x) SELECT trade_id, round(p, 9) AS win_rate, round(greatest(0, least(0.25, coalesce(p - sd - (1 - p + sd) / payoff, 0))), 6) AS fraction FROM p")
+@query("a16_kelly", "trades", f"+ x AS (SELECT trade_id, 2 + count(CASE WHEN pnl > 0 THEN 1 END) OVER {KW} AS a, 2 + count(CASE WHEN pnl <= 0 THEN 1 END) OVER {KW} AS b, coalesce(avg(CASE WHEN pnl > 0 THEN pnl END) OVER {KW}, 1) / greatest(coalesce(avg(CASE WHEN pnl <= 0 THEN -pnl END) OVER {KW}, 1), 1e-10) AS payoff FROM trades), p AS (SELECT *, a / (a + b) AS p, sqrt((a / (a + b)) * (1 - a / (a + b)) / (a + b + 1)) AS sd FROM x) SELECT trade_id, round(p, 9) AS win_rate, round(CASE WHEN p - (1 - p) / payoff <= 0 THEN 0 ELSE least(1, (p - (1 - p) / payoff) * greatest(0.2, 1 - 4 * sd)) END, 6) AS fraction FROM p")
 def _(spark, sf):
     return rp.kelly(fx.trades(spark, sf), ["pair_id"], ["exit_day", "trade_id"]).select("trade_id", r("win_rate", 9), r("fraction"))
 

@@ -8,51 +8,72 @@ from pyspark.sql import functions as F
 from ..operators import features as ft
 from ..operators import scan, signals as sg, stats
 from . import fixtures as fx
-from .feature_queries import T, TR, WS, ret, win
+from .feature_queries import RANK, T, TR, WS, ret, seeded, win
 from .registry import query
 from .stat_queries import BV, OU, basket_rows
 from .table_queries import day, r, secs
 
-X = f"""+ a AS (SELECT *, {ret(1)} AS r1, {TR} AS tr, volume / avg(volume) {win(32)} AS rv, close > avg(close) {win(64)} AS up, row_number() OVER w % 2 = 0 AS holds, count(*) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sb FROM bars {WS}),
-x AS (SELECT *, round(coalesce(r1 / nullif(stddev_pop(r1) {win(32)}, 0), 0), 4) AS z, avg(close) {win(32)} AS m, stddev_pop(close) {win(32)} AS s, avg(tr) {win(16)} AS atr FROM a), y AS (SELECT *, round(CASE WHEN 4 * s <= 1e-10 THEN 0.5 ELSE (close - m + 2 * s) / (4 * s) END, 4) AS pb FROM x)"""
+X = f"""+ a AS (SELECT *, {ret(1)} AS r1, {TR} AS tr, round(volume / avg(volume) {win(32)}, 4) AS rv, close > avg(close) {win(64)} AS up, row_number() OVER w % 2 = 0 AS holds, count(*) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sb, max(high) {win(32)} AS ch, min(low) {win(32)} AS cl FROM bars {WS}),
+x AS (SELECT *, round(coalesce(r1 / nullif(stddev_pop(r1) {win(32)}, 0), 0), 4) AS z, avg(close) {win(32)} AS m, stddev_pop(close) {win(32)} AS s, avg(tr) {win(16)} AS atr FROM a), y AS (SELECT *, round(CASE WHEN 4 * s <= 1e-10 THEN 0.5 ELSE (close - m + 2 * s) / (4 * s) END, 4) AS pb, list(round(4 * s / m, 6)) {win(64)} AS bl, round(4 * s / m, 6) AS bw FROM x),
+v AS (SELECT *, {RANK.format(l='bl', c='<=', x='bw', n='len(bl)')} AS bp FROM y)"""
 
 
 def scored(spark, sf):
     b = fx.bars(spark, sf).withColumns({"holds": F.row_number().over(W.partitionBy("symbol").orderBy("ts")) % 2 == 0, "sb": F.count("*").over(W.partitionBy("symbol", F.to_date("ts")).orderBy("ts").rowsBetween(W.unboundedPreceding, 0))})
-    for add in (ft.with_returns, ft.with_trend, ft.with_ranges, ft.with_zscore, ft.with_bands):
+    for add in (ft.with_returns, ft.with_trend, ft.with_ranges, ft.with_zscore, ft.with_bands, ft.with_channel):
         b = add(b)
-    return b.withColumns({"z": F.round("return_z", 4), "pb": F.round("percent_b", 4)})
+    b = b.withColumns({"z": F.round("return_z", 4), "pb": F.round("percent_b", 4), "rv": F.round("relative_volume", 4), "bw": F.round("bandwidth", 6)})
+    return b.withColumn("bp", ft.rank_at_most("bw", 64))
 
 
 def unit(x):
     return f"greatest(0.0, least(1.0, {x}))"
 
 
-@query("g01_mean_reversion", "bars", f"{X} SELECT {T}, CASE WHEN NOT holds AND z < -0.5 AND rv >= 0.8 AND up THEN 'buy' WHEN holds AND z > 0.5 THEN 'sell' END AS side, round(CASE WHEN (NOT holds AND z < -0.5 AND rv >= 0.8 AND up) OR (holds AND z > 0.5) THEN 0.6 * {unit('abs(z) / 1.0')} + 0.4 * {unit('rv / 1.6')} END, 6) AS score FROM y")
+def voted(buy, buy_score, sell, sell_score, least_buy, least_sell, source="v"):
+    """SQL of side and score, a signal counting if its score is at least the least."""
+    b, s = f"({buy}) AND round({buy_score}, 6) >= {least_buy}", f"({sell}) AND round({sell_score}, 6) >= {least_sell}"
+    return f" SELECT {T}, CASE WHEN {b} THEN 'buy' WHEN {s} THEN 'sell' END AS side, round(CASE WHEN {b} THEN {buy_score} WHEN {s} THEN {sell_score} END, 6) + 0.0 AS score FROM {source}"
+
+
+def shown(x, vote):
+    side, score = vote
+    return x.select("symbol", secs(), side.alias("side"), (F.round(score, 6) + 0.0).alias("score"))
+
+
+@query("g01_mean_reversion", "bars", X + voted("NOT holds AND z < -0.5 AND rv > 0.8 AND up", "0.6 * abs(-0.5 - z) + 0.4 * (rv - 1)", "holds AND z > 0.5", "z - 0.5", 0.1, 0.1))
+def _(spark, sf):
+    x = scored(spark, sf)
+    return shown(x, sg.reversion_score(F.col("z"), F.col("rv"), F.col("trend_up"), F.col("holds"), 0.5, 0.8, 0.1 - 5e-7))
+
+
+@query("g01_adaptive_reversion", "bars", X + voted("NOT holds AND bp < 0.2 AND z < 0 AND rv > 0.8 AND up", "0.6 * abs(z) + 0.4 * (rv - 1)", "holds AND z > 0.5", "z - 0.5", 0.1, 0.1))
 def _(spark, sf):
+    """The percentile mode, on the percentile of the band's width."""
     x = scored(spark, sf)
-    side, score = sg.reversion_score(F.col("z"), F.col("relative_volume"), F.col("trend_up"), F.col("holds"), 0.5, 0.8)
-    return x.select("symbol", secs(), side.alias("side"), F.round(score, 6).alias("score"))
+    return shown(x, sg.reversion_score(F.col("z"), F.col("rv"), F.col("trend_up"), F.col("holds"), 0.5, 0.8, 0.1 - 5e-7, F.col("bp"), 0.2))
 
 
-@query("g03_breakout", "bars", f"{X} SELECT {T}, CASE WHEN holds AND pb < 0 THEN 'sell' WHEN NOT holds AND s < m AND pb > 1 AND rv >= 1.5 THEN 'buy' END AS side FROM y")
+@query("g03_breakout", "bars", X + voted("NOT holds AND bp < 0.6 AND pb > 1 AND rv >= 0.9", f"0.4 * {unit('1 - bp')} + 0.3 * {unit('(rv - 1) / 2')} + 0.3 * CASE WHEN atr > 1e-10 THEN {unit('(pb - 1) * 4 * s / atr / 2')} ELSE 0.5 END", "holds AND (pb < 0 OR round((ch + cl) / 2 - ch + 1.5 * atr, 6) < 0)", "greatest(0.1, least(1.0, 1 - pb))", 0.1, 0))
 def _(spark, sf):
-    side, _ = sg.breakout_score(F.col("band_std") < F.col("band_mid"), F.col("pb"), F.col("relative_volume"), F.col("holds"))
-    return scored(spark, sf).select("symbol", secs(), side.alias("side"))
+    x = scored(spark, sf)
+    mid = F.round(F.col("channel_mid") - F.col("channel_high") + 1.5 * F.col("atr"), 6)  # against 0, so that sums in another order agree
+    return shown(x, sg.breakout_score(F.col("bp") < 0.6, F.col("bp"), F.col("pb"), F.col("band_upper") - F.col("band_lower"), 1.5 * F.col("atr"), mid, F.col("atr"), F.col("rv"), F.col("holds"), 0.9, 1.5, 0.1 - 5e-7))
 
 
-@query("g04_vwap_reversion", "bars", f"{X} SELECT {T}, CASE WHEN NOT holds AND sb >= 10 AND z < -0.4 THEN 'buy' WHEN holds AND sb >= 10 AND z > 0 THEN 'sell' END AS side, round(CASE WHEN (NOT holds AND sb >= 10 AND z < -0.4) OR (holds AND sb >= 10 AND z > 0) THEN {unit('abs(z) / 0.8')} * {unit('sb / 20.0')} END, 9) AS score FROM y")
+@query("g04_vwap_reversion", "bars", X + voted("NOT holds AND sb >= 10 AND z <= -0.4 AND rv >= 0.8", f"0.5 * {unit('abs(z + 0.4) / 3')} + 0.3 * {unit('(rv - 1) / 2')} + 0.2 * CASE WHEN sb > 200 THEN 0.5 WHEN sb > 60 THEN 1.0 ELSE 0.3 END", "holds AND sb >= 10 AND z > 0.3", unit("(z - 0.3) / 2"), 0.1, 0))
 def _(spark, sf):
-    side, score = sg.vwap_score(F.col("z"), F.col("sb"), F.col("holds"), 0.4, 10)
-    return scored(spark, sf).select("symbol", secs(), side.alias("side"), F.round(score, 9).alias("score"))
+    x = scored(spark, sf)
+    return shown(x, sg.vwap_score(F.col("z"), F.col("sb"), F.col("rv"), F.col("holds"), 0.4, 0.3, 0.8, 10, 0.1 - 5e-7))
 
 
-@query("g02_momentum", "bars", None)
+@query("g02_momentum", "bars", X + f", e AS (SELECT v.*, round(f.y, 6) AS fast, round(l.y, 6) AS slow, row_number() OVER (PARTITION BY v.symbol ORDER BY v.ts) AS k FROM v JOIN {seeded('close', 2 / 11)} f USING (symbol, ts) JOIN {seeded('close', 2 / 31)} l USING (symbol, ts))" + voted("k % 3 <> 0 AND fast > slow AND 20 + abs(z) * 20 >= 25 AND up AND rv >= 0.8", f"0.5 * {unit('(20 + abs(z) * 20 - 25) / 40')} + 0.3 * CASE WHEN atr > 1e-10 THEN {unit('(fast - slow) / atr / 2')} ELSE 0 END + 0.2 * {unit('(rv - 1) / 2')}", "k % 3 = 0 AND NOT fast > slow", f"CASE WHEN atr > 1e-10 THEN {unit('(slow - fast) / atr / 2')} ELSE 0.5 END", 0.1, 0, "e"))
 def g02(spark, sf):
-    b = scan.adx(ft.with_ranges(fx.bars(spark, sf)), chunk=256)
-    b = scan.ema(scan.ema(b, "symbol", "ts", "close", 2 / 11, "fast", 256), "symbol", "ts", "close", 2 / 31, "slow", 256)
-    side, score = sg.momentum_score(F.col("fast") > F.col("slow"), F.col("adx"), F.col("plus_di"), F.col("minus_di"), F.col("relative_volume"), F.lit(False))
-    return b.select("symbol", "ts", side.alias("side"), score.alias("score"))
+    """The trend strength and the two directions are stood in for by |z| and the trend, which have plain SQL."""
+    b = scored(spark, sf).withColumn("k", F.row_number().over(W.partitionBy("symbol").orderBy("ts")))
+    b = scan.ema(scan.ema(b, "symbol", "ts", "close", 2 / 11, "fast"), "symbol", "ts", "close", 2 / 31, "slow")
+    b = b.withColumns({"fast": F.round("fast", 6), "slow": F.round("slow", 6)})
+    return shown(b, sg.momentum_score(F.col("fast"), F.col("slow"), F.col("atr"), 20 + F.abs("z") * 20, F.col("trend_up").cast("int"), F.lit(0), F.col("rv"), F.col("k") % 3 == 0, 25.0, 0.8, 0.1 - 5e-7))
 
 
 @query("g05_vote_combiner", "", """WITH v AS (SELECT user_id, date_trunc('day', ts) AS d, CASE WHEN value > 60 THEN 'buy' WHEN value < 40 THEN 'sell' END AS side, CASE WHEN value > 60 OR value < 40 THEN round(abs(value - 50) / 100, 4) END AS score, CASE event_type WHEN 'click' THEN 2.0 WHEN 'view' THEN 1.0 ELSE 0.5 END AS weight FROM events),
@@ -67,12 +88,14 @@ def _(spark, sf):
 EXIT = "WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS price, (l_extendedprice / l_quantity) * (0.9 + 0.2 * l_tax / 0.08) AS entry, CAST(l_quantity AS INT) AS held FROM lineitem)"
 
 
-@query("g06_exit_rules", "", EXIT + " SELECT l_orderkey, l_linenumber, CASE WHEN entry - price > 2.5 * (price * 0.018) THEN 'vol_stop' WHEN round(price / entry - 1, 6) <= -0.03 THEN 'stop' WHEN round(price / entry - 1, 6) >= 0.06 THEN 'take_profit' WHEN held >= 40 THEN 'max_hold' END AS reason FROM x WHERE abs(price / entry - 0.97) > 1e-6 AND abs(price / entry - 1.06) > 1e-6 AND abs(entry / price - 1.045) > 1e-6")
+@query("g06_exit_rules", "", EXIT + ", y AS (SELECT *, round((price - entry) / entry, 6) AS gain, CASE held % 3 WHEN 0 THEN price * 0.018 WHEN 1 THEN price * 0.012 ELSE 0 END AS dist FROM x WHERE abs(price / entry - 0.97) > 1e-6 AND abs(price / entry - 1.06) > 1e-6 AND abs(entry / price - 1.045) > 1e-6 AND abs(entry / price - 1.03) > 1e-6) SELECT l_orderkey, l_linenumber, CASE WHEN dist > 0 AND price < entry - 2.5 * dist THEN 'vol_stop' WHEN dist = 0 AND gain < -0.03 THEN 'stop' WHEN gain > 0.06 THEN 'take_profit' WHEN held >= 40 THEN 'max_hold' END AS reason FROM y")
 def _(spark, sf):
+    """A third of the positions have a volatility of returns, a third a mean range alone, a third neither."""
     li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), "l_tax", F.col("l_quantity").cast("int").alias("held"))
     li = li.withColumn("entry", F.col("price") * (0.9 + 0.2 * F.col("l_tax").cast("double") / 0.08))
-    li = li.where("abs(price / entry - 0.97) > 1e-6 and abs(price / entry - 1.06) > 1e-6 and abs(entry / price - 1.045) > 1e-6")
-    return li.select("l_orderkey", "l_linenumber", sg.exit_reason(F.col("price"), F.col("entry"), F.col("held"), F.col("price") * 0.018, 2.5, 0.03, 0.06, 40).alias("reason"))
+    li = li.where("abs(price / entry - 0.97) > 1e-6 and abs(price / entry - 1.06) > 1e-6 and abs(entry / price - 1.045) > 1e-6 and abs(entry / price - 1.03) > 1e-6")
+    kind = F.col("held") % 3
+    return li.select("l_orderkey", "l_linenumber", sg.exit_reason(F.col("price"), F.col("entry"), F.col("held"), F.when(kind == 1, F.col("price") * 0.012).otherwise(0.0), F.when(kind == 0, 0.018).otherwise(0.0), 2.5, 0.03, 0.06, 40).alias("reason"))
 
 
 SIZED = "WITH x AS (SELECT o_orderkey AS id, o_totalprice / 200 AS price, (o_orderkey % 20) / 100.0 AS dd, (o_orderkey % 5) / 4.0 AS kelly, o_orderstatus = 'P' AS killed, (o_orderkey % 7) / 1000.0 AS edge FROM orders), y AS (SELECT *, CASE WHEN dd < 0.05 THEN 1.0 WHEN dd < 0.1 THEN 0.5 WHEN dd < 0.15 THEN 0.25 ELSE 0.0 END AS sc FROM x), z AS (SELECT *, CAST(least(100, floor(10000.0 * sc * kelly / price)) AS INT) AS n FROM y)"

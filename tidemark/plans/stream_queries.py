@@ -51,10 +51,10 @@ def _(spark, sf):
     return st.drain(st.windowed(st.stamped(ticks(spark, sf)), "1 day"), "st05").select("symbol", F.to_date("start").cast("string").alias("day"), r("close"))
 
 
-@query("st07_ema", "ticks", f"+ v AS (SELECT symbol, event_id AS ts, value FROM ticks WHERE value > 0 AND event_id % 4 = 0) SELECT symbol, ts AS event_id, round(y, 6) AS ema FROM {seeded('value', 0.2, 'v')}")
+@query("st07_ema", "ticks", f"+ v AS (SELECT symbol, event_id AS ts, value FROM ticks WHERE value > 0) SELECT symbol, ts AS event_id, round(y, 6) AS ema FROM {seeded('value', 0.2, 'v')}")
 def _(spark, sf):
     ema = st.Ema(0.2)
-    rows = ticks(spark, sf).where("event_id % 4 = 0").select("symbol", "event_id", "value")
+    rows = ticks(spark, sf).select("symbol", "event_id", "value")
     out = st.fold_stream(rows, "symbol", "string", ["event_id"], lambda s, x: ema.step(s, x.value), "symbol string, event_id long, value double, ema double")
     return st.drain(out, "st07").select("symbol", "event_id", r("ema"))
 
