@@ -135,3 +135,49 @@ def test_streak_and_latch(spark):
     df = spark.createDataFrame([("a", i, x) for i, x in enumerate([1, 1, 0, 1, 1, 1, 0])], "symbol string, ts long, x int")
     out = df.select("ts", features.streak(F.col("x") == 1, ["symbol"], ["ts"]).alias("s"), scan.latch(F.when(F.col("x") == 0, F.col("ts")), ["symbol"], ["ts"]).alias("l")).orderBy("ts").collect()
     assert [r["s"] for r in out] == [1, 2, 0, 1, 2, 3, 0] and [r["l"] for r in out] == [None, None, 2, 2, 2, 2, 6]
+
+
+def test_pair_score_parts(spark):
+    """Hand-computed: each part alone, and what is missing."""
+    rows = [(0.01, 8.0, 0.05, 0.9, False), (0.055, 1.5, 0.125, 2.0, False), (0.2, 27.5, 0.0, -1.0, True), (0.1, 41.0, 0.3, None, False), (None, None, None, None, True)]
+    df = spark.createDataFrame(rows, "p double, life double, cv double, r2 double, broken boolean")
+    got = [r[0] for r in df.select(stats.score(*(F.col(c) for c in df.columns))).collect()]
+    assert np.allclose(got, [0.35 + 0.25 + 0.25 + 0.135, 0.175 + 0.125 + 0.125 + 0.15, 0.25 * 0.5, 0.0, 0.0])
+
+
+def test_overlay_rule_dwells_confirms_and_scales():
+    rule, state = signals.OverlayRule(), {}
+    assert rule.step(state, False, 0.0, 0.0, 0.0, 1.0) == ("basket", "no_leadership", 0.0)
+    assert rule.step(state, True, 0.0, 0.2, 0.0, 1.0) == ("basket", "healthy", 0.0)
+    assert rule.step(state, True, 0.0, -0.01, 0.06, 0.5) == ("basket", "crowded", 0.0)
+    assert rule.step(state, True, 0.0, 0.01, 0.06, 0.7) == ("sleeve", "weak_basket", 0.5)
+    assert [rule.step(state, False, 0.0, 0.0, 0.12, 0.0) for _ in range(5)] == [("sleeve", "dwell", 0.25)] * 5
+    assert [rule.step(state, x, 0.0, 0.0, 0.0, 0.0)[:2] for x in (False, True, False, False)] == [("sleeve", "active")] * 3 + [("basket", "cleared")]
+    assert rule.step(state, True, 0.2, 0.03, 0.03, 0.9) == ("suppress", "conflict", 0.0)
+    assert [rule.step(state, True, 0.2, 0.0, 0.0, 0.0)[1] for _ in range(6)] == ["dwell"] * 5 + ["active"]
+    assert [rule.step(state, True, 0.05, 0.0, 0.0, 0.0)[:2] for _ in range(2)] == [("suppress", "active"), ("basket", "cleared")]
+    assert rule.step({}, True, 0.1, 0.1, 0.0, 0.85)[:2] == ("sleeve", "spare_room")
+
+
+def test_kelly_and_capital_by_hand(spark):
+    from tidemark.operators import reports
+
+    rows = [("a", 1, 2.0, 10.0, 1.0), ("a", 2, 4.0, 10.0, 2.0), ("a", 3, -1.0, 20.0, 1.0), ("b", 1, -5.0, 10.0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, n long, pnl double, capital_per_leg double, hold_days double")
+    last = {(r["k"], r["n"]): r["fraction"] for r in reports.kelly(df, ["k"], ["n"]).collect()}
+    p, sd = 4 / 7, math.sqrt(4 * 3 / (49 * 8))
+    assert math.isclose(last["a", 3], (p - (1 - p) / 3) * max(0.2, 1 - 4 * sd)) and last["b", 1] == 0
+    got = {r["k"]: r for r in reports.capital_metrics(df, ["k"], 100.0, 10).collect()}
+    assert set(got) == {"a"} and math.isclose(got["a"]["roec"], 5 / 100) and math.isclose(got["a"]["utilisation"], 0.1) and math.isclose(got["a"]["rocc"], 5 / 1000)
+    assert reports.expected_best_sharpe(1) == 0 and 1.8 < reports.expected_best_sharpe(20) < 1.95
+
+
+def test_silence_and_session_basket():
+    import datetime as dt
+
+    alarm, state, at = streams.Silence(10), {}, dt.datetime(2024, 1, 1)
+    assert [alarm.step(state, at + dt.timedelta(seconds=s)) for s in (0, 10, 5, 21, 30)] == [None, None, None, 11, None]
+    basket, state, d = streams.SessionBasket(2, 0.0, 1.0, 0.5, dt.date(2024, 1, 2)), {}, dt.date(2024, 1, 1)
+    assert basket.step(state, d, True, math.e) == (None, None, None) == basket.step(state, d, False, 1.0) and state["position"] == -1
+    d = dt.date(2024, 1, 2)
+    assert basket.step(state, d, False, 1.0) == (None, None, None) and basket.step(state, d, True, 1.0) == (0.0, -1, False)

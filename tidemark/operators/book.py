@@ -162,3 +162,9 @@ def peak_gross(orders: DataFrame, order: str) -> DataFrame:
     daily = rows.groupBy("day").agg(F.sum("delta").alias("delta"))
     run = daily.withColumn("gross", F.sum("delta").over(W.orderBy("day")))
     return run.agg(F.max("gross").alias("peak"))
+
+
+def gated(book: DataFrame, gate: DataFrame) -> DataFrame:
+    """The positive notionals of a long-only book (day, symbol, notional) times the day's exposure scale, 1 where it is unknown."""
+    rows = book.join(gate.select("day", "scale"), "day", "left")
+    return rows.withColumn("notional", F.col("notional") * F.coalesce("scale", F.lit(1.0))).where(F.col("notional") > 0).drop("scale")

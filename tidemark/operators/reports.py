@@ -91,3 +91,11 @@ def kelly(trades: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     sd = F.sqrt(p * (1 - p) / (F.col("a") + F.col("b") + 1))
     f = p - (1 - p) / F.col("payoff")
     return rows.withColumns({"win_rate": p, "fraction": F.when(f <= 0, 0.0).otherwise(F.least(F.lit(1.0), f * F.greatest(F.lit(0.2), 1 - 4 * sd)))})
+
+
+def guardrail(variants: DataFrame, by: str, name: str, current: str) -> DataFrame:
+    """(by, return_gap, drawdown_gap): the current variant's return and drawdown less those of the others' best by return."""
+    own, other = F.col(name) == current, F.col(name) != current
+    pick = lambda c: F.max(F.when(own, F.col(c)))
+    g = variants.groupBy(by).agg((pick("ret") - F.max(F.when(other, F.col("ret")))).alias("return_gap"), (pick("drawdown") - F.max_by("drawdown", F.when(other, F.col("ret")))).alias("drawdown_gap"))
+    return g

@@ -13,45 +13,55 @@ from pyspark.sql import functions as F
 WIDTH = 256  # rows of a chunk that are folded in one go
 
 
-def _affine(rows: DataFrame, key: str, levels: int, width: int) -> DataFrame:
+def _affine(rows: DataFrame, key: list[str], levels: int, width: int) -> DataFrame:
     """(key, n, y): y = a * (y before) + b over rows (key, n, a, b) with n from 0."""
-    steps = rows.withColumn("chunk", F.floor(F.col("n") / width).cast("long")).groupBy(key, "chunk").agg(F.sort_array(F.collect_list(F.struct("n", "a", "b"))).alias("s"))
+    steps = rows.withColumn("chunk", F.floor(F.col("n") / width).cast("long")).groupBy(*key, "chunk").agg(F.sort_array(F.collect_list(F.struct("n", "a", "b"))).alias("s"))
     compose = lambda m, x: F.struct((x["a"] * m["a"]).alias("a"), (x["a"] * m["b"] + x["b"]).alias("b"))
-    whole = steps.select(key, "chunk", F.aggregate("s", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), compose).alias("m"))
+    whole = steps.select(*key, "chunk", F.aggregate("s", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), compose).alias("m"))
     if levels:
-        ends = _affine(whole.select(key, F.col("chunk").alias("n"), "m.a", "m.b"), key, levels - 1, width)
-        starts = ends.select(key, (F.col("n") + 1).alias("chunk"), F.col("y").alias("y0"))
+        ends = _affine(whole.select(*key, F.col("chunk").alias("n"), "m.a", "m.b"), key, levels - 1, width)
+        starts = ends.select(*key, (F.col("n") + 1).alias("chunk"), F.col("y").alias("y0"))
     else:
-        before = F.collect_list(F.struct("chunk", "m")).over(W.partitionBy(key).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
-        starts = whole.withColumn("before", before).select(key, "chunk", F.aggregate("before", F.lit(0.0), lambda y, x: x["m"]["a"] * y + x["m"]["b"]).alias("y0"))
+        before = F.collect_list(F.struct("chunk", "m")).over(W.partitionBy(*key).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
+        starts = whole.withColumn("before", before).select(*key, "chunk", F.aggregate("before", F.lit(0.0), lambda y, x: x["m"]["a"] * y + x["m"]["b"]).alias("y0"))
     next_y = lambda t, x: x["a"] * F.element_at(t, -1)["y"] + x["b"]
     seed = F.array(F.struct(F.lit(-1).cast("long").alias("n"), F.coalesce("y0", F.lit(0.0)).alias("y")))
     trail = F.aggregate("s", seed, lambda t, x: F.concat(t, F.array(F.struct(x["n"].cast("long").alias("n"), next_y(t, x).alias("y")))))
-    values = steps.join(starts, [key, "chunk"], "left").select(key, F.explode(trail).alias("x"))
-    return values.select(key, F.col("x.n").alias("n"), F.col("x.y").alias("y")).where("n >= 0")
+    values = steps.join(starts, [*key, "chunk"], "left").select(*key, F.explode(trail).alias("x"))
+    return values.select(*key, F.col("x.n").alias("n"), F.col("x.y").alias("y")).where("n >= 0")
 
 
-def affine_scan(rows: DataFrame, key: str, order: str, a: Column, b: Column, out: str, chunk: int = WIDTH, levels: int = 1) -> DataFrame:
-    """``out`` = a * (``out`` of the row before) + b, from 0 before the first row of a key.
+def affine_scans(rows: DataFrame, key: str, order: str, maps: dict[str, tuple[Column, Column]], chunk: int = WIDTH, levels: int = 1) -> DataFrame:
+    """For each ``out: (a, b)``: ``out`` = a * (``out`` of the row before) + b, from 0 before the first row of a key.
 
     Maps y -> a y + b compose to maps of the same form, so a key's rows are cut into chunks, each chunk is folded to one
     map, the maps are scanned in the same way, ``levels`` times, and each chunk is run again from its start: a long series
     is the work of many tasks, and no task holds more than a chunk. Numbering a key's rows is one sort; all else is keyed
-    by (key, chunk).
+    by (key, chunk). All outputs are one pass.
     """
-    n = F.row_number().over(W.partitionBy(key).orderBy(order)) - 1
-    rows = rows.withColumns({"__a": a.cast("double"), "__b": b.cast("double")}).withColumn("__n", n.cast("long"))
-    values = _affine(rows.select(key, F.col("__n").alias("n"), F.col("__a").alias("a"), F.col("__b").alias("b")), key, levels, chunk)
-    return rows.join(values.select(key, F.col("n").alias("__n"), F.col("y").alias(out)), [key, "__n"]).drop("__a", "__b", "__n")
+    rows = rows.withColumn("__n", (F.row_number().over(W.partitionBy(key).orderBy(order)) - 1).cast("long"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), a.cast("double").alias("a"), b.cast("double").alias("b")) for i, (a, b) in enumerate(maps.values())))).alias("x")
+    values = _affine(rows.select(key, F.col("__n").alias("n"), each).select(key, "n", "x.*"), [key, "i"], levels, chunk)
+    wide = values.groupBy(key, F.col("n").alias("__n")).agg(*(F.max(F.when(F.col("i") == i, F.col("y"))).alias(out) for i, out in enumerate(maps)))
+    return rows.join(wide, [key, "__n"]).drop("__n")
+
+
+def affine_scan(rows: DataFrame, key: str, order: str, a: Column, b: Column, out: str, chunk: int = WIDTH, levels: int = 1) -> DataFrame:
+    """``affine_scans`` with one output."""
+    return affine_scans(rows, key, order, {out: (a, b)}, chunk, levels)
+
+
+def emas(rows: DataFrame, key: str, order: str, means: dict[str, tuple[str, float]], chunk: int = WIDTH) -> DataFrame:
+    """Exponential means ``out: (value, alpha)``, each with the first value as its seed, in one pass."""
+    rows = rows.withColumn("__first", F.row_number().over(W.partitionBy(key).orderBy(order)) == 1)
+    a = lambda alpha: F.when(F.col("__first"), 0.0).otherwise(1 - alpha)
+    b = lambda value, alpha: F.when(F.col("__first"), F.col(value)).otherwise(alpha * F.col(value))
+    return affine_scans(rows, key, order, {out: (a(alpha), b(value, alpha)) for out, (value, alpha) in means.items()}, chunk).drop("__first")
 
 
 def ema(rows: DataFrame, key: str, order: str, value: str, alpha: float, out: str, chunk: int = WIDTH) -> DataFrame:
     """Exponential mean with the first value as its seed."""
-    first = F.row_number().over(W.partitionBy(key).orderBy(order)) == 1
-    rows = rows.withColumn("__first", first)
-    a = F.when(F.col("__first"), 0.0).otherwise(1 - alpha)
-    b = F.when(F.col("__first"), F.col(value)).otherwise(alpha * F.col(value))
-    return affine_scan(rows, key, order, a, b, out, chunk).drop("__first")
+    return emas(rows, key, order, {out: (value, alpha)}, chunk)
 
 
 def garch(rows: DataFrame, key: str, order: str, value: str, out: str, omega: float = 1e-6, alpha: float = 0.05, gamma: float = 0.1, beta: float = 0.85, chunk: int = WIDTH) -> DataFrame:
@@ -68,17 +78,25 @@ def garch(rows: DataFrame, key: str, order: str, value: str, out: str, omega: fl
 
 
 def adx(bars: DataFrame, key: str = "symbol", order: str = "ts", n: int = 14, chunk: int = WIDTH) -> DataFrame:
-    """plus_di, minus_di and adx: Wilder means of directional movement over that of the true range, from the second bar on."""
+    """plus_di, minus_di and adx: Wilder means of directional movement over that of the true range, from the second bar on.
+
+    They are 0 at the first bar and where the range is none, which leaves the means as they are."""
     w = W.partitionBy(key).orderBy(order)
     ph, pl, pc = (F.lag(c).over(w) for c in ("high", "low", "close"))
-    rows = bars.withColumns({"__up": F.col("high") - ph, "__down": pl - F.col("low"), "__tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc)), "__has": pc.isNotNull()}).where("__has")
-    rows = rows.withColumns({"__plus": F.when((F.col("__up") > F.col("__down")) & (F.col("__up") > 0), F.col("__up")).otherwise(0.0), "__minus": F.when((F.col("__down") > F.col("__up")) & (F.col("__down") > 0), F.col("__down")).otherwise(0.0)})
-    for c in ("__plus", "__minus", "__tr"):
-        rows = ema(rows, key, order, c, 1 / n, f"{c}_s", chunk)
-    rows = rows.where(F.col("__tr_s") >= 1e-10).withColumns({"plus_di": 100 * F.col("__plus_s") / F.col("__tr_s"), "minus_di": 100 * F.col("__minus_s") / F.col("__tr_s")})
+    rows = bars.withColumns({"__k": F.row_number().over(w), "__up": F.col("high") - ph, "__down": pl - F.col("low"), "__tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))})
+    plus = F.when((F.col("__up") > F.col("__down")) & (F.col("__up") > 0), F.col("__up")).otherwise(0.0)
+    minus = F.when((F.col("__down") > F.col("__up")) & (F.col("__down") > 0), F.col("__down")).otherwise(0.0)
+    seeded = lambda x: (F.when(F.col("__k") <= 2, 0.0).otherwise(1 - 1 / n), F.when(F.col("__k") == 1, 0.0).when(F.col("__k") == 2, x).otherwise(x / n))
+    rows = affine_scans(rows, key, order, {"__p": seeded(plus), "__m": seeded(minus), "__t": seeded(F.col("__tr"))}, chunk)
+    moves = (F.col("__k") > 1) & (F.col("__t") >= 1e-10)
+    rows = rows.withColumns({"__moves": moves, "plus_di": F.when(moves, 100 * F.col("__p") / F.col("__t")).otherwise(0.0), "minus_di": F.when(moves, 100 * F.col("__m") / F.col("__t")).otherwise(0.0)})
     total = F.col("plus_di") + F.col("minus_di")
-    rows = rows.withColumn("__dx", F.when(total <= 1e-10, 0.0).otherwise(100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total))
-    return ema(rows, key, order, "__dx", 1 / n, "adx", chunk).drop(*(c for c in ("__up", "__down", "__tr", "__has", "__plus", "__minus", "__plus_s", "__minus_s", "__tr_s", "__dx")))
+    dx = F.when(total <= 1e-10, 0.0).otherwise(100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total)
+    rows = rows.withColumns({"__dx": dx, "__nth": F.count_if(F.col("__moves")).over(w.rowsBetween(W.unboundedPreceding, 0))})
+    a = F.when(~F.col("__moves"), 1.0).when(F.col("__nth") == 1, 0.0).otherwise(1 - 1 / n)
+    b = F.when(~F.col("__moves"), 0.0).when(F.col("__nth") == 1, F.col("__dx")).otherwise(F.col("__dx") / n)
+    out = affine_scan(rows, key, order, a, b, "__adx", chunk).withColumn("adx", F.when(F.col("__moves"), F.col("__adx")).otherwise(0.0))
+    return out.drop("__k", "__up", "__down", "__tr", "__p", "__m", "__t", "__moves", "__dx", "__nth", "__adx")
 
 
 def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[dict, object], tuple], schema: str, start: Callable[[], dict] = dict) -> DataFrame:

@@ -186,22 +186,66 @@ class Leadership:
         return bool(state.get("on"))
 
 
-class OverlayRule:
-    """Chooses one of four modes a day with a dwell time and hysteresis; the sleeve's scale falls with the drawdown."""
+#: The overlay rule's days and limits.
+OVERLAY = {
+    "dwell": 5, "off_days": 2, "conflict_on": 0.15, "conflict_off": 0.05, "weak_return": 0.0, "weak_drawdown": 0.05, "recovered_return": 0.03, "recovered_drawdown": 0.03,
+    "sleeve_return": 0.03, "sleeve_room": 0.70, "spare_return": 0.10, "spare_room": 0.85, "halve_drawdown": 0.05, "quarter_drawdown": 0.10,
+}
+
 
-    MODES = ("none", "suppress", "sleeve", "full")
+class OverlayRule:
+    """Chooses a book's overlay day by day: the basket alone, without shorts, or with a capped long sleeve.
 
-    def __init__(self, dwell: int = 3, up: float = 0.02, down: float = 0.01) -> None:
-        self.dwell, self.up, self.down = dwell, up, down
+    ``step`` takes whether leadership is on, the share of leaders that are held short, the strategy's return and drawdown
+    over 20 days and the room that a sleeve would leave to the basket. A mode once entered is kept for some days; it is
+    left when its cause has been gone for some days in a row. The sleeve is halved or quartered in a drawdown.
+    """
 
-    def step(self, state: dict, lead: float, drawdown: float) -> tuple[str, float]:
-        mode, days = state.get("mode", "none"), state.get("days", self.dwell)
-        edge = self.down if mode in ("sleeve", "full") else self.up
-        want = "full" if lead > 2 * edge else "sleeve" if lead > edge else "suppress" if lead > 0 else "none"
-        if want != mode and days >= self.dwell:
-            mode, days = want, 0
-        state["mode"], state["days"] = mode, days + 1
-        return mode, 1.0 if drawdown < 0.03 else 0.5 if drawdown < 0.06 else 0.25
+    def __init__(self, **limits: float) -> None:
+        self.c = OVERLAY | limits
+
+    def _entry(self, conflict: float, ret: float, drawdown: float, room: float) -> tuple[str, str]:
+        """The mode to go to from the basket alone while leadership is on, and why."""
+        c = self.c
+        weak = ret <= c["weak_return"] or drawdown >= c["weak_drawdown"]
+        if conflict >= c["conflict_on"] and ret >= c["recovered_return"] and drawdown <= c["recovered_drawdown"]:
+            return "suppress", "conflict"
+        if room >= c["sleeve_room"] and (weak or ret <= c["sleeve_return"]):
+            return "sleeve", "weak_basket"
+        if room >= c["spare_room"] and ret <= c["spare_return"] and conflict < c["conflict_on"]:
+            return "sleeve", "spare_room"
+        return "basket", "crowded" if weak else "healthy"
+
+    def _scale(self, mode: str, ret: float, drawdown: float) -> float:
+        if mode != "sleeve":
+            return 0.0
+        if drawdown >= self.c["quarter_drawdown"]:
+            return 0.25
+        return 0.5 if drawdown >= self.c["halve_drawdown"] and ret >= self.c["weak_return"] else 1.0
+
+    def step(self, state: dict, leading: bool, conflict: float, ret: float, drawdown: float, room: float) -> tuple[str, str, float]:
+        """(mode, reason, scale of the sleeve)."""
+        mode = state.get("mode", "basket")
+        if state.get("dwell", 0) > 0:
+            state["dwell"] -= 1
+            reason = "dwell"
+        elif mode == "basket":
+            mode, reason = self._entry(conflict, ret, drawdown, room) if leading else ("basket", "no_leadership")
+            if mode != "basket":
+                state.update(mode=mode, dwell=self.c["dwell"], off=0)
+        else:
+            gone = not leading or (mode == "suppress" and conflict <= self.c["conflict_off"])
+            state["off"] = state.get("off", 0) + 1 if gone else 0
+            reason = "active"
+            if state["off"] >= self.c["off_days"]:
+                mode, reason = "basket", "cleared"
+                state.update(mode=mode, off=0)
+        return mode, reason, self._scale(mode, ret, drawdown)
+
+
+def fixed_overlay(days: DataFrame, picker: str, mode: str) -> DataFrame:
+    """Every day the same mode; a sleeve at its full scale."""
+    return days.withColumns({"picker": F.lit(picker), "mode": F.lit(mode), "scale": F.lit(1.0 if mode == "sleeve" else 0.0)})
 
 
 class PairMachine:

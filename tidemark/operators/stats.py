@@ -268,12 +268,12 @@ def score(p: Column, life: Column, cv: Column, r2: Column, broken: Column) -> Co
     it counts nothing; the slope's stability falls from 1 at a variation of 0.05 to 0 at 0.20, and is 0 at a break; the
     fit is r2.
     """
-    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    unit = lambda x: F.when(x.isNull() | F.isnan(x.cast("double")), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
     coint = unit(1 - (p - 0.01) / 0.09)
     speed = F.when((life >= 1) & (life < 2), life - 1).when((life >= 2) & (life <= 15), 1.0).when((life > 15) & (life <= 40), 1 - (life - 15) / 25).otherwise(0.0)
     stable = F.when(broken, 0.0).otherwise(unit(1 - (cv - 0.05) / 0.15))
     parts = zip(SCORE_WEIGHTS, (coint, speed, stable, unit(r2)))
-    return unit(sum((w * F.coalesce(F.when(F.isnan(x), 0.0).otherwise(x), F.lit(0.0)) for w, x in parts), F.lit(0.0)))
+    return sum((w * x for w, x in parts), F.lit(0.0))
 
 
 def validate_pairs(closes: DataFrame, pairs: DataFrame, window: int = 150, history: int = 90, min_r2: float = 0.30, max_p: float = 0.05, life: tuple[float, float] = (1.0, 40.0), min_crossings: float = 12.0) -> DataFrame:

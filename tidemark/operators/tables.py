@@ -24,6 +24,11 @@ def in_minutes(bars: DataFrame, first: int, last: int) -> DataFrame:
     return bars.where((minute >= first) & (minute < last))
 
 
+def in_range(bars: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows with a time in [start, end)."""
+    return bars.where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
+
+
 def pair_series(bars: DataFrame, a: str, b: str) -> DataFrame:
     """Closes and volumes of two symbols at their common times."""
     side = lambda s, n: bars.where(F.col("symbol") == s).select("ts", F.col("close").alias(f"close_{n}"), F.col("volume").alias(f"volume_{n}"))

@@ -59,8 +59,7 @@ def seeded(value, alpha, source="bars", order="ts"):
 
 @query("f09_ema", "bars", f"SELECT a.symbol, CAST(epoch(a.ts) AS BIGINT) AS t, round(a.y, 6) AS fast, round(b.y, 6) AS slow, round(a.y, 6) > round(b.y, 6) AS above FROM {seeded('close', 2 / 11)} a JOIN {seeded('close', 2 / 31)} b USING (symbol, ts)")
 def _(spark, sf):
-    rows = scan.ema(fx.bars(spark, sf).select("symbol", "ts", "close"), "symbol", "ts", "close", 2 / 11, "fast", 128)
-    rows = scan.ema(rows, "symbol", "ts", "close", 2 / 31, "slow", 128)
+    rows = scan.emas(fx.bars(spark, sf).select("symbol", "ts", "close"), "symbol", "ts", {"fast": ("close", 2 / 11), "slow": ("close", 2 / 31)}, 128)
     return rows.select("symbol", secs(), r("fast"), r("slow"), (F.round("fast", 6) > F.round("slow", 6)).alias("above"))
 
 
@@ -69,14 +68,14 @@ def _(spark, sf):
     return scan.ema(fx.bars(spark, sf).select("symbol", "ts", "close"), "symbol", "ts", "close", 1 / 14, "wilder", 100).select("symbol", secs(), r("wilder"))
 
 
-ADX = f"""+ d AS (SELECT symbol, ts, high - lag(high) OVER w AS up, lag(low) OVER w - low AS down, {TR} AS tr, lag(close) OVER w AS pc FROM bars {WS}),
-e AS (SELECT symbol, ts, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS m, tr FROM d WHERE pc IS NOT NULL),
-s AS (SELECT symbol, ts, 100 * p.y / t.y AS pdi, 100 * m.y / t.y AS mdi FROM {seeded('p', 1 / 14, 'e')} p JOIN {seeded('m', 1 / 14, 'e')} m USING (symbol, ts) JOIN {seeded('tr', 1 / 14, 'e')} t USING (symbol, ts) WHERE t.y >= 1e-10),
-x AS (SELECT *, CASE WHEN pdi + mdi <= 1e-10 THEN 0 ELSE 100 * abs(pdi - mdi) / (pdi + mdi) END AS dx FROM s)
-SELECT symbol, CAST(epoch(ts) AS BIGINT) AS t, round(pdi, 6) AS plus_di, round(mdi, 6) AS minus_di, round(a.y, 6) AS adx FROM x JOIN {seeded('dx', 1 / 14, 'x')} a USING (symbol, ts)"""
+ADX = f"""ad AS (SELECT symbol, ts, high - lag(high) OVER w AS up, lag(low) OVER w - low AS down, {TR} AS tr, lag(close) OVER w AS pc FROM bars {WS}),
+ae AS (SELECT symbol, ts, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS m, tr FROM ad WHERE pc IS NOT NULL),
+di AS (SELECT symbol, ts, 100 * p.y / t.y AS pdi, 100 * m.y / t.y AS mdi FROM {seeded('p', 1 / 14, 'ae')} p JOIN {seeded('m', 1 / 14, 'ae')} m USING (symbol, ts) JOIN {seeded('tr', 1 / 14, 'ae')} t USING (symbol, ts) WHERE t.y >= 1e-10),
+dx AS (SELECT *, CASE WHEN pdi + mdi <= 1e-10 THEN 0 ELSE 100 * abs(pdi - mdi) / (pdi + mdi) END AS dx FROM di),
+adx AS (SELECT b.symbol, b.ts, coalesce(round(pdi, 6), 0) AS plus_di, coalesce(round(mdi, 6), 0) AS minus_di, coalesce(round(a.y, 6), 0) AS adx FROM bars b LEFT JOIN dx USING (symbol, ts) LEFT JOIN {seeded('dx', 1 / 14, 'dx')} a USING (symbol, ts))"""
 
 
-@query("f11_adx", "bars", ADX)
+@query("f11_adx", "bars", f"+ {ADX} SELECT symbol, CAST(epoch(ts) AS BIGINT) AS t, plus_di, minus_di, adx FROM adx")
 def _(spark, sf):
     return scan.adx(fx.bars(spark, sf), chunk=256).select("symbol", secs(), r("plus_di"), r("minus_di"), r("adx"))
 

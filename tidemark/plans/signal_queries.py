@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import features as ft
 from ..operators import scan, signals as sg, stats
 from . import fixtures as fx
-from .feature_queries import RANK, T, TR, WS, ret, seeded, win
+from .feature_queries import ADX, RANK, T, TR, WS, ret, seeded, win
 from .registry import query
 from .stat_queries import BV, OU, basket_rows
 from .table_queries import day, r, secs
@@ -67,13 +67,12 @@ def _(spark, sf):
     return shown(x, sg.vwap_score(F.col("z"), F.col("sb"), F.col("rv"), F.col("holds"), 0.4, 0.3, 0.8, 10, 0.1 - 5e-7))
 
 
-@query("g02_momentum", "bars", X + f", e AS (SELECT v.*, round(f.y, 6) AS fast, round(l.y, 6) AS slow, row_number() OVER (PARTITION BY v.symbol ORDER BY v.ts) AS k FROM v JOIN {seeded('close', 2 / 11)} f USING (symbol, ts) JOIN {seeded('close', 2 / 31)} l USING (symbol, ts))" + voted("k % 3 <> 0 AND fast > slow AND 20 + abs(z) * 20 >= 25 AND up AND rv >= 0.8", f"0.5 * {unit('(20 + abs(z) * 20 - 25) / 40')} + 0.3 * CASE WHEN atr > 1e-10 THEN {unit('(fast - slow) / atr / 2')} ELSE 0 END + 0.2 * {unit('(rv - 1) / 2')}", "k % 3 = 0 AND NOT fast > slow", f"CASE WHEN atr > 1e-10 THEN {unit('(slow - fast) / atr / 2')} ELSE 0.5 END", 0.1, 0, "e"))
+@query("g02_momentum", "bars", X + f", {ADX}, e AS (SELECT v.*, round(f.y, 6) AS fast, round(l.y, 6) AS slow, adx, plus_di, minus_di, row_number() OVER (PARTITION BY v.symbol ORDER BY v.ts) AS k FROM v JOIN {seeded('close', 2 / 11)} f USING (symbol, ts) JOIN {seeded('close', 2 / 31)} l USING (symbol, ts) JOIN adx USING (symbol, ts))" + voted("k % 3 <> 0 AND fast > slow AND adx >= 12 AND plus_di > minus_di AND rv >= 0.8", f"0.5 * {unit('(adx - 12) / 40')} + 0.3 * CASE WHEN atr > 1e-10 THEN {unit('(fast - slow) / atr / 2')} ELSE 0 END + 0.2 * {unit('(rv - 1) / 2')}", "k % 3 = 0 AND NOT fast > slow", f"CASE WHEN atr > 1e-10 THEN {unit('(slow - fast) / atr / 2')} ELSE 0.5 END", 0.1, 0, "e"))
 def g02(spark, sf):
-    """The trend strength and the two directions are stood in for by |z| and the trend, which have plain SQL."""
     b = scored(spark, sf).withColumn("k", F.row_number().over(W.partitionBy("symbol").orderBy("ts")))
-    b = scan.ema(scan.ema(b, "symbol", "ts", "close", 2 / 11, "fast"), "symbol", "ts", "close", 2 / 31, "slow")
-    b = b.withColumns({"fast": F.round("fast", 6), "slow": F.round("slow", 6)})
-    return shown(b, sg.momentum_score(F.col("fast"), F.col("slow"), F.col("atr"), 20 + F.abs("z") * 20, F.col("trend_up").cast("int"), F.lit(0), F.col("rv"), F.col("k") % 3 == 0, 25.0, 0.8, 0.1 - 5e-7))
+    b = scan.adx(scan.emas(b, "symbol", "ts", {"fast": ("close", 2 / 11), "slow": ("close", 2 / 31)}))
+    b = b.withColumns({c: F.round(c, 6) for c in ("fast", "slow", "adx", "plus_di", "minus_di")})
+    return shown(b, sg.momentum_score(F.col("fast"), F.col("slow"), F.col("atr"), F.col("adx"), F.col("plus_di"), F.col("minus_di"), F.col("rv"), F.col("k") % 3 == 0, 12.0, 0.8, 0.1 - 5e-7))
 
 
 @query("g05_vote_combiner", "", """WITH v AS (SELECT user_id, date_trunc('day', ts) AS d, CASE WHEN value > 60 THEN 'buy' WHEN value < 40 THEN 'sell' END AS side, CASE WHEN value > 60 OR value < 40 THEN round(abs(value - 50) / 100, 4) END AS score, CASE event_type WHEN 'click' THEN 2.0 WHEN 'view' THEN 1.0 ELSE 0.5 END AS weight FROM events),
@@ -244,11 +243,28 @@ def g25(spark, sf):
     return scan.fold(sector_days(spark, sf), "sector", ["day"], lambda s, x: (rule.step(s, x.ret, x.breadth),), "sector string, day date, ret double, breadth double, leads boolean")
 
 
-@query("g26_overlay_rule", "closes sectors", None)
+def overlay_days(spark, sf):
+    """What the overlay rule looks at, a row a day of the strategy's equity: return and drawdown over 20 days, and leadership,
+    conflict and room from how the day's trades went."""
+    from ..operators.book import exposure_gate
+
+    d = fx.trades(spark, sf).groupBy(F.col("exit_day").alias("day")).agg((F.count_if(F.col("pnl") > 0) / F.count("*")).alias("won"), (F.count_if(F.col("exit_reason") == "P") / F.count("*")).alias("conflict"))
+    gate = exposure_gate(fx.equity(spark, sf)).select("day", "ret", "drawdown")
+    return d.join(gate, "day").select(F.lit("run").alias("run_id"), "day", (F.col("won") > 0.4).alias("leading"), "conflict", "ret", "drawdown", (0.5 + F.col("won")).alias("room"))
+
+
+@query("g26_overlay_rule", "equity", None)
 def g26(spark, sf):
-    rows = sector_days(spark, sf).groupBy("day").agg(F.max("ret").alias("lead"), F.greatest(F.lit(0.0), -F.min("ret")).alias("drawdown")).select(F.lit("run").alias("run_id"), "day", "lead", "drawdown")
     rule = sg.OverlayRule()
-    return scan.fold(rows, "run_id", ["day"], lambda s, x: rule.step(s, x.lead, x.drawdown), "run_id string, day date, lead double, drawdown double, mode string, scale double")
+    return scan.fold(overlay_days(spark, sf), "run_id", ["day"], lambda s, x: rule.step(s, x.leading, x.conflict, x.ret, x.drawdown, x.room), "run_id string, day date, leading boolean, conflict double, ret double, drawdown double, room double, mode string, reason string, scale double")
+
+
+@query("g27_fixed_overlay", "equity", "SELECT day::VARCHAR AS day, 'fixed' AS picker, 'suppress' AS mode, 0.0 AS scale FROM equity UNION ALL SELECT day::VARCHAR, 'none', 'basket', 0.0 FROM equity")
+def _(spark, sf):
+    """The pickers that always choose the same: one given mode, or the basket alone."""
+    days = overlay_days(spark, sf)
+    out = [sg.fixed_overlay(days, p, m).select(day(), "picker", "mode", "scale") for p, m in (("fixed", "suppress"), ("none", "basket"))]
+    return out[0].unionByName(out[1])
 
 
 @query("g28_f25_exposure_gate", "equity", "+ w AS (SELECT day, equity / first_value(equity) OVER q - 1 AS ret, (max(equity) OVER q - equity) / max(equity) OVER q AS dd, count(*) OVER q AS n FROM equity WINDOW q AS (ORDER BY day ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) SELECT day::VARCHAR AS day, round(ret, 8) AS ret, round(dd, 8) AS drawdown, CASE WHEN n < 21 THEN 1.0 WHEN round(ret, 8) < 0 OR round(dd, 8) > 0.05 THEN 0.0 ELSE 1.0 END::DOUBLE AS scale FROM w")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -62,6 +63,14 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def staged(stream: DataFrame, name: str) -> DataFrame:
+    """A stream over the table that another stream is drained into, for a step that may not follow it in one query."""
+    spark = stream.sparkSession
+    out = shared_path(spark, name)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, f"{name}-progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.readStream.schema(stream.schema).parquet(out)
+
+
 def drain_batches(stream: DataFrame, name: str) -> DataFrame:
     """As ``drain``, by foreachBatch: each batch overwrites its own partition, so a repeated batch changes nothing."""
     spark = stream.sparkSession
@@ -91,3 +100,40 @@ class Ema:
     def step(self, state: dict, x: float) -> tuple[float]:
         state["y"] = x if "y" not in state else (1 - self.alpha) * state["y"] + self.alpha * x
         return (state["y"],)
+
+
+class Silence:
+    """Seconds since a key was last heard where they are more than a limit; rows that are late say nothing."""
+
+    def __init__(self, limit: float) -> None:
+        self.limit = limit
+
+    def step(self, state: dict, ts) -> int | None:
+        newest = state.get("newest")
+        state["newest"] = ts if newest is None or ts > newest else newest
+        silent = 0.0 if newest is None else (ts - newest).total_seconds()
+        return int(silent) if silent > self.limit else None
+
+
+class SessionBasket:
+    """A basket's spread when the closes of all its members are in: log of the target less the mean log of the peers, its z by a
+    fit that is frozen, and the position that a z beyond k sets until the other side does. Days before ``live_from`` move the
+    state and give no rows."""
+
+    def __init__(self, members: int, mean: float, deviation: float, k: float, live_from=None) -> None:
+        self.members, self.mean, self.deviation, self.k, self.live_from = members, mean, deviation, k, live_from
+
+    def step(self, state: dict, day, is_target: bool, close: float) -> tuple[float | None, int | None, bool | None]:
+        open_days = state.setdefault("days", {})
+        own = open_days.setdefault(day, [0, 0.0, 0.0])
+        own[0] += 1
+        own[1 if is_target else 2] += math.log(close)
+        if own[0] < self.members:
+            return None, None, None
+        del open_days[day]
+        z = round((own[1] - own[2] / (self.members - 1) - self.mean) / self.deviation, 6)
+        before = state.get("position", 0)
+        state["position"] = 1 if z < -self.k else -1 if z > self.k else before
+        if self.live_from is not None and day < self.live_from:
+            return None, None, None
+        return z, state["position"], state["position"] != before
