@@ -100,9 +100,9 @@ def pair_z(spreads: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
 
 
 def decayed_exit(z: Column, held: Column, longest: Column, threshold: float = 0.5, floor: float = 0.1) -> Column:
-    """Whether |z| is under a threshold that shrinks in a line to a floor as days are held; max hold goes first."""
-    now = threshold - (threshold - floor) * F.least(F.lit(1.0), held / longest)
-    return F.when(held >= longest, "max_hold").when(F.abs(z) <= now, "reversion")
+    """Whether |z| is under a threshold that shrinks in a line to a floor, no higher than itself, as days are held; max hold goes first."""
+    now = threshold - (threshold - min(floor, threshold)) * F.least(F.lit(1.0), held / longest)
+    return F.when(held >= longest, "max_hold").when(F.abs(z) < now, "reversion")
 
 
 def trade_bps(ret_a: Column, ret_b: Column, beta: Column, side: Column, cost_bps: float = 10.0) -> Column:

@@ -166,7 +166,7 @@ def _(spark, sf):
     return rows.select("target", day(), ft.streak(F.col("over"), ["target"], ["day"]).alias("streak")).where("streak >= 2")
 
 
-@query("g16_decayed_exit", "", "WITH x AS (SELECT o_orderkey AS id, (o_orderkey % 100) / 100.0 AS z, o_orderkey % 23 AS held FROM orders) SELECT id, CASE WHEN held >= 20 THEN 'max_hold' WHEN round(abs(z), 6) <= round(0.5 - 0.4 * least(1.0, held / 20), 6) THEN 'reversion' END AS reason FROM x WHERE abs(abs(z) - (0.5 - 0.4 * held / 20)) > 1e-6")
+@query("g16_decayed_exit", "", "WITH x AS (SELECT o_orderkey AS id, (o_orderkey % 100) / 100.0 AS z, o_orderkey % 23 AS held FROM orders) SELECT id, CASE WHEN held >= 20 THEN 'max_hold' WHEN round(abs(z), 6) < round(0.5 - 0.4 * least(1.0, held / 20), 6) THEN 'reversion' END AS reason FROM x WHERE abs(abs(z) - (0.5 - 0.4 * held / 20)) > 1e-6")
 def _(spark, sf):
     k = F.col("o_orderkey")
     o = fx.table(spark, sf, "orders").select(k.alias("id"), ((k % 100) / 100.0).cast("double").alias("z"), (k % 23).alias("held")).where("abs(abs(z) - (0.5 - 0.4 * held / 20)) > 1e-6")
