@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import words
@@ -109,8 +110,40 @@ class Shards:
         return sorted(p for p in found if checks[p * self.check : (p + 1) * self.check] in self.checks)
 
 
+def _runs(w: words.Words, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """Each run of windows with one anchor: its first word, number of windows and the anchor's hash; and all words' hashes."""
+    h = w.hashes()
+    start, anchor, value, at = words.anchors(h, w.row, k, window - k + 1)
+    new = np.ones(len(start), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    hash_at = np.zeros(len(h), np.uint64)
+    hash_at[at] = value
+    return start[first], np.diff(np.append(first, len(start))), hash_at[anchor[first]], h
+
+
+def shared_anchors(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+    """(doc, keys): for each document its anchors that another document has too; what is around others repeats nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.chunks(batch, "text", 2 * words.CHUNK_BYTES):
+                w = words.split_words(part.column("text"))
+                low, _, key, _ = _runs(w, window, k)
+                row = w.row[low]
+                order = np.lexsort((key, row))
+                new = np.ones(len(order), bool)
+                new[1:] = (key[order][1:] != key[order][:-1]) | (row[order][1:] != row[order][:-1])
+                order = order[new]
+                yield pa.record_batch({"key": pa.array(key[order].view(np.int64)), "doc": part.column("doc").take(pa.array(row[order]))})
+
+    group = W.partitionBy("key")
+    found = docs.mapInArrow(run, "key long, doc long").select("doc", "key", (F.min("doc").over(group) < F.max("doc").over(group)).alias("more"))
+    return found.where("more").groupBy("doc").agg(F.collect_list("key").alias("keys"))
+
+
 def segments(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """For each anchor of a document the run of words that its windows cover, a byte a word.
+    """For each anchor of a document (doc, packed text, keys) among its ``keys`` the run of words that its windows cover, a byte a word.
 
     An anchor is the smallest hash of the k-word shingles of a window, so two equal windows have the same anchor at the
     same place, and meet under its hash. Inside a chunk of texts only the smallest document with a segment is sent; the
@@ -120,20 +153,18 @@ def segments(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.chunks(batch, "text", 2 * words.CHUNK_BYTES):
+            batch = batch.filter(batch.column("keys").is_valid())
+            for part in words.chunks(unpacked(batch), "text", 2 * words.CHUNK_BYTES):
                 w = words.split_words(part.column("text"))
-                h = w.hashes()
-                start, anchor, value, at = words.anchors(h, w.row, k, window - k + 1)
-                if not len(start):
+                low, n, key, h = _runs(w, window, k)
+                own = part.column("keys")
+                in_row = lambda row, x: words.mix(words.mix(row.astype(np.uint64)) ^ x)
+                of = np.repeat(np.arange(part.num_rows), own.value_lengths().to_numpy())
+                meets = np.isin(in_row(w.row[low], key), in_row(of, own.flatten().to_numpy().view(np.uint64)))
+                low, n, key = low[meets], n[meets], key[meets]
+                if not len(low):
                     continue
-                new = np.ones(len(start), bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
-                first = np.flatnonzero(new)
-                low, n = start[first], np.diff(np.append(first, len(start)))
                 high = low + n + window - 1
-                hash_at = np.zeros(len(h), np.uint64)
-                hash_at[at] = value
-                key = hash_at[anchor[first]]
                 doc = part.column("doc").to_numpy()[w.row[low]]
                 pos = low - w.first[w.row[low]]
                 content = words.context_hash(h, low, high)
@@ -144,8 +175,9 @@ def segments(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFram
                 later = np.zeros(len(order), bool)
                 later[order] = doc[order] > smallest
                 data, offsets = words.gather(h.view(np.uint8)[::8], low[~later], high[~later])
-                check = words.shingles(h, w.row, window)[0].view(np.uint8).reshape(-1, 8)[:, :CHECK]
-                checks = words.gather(check, first[~later], (first + n)[~later])
+                whole, at = words.shingles(h, w.row, window)
+                first = np.searchsorted(at, low)
+                checks = words.gather(whole.view(np.uint8).reshape(-1, 8)[:, :CHECK], first[~later], (first + n)[~later])
                 yield pa.record_batch(
                     {"key": pa.array(key[~later].view(np.int64)), "doc": pa.array(doc[~later]), "pos": pa.array(pos[~later]), "n": pa.array(n[~later].astype(np.int32)), "seg": words.binary_array(data, offsets), "checks": words.binary_array(checks[0], checks[1] * CHECK)}
                 )
@@ -211,17 +243,21 @@ def repeated_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", wind
     """(doc, low, high): runs of words, of ``window`` words at least, that also begin in a document with a smaller id.
 
     The reference of a document is all smaller documents. Its shards are dealt by anchor: the segments around an anchor
-    meet in one task, which streams them in document order against bounded automata of those before. Runs may overlap.
+    meet in one task, which streams them in document order against bounded automata of those before. Only anchors of two
+    documents or more are dealt, which a grouping of their hashes finds first. Runs may overlap.
     """
     bounded_batches(docs.sparkSession, 1000)
-    docs = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
+    known = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = segments(docs, window).repartition(parts, "key").sortWithinPartitions("key", "doc")
+    keys, texts = shared_anchors(known, window), packed(docs, text, id)
+    # a left join like that of ``without_spans``, so that both read one shuffle of the texts
+    both = texts.join(keys, texts["id"] == keys["doc"], "left").select(F.col("id").alias("doc"), "text", "keys")
+    found = segments(both, window).repartition(parts, "key").sortWithinPartitions("key", "doc")
     return found.mapInArrow(_match(window), "doc long, low long, high long")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """Documents (id, text) with zstd-compressed texts: a shuffle of them writes two thirds of what its own codec would."""
+def packed(docs: DataFrame, text: str, id: str) -> DataFrame:
+    """Documents as (id, text) with zstd-compressed texts: a shuffle of them writes two thirds of what its own codec would."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=1)
@@ -232,7 +268,7 @@ def packed(docs: DataFrame) -> DataFrame:
                 small.append(None if raw is None else len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True))
             yield pa.record_batch({"id": batch.column("id"), "text": pa.array(small, pa.binary())})
 
-    return docs.select("id", "text").mapInArrow(run, "id long, text binary")
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, text binary")
 
 
 def unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -271,8 +307,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, text: str = "text", id: str
                 yield pa.record_batch({"id": part.column("id"), "n_words": pa.array(count), "n_removed": pa.array(count - kept), "kept": pa.array(texts, pa.string())})
 
     spans = spans.groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    docs = packed(docs)
+    docs = packed(docs, text, id)
     both = docs.join(spans, docs["id"] == spans["doc"], "left").select("id", "text", "spans")
     return both.mapInArrow(run, "id long, n_words long, n_removed long, kept string")
 
