@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,19 +103,24 @@ def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[dict, obje
     """An ordered fold per key for state that no window or scan can carry.
 
     ``step`` takes the key's state and a row and returns what is put after the row's columns named in ``schema``, which
-    begins with the columns of ``rows``. Rows of a key come in order to one task; state does not leave it.
+    begins with the columns of ``rows``. Rows of a key come in order to one task, in Arrow batches, so that a long history
+    never stands in memory; state does not leave the task.
     """
     names = rows.columns
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="mergesort")
-        state, out = start(), []
-        for row in group.itertuples(index=False):
-            out.append(step(state, row))
-        more = [c.split()[0] for c in schema.split(",")][len(names) :]
-        return pd.concat([group.reset_index(drop=True), pd.DataFrame(out, columns=more)], axis=1)
-
-    return rows.groupBy(key).applyInPandas(run, schema)
+    at = names.index(key)
+    more = [c.split()[0] for c in schema.split(",")][len(names) :]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = current = None
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                if state is None or row[at] != current:
+                    state, current = start(), row[at]
+                out.append(step(state, row))
+            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(out, columns=more)], axis=1)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def latch(set_to: Column, by: list[str], order: list[str]) -> Column:

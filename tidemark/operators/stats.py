@@ -73,10 +73,10 @@ def half_life(rows: DataFrame, by: list[str], order: str, value: str, least: int
 
 
 def crossings(rows: DataFrame, by: list[str], order: str, value: str, per_year: int = 252, least: int = 20) -> DataFrame:
-    """Sign changes of the value less its mean, per year."""
+    """Changes of side of the value about its mean, per year; the mean itself is on the upper side."""
     rows = rows.withColumn("__d", F.col(value) - F.avg(value).over(W.partitionBy(*by)))
     before = F.lag("__d").over(W.partitionBy(*by).orderBy(order))
-    rows = rows.withColumn("__x", (F.col("__d") * before < 0).cast("int"))
+    rows = rows.withColumn("__x", ((F.col("__d") >= 0) != (before >= 0)).cast("int"))
     return rows.groupBy(*by).agg(F.when(F.count("*") > least, F.sum("__x") * per_year / F.count("*")).alias("crossings"))
 
 

@@ -113,11 +113,20 @@ def _(spark, sf):
     return rows.select("symbol", secs(), F.round("p", 6).alias("percentile"), ft.regime(F.col("p") > 0.99, F.lit(False), F.col("p")).alias("regime"))
 
 
-@query("f16_cusum", "bars", None)
+CUSUM = f"""+ x AS (SELECT *, CASE WHEN coalesce(lag(close) OVER w, 0) <= 0 THEN 0 ELSE ln(close / lag(close) OVER w) END AS lr, {TR} AS tr, row_number() OVER w AS n FROM bars {WS}),
+y AS (SELECT symbol, ts, n, lr, CASE WHEN close > 0 THEN avg(tr) {win(16)} / close ELSE 0.005 END AS th FROM x),
+fold AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, false AS fired FROM y
+UNION ALL SELECT symbol, n, CASE WHEN hit THEN 0 ELSE u END, CASE WHEN hit THEN 0 ELSE d END, hit
+FROM (SELECT *, u > th OR d < -th AS hit FROM (SELECT y.symbol, y.n, y.th, greatest(0.0, f.up + lr) AS u, least(0.0, f.down + lr) AS d FROM fold f JOIN y ON y.symbol = f.symbol AND y.n = f.n + 1)))
+SELECT {T}, round(lr, 6) + 0.0 AS log_return, round(th, 6) AS threshold, fired FROM fold JOIN y USING (symbol, n)"""
+
+
+@query("f16_cusum", "bars", CUSUM)
 def f16(spark, sf):
     """Trigger where a one-sided sum of log returns passes the mean range of the bar as a share of its close."""
     rows = ft.with_ranges(ft.with_returns(fx.bars(spark, sf))).select("symbol", "ts", "log_return", F.when(F.col("close") > 0, F.col("atr") / F.col("close")).otherwise(0.005).alias("threshold"))
-    return scan.fold(rows, "symbol", ["ts"], lambda s, x: (detectors.cusum_step(s, x.log_return, x.threshold),), "symbol string, ts timestamp, log_return double, threshold double, fired boolean")
+    out = scan.fold(rows, "symbol", ["ts"], lambda s, x: (detectors.cusum_step(s, x.log_return, x.threshold),), "symbol string, ts timestamp, log_return double, threshold double, fired boolean")
+    return out.select("symbol", secs(), r("log_return"), r("threshold"), "fired")
 
 
 GARCH = f"""+ x AS (SELECT *, {ret(1)} AS r1 FROM bars {WS}), g AS (SELECT symbol, list(ts ORDER BY ts) AS ts, list(r1 ORDER BY ts) AS v FROM x GROUP BY 1)

@@ -103,10 +103,10 @@ NEEDS = {"pairs": ["sectors"], "baskets": ["sectors"], "equity": ["trades"]}
 
 
 def with_views(names: str, body: str) -> str:
-    """SQL with the named views before it."""
+    """SQL with the named views before it; one named ``fold`` may refer to itself."""
     order: list[str] = []
     for n in names.split():
         for m in [*NEEDS.get(n, []), n]:
             if m not in order:
                 order.append(m)
-    return "WITH " + ", ".join(CTE[n] for n in order) + (", " if body.lstrip().startswith("+") else " ") + body.lstrip().removeprefix("+")
+    return ("WITH RECURSIVE " if "fold AS (SELECT" in body else "WITH ") + ", ".join(CTE[n] for n in order) + (", " if body.lstrip().startswith("+") else " ") + body.lstrip().removeprefix("+")

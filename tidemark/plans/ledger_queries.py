@@ -16,7 +16,7 @@ from . import fixtures as fx
 from .book_queries import BOOK, LEGS, legs, target_book
 from .feature_queries import ret
 from .registry import query
-from .stat_queries import BV, BY, ROWS, TLS, V, pair_rows, spreads
+from .stat_queries import BV, BY, ROWS, SPREAD, TLS, V, pair_rows, spreads
 from .table_queries import day, r
 
 EVENTS = "WITH e AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'entry' ELSE 'exit' END AS kind, o_orderkey AS w, round(o_totalprice, 2) AS price FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY k, kind ORDER BY w) AS n FROM e)"
@@ -59,7 +59,7 @@ def _(spark, sf):
     return b.groupBy("day").agg(F.round(F.sum(F.when((F.col("notional") < 0) & F.col("leads"), -F.col("notional")).otherwise(0.0)) / F.sum(F.abs("notional")), 6).alias("conflict")).select(day(), "conflict")
 
 
-@query("a21_metric_distribution", "ticks", None)
+@query("a21_metric_distribution", "ticks", "SELECT symbol, count(*) AS n, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM ticks GROUP BY 1")
 def a21(spark, sf):
     return lg.distribution(fx.ticks(spark, sf), ["symbol"], "value")
 
@@ -87,19 +87,20 @@ def _(spark, sf):
     return rows.select("trade_id", lg.should_rotate(F.col("pnl"), F.round(F.col("pnl") / 1e5, 6), F.round(F.col("best"), 6), 0.5).alias("rotate"))
 
 
-@query("t23_beta_refresh", V, None)
+@query("t23_beta_refresh", V, f"{ROWS}, {TLS}, g AS (SELECT leg_a, leg_b, beta, n >= 30 AND vy > 0 AND 1 - (vy - 2 * beta * c + beta * beta * vx) / vy >= 0.3 AND abs(beta) <= 5 AS good FROM f) SELECT leg_a, leg_b, round(CASE WHEN good THEN beta ELSE 1 END, 4) AS beta, coalesce(good, false) AS refreshed FROM pairs LEFT JOIN g USING (leg_a, leg_b)")
 def t23(spark, sf):
     """New slopes where the fit is sound, else the old one."""
     fit = stats.tls(pair_rows(spark, sf), BY, "x", "y")
     good = (F.col("n") >= 30) & (F.col("r2") >= 0.30) & (F.abs("beta") <= 5)
-    return fx.candidates(spark, sf).join(fit, BY, "left").select(*BY, F.coalesce(F.when(good, F.col("beta")), F.lit(1.0)).alias("beta"), F.coalesce(good, F.lit(False)).alias("refreshed"))
+    return fx.candidates(spark, sf).join(fit, BY, "left").select(*BY, r(F.coalesce(F.when(good, F.col("beta")), F.lit(1.0)), 4, "beta"), F.coalesce(good, F.lit(False)).alias("refreshed"))
 
 
-@query("t24_t25_compute_z", V, None)
+@query("t24_t25_compute_z", V, f"{SPREAD}, g AS (SELECT leg_a, leg_b, avg(spread) AS mean, stddev_samp(spread) AS std, max_by(spread, k) AS last FROM s GROUP BY 1, 2) SELECT leg_a, leg_b, round(mean, 3) AS mean, round(std, 4) AS std, round(CASE WHEN std > 1e-12 THEN (last - mean) / std END, 4) AS z FROM g")
 def t24(spark, sf):
     s = spreads(spark, sf)
     g = s.groupBy(*BY).agg(F.avg("spread").alias("mean"), F.stddev_samp("spread").alias("std"), F.max_by("spread", "k").alias("last"))
-    return g.withColumn("z", F.when(F.col("std") > 1e-12, (F.col("last") - F.col("mean")) / F.col("std")))
+    z = F.when(F.col("std") > 1e-12, (F.col("last") - F.col("mean")) / F.col("std"))
+    return g.select(*BY, r("mean", 3), r("std", 4), r(z, 4, "z"))
 
 
 @query("g17_net_bps", "", "SELECT l_orderkey, l_linenumber, round((CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END) * (l_tax - 0.8 * l_discount) / 1.8 * 1e4 - 10, 4) AS bps FROM lineitem")

@@ -116,16 +116,32 @@ def _(spark, sf):
     return sg.kill_flags(fx.trades(spark, sf), 100000, ["pair_id", "exit_day"], ["trade_id"]).select("trade_id", "pair_id", r("day_pnl", 2), "killed")
 
 
-@query("g09_g10_signal_fold", "bars", None)
+SINGLE = f"""+ q AS (SELECT *, {ret(1)} AS r1, row_number() OVER w AS n FROM bars {WS}), o AS (SELECT symbol, ts, n, close, n >= 64 AS warm, CASE WHEN stddev_pop(r1) {win(32)} <= 1e-10 THEN 0 ELSE r1 / stddev_pop(r1) {win(32)} END AS z FROM q),
+fold AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS entry, 0 AS held, CAST(NULL AS VARCHAR) AS side, CAST(NULL AS VARCHAR) AS reason FROM o
+UNION ALL SELECT symbol, n, CASE WHEN was IS NULL THEN CASE WHEN why IS NOT NULL THEN close END WHEN why IS NULL THEN was END, CASE WHEN was IS NULL THEN 0 ELSE held END, CASE WHEN why IS NULL THEN NULL WHEN was IS NULL THEN 'buy' ELSE 'sell' END, why
+FROM (SELECT *, CASE WHEN was IS NULL THEN CASE WHEN warm AND z < -1 AND close > 0 THEN 'signal' END WHEN close / was - 1 <= -0.05 THEN 'stop' WHEN close / was - 1 >= 0.1 THEN 'take_profit' WHEN held >= 60 THEN 'max_hold' WHEN z > 1 AND held >= 2 THEN 'signal' END AS why
+FROM (SELECT o.symbol, o.n, o.close, o.warm, o.z, f.entry AS was, f.held + 1 AS held FROM fold f JOIN o ON o.symbol = f.symbol AND o.n = f.n + 1)))
+SELECT {T}, side, reason, CAST(entry IS NOT NULL AS INT) AS holds FROM fold JOIN o USING (symbol, n)"""
+
+
+@query("g09_g10_signal_fold", "bars", SINGLE)
 def g09(spark, sf):
     rows = ft.with_warm_up(ft.with_zscore(ft.with_returns(fx.bars(spark, sf))), 64).select("symbol", "ts", "close", "return_z", "warmed_up")
     machine = sg.SingleMachine()
-    return scan.fold(rows, "symbol", ["ts"], lambda s, x: machine.step(s, x.close, x.return_z, x.warmed_up), "symbol string, ts timestamp, close double, return_z double, warmed_up boolean, side string, reason string, holds int")
+    out = scan.fold(rows, "symbol", ["ts"], lambda s, x: machine.step(s, x.close, x.return_z, x.warmed_up), "symbol string, ts timestamp, close double, return_z double, warmed_up boolean, side string, reason string, holds int")
+    return out.select("symbol", secs(), "side", "reason", "holds")
+
+
+AVERAGE = """WITH RECURSIVE o AS (SELECT p_brand AS symbol, l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE -1 END * CAST(l_quantity AS DOUBLE) AS qty, CAST(l_extendedprice / l_quantity AS DOUBLE) AS price, row_number() OVER (PARTITION BY p_brand ORDER BY CAST(l_shipdate AS DATE), l_orderkey, l_linenumber) AS n FROM lineitem JOIN part ON l_partkey = p_partkey),
+fold AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS q, 0.0::DOUBLE AS p, 0.0::DOUBLE AS gain FROM o
+UNION ALL SELECT o.symbol, o.n, q + qty, CASE WHEN q * qty >= 0 THEN CASE WHEN q + qty = 0 THEN 0 ELSE (q * p + qty * price) / (q + qty) END WHEN abs(qty) > abs(q) THEN price WHEN abs(qty) < abs(q) THEN p ELSE 0 END, CASE WHEN q * qty >= 0 THEN 0 ELSE least(abs(q), abs(qty)) * sign(q) * (price - p) END
+FROM fold f JOIN o ON o.symbol = f.symbol AND o.n = f.n + 1)
+SELECT symbol, l_orderkey, l_linenumber, q AS held, round(p, 4) + 0.0 AS average, round(gain, 3) + 0.0 AS realised FROM fold JOIN o USING (symbol, n)"""
 
 
-@query("g11_g12_average_cost", "", None)
+@query("g11_g12_average_cost", "", AVERAGE)
 def g11(spark, sf):
-    """Signed quantity, average price and realised profit over fills by symbol."""
+    """Signed quantity, average price and realised profit over fills by symbol; odd lines buy, even ones sell."""
 
     def step(state, x):
         q, p = state.get("q", 0.0), state.get("p", 0.0)
@@ -139,10 +155,11 @@ def g11(spark, sf):
         state["q"], state["p"] = q + x.qty, p
         return state["q"], p, gain
 
-    li = fx.lines(spark, sf).where("l_returnflag <> 'N'")
-    qty = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity")).cast("double")
+    li = fx.lines(spark, sf)
+    qty = F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity")).otherwise(-F.col("l_quantity")).cast("double")
     rows = li.select(F.col("p_brand").alias("symbol"), "l_shipdate", "l_orderkey", "l_linenumber", qty.alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price")).withColumn("l_shipdate", F.to_date("l_shipdate"))
-    return scan.fold(rows, "symbol", ["l_shipdate", "l_orderkey", "l_linenumber"], step, "symbol string, l_shipdate date, l_orderkey long, l_linenumber int, qty double, price double, held double, average double, realised double")
+    out = scan.fold(rows, "symbol", ["l_shipdate", "l_orderkey", "l_linenumber"], step, "symbol string, l_shipdate date, l_orderkey long, l_linenumber int, qty double, price double, held double, average double, realised double")
+    return out.select("symbol", "l_orderkey", "l_linenumber", "held", r("average", 4), r("realised", 3))
 
 
 SPW = "(PARTITION BY target ORDER BY day ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)"
@@ -199,10 +216,20 @@ def _(spark, sf):
     return basket_positions(spark, sf).select("target", day(), "z", "position")
 
 
-@query("g22_rolling_policy", BV, None)
+POLICY = f"""{OU}, zz AS (SELECT target, day, row_number() OVER v AS n, count(*) OVER c AS past, avg(spread) OVER c AS m, stddev_pop(spread) OVER c AS s, spread FROM sp WINDOW v AS (PARTITION BY target ORDER BY day), c AS (PARTITION BY target ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+e AS (SELECT target, day, n, CASE WHEN past >= 2 THEN CASE WHEN s > 1e-10 THEN (spread - m) / s ELSE 0 END END AS z FROM zz),
+fold AS (SELECT DISTINCT target, CAST(0 AS BIGINT) AS n, 0 AS side, 0 AS run, 0 AS position FROM e
+UNION ALL SELECT target, n, side, run, CASE WHEN z IS NULL THEN position WHEN position <> 0 AND abs(z) < 0.5 THEN 0 WHEN side <> 0 AND side <> position AND run >= 2 THEN side ELSE position END
+FROM (SELECT target, n, z, position, CASE WHEN z IS NULL THEN was ELSE side END AS side, CASE WHEN z IS NULL THEN run WHEN side = 0 THEN 0 WHEN side = was THEN run + 1 ELSE 1 END AS run
+FROM (SELECT e.target, e.n, e.z, f.position, f.run, f.side AS was, CASE WHEN e.z > 1.5 THEN -1 WHEN e.z < -1.5 THEN 1 ELSE 0 END AS side FROM fold f JOIN e ON e.target = f.target AND e.n = f.n + 1)))
+SELECT target, day::VARCHAR AS day, round(z, 5) + 0.0 AS score, position FROM fold JOIN e USING (target, n)"""
+
+
+@query("g22_rolling_policy", BV, POLICY)
 def g22(spark, sf):
     policy = sg.RollingScore(confirm=2)
-    return scan.fold(basket_rows(spark, sf).select("target", "day", "spread"), "target", ["day"], lambda s, x: policy.step(s, x.spread), "target string, day date, spread double, score double, position int")
+    out = scan.fold(basket_rows(spark, sf).select("target", "day", "spread"), "target", ["day"], lambda s, x: policy.step(s, x.spread), "target string, day date, spread double, score double, position int")
+    return out.select("target", day(), r("score", 5), "position")
 
 
 @query("g23_transitions", BV, f"{ZS}, t AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY target ORDER BY day), 0) AS b FROM pos) SELECT target, day::VARCHAR AS day, position, CASE WHEN b = 0 THEN CASE WHEN position > 0 THEN 'open_long' ELSE 'open_short' END WHEN position = 0 THEN 'close' ELSE 'flip' END AS reason FROM t WHERE position <> b")
@@ -237,10 +264,18 @@ def _(spark, sf):
     return s.where("n = 5").select("sector", day(), r("ret_5"), r("breadth_5"))
 
 
-@query("g25_leadership_fold", "closes sectors", None)
+LEADS = f"""{SECT}, o AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY day) AS n FROM sd),
+fold AS (SELECT DISTINCT sector, CAST(0 AS BIGINT) AS n, 0 AS run, 0 AS days, false AS leads FROM o
+UNION ALL SELECT sector, n, run, CASE WHEN leads THEN days + 1 WHEN run >= 2 THEN 0 ELSE days END, CASE WHEN leads THEN NOT (days + 1 >= 3 AND ret <= 0 AND breadth <= 0.5) ELSE run >= 2 END
+FROM (SELECT o.sector, o.n, o.ret, o.breadth, f.days, f.leads, CASE WHEN o.ret > 0 AND o.breadth > 0.5 THEN f.run + 1 ELSE 0 END AS run FROM fold f JOIN o ON o.sector = f.sector AND o.n = f.n + 1))
+SELECT sector, day::VARCHAR AS day, round(ret, 6) + 0.0 AS ret, round(breadth, 6) AS breadth, leads FROM fold JOIN o USING (sector, n)"""
+
+
+@query("g25_leadership_fold", "closes sectors", LEADS)
 def g25(spark, sf):
     rule = sg.Leadership()
-    return scan.fold(sector_days(spark, sf), "sector", ["day"], lambda s, x: (rule.step(s, x.ret, x.breadth),), "sector string, day date, ret double, breadth double, leads boolean")
+    out = scan.fold(sector_days(spark, sf), "sector", ["day"], lambda s, x: (rule.step(s, x.ret, x.breadth),), "sector string, day date, ret double, breadth double, leads boolean")
+    return out.select("sector", day(), r("ret"), r("breadth"), "leads")
 
 
 def overlay_days(spark, sf):

@@ -39,10 +39,16 @@ def _(spark, sf):
     return stats.tls(rows, BY, "x", "y").join(some, BY, "left_semi").select(*BY, "n", r("beta", 4), r("alpha", 3))
 
 
-@query("t03_ols_many", "", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+MANY = """WITH x AS (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+m AS (SELECT l_returnflag, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, count(*) * var_pop(a) AS aa, count(*) * var_pop(b) AS bb, count(*) * covar_pop(a, b) AS ab, count(*) * covar_pop(y, a) AS ya, count(*) * covar_pop(y, b) AS yb, count(*) * var_pop(y) AS yy FROM x GROUP BY 1),
+c AS (SELECT *, aa * bb - ab * ab AS det, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS ca, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS cb FROM m)
+SELECT l_returnflag, n, round(my - ca * ma - cb * mb, 2) AS intercept, round(ca, 4) AS per_quantity, round(cb, 2) AS per_discount, round(sqrt((yy - ca * ya - cb * yb) / (n - 3) * bb / det), 4) AS quantity_error, round(sqrt((yy - ca * ya - cb * yb) / (n - 3) * aa / det), 2) AS discount_error FROM c"""
+
+
+@query("t03_ols_many", "", MANY)
 def _(spark, sf):
     rows = fx.table(spark, sf, "lineitem").select("l_returnflag", *(F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_extendedprice")))
-    return stats.ols_many(rows, ["l_returnflag"], ["l_quantity", "l_discount"], "l_extendedprice").where("size(coefficients) = 3 and forall(errors, e -> e > 0)").select("l_returnflag", "n")
+    return stats.ols_many(rows, ["l_returnflag"], ["l_quantity", "l_discount"], "l_extendedprice").select("l_returnflag", "n", r(F.col("coefficients")[0], 2, "intercept"), r(F.col("coefficients")[1], 4, "per_quantity"), r(F.col("coefficients")[2], 2, "per_discount"), r(F.col("errors")[1], 4, "quantity_error"), r(F.col("errors")[2], 2, "discount_error"))
 
 
 @query("t04_t06_adf", V, None)
@@ -62,7 +68,7 @@ def _(spark, sf):
     return out.select(*BY, "n", r("phi", 5), F.when(F.col("phi") > 0.02, F.round("half_life", 3)).alias("half_life"))
 
 
-@query("t08_crossings", V, f"{SPREAD}, d AS (SELECT *, spread - avg(spread) OVER (PARTITION BY leg_a, leg_b) AS d FROM s), c AS (SELECT leg_a, leg_b, d * lag(d) OVER (PARTITION BY leg_a, leg_b ORDER BY k) < 0 AS x FROM d) SELECT leg_a, leg_b, round(CASE WHEN count(*) > 20 THEN count(*) FILTER (WHERE x) * 252 / count(*) END, 6) AS crossings FROM c GROUP BY 1, 2")
+@query("t08_crossings", V, f"{SPREAD}, d AS (SELECT *, spread - avg(spread) OVER (PARTITION BY leg_a, leg_b) AS d FROM s), c AS (SELECT leg_a, leg_b, (d >= 0) <> (lag(d) OVER (PARTITION BY leg_a, leg_b ORDER BY k) >= 0) AS x FROM d) SELECT leg_a, leg_b, round(CASE WHEN count(*) > 20 THEN count(*) FILTER (WHERE x) * 252 / count(*) END, 6) AS crossings FROM c GROUP BY 1, 2")
 def _(spark, sf):
     return stats.crossings(spreads(spark, sf), BY, "k", "spread").select(*BY, r("crossings"))
 
@@ -161,7 +167,16 @@ def t32(spark, sf):
     return out
 
 
-@query("t33_kalman_hedge", V, None)
+KALMAN = f"""{ROWS}, o AS (SELECT leg_a || '/' || leg_b AS pair_id, k, x, y, row_number() OVER (PARTITION BY leg_a, leg_b ORDER BY k) AS i FROM x),
+fold AS (SELECT DISTINCT pair_id, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 1.0::DOUBLE AS p00, 0.0::DOUBLE AS p01, 1.0::DOUBLE AS p11, 0 AS n, false AS ready FROM o
+UNION ALL SELECT pair_id, i, CASE WHEN off THEN 0 ELSE a END, CASE WHEN off THEN 1 ELSE b END, CASE WHEN off THEN 1 ELSE p00 - k0 * (p00 + x * p01) END, CASE WHEN off THEN 0 ELSE p01 - k0 * (p01 + x * p11) END, CASE WHEN off THEN 1 ELSE p11 - k1 * (p01 + x * p11) END, CASE WHEN off THEN 0 ELSE n + 1 END, NOT off AND n + 1 >= 10
+FROM (SELECT pair_id, i, x, n, p00, p01, p11, k0, k1, a + k0 * e AS a, b + k1 * e AS b, abs(b + k1 * e) >= 5 AS off
+FROM (SELECT *, (p00 + x * p01) / (p00 + 2 * x * p01 + x * x * p11 + 1e-3) AS k0, (p01 + x * p11) / (p00 + 2 * x * p01 + x * x * p11 + 1e-3) AS k1, y - a - b * x AS e
+FROM (SELECT o.pair_id, o.i, o.x, o.y, f.a, f.b, f.n, f.p00 + 1e-5 AS p00, f.p01, f.p11 + 1e-5 AS p11 FROM fold f JOIN o ON o.pair_id = f.pair_id AND o.i = f.i + 1))))
+SELECT pair_id, k, round(a, 5) + 0.0 AS alpha, round(b, 5) + 0.0 AS beta, ready FROM fold JOIN o USING (pair_id, i)"""
+
+
+@query("t33_kalman_hedge", V, KALMAN)
 def t33(spark, sf):
     rows = pair_rows(spark, sf).select(F.concat_ws("/", *BY).alias("pair_id"), "k", "x", "y")
-    return scan.fold(rows, "pair_id", ["k"], lambda s, row: detectors.kalman_step(s, row.x, row.y), "pair_id string, k int, x double, y double, alpha double, beta double, ready boolean")
+    return scan.fold(rows, "pair_id", ["k"], lambda s, row: detectors.kalman_step(s, row.x, row.y), "pair_id string, k int, x double, y double, alpha double, beta double, ready boolean").select("pair_id", "k", r("alpha", 5), r("beta", 5), "ready")
