@@ -182,11 +182,12 @@ def _(spark, sf):
     return lg.settled(fx.books(spark, sf).join(fx.sectors(spark, sf), "symbol"), ["sector"])
 
 
-@query("r03_backtest_curve", "trades", "+ d AS (SELECT exit_day AS day, sum(pnl) AS p FROM trades GROUP BY 1), c AS (SELECT day, sum(p) OVER (ORDER BY day) AS run FROM d), x AS (SELECT *, greatest(0, max(run) OVER (ORDER BY day)) AS peak FROM c) SELECT round(max(peak - run), 2) AS max_drawdown, round(max(run), 2) AS top, count(*) AS n FROM x")
+@query("r03_backtest_curve", "trades", "+ d AS (SELECT exit_day AS day, sum(pnl) AS p FROM trades GROUP BY 1), c AS (SELECT day, sum(p) OVER (ORDER BY day) AS run FROM d), x AS (SELECT *, greatest(0, max(run) OVER (ORDER BY day)) AS peak FROM c) SELECT day::VARCHAR AS day, round(run, 1) + 0.0 AS running, round(peak - run, 1) AS drawdown, round(max(peak - run) OVER (ORDER BY day), 1) AS worst FROM x")
 def _(spark, sf):
     d = fx.trades(spark, sf).groupBy(F.col("exit_day").alias("day")).agg(F.sum("pnl").alias("pnl")).withColumn("run_id", F.lit("r"))
     x = ft.with_drawdown(d, "pnl", ["run_id"], ["day"])
-    return x.agg(F.round(F.max("drawdown"), 2).alias("max_drawdown"), F.round(F.max("running"), 2).alias("top"), F.count("*").alias("n"))
+    worst = F.max("drawdown").over(W.partitionBy("run_id").orderBy("day"))
+    return x.withColumn("worst", worst).select(day(), r("running", 1), r("drawdown", 1), r("worst", 1))
 
 
 @query("r06_signal_backtest", "bars", f"+ s AS (SELECT symbol, ts, {ret(1)} AS r1, lead(open) OVER w AS fill, lead(close) OVER w AS mark FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, count(*) AS n, round(sum(mark / fill - 1), 6) AS total FROM s WHERE r1 < -0.2 AND fill > 0 AND mark IS NOT NULL GROUP BY 1")
