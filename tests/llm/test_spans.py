@@ -127,3 +127,12 @@ def test_windows_that_only_whole_hashes_tell_apart(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["id"]: r["n_removed"] for r in spans.without_spans(df, spans.repeated_spans(df)).collect()}
     assert got == {0: 0, 1: 0}
+
+
+def test_only_anchors_of_two_documents_are_sent(spark):
+    passage = [f"p{i}" for i in range(30)]
+    own = lambda d: [f"d{d}x{i}" for i in range(40)]
+    rows = [(1, " ".join(own(1) + passage)), (2, " ".join(passage + own(2))), (3, " ".join(own(3))), (4, " ".join(own(4) * 2)), (5, ""), (3, " ".join(own(3)))]
+    got = {r["doc"]: set(r["keys"]) for r in spans.shared_anchors(spark.createDataFrame(rows, "doc long, text string").repartition(3)).collect()}
+    assert set(got) == {1, 2} and got[1] == got[2] and got[1]
+    assert spans.shared_anchors(spark.createDataFrame([], "doc long, text string")).count() == 0
