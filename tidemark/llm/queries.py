@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, leaks, lines, merkle, near, packing, quality, secrets, spans, suffixes, urls
+from . import langid, leaks, lines, merkle, near, packing, periods, quality, secrets, spans, suffixes, urls
 
 QUERIES = {
     "op1_substring_dedup": spans.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_decontamination": leaks.op10_decontamination,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_periodic_runs": periods.op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
