@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, leaks, lines, merkle, near, packing, periods, quality, secrets, spans, suffixes, urls
+from . import langid, leaks, lines, merkle, near, neighbours, packing, periods, quality, secrets, spans, suffixes, urls
 
 QUERIES = {
     "op1_substring_dedup": spans.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_decontamination": leaks.op10_decontamination,
+    "op11_quality_classifier": neighbours.op11_quality_classifier,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_periodic_runs": periods.op13_periodic_runs,
 }
