@@ -2,8 +2,10 @@
 
 import math
 import random
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.operators import book, detectors, features, scan, signals, stats, tables
@@ -17,31 +19,105 @@ def series(spark, n=300, keys=3, seed=1, parts=4):
     return rows, spark.createDataFrame(rows, "symbol string, ts long, close double, ret double").repartition(parts)
 
 
-def test_affine_scan_equals_loop_for_any_chunk(spark):
+def mean_of(rows, key, alpha=0.2):
+    y, out = None, {}
+    for _, i, c, _ in sorted(r for r in rows if r[0] == key):
+        y = c if y is None else (1 - alpha) * y + alpha * c
+        out[key, i] = y
+    return out
+
+
+@contextmanager
+def partitions(spark, n):
+    """So many partitions of every shuffle, however small."""
+    was = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, v in zip(was, (str(n), "false")):
+            spark.conf.set(c, v)
+        yield
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
+
+
+def test_affine_scan_equals_loop_for_any_partitions(spark):
     rows, df = series(spark)
-    want = {}
-    for k in ("k0", "k1", "k2"):
-        y = None
-        for _, i, c, _ in sorted(r for r in rows if r[0] == k):
-            y = c if y is None else 0.8 * y + 0.2 * c
-            want[k, i] = y
-    for chunk in (1, 7, 64, 1000):
-        got = {(r["symbol"], r["ts"]): r["e"] for r in scan.ema(df, "symbol", "ts", "close", 0.2, "e", chunk).collect()}
+    want = {k: v for key in ("k0", "k1", "k2") for k, v in mean_of(rows, key).items()}
+    for n in (1, 3, 40):
+        with partitions(spark, n):
+            got = {(r["symbol"], r["ts"]): r["e"] for r in scan.ema(df, "symbol", "ts", "close", 0.2, "e").collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_one_key_is_the_work_of_many_tasks(spark):
+    """One key with all rows: it is dealt over the partitions, none of which holds much more than its share, and joins up."""
+    rows, df = series(spark, 20_000, 1)
+    with partitions(spark, 16):
+        found = scan._sorted(df, "symbol", ["ts"], [], lambda batches: (pa.RecordBatch.from_arrays([*b.columns, pa.array(range(b.num_rows), pa.int64())], names=[*b.schema.names, "__at"]) for b in batches))
+        shares = [r["n"] for r in found.groupBy("__part").agg(F.count("*").alias("n")).collect()]
+        got = {(r["symbol"], r["ts"]): r["e"] for r in scan.ema(df, "symbol", "ts", "close", 0.2, "e").collect()}
+    assert len(shares) == 16 and max(shares) < 2 * 20_000 / 16
+    want = mean_of(rows, "k0")
+    assert len(got) == 20_000 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_with_previous_across_partitions(spark):
+    rows = [("a", i, float(i), "x") for i in range(50)] + [("b", 1, 7.0, None)] + [(None, i, float(i), "n") for i in range(9)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, close double, first_name string").repartition(3)
+    with partitions(spark, 12):
+        got = {(r["symbol"], r["ts"]): (r["previous_close"], r["previous_first_name"], r["first"]) for r in scan.with_previous(df, "symbol", "ts", ["close", "first_name"]).collect()}
+    assert len(got) == 60
+    for k, i, _, name in rows:
+        head = i == (1 if k == "b" else 0)
+        assert got[k, i] == ((None, None, True) if head else (float(i - 1), name, False))
+    assert scan.with_previous(df.limit(0), "symbol", "ts", ["close"]).count() == 0
+
+
+def test_maps_that_wait_and_begin_late(spark):
+    """Nulls leave the value; the first start may come some rows after the key's first row."""
+    rows = [("a", i, None if i < 7 or i % 3 == 0 else float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, x double").repartition(2)
+    x = F.col("x")
+    with partitions(spark, 9):
+        got = {r["ts"]: (r["y"], r["z"]) for r in scan.affine_scans(df, "symbol", "ts", {"y": scan.Affine(F.when(x.isNotNull(), 0.5), x / 2, x), "z": scan.Affine(F.lit(1.0), F.lit(1.0), F.lit(5.0), before=True)}).collect()}
+    y = None
+    for _, i, v in rows:
+        if v is not None:
+            y = v if y is None else 0.5 * y + v / 2
+        assert got[i][1] == 5.0 + i
+        assert abs(got[i][0] - (7.0 if y is None else y)) < 1e-12
+
+
 def test_garch_equals_loop(spark):
     rows, df = series(spark, 80, 1)
-    got = [r["v"] for r in scan.garch(df, "symbol", "ts", "ret", "v", chunk=9).orderBy("ts").collect()]
-    h = 1e-6 / (1 - 0.05 - 0.05 - 0.85)
-    want = []
-    for j, (_, _, _, x) in enumerate(sorted(rows)):
-        if j:
-            h = 1e-6 + (0.05 + (0.1 if x < 0 else 0)) * x * x + 0.85 * h
+    with partitions(spark, 9):
+        got = [r["v"] for r in scan.garch(df, "symbol", "ts", "ret", "v").orderBy("ts").collect()]
+    omega, alpha, gamma, beta = scan.GARCH
+    h, before, want = omega / (1 - alpha - gamma / 2 - beta), None, []
+    for _, _, _, x in sorted(rows):
+        if before is not None:
+            h = omega + (alpha + (gamma if before < 0 else 0)) * before * before + beta * h
         want.append(math.sqrt(h))
+        before = x
     assert np.allclose(got, want)
 
 
+def test_adx_equals_loop(spark):
+    rnd = random.Random(8)
+    bars, price = [], 100.0
+    for i in range(120):
+        price = price if 40 < i < 80 else price + rnd.uniform(-2, 2)
+        spread = 0.0 if 40 < i < 80 else rnd.uniform(0, 1)
+        bars.append(("k", i, price + spread, price - spread, price))
+    state, want = {}, []
+    for _, _, high, low, close in bars:
+        want.append(detectors.adx_step(state, high, low, close))
+    df = spark.createDataFrame(bars, "symbol string, ts long, high double, low double, close double").repartition(3)
+    with partitions(spark, 7):
+        got = [(r["adx"], r["plus_di"], r["minus_di"]) for r in scan.adx(df).orderBy("ts").collect()]
+    assert np.allclose(got, want, atol=1e-6) and max(x[0] for x in want) > 0
+
+
 def test_fold_is_ordered_whatever_the_partitions(spark):
     rows, df = series(spark, 60)
     step = lambda s, x: (s.__setitem__("n", s.get("n", 0) + 1) or s["n"],)
@@ -74,10 +150,21 @@ def test_adf_separates_reverting_from_walking():
     assert abs(stats.adf_statistic(back, 1)[0] - t) < 1e-6 or stats.adf_statistic(back, 1)[1] == 0
 
 
+def test_passage_time_is_the_quadrature():
+    """The mean time between -k and k and back, of a unit process, is sqrt(2 pi) times the integral of exp(y^2 / 2)."""
+    for k in (0.12, 0.5, 1.0, 2.0, 4.0):
+        y = np.linspace(-k, k, 400_001)
+        v = np.exp(y * y / 2)
+        want = math.sqrt(2 * math.pi) * ((v[1:] + v[:-1]) / 2 * np.diff(y)).sum()
+        assert abs(stats.passage_time(np.array([k]))[0] / want - 1) < 1e-6
+    assert abs(stats.passage_time(np.array([1.0]))[0] - 5.991) < 1e-3
+
+
 def test_bertram_threshold_is_a_maximum():
     k, rate, cycle = stats.best_threshold(42.4605095197822, 0.006483021011400561, 0.0005)
     f = lambda k: (2 * k * 0.006483021011400561 - 0.0005) * 42.4605095197822 / stats.passage_time(np.array([k]))[0]
     assert rate >= max(f(x) for x in np.linspace(0.05, 4, 800)) - 1e-9 and abs(f(k) - rate) < 1e-12 and cycle > 0
+    assert stats.best_threshold(1.0, 0.001, 0.01) is None
 
 
 def test_ou_fit_recovers_parameters(spark):
@@ -110,6 +197,15 @@ def test_detectors():
         runs.append(detectors.change_point_step(state, float(x))[1])
     assert max(runs[:60]) > 30 and min(runs[60:70]) < 10
     state = {}
+    assert detectors.change_point_step(state, 0.01) == (0.0, 0)
+    two = {"log": [0.0, math.log(249.0)]}  # by hand: both from run 0, with chances of 1 and 249 in 250
+    chance, run = detectors.change_point_step(state, 0.02)
+    assert abs(chance - 1 / 250) < 1e-12 and run == 1 and np.allclose(state["log"] - state["log"][0], two["log"])
+    assert list(state["n"]) == [1.0, 2.0] and np.allclose(state["total"], [0.02, 0.03])
+    for _ in range(80):
+        detectors.change_point_step(state, 0.01)
+    assert len(state["log"]) == len(state["n"]) == 50 and state["n"][49] == 0 and state["n"][48] == 49
+    state = {}
     for i in range(400):
         a, b, ready = detectors.kalman_step(state, float(np.sin(i)), 0.5 + 2 * float(np.sin(i)))
     assert ready and abs(a - 0.5) < 0.05 and abs(b - 2) < 0.05

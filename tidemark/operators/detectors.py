@@ -16,28 +16,58 @@ def cusum_step(state: dict, value: float, threshold: float) -> bool:
     return fired
 
 
-def change_point_step(state: dict, x: float, hazard: float = 1 / 250, longest: int = 50, scale: float = 1e-4) -> tuple[float, int]:
-    """Bayesian change-point filter with a normal-gamma model of each run length: chance of a change here, likeliest run."""
-    if "weight" not in state:
-        state.update(weight=np.array([1.0]), mean=np.array([0.0]), kappa=np.array([1.0]), alpha=np.array([1.0]), beta=np.array([scale]))
-    mean, kappa, alpha, beta = (state[k] for k in ("mean", "kappa", "alpha", "beta"))
-    var = beta * (kappa + 1) / (alpha * kappa)
-    dof = 2 * alpha
-    z2 = (x - mean) ** 2 / var
-    gamma = np.array([math.lgamma((d + 1) / 2) - math.lgamma(d / 2) for d in dof])
-    t = np.exp(gamma - 0.5 * np.log(dof * math.pi * var) - (dof + 1) / 2 * np.log1p(z2 / dof))
-    normal = np.exp(-0.5 * z2) / np.sqrt(2 * math.pi * var)
-    like = np.where(np.arange(len(mean)) > 20, normal, t)
-    grown, change = state["weight"] * like * (1 - hazard), float((state["weight"] * like * hazard).sum())
-    weight = np.append(change, grown)
-    total = weight.sum()
-    weight = weight / total if total > 0 else np.append(1.0, np.zeros(len(grown)))
-    state["mean"] = np.append(0.0, (kappa * mean + x) / (kappa + 1))[:longest]
-    state["beta"] = np.append(scale, beta + kappa * (x - mean) ** 2 / (2 * (kappa + 1)))[:longest]
-    state["alpha"], state["kappa"] = np.append(1.0, alpha + 0.5)[:longest], np.append(1.0, kappa + 1)[:longest]
-    weight = weight[:longest]
-    state["weight"] = weight / weight.sum()
-    return float(state["weight"][0]), int(state["weight"].argmax())
+#: Pseudo-observations of the mean, shape and rate of the precision before any value; one change in so many
+#: values; run lengths kept; values of a run beyond which its density is taken for normal.
+PRIOR, SHAPE, RATE, HAZARD, LONGEST, NORMAL_FROM = 0.1, 1.0, 0.001, 1 / 250, 50, 20
+
+
+def _log_predictive(x: float, n: np.ndarray, total: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Log density of x after runs of n values with these sums, by a normal-gamma model with mean 0."""
+    kappa, alpha, some = PRIOR + n, SHAPE + n / 2, np.maximum(n, 1.0)
+    beta = RATE + 0.5 * (squares - total * total / some) + PRIOR * n * (total / some) ** 2 / (2 * kappa)
+    scale2 = beta * (kappa + 1) / (alpha * kappa)
+    z2, dof = (x - total / kappa) ** 2 / scale2, 2 * alpha
+    gammas = np.array([math.lgamma((d + 1) / 2) - math.lgamma(d / 2) for d in dof])
+    student = gammas - 0.5 * np.log(dof * math.pi * scale2) - (dof + 1) / 2 * np.log1p(z2 / dof)
+    return np.where(n > NORMAL_FROM, -0.5 * (z2 + np.log(2 * math.pi * scale2)), student)
+
+
+def change_point_step(state: dict, x: float) -> tuple[float, int]:
+    """Bayesian change-point filter over run lengths: the chance that a run begins here, and the likeliest run length.
+
+    At the first value all mass is at run length 0, which holds that value, and the chance of a change is 0. The longest run
+    gathers no values of its own and does not grow: it keeps the prior's density.
+    """
+    if "log" not in state:
+        state.update(log=np.zeros(1), n=np.ones(1), total=np.array([x]), squares=np.array([x * x]))
+        return 0.0, 0
+    joint = state["log"] + _log_predictive(x, state["n"], state["total"], state["squares"])
+    top = joint.max()
+    change = top + math.log(float(np.exp(joint - top).sum())) + math.log(HAZARD)
+    log = np.append(change, joint + math.log1p(-HAZARD))[:LONGEST]
+    top = log.max()
+    state["log"] = log - (top + math.log(float(np.exp(log - top).sum())))
+    for name, more in (("n", 1.0), ("total", x), ("squares", x * x)):
+        own = np.append(0.0, state[name])[: LONGEST - 1] + more
+        state[name] = np.append(own, 0.0) if len(log) == LONGEST else own
+    return min(1.0, math.exp(state["log"][0])), int(state["log"].argmax())
+
+
+def adx_step(state: dict, high: float, low: float, close: float, n: int = 14) -> tuple[float, float, float]:
+    """Mean directional index and both directional indicators, by Wilder means, each from its first value on."""
+    before = state.get("bar")
+    state["bar"] = (high, low, close)
+    if before is None:
+        return 0.0, 0.0, 0.0
+    up, down = high - before[0], before[1] - low
+    moves = (up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0, max(high - low, abs(high - before[2]), abs(low - before[2])))
+    means = state["means"] = [x if m is None else (1 - 1 / n) * m + x / n for m, x in zip(state.get("means", (None,) * 3), moves)]
+    if means[2] < 1e-10:
+        return 0.0, 0.0, 0.0
+    plus, minus = 100 * means[0] / means[2], 100 * means[1] / means[2]
+    dx = 100 * abs(plus - minus) / (plus + minus) if plus + minus > 1e-10 else 0.0
+    state["adx"] = dx if "adx" not in state else (1 - 1 / n) * state["adx"] + dx / n
+    return state["adx"], plus, minus
 
 
 def kalman_step(state: dict, x: float, y: float, q: float = 1e-5, r: float = 1e-3, warm_up: int = 10, limit: float = 5.0) -> tuple[float, float, bool]:

@@ -88,11 +88,14 @@ def p_value(stat: Column, critical=PAIR_CRITICAL, levels=LEVELS) -> Column:
     return out.otherwise(F.least(F.lit(1.0), levels[-1] + (stat - critical[-1]) / (0 - critical[-1]) * (1 - levels[-1])))
 
 
+LEAST_ADF = 20  # values of a series that is tested
+
+
 def adf_statistic(series: np.ndarray, max_lags: int | None = None) -> tuple[float, int]:
     """The t value of the level in a regression of differences on a constant, the level and lagged differences; and the
     number of lags, of all up to the bound the one with the least information criterion."""
     n = len(series)
-    if n < 10:
+    if n < LEAST_ADF:
         return math.nan, 0
     top = int(min(max(1, 12 * (n / 100) ** 0.25), n // 4)) if max_lags is None else max_lags
     d = np.diff(series)
@@ -184,39 +187,43 @@ def ou_fit(spreads: DataFrame, by: list[str], order: str = "day", value: str = "
 
 
 def passage_time(k: np.ndarray, terms: int = 60) -> np.ndarray:
-    """Time between two crossings of an OU process of unit speed and deviation, at levels -k and k: pi erfi(k / sqrt 2)."""
+    """Mean time of a round trip between the levels -k and k of an OU process of unit speed and deviation: 2 pi erfi(k / sqrt 2)."""
     z = np.asarray(k, float) / math.sqrt(2)
     term, total = z.copy(), z.copy()
     for n in range(1, terms):
         term = term * z * z / n
         total = total + term / (2 * n + 1)
-    return 2 * math.sqrt(math.pi) * total * math.sqrt(math.pi)
+    return 4 * math.sqrt(math.pi) * total
+
 
+def best_threshold(kappa: float, sigma_eq: float, cost: float) -> tuple[float, float, float] | None:
+    """k in deviations, rate a year and cycle length in years that maximise (2 k sigma - cost) over the cycle's time.
 
-def best_threshold(kappa: float, sigma_eq: float, cost: float) -> tuple[float, float, float]:
-    """k in deviations, rate a year and cycle length in years that maximise (2 k sigma - cost) over the cycle's time."""
+    The best of a grid, then Newton steps by differences; none where no k of the grid pays for its cost.
+    """
     grid = 0.12 + 0.02 * np.arange(199)
     rate = (2 * grid * sigma_eq - cost) * kappa / passage_time(grid)
     k = float(grid[rate.argmax()])
-    f = lambda k: (2 * k * sigma_eq - cost) * kappa / passage_time(np.array([k]))[0]
-    h = 1e-4
+    if not rate.max() > 0:
+        return None
+    h = 1e-3
     for _ in range(10):
-        d1, d2 = (f(k + h) - f(k - h)) / (2 * h), (f(k + h) - 2 * f(k) + f(k - h)) / (h * h)
-        if d2 >= 0 or not math.isfinite(d1 / d2):
-            break
-        step = d1 / d2
-        k = min(4.5, max(0.01, k - step))
-        if abs(step) < 1e-9:
+        at = np.array([k - h, k, k + h])
+        low, mid, high = (2 * at * sigma_eq - cost) * kappa / passage_time(at)
+        slope, bend = (high - low) / (2 * h), (high - 2 * mid + low) / (h * h)
+        if abs(bend) < 1e-12 or abs(slope / bend) < 1e-6:
             break
-    return k, float(f(k)), float(passage_time(np.array([k]))[0] / kappa)
+        k = min(5.0, max(0.1, k - min(0.5, max(-0.5, slope / bend))))
+    time = float(passage_time(np.array([k]))[0]) / kappa
+    return k, (2 * k * sigma_eq - cost) / time, time
 
 
 def with_threshold(fits: DataFrame, cost: float = 0.0005, per_year: int = 252) -> DataFrame:
-    """Fits with k, rate and cycle (in days), by a grid and a few Newton steps, in Arrow batches."""
+    """Fits with k, rate and cycle (in days), by a grid and a few Newton steps, in Arrow batches; nulls where no k pays."""
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for kappa, sigma in batches:
-            rows = [(None,) * 3 if not (x > 0 and s > 0) else best_threshold(x, s, cost) for x, s in zip(kappa, sigma)]
+            rows = [(best_threshold(x, s, cost) if x > 0 and s > 0 else None) or (None,) * 3 for x, s in zip(kappa, sigma)]
             yield pd.DataFrame([(k, r, None if c is None else c * per_year) for k, r, c in rows], columns=["k", "rate", "cycle"], dtype=float)
 
     return fits.withColumn("__t", F.pandas_udf(run, "k double, rate double, cycle double")("kappa", "sigma_eq")).select(*fits.columns, "__t.*")

@@ -59,13 +59,13 @@ def seeded(value, alpha, source="bars", order="ts"):
 
 @query("f09_ema", "bars", f"SELECT a.symbol, CAST(epoch(a.ts) AS BIGINT) AS t, round(a.y, 6) AS fast, round(b.y, 6) AS slow, round(a.y, 6) > round(b.y, 6) AS above FROM {seeded('close', 2 / 11)} a JOIN {seeded('close', 2 / 31)} b USING (symbol, ts)")
 def _(spark, sf):
-    rows = scan.emas(fx.bars(spark, sf).select("symbol", "ts", "close"), "symbol", "ts", {"fast": ("close", 2 / 11), "slow": ("close", 2 / 31)}, 128)
+    rows = scan.emas(fx.bars(spark, sf).select("symbol", "ts", "close"), "symbol", "ts", {"fast": ("close", 2 / 11), "slow": ("close", 2 / 31)})
     return rows.select("symbol", secs(), r("fast"), r("slow"), (F.round("fast", 6) > F.round("slow", 6)).alias("above"))
 
 
 @query("f10_wilder", "bars", f"SELECT symbol, CAST(epoch(ts) AS BIGINT) AS t, round(y, 6) AS wilder FROM {seeded('close', 1 / 14)}")
 def _(spark, sf):
-    return scan.ema(fx.bars(spark, sf).select("symbol", "ts", "close"), "symbol", "ts", "close", 1 / 14, "wilder", 100).select("symbol", secs(), r("wilder"))
+    return scan.ema(fx.bars(spark, sf).select("symbol", "ts", "close"), "symbol", "ts", "close", 1 / 14, "wilder").select("symbol", secs(), r("wilder"))
 
 
 ADX = f"""ad AS (SELECT symbol, ts, high - lag(high) OVER w AS up, lag(low) OVER w - low AS down, {TR} AS tr, lag(close) OVER w AS pc FROM bars {WS}),
@@ -77,7 +77,7 @@ adx AS (SELECT b.symbol, b.ts, coalesce(round(pdi, 6), 0) AS plus_di, coalesce(r
 
 @query("f11_adx", "bars", f"+ {ADX} SELECT symbol, CAST(epoch(ts) AS BIGINT) AS t, plus_di, minus_di, adx FROM adx")
 def _(spark, sf):
-    return scan.adx(fx.bars(spark, sf), chunk=256).select("symbol", secs(), r("plus_di"), r("minus_di"), r("adx"))
+    return scan.adx(fx.bars(spark, sf)).select("symbol", secs(), r("plus_di"), r("minus_di"), r("adx"))
 
 
 @query("f12_bands", "bars", f"+ x AS (SELECT *, avg(close) {win(32)} AS m, stddev_pop(close) {win(32)} AS s FROM bars) SELECT {T}, round(m + 2 * s, 6) AS band_upper, round(m - 2 * s, 6) AS band_lower, round(CASE WHEN 4 * s <= 1e-10 THEN 0.5 ELSE (close - m + 2 * s) / (4 * s) END, 5) AS percent_b, round(4 * s / m, 6) AS bandwidth FROM x")
@@ -129,19 +129,40 @@ def f16(spark, sf):
     return out.select("symbol", secs(), r("log_return"), r("threshold"), "fired")
 
 
-GARCH = f"""+ x AS (SELECT *, {ret(1)} AS r1 FROM bars {WS}), g AS (SELECT symbol, list(ts ORDER BY ts) AS ts, list(r1 ORDER BY ts) AS v FROM x GROUP BY 1)
-SELECT symbol, CAST(epoch(unnest(ts)) AS BIGINT) AS t, round(unnest(list_transform(range(1, len(v) + 1), lambda k: sqrt(list_reduce(list_prepend({1e-6 / (1 - 0.05 - 0.05 - 0.85)!r}, v[2:k]), lambda y, x: 1e-6 + (0.05 + CASE WHEN x < 0 THEN 0.1 ELSE 0 END) * x * x + 0.85 * y)))), 6) AS garch FROM g"""
+LONG_RUN = 5e-6 / (1 - 0.06 - 0.05 - 0.87)
+#: The variance of a bar by the log returns x of the bars before it.
+VARIANCE = f"list_reduce(list_prepend({LONG_RUN!r}, v[1:k - 1]), lambda y, x: 5e-6 + (0.06 + CASE WHEN x < 0 THEN 0.10 ELSE 0 END) * x * x + 0.87 * y)"
+LOGS = f"lr AS (SELECT symbol, ts, CASE WHEN coalesce(lag(close) OVER w, 0) <= 0 OR close <= 0 THEN 0.0 ELSE ln(close / lag(close) OVER w) END AS x, row_number() OVER w AS n FROM bars {WS})"
+GARCH = f"gv AS (SELECT symbol, unnest(ts) AS ts, unnest(list_transform(range(1, len(v) + 1), lambda k: sqrt({VARIANCE}))) AS garch FROM (SELECT symbol, list(ts ORDER BY ts) AS ts, list(x ORDER BY ts) AS v FROM lr GROUP BY 1))"
 
 
-@query("f17_garch", "bars", GARCH)
+@query("f17_garch", "bars", f"+ {LOGS}, {GARCH} SELECT {T}, round(garch, 6) AS garch FROM gv")
 def _(spark, sf):
-    return scan.garch(ft.with_returns(fx.bars(spark, sf)), "symbol", "ts", "return_1", "garch", chunk=256).select("symbol", secs(), r("garch"))
+    rows = scan.with_previous(fx.bars(spark, sf).select("symbol", "ts", "close"), "symbol", "ts", ["close"])
+    usable = (F.col("previous_close") > 0) & (F.col("close") > 0)
+    rows = rows.withColumn("log_return", F.when(usable, F.log(F.col("close") / F.col("previous_close"))).otherwise(0.0))
+    return scan.garch(rows, "symbol", "ts", "log_return", "garch").select("symbol", secs(), r("garch"))
 
 
-@query("f19_change_points", "bars", None)
+def change_points(rows):
+    """A view ``fold`` (symbol, n, change, run) of the change-point filter over rows (symbol, n, x), by one step a bar."""
+    density = """CASE WHEN n[r] > 20 THEN -0.5 * (z2[r] + ln(2 * pi() * v[r])) ELSE lgamma((3 + n[r]) / 2) - lgamma((2 + n[r]) / 2) - 0.5 * ln((2 + n[r]) * pi() * v[r]) - (3 + n[r]) / 2 * ln(1 + z2[r] / (2 + n[r])) END"""
+    beta = "0.001 + 0.5 * (q[r] - s[r] * s[r] / greatest(n[r], 1)) + 0.1 * n[r] * pow(s[r] / greatest(n[r], 1), 2) / (2 * (0.1 + n[r]))"
+    sums = lambda c, x: f"list_transform(list_prepend(0.0::DOUBLE, {c})[:49], lambda y: y + {x}) || CASE WHEN len(p) >= 49 THEN [0.0::DOUBLE] ELSE [] END"
+    lse = lambda c: f"list_max({c}) + ln(list_sum(list_transform({c}, lambda y: exp(y - list_max({c})))))"
+    return f"""fold AS (SELECT symbol, n AS i, [0.0::DOUBLE] AS p, [1.0::DOUBLE] AS n, [x] AS s, [x * x] AS q FROM {rows} WHERE n = 1
+UNION ALL SELECT symbol, i, list_transform(g, lambda y: y - total), {sums('n', '1')}, {sums('s', 'x')}, {sums('q', 'x * x')}
+FROM (SELECT *, {lse('g')} AS total FROM (SELECT *, list_prepend({lse('j')} + ln(1 / 250), list_transform(j, lambda y: y + ln(1 - 1 / 250)))[:50] AS g
+FROM (SELECT *, list_transform(range(1, len(p) + 1), lambda r: p[r] + {density}) AS j
+FROM (SELECT *, list_transform(range(1, len(p) + 1), lambda r: pow(x - s[r] / (0.1 + n[r]), 2) / v[r]) AS z2
+FROM (SELECT f.symbol, a.n AS i, a.x, f.p, f.n, f.s, f.q, list_transform(range(1, len(p) + 1), lambda r: ({beta.replace('n[r]', 'f.n[r]')}) * (1.1 + f.n[r]) / ((1 + f.n[r] / 2) * (0.1 + f.n[r]))) AS v FROM fold f JOIN {rows} a ON a.symbol = f.symbol AND a.n = f.i + 1))))))"""
+
+
+@query("f19_change_points", "bars", f"+ {LOGS}, {change_points('lr')} SELECT {T}, round(CASE WHEN i = 1 THEN 0 ELSE least(1, exp(p[1])) END, 6) AS change, list_position(p, list_max(p)) - 1 AS run FROM fold JOIN lr ON fold.symbol = lr.symbol AND i = lr.n".replace("SELECT symbol, CAST(epoch(ts) AS BIGINT) AS t, round(CASE", "SELECT lr.symbol, CAST(epoch(ts) AS BIGINT) AS t, round(CASE"))
 def f19(spark, sf):
     rows = ft.with_returns(fx.bars(spark, sf)).select("symbol", "ts", "log_return")
-    return scan.fold(rows, "symbol", ["ts"], lambda s, x: detectors.change_point_step(s, x.log_return), "symbol string, ts timestamp, log_return double, change double, run int")
+    out = scan.fold(rows, "symbol", ["ts"], lambda s, x: detectors.change_point_step(s, x.log_return), "symbol string, ts timestamp, log_return double, change double, run int")
+    return out.select("symbol", secs(), r("change"), "run")
 
 
 @query("f21_drawdown", "trades", "+ x AS (SELECT *, sum(pnl) OVER (PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS UNBOUNDED PRECEDING) AS running FROM trades) SELECT trade_id, pair_id, round(running + 1, 2) AS running, round(greatest(0, max(running) OVER (PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS UNBOUNDED PRECEDING)) - running, 2) AS drawdown FROM x")

@@ -132,9 +132,27 @@ def _(spark, sf):
     return stats.ou_fit(basket_rows(spark, sf), ["sector", "target"]).select("sector", "target", "pairs", r("a"), r("b"), r("kappa", 4), r("mu"), r("sigma", 5), r("sigma_eq"), r("half_life", 5))
 
 
-@query("t28_thresholds", BV, None)
+#: erfi as a sum: 2 / sqrt(pi) * sum of z^(2 n + 1) / (n! (2 n + 1)).
+ERFI = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: pow(({z}), 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))"
+
+
+def rate(k):
+    return f"(2 * ({k}) * sigma_eq - 0.0005) * kappa / (2 * pi() * {ERFI.format(z=f'({k}) / sqrt(2)')})"
+
+
+#: Newton steps on a grid's best, for each fit (target, kappa, sigma_eq) of a table ``fit``.
+THRESHOLD = f"""gr AS (SELECT target, kappa, sigma_eq, CAST(0.12 + 0.02 * i AS DOUBLE) AS k FROM fit, range(0, 199) t(i) WHERE kappa > 0 AND sigma_eq > 0),
+best AS (SELECT target, kappa, sigma_eq, arg_max(k, rate) AS k FROM (SELECT *, {rate('k')} AS rate FROM gr) GROUP BY ALL HAVING max(rate) > 0),
+fold AS (SELECT target, kappa, sigma_eq, k, 0 AS i, false AS done FROM best
+UNION ALL SELECT target, kappa, sigma_eq, CASE WHEN abs(bend) < 1e-12 OR abs(slope / bend) < 1e-6 THEN k ELSE least(5.0, greatest(0.1, k - least(0.5, greatest(-0.5, slope / bend)))) END, i + 1, abs(bend) < 1e-12 OR abs(slope / bend) < 1e-6
+FROM (SELECT *, (hi - lo) / 0.002 AS slope, (hi - 2 * mid + lo) / 1e-6 AS bend FROM (SELECT *, {rate('k - 0.001')} AS lo, {rate('k')} AS mid, {rate('k + 0.001')} AS hi FROM fold WHERE i < 10 AND NOT done))),
+threshold AS (SELECT target, k, {rate('k')} AS rate, 252 * 2 * pi() * {ERFI.format(z='k / sqrt(2)')} / kappa AS cycle FROM fold QUALIFY row_number() OVER (PARTITION BY target ORDER BY i DESC) = 1)"""
+
+
+@query("t28_thresholds", BV, f"{OU}, {THRESHOLD} SELECT sector, target, round(fit.kappa, 4) AS kappa, round(k, 5) AS k, round(rate, 6) AS rate, round(cycle, 5) AS cycle FROM fit LEFT JOIN threshold USING (target) WHERE fit.kappa IS NOT NULL")
 def t28(spark, sf):
-    return stats.with_threshold(stats.ou_fit(basket_rows(spark, sf), ["sector", "target"]).where("kappa is not null"))
+    fits = stats.with_threshold(stats.ou_fit(basket_rows(spark, sf), ["sector", "target"]).where("kappa is not null"))
+    return fits.select("sector", "target", r("kappa", 4), r("k", 5), r("rate"), r("cycle", 5))
 
 
 SHARE = f"""{BSPREAD}, legs AS (SELECT target, peer AS symbol, -1.0 / size AS weight FROM baskets JOIN n USING (target) UNION ALL SELECT target, target, 1.0 FROM n),
