@@ -1,4 +1,7 @@
-"""Stateful detectors as fold steps, for ordered batches by key and for streams."""
+"""Stateful detectors and indicators as fold steps, for ordered batches by key and for streams.
+
+State is a dict of numbers and of lists or arrays of numbers, so that any store can hold it.
+"""
 
 from __future__ import annotations
 
@@ -86,3 +89,36 @@ def kalman_step(state: dict, x: float, y: float, q: float = 1e-5, r: float = 1e-
         state.clear()
         return 0.0, 1.0, False
     return a, b, state["n"] >= warm_up
+
+
+def seeded_step(state: dict, name: str, x: float, alpha: float) -> float:
+    """Exponential mean with the first value as its seed."""
+    state[name] = x if name not in state else (1 - alpha) * state[name] + alpha * x
+    return state[name]
+
+
+def ring_step(state: dict, name: str, x: float, n: int) -> list[float]:
+    """The last n values, this one included."""
+    ring = state.setdefault(name, [])
+    ring.append(x)
+    if len(ring) > n:
+        del ring[0]
+    return ring
+
+
+def garch_step(state: dict, x: float, parameters: tuple[float, float, float, float]) -> float:
+    """Volatility by the return before, see ``scan.garch``; x is kept for the next step."""
+    omega, alpha, gamma, beta = parameters
+    if "variance" not in state:
+        state["variance"] = omega / max(0.01, 1 - alpha - gamma / 2 - beta)
+    else:
+        r = state["return"]
+        state["variance"] = omega + (alpha + (gamma if r < 0 else 0.0)) * r * r + beta * state["variance"]
+    state["return"] = x
+    return math.sqrt(state["variance"])
+
+
+def rank_below_step(state: dict, name: str, x: float, n: int) -> float:
+    """Share of the other of the last n values that are below this one; a half for fewer than two."""
+    ring = ring_step(state, name, x, n)
+    return 0.5 if len(ring) < 2 else sum(v < x for v in ring) / (len(ring) - 1)

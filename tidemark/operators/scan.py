@@ -207,12 +207,12 @@ def adx(bars: DataFrame, key: str = "symbol", order: str = "ts", n: int = 14) ->
     return rows.select(*bars.columns, "plus_di", "minus_di", F.when(F.col("__moves"), F.col("__adx")).otherwise(0.0).alias("adx"))
 
 
-def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[dict, object], tuple], schema: str, start: Callable[[], dict] = dict) -> DataFrame:
+def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[dict, object], tuple], schema: str, start: Callable[[], dict] = dict, dealt: bool = False) -> DataFrame:
     """An ordered fold per key for state that no window or scan can carry.
 
     ``step`` takes the key's state and a row and returns what is put after the row's columns named in ``schema``, which
     begins with the columns of ``rows``. Rows of a key come in order to one task, in Arrow batches, so that a long history
-    never stands in memory; state does not leave the task.
+    never stands in memory; state does not leave the task. ``dealt`` says that rows of a key are in one partition already.
     """
     names = rows.columns
     at = names.index(key)
@@ -228,7 +228,7 @@ def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[dict, obje
                 out.append(step(state, row))
             yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(out, columns=more)], axis=1)
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return (rows if dealt else rows.repartition(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def latch(set_to: Column, by: list[str], order: list[str]) -> Column:

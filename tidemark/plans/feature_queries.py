@@ -107,26 +107,21 @@ def _(spark, sf):
     return rows.select("symbol", secs(), F.round("p", 6).alias("percentile"), (F.col("p") < 0.2).alias("squeeze"))
 
 
-@query("f18_f20_volatility_percentile", "bars", f"+ x AS (SELECT *, {ret(1)} AS r1 FROM bars {WS}), s AS (SELECT *, round(stddev_pop(r1) {win(32)}, 6) AS s FROM x), y AS (SELECT *, list(s) {win(128)} AS l FROM s), p AS (SELECT *, {RANK.format(l='l', c='<', x='s', n='(len(l) - 1)')} AS p FROM y) SELECT {T}, round(p, 6) AS percentile, CASE WHEN p > 0.99 THEN 'crisis' WHEN p < 0.25 THEN 'low_vol' WHEN p > 0.75 THEN 'high_vol' ELSE 'normal' END AS regime FROM p")
-def _(spark, sf):
-    rows = ft.with_zscore(ft.with_returns(fx.bars(spark, sf))).withColumn("s", F.round("return_std", 6)).withColumn("p", ft.rank_below("s", 128))
-    return rows.select("symbol", secs(), F.round("p", 6).alias("percentile"), ft.regime(F.col("p") > 0.99, F.lit(False), F.col("p")).alias("regime"))
-
-
-CUSUM = f"""+ x AS (SELECT *, CASE WHEN coalesce(lag(close) OVER w, 0) <= 0 THEN 0 ELSE ln(close / lag(close) OVER w) END AS lr, {TR} AS tr, row_number() OVER w AS n FROM bars {WS}),
-y AS (SELECT symbol, ts, n, lr, CASE WHEN close > 0 THEN avg(tr) {win(16)} / close ELSE 0.005 END AS th FROM x),
-fold AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, false AS fired FROM y
+#: Two one-sided sums of returns r1 against the mean range of a bar as a share of its close.
+CUSUM = f"""cx AS (SELECT *, {ret(1)} AS r1, {TR} AS tr, row_number() OVER w AS n FROM bars {WS}),
+cy AS (SELECT symbol, ts, n, r1, CASE WHEN close > 0 AND avg(tr) {win(16)} > 0 THEN avg(tr) {win(16)} / close ELSE 0.005 END AS th FROM cx),
+fired AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, false AS fired FROM cy
 UNION ALL SELECT symbol, n, CASE WHEN hit THEN 0 ELSE u END, CASE WHEN hit THEN 0 ELSE d END, hit
-FROM (SELECT *, u > th OR d < -th AS hit FROM (SELECT y.symbol, y.n, y.th, greatest(0.0, f.up + lr) AS u, least(0.0, f.down + lr) AS d FROM fold f JOIN y ON y.symbol = f.symbol AND y.n = f.n + 1)))
-SELECT {T}, round(lr, 6) + 0.0 AS log_return, round(th, 6) AS threshold, fired FROM fold JOIN y USING (symbol, n)"""
+FROM (SELECT *, u > th OR d < -th AS hit FROM (SELECT cy.symbol, cy.n, cy.th, greatest(0.0, f.up + r1) AS u, least(0.0, f.down + r1) AS d FROM fired f JOIN cy ON cy.symbol = f.symbol AND cy.n = f.n + 1)))"""
 
 
-@query("f16_cusum", "bars", CUSUM)
+@query("f16_cusum", "bars", f"+ {CUSUM.replace('fired AS (SELECT', 'fold AS (SELECT').replace('FROM fired f', 'FROM fold f')} SELECT {T}, round(r1, 6) + 0.0 AS return_1, round(th, 6) AS threshold, fired FROM fold JOIN cy USING (symbol, n)")
 def f16(spark, sf):
-    """Trigger where a one-sided sum of log returns passes the mean range of the bar as a share of its close."""
-    rows = ft.with_ranges(ft.with_returns(fx.bars(spark, sf))).select("symbol", "ts", "log_return", F.when(F.col("close") > 0, F.col("atr") / F.col("close")).otherwise(0.005).alias("threshold"))
-    out = scan.fold(rows, "symbol", ["ts"], lambda s, x: (detectors.cusum_step(s, x.log_return, x.threshold),), "symbol string, ts timestamp, log_return double, threshold double, fired boolean")
-    return out.select("symbol", secs(), r("log_return"), r("threshold"), "fired")
+    """Trigger where a one-sided sum of returns passes the mean range of the bar as a share of its close."""
+    threshold = F.when((F.col("close") > 0) & (F.col("atr") > 0), F.col("atr") / F.col("close")).otherwise(0.005)
+    rows = ft.with_ranges(ft.with_returns(fx.bars(spark, sf))).select("symbol", "ts", "return_1", threshold.alias("threshold"))
+    out = scan.fold(rows, "symbol", ["ts"], lambda s, x: (detectors.cusum_step(s, x.return_1, x.threshold),), "symbol string, ts timestamp, return_1 double, threshold double, fired boolean")
+    return out.select("symbol", secs(), r("return_1"), r("threshold"), "fired")
 
 
 LONG_RUN = 5e-6 / (1 - 0.06 - 0.05 - 0.87)
@@ -175,12 +170,43 @@ def _(spark, sf):
     return ft.with_warm_up(fx.bars(spark, sf), 64).select("symbol", secs(), "warmed_up")
 
 
-@query("f23_feature_pipeline", "bars", f"+ x AS (SELECT *, {ret(1)} AS r1, {TR} AS tr FROM bars {WS}) SELECT {T}, round(r1, 6) AS return_1, round(avg(close) {win(32)}, 9) AS sma_20, round(avg(tr) {win(16)}, 9) AS atr, round(stddev_pop(r1) {win(32)}, 6) AS return_std, round(avg(close) {win(32)} + 2 * stddev_pop(close) {win(32)}, 6) AS band_upper, round(max(high) {win(32)}, 6) AS channel_high, row_number() OVER w >= 64 AS warmed_up FROM x {WS}")
+#: Every column of a feature row over a view ``bars``, as views; the last is ``feature``.
+FEATURE = f"""{LOGS}, {GARCH}, {CUSUM}, {ADX}, {change_points('lr')},
+fa AS (SELECT *, {ret(1)} AS return_1, {ret(5)} AS return_5, {ret(19)} AS return_20, {TR} AS tr, floor((epoch_ms(ts) - 18000000) / 86400000) AS session, row_number() OVER w AS k FROM bars {WS}),
+fb AS (SELECT *, avg(close) {win(32)} AS sma_20, avg(close) {win(64)} AS sma_50, avg(tr) {win(16)} AS atr, stddev_pop(return_1) {win(32)} AS rs, avg(volume) {win(32)} AS mv, stddev_pop(close) {win(32)} AS cs,
+max(high) {win(32)} AS top, min(low) {win(32)} AS bottom, sum((high + low + close) / 3 * volume) OVER s AS paid, sum(volume) OVER s AS traded, count(*) OVER s AS sb FROM fa WINDOW s AS (PARTITION BY symbol, session ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+fc AS (SELECT *, CASE WHEN rs > 1e-10 THEN return_1 / rs ELSE 0 END AS z, CASE WHEN sma_20 > 1e-10 THEN 4 * cs / sma_20 ELSE 0 END AS width, CASE WHEN traded > 1e-10 THEN paid / traded ELSE close END AS vw FROM fb),
+fd AS (SELECT *, stddev_pop(close - vw) {win(32)} AS ds, round(width, 9) AS wide, list(round(width, 9)) {win(64)} AS widths, list(z) {win(128)} AS zs FROM fc),
+fe AS (SELECT symbol, ts, garch, list(garch) {win(128)} AS vols FROM gv),
+ff AS (SELECT symbol, ts, garch, {RANK.format(l='vols', c='<', x='garch', n='(len(vols) - 1)')} AS vp FROM fe),
+fg AS (SELECT lr.symbol, lr.ts, CASE WHEN i = 1 THEN 0 ELSE least(1, exp(p[1])) END AS change, list_position(p, list_max(p)) - 1 AS run FROM fold JOIN lr ON fold.symbol = lr.symbol AND i = lr.n),
+feature AS (SELECT symbol, ts, return_1, return_5, return_20, sma_20, sma_50, atr, rs AS return_std_20, z AS return_z_score, CASE WHEN mv > 0 THEN volume / mv ELSE 1 END AS relative_volume, high - low AS bar_range,
+CASE WHEN high > low THEN (close - low) / (high - low) ELSE 0.5 END AS close_location, close > sma_50 AS trend_up, k >= 64 AS warmed_up, ef.y AS ema_fast, es.y AS ema_slow, ef.y > es.y AS ema_fast_above_slow, adx, plus_di, minus_di,
+sma_20 + 2 * cs AS bollinger_upper, sma_20 - 2 * cs AS bollinger_lower, CASE WHEN 4 * cs > 1e-10 THEN (close - sma_20 + 2 * cs) / (4 * cs) ELSE 0.5 END AS bollinger_pct_b, width AS bollinger_bandwidth, vw AS vwap, close - vw AS vwap_deviation,
+CASE WHEN ds > 1e-10 THEN (close - vw) / ds ELSE 0 END AS vwap_z_score, sb AS vwap_session_bars, sb >= 10 AS vwap_ready, top AS donchian_upper, bottom AS donchian_lower, (top + bottom) / 2 AS donchian_mid,
+{RANK.format(l='widths', c='<=', x='wide', n='len(widths)')} AS bandwidth_percentile, {RANK.format(l='widths', c='<=', x='wide', n='len(widths)')} < 0.2 AS squeeze, fired AS cusum_triggered, garch AS garch_vol,
+CASE WHEN run < 20 AND vp > 0.3 THEN 'high_vol' WHEN vp < 0.3 THEN 'low_vol' WHEN vp > 0.7 THEN 'high_vol' ELSE 'normal' END AS market_regime, change AS regime_change_prob, run AS change_run, vp AS garch_vol_percentile, {RANK.format(l='zs', c='<', x='z', n='(len(zs) - 1)')} AS z_score_percentile
+FROM fd JOIN {seeded('close', 2 / 11)} ef USING (symbol, ts) JOIN {seeded('close', 2 / 31)} es USING (symbol, ts) JOIN adx USING (symbol, ts) JOIN ff USING (symbol, ts) JOIN fg USING (symbol, ts) JOIN cy USING (symbol, ts) JOIN fired ON fired.symbol = cy.symbol AND fired.n = cy.n)"""
+OTHER = {"trend_up", "warmed_up", "ema_fast_above_slow", "vwap_session_bars", "vwap_ready", "squeeze", "cusum_triggered", "market_regime", "change_run"}
+SHOWN = ", ".join(c if c in OTHER else f"round({c}, 6) + 0.0 AS {c}" for c in ft.FEATURES)
+
+
+def shown_features(rows):
+    return rows.select("symbol", secs(), *(c if c in OTHER else r(c) for c in ft.FEATURES))
+
+
+@query("f23_feature_pipeline", "bars", f"+ {FEATURE} SELECT {T}, {SHOWN} FROM feature")
+def _(spark, sf):
+    """Every indicator of every bar, in one row."""
+    return shown_features(ft.feature_rows(fx.bars(spark, sf)))
+
+
+@query("f18_f20_volatility_percentile", "bars", f"+ {FEATURE} SELECT {T}, round(garch_vol_percentile, 6) AS volatility, round(z_score_percentile, 6) AS z, change_run, CASE WHEN k % 50 < 5 AND garch_vol_percentile > 0.9 THEN 'crisis' ELSE market_regime END AS regime FROM feature JOIN (SELECT symbol, ts, row_number() OVER w AS k FROM bars {WS}) USING (symbol, ts)")
 def _(spark, sf):
-    rows = fx.bars(spark, sf)
-    for add in (ft.with_returns, ft.with_trend, ft.with_ranges, ft.with_zscore, ft.with_bands, ft.with_channel):
-        rows = add(rows)
-    return ft.with_warm_up(rows, 64).select("symbol", secs(), *(r(c, 9 if c in ("sma_20", "atr") else 6) for c in ("return_1", "sma_20", "atr", "return_std", "band_upper", "channel_high")), "warmed_up")
+    """Regimes by volatility, change points and, in five of fifty bars, a loss."""
+    bars = fx.bars(spark, sf).withColumn("k", F.row_number().over(ft.by_symbol()))
+    rows = ft.feature_rows(bars, drawdown=F.when(F.col("k") % 50 < 5, -0.1).otherwise(0.0))
+    return rows.select("symbol", secs(), F.round("garch_vol_percentile", 6).alias("volatility"), F.round("z_score_percentile", 6).alias("z"), "change_run", F.col("market_regime").alias("regime"))
 
 
 @query("f24_dispersion", "bars", f"+ x AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN coalesce(lag(close) OVER w, 0) <= 0 THEN 0 ELSE ln(close / lag(close) OVER w) END AS lr FROM bars {WS}), y AS (SELECT day, count(*) AS n, stddev_samp(lr) AS s FROM x WHERE lr <> 0 GROUP BY 1 HAVING count(*) >= 5), z AS (SELECT *, list_sort(list(s) OVER (ORDER BY day ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) AS l FROM y) SELECT day::VARCHAR AS day, n, round(s, 6) AS dispersion, CASE WHEN len(l) >= 10 THEN s > l[1 + CAST(floor(len(l) * 3 / 4) AS INT)] ELSE false END AS high FROM z")
