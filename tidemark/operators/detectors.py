@@ -44,7 +44,7 @@ def change_point_step(state: dict, x: float) -> tuple[float, int]:
     if "log" not in state:
         state.update(log=np.zeros(1), n=np.ones(1), total=np.array([x]), squares=np.array([x * x]))
         return 0.0, 0
-    joint = state["log"] + _log_predictive(x, state["n"], state["total"], state["squares"])
+    joint = np.asarray(state["log"]) + _log_predictive(x, *(np.asarray(state[c]) for c in ("n", "total", "squares")))
     top = joint.max()
     change = top + math.log(float(np.exp(joint - top).sum())) + math.log(HAZARD)
     log = np.append(change, joint + math.log1p(-HAZARD))[:LONGEST]

@@ -222,12 +222,15 @@ class FeatureState:
         return (
             return_1, ago(5), ago(19), sma, trend, atr, std, z, volume / volumes if volumes > 0 else 1.0, high - low, (close - low) / (high - low) if high > low else 0.5,
             close > trend, state["count"] >= self.warm_up, fast, slow, fast > slow, adx, plus, minus, upper, lower,
-            (close - lower) / (upper - lower) if upper - lower > FLAT else 0.5, width, vwap, close - vwap, (close - vwap) / off if off > FLAT else 0.0, state["bars"], state["bars"] >= 10, top, bottom,
+            (close - lower) / (upper - lower) if upper - lower > FLAT else 0.5, width, vwap, close - vwap, (close - vwap) / off if off > FLAT else 0.0, int(state["bars"]), state["bars"] >= 10, top, bottom,
             (top + bottom) / 2, squeezed < 0.2, squeezed, fired, vol, label, change, run,
             rank, detectors.rank_below_step(state, "zs", z, 128),
         )
 
 
+FEATURE_SCHEMA = ", ".join(f"{c} {'boolean' if c in ('trend_up', 'warmed_up', 'ema_fast_above_slow', 'vwap_ready', 'squeeze', 'cusum_triggered') else 'string' if c == 'market_regime' else 'long' if c == 'vwap_session_bars' else 'int' if c == 'change_run' else 'double'}" for c in FEATURES)
+
+
 def feature_rows(bars: DataFrame, warm_up: int = 64, offset_minutes: int = -300, drawdown: Column | None = None) -> DataFrame:
     """(symbol, ts, FEATURES) of bars: every indicator in one row.
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import features as ft
 from ..operators import signals as sg
 from ..operators import tables as op
 from ..sources import bars_io
 from ..sources.shared import written
 from ..streaming import streams as st
 from . import fixtures as fx
-from .feature_queries import seeded
+from .feature_queries import FEATURE, SHOWN, T, shown_features
 from .registry import query
 from .table_queries import day, r, secs
 
@@ -51,12 +52,22 @@ def _(spark, sf):
     return st.drain(st.windowed(st.stamped(ticks(spark, sf)), "1 day"), "st05").select("symbol", F.to_date("start").cast("string").alias("day"), r("close"))
 
 
-@query("st07_ema", "ticks", f"+ v AS (SELECT symbol, event_id AS ts, value FROM ticks WHERE value > 0) SELECT symbol, ts AS event_id, round(y, 6) AS ema FROM {seeded('value', 0.2, 'v')}")
+#: Hours whose end the watermark of all usable ticks has passed, as the view ``bars``; late hours stay open.
+CLOSED = "+ ct AS (SELECT event_type AS symbol, ts + INTERVAL 60 SECOND AS closed, ts, value FROM events WHERE value > 0), bars AS (SELECT symbol, date_trunc('hour', closed) AS ts, min_by(value, ts) AS open, max(value) AS high, min(value) AS low, max_by(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM ct GROUP BY 1, 2), mark AS (SELECT max(closed) - INTERVAL 2 MINUTE AS mark FROM ct), "
+
+
+def stream_features(spark, sf, name):
+    bars = st.staged(st.bars(st.stamped(ticks(spark, sf))), f"{name}-bars")
+    rows = bars.select("symbol", F.unix_millis("ts").alias("millis"), "high", "low", "close", "volume")
+    state = ft.FeatureState()
+    schema = "symbol string, millis long, high double, low double, close double, volume double, " + ft.FEATURE_SCHEMA
+    return st.keyed_steps(rows, "symbol", ["millis"], lambda s, x: state.step(s, x.millis, x.high, x.low, x.close, x.volume), schema)
+
+
+@query("st07_features", "ticks", f"{CLOSED} {FEATURE} SELECT {T}, {SHOWN} FROM feature, mark WHERE ts + INTERVAL 1 HOUR <= mark")
 def _(spark, sf):
-    ema = st.Ema(0.2)
-    rows = ticks(spark, sf).select("symbol", "event_id", "value")
-    out = st.fold_stream(rows, "symbol", "string", ["event_id"], lambda s, x: ema.step(s, x.value), "symbol string, event_id long, value double, ema double")
-    return st.drain(out, "st07").select("symbol", "event_id", r("ema"))
+    """Every indicator of a stream's bars, by state in a store: the rows of ``f23_feature_pipeline`` over these bars."""
+    return shown_features(st.drain(stream_features(spark, sf, "st07"), "st07").withColumn("ts", F.timestamp_millis("millis")))
 
 
 @query("st08_st09_pair_machine", "ticks", None)

@@ -6,10 +6,12 @@ import math
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..sources.shared import shared_path
 
@@ -54,21 +56,108 @@ def fold_stream(rows: DataFrame, key: str, key_type: str, order: list[str], step
     return rows.groupBy(key).applyInPandasWithState(run, schema, "own binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what there is, into a table with exactly-once batches, and read the table."""
+#: The state store of stateful processors: state of many keys lies on disk, changes go to the checkpoint.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _drained(stream: DataFrame, name: str) -> str:
     spark = stream.sparkSession
-    out = shared_path(spark, name)
-    run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, f"{name}-progress")).outputMode("append").trigger(availableNow=True).start()
+    out, was = shared_path(spark, name), spark.conf.get(STORE[0])
+    try:
+        spark.conf.set(*STORE)
+        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, f"{name}-progress")).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE[0], was)
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return out
 
 
-def staged(stream: DataFrame, name: str) -> DataFrame:
-    """A stream over the table that another stream is drained into, for a step that may not follow it in one query."""
-    spark = stream.sparkSession
-    out = shared_path(spark, name)
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, f"{name}-progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.readStream.schema(stream.schema).parquet(out)
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what there is, into a table with exactly-once batches, and read the table."""
+    out = _drained(stream, name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def staged(stream: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """A stream over the table that another stream is drained into, for a step that may not follow it in one query; so many
+    files a batch, in the order they were written, where ``files`` says so."""
+    out = _drained(stream, name)
+    reader = stream.sparkSession.readStream.schema(stream.schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(out)
+
+
+def bars(ticks: DataFrame, length: str = "1 hour") -> DataFrame:
+    """Bars (symbol, ts, open, high, low, close, volume) of stamped ticks, each when the watermark has passed its end."""
+    g = ticks.groupBy("symbol", F.window("closed_at", length).alias("w")).agg(
+        F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.count("*").cast("double").alias("volume")
+    )
+    return g.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+class KeyedSteps(StatefulProcessor):
+    """An ordered fold by key on a state store: ``step`` of a dict of numbers and lists of numbers, and a row.
+
+    Numbers are a map state, lists (the rings of windows, arrays of filters) a list state of named values: nothing that is
+    stored depends on the code's classes. A batch's rows of a key are put in order, so the source's trigger has to bound a
+    batch; state is read once and written once a key and batch. Rows of a table given as initial state are stepped through without output before the
+    first live row: a warm-up by history.
+    """
+
+    def __init__(self, order: list[str], step: Callable[[dict, object], tuple | None], columns: list[str], more: list[str]) -> None:
+        self.order, self.step, self.columns, self.more = order, step, columns, more
+
+    def init(self, handle) -> None:
+        self.numbers = handle.getMapState("numbers", "name string", "value double")
+        self.lists = handle.getListState("lists", "name string, value double")
+
+    def _read(self) -> dict:
+        state = {k[0]: v[0] for k, v in self.numbers.iterator()} if self.numbers.exists() else {}
+        for name, value in self.lists.get():
+            state.setdefault(name, []).append(value)
+        return state
+
+    def _write(self, state: dict) -> None:
+        flat = [(k, float(v)) for k, x in state.items() if isinstance(x, (list, tuple, np.ndarray)) for v in x]
+        for k, v in state.items():
+            if not isinstance(v, (list, tuple, np.ndarray)):
+                self.numbers.updateValue((k,), (float(v),))
+        self.lists.put(flat) if flat else self.lists.clear()
+
+    def _stepped(self, frames: Iterator[pd.DataFrame], state: dict) -> Iterator[pd.DataFrame]:
+        # Spark gives a key's rows of a batch in no order
+        frame = pd.concat(list(frames)).sort_values(self.order, kind="mergesort")[self.columns]
+        for low in range(0, len(frame), 10_000):
+            part = frame.iloc[low : low + 10_000]
+            found = [(i, out) for i, row in enumerate(part.itertuples(index=False)) if (out := self.step(state, row)) is not None]
+            kept = part.iloc[[i for i, _ in found]].reset_index(drop=True)
+            yield pd.concat([kept, pd.DataFrame([out for _, out in found], columns=self.more, dtype=None if found else object)], axis=1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = self._read()
+        yield from self._stepped(rows, state)
+        self._write(state)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        state = self._read()
+        for _ in self._stepped(iter([initialState]), state):
+            pass
+        self._write(state)
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_steps(rows: DataFrame, key: str, order: list[str], step: Callable[[dict, object], tuple | None], schema: str, history: DataFrame | None = None) -> DataFrame:
+    """``step`` over a stream's rows by key, its state in a store between batches; ``schema`` begins with the columns of rows.
+
+    ``history`` has the same columns: its rows move the state before the stream's and give no output. Rows for which the step
+    gives None have none either. Batches are taken to be in order.
+    """
+    names = rows.columns
+    more = [c.split()[0] for c in schema.split(",")][len(names) :]
+    processor = KeyedSteps(order, step, names, more)
+    start = history.select(*names).groupBy(key) if history is not None else None
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "None", start)
 
 
 def drain_batches(stream: DataFrame, name: str) -> DataFrame:
