@@ -281,23 +281,3 @@ class PairMachine:
         past.append(spread)
         state["side"] = side
         return z, side, event, gain
-
-
-class SingleMachine:
-    """One symbol's signal: exits first, then entries by z, with a least holding time."""
-
-    def __init__(self, enter: float = 1.0, take: float = 0.10, stop: float = 0.05, least: int = 2, longest: int = 60) -> None:
-        self.enter, self.take, self.stop, self.least, self.longest = enter, take, stop, least, longest
-
-    def step(self, state: dict, close: float, z: float, warmed_up: bool) -> tuple[str | None, str | None, int]:
-        side = reason = None
-        if state.get("entry"):
-            state["held"] += 1
-            gain = close / state["entry"] - 1
-            reason = "stop" if gain <= -self.stop else "take_profit" if gain >= self.take else "max_hold" if state["held"] >= self.longest else "signal" if z > self.enter and state["held"] >= self.least else None
-            if reason:
-                side, state["entry"] = "sell", None
-        elif warmed_up and z < -self.enter and close > 0:
-            side, reason = "buy", "signal"
-            state["entry"], state["held"] = close, 0
-        return side, reason, int(bool(state.get("entry")))

@@ -116,22 +116,6 @@ def _(spark, sf):
     return sg.kill_flags(fx.trades(spark, sf), 100000, ["pair_id", "exit_day"], ["trade_id"]).select("trade_id", "pair_id", r("day_pnl", 2), "killed")
 
 
-SINGLE = f"""+ q AS (SELECT *, {ret(1)} AS r1, row_number() OVER w AS n FROM bars {WS}), o AS (SELECT symbol, ts, n, close, n >= 64 AS warm, CASE WHEN stddev_pop(r1) {win(32)} <= 1e-10 THEN 0 ELSE r1 / stddev_pop(r1) {win(32)} END AS z FROM q),
-fold AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS entry, 0 AS held, CAST(NULL AS VARCHAR) AS side, CAST(NULL AS VARCHAR) AS reason FROM o
-UNION ALL SELECT symbol, n, CASE WHEN was IS NULL THEN CASE WHEN why IS NOT NULL THEN close END WHEN why IS NULL THEN was END, CASE WHEN was IS NULL THEN 0 ELSE held END, CASE WHEN why IS NULL THEN NULL WHEN was IS NULL THEN 'buy' ELSE 'sell' END, why
-FROM (SELECT *, CASE WHEN was IS NULL THEN CASE WHEN warm AND z < -1 AND close > 0 THEN 'signal' END WHEN close / was - 1 <= -0.05 THEN 'stop' WHEN close / was - 1 >= 0.1 THEN 'take_profit' WHEN held >= 60 THEN 'max_hold' WHEN z > 1 AND held >= 2 THEN 'signal' END AS why
-FROM (SELECT o.symbol, o.n, o.close, o.warm, o.z, f.entry AS was, f.held + 1 AS held FROM fold f JOIN o ON o.symbol = f.symbol AND o.n = f.n + 1)))
-SELECT {T}, side, reason, CAST(entry IS NOT NULL AS INT) AS holds FROM fold JOIN o USING (symbol, n)"""
-
-
-@query("g09_g10_signal_fold", "bars", SINGLE)
-def g09(spark, sf):
-    rows = ft.with_warm_up(ft.with_zscore(ft.with_returns(fx.bars(spark, sf))), 64).select("symbol", "ts", "close", "return_z", "warmed_up")
-    machine = sg.SingleMachine()
-    out = scan.fold(rows, "symbol", ["ts"], lambda s, x: machine.step(s, x.close, x.return_z, x.warmed_up), "symbol string, ts timestamp, close double, return_z double, warmed_up boolean, side string, reason string, holds int")
-    return out.select("symbol", secs(), "side", "reason", "holds")
-
-
 AVERAGE = """WITH RECURSIVE o AS (SELECT p_brand AS symbol, l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE -1 END * CAST(l_quantity AS DOUBLE) AS qty, CAST(l_extendedprice / l_quantity AS DOUBLE) AS price, row_number() OVER (PARTITION BY p_brand ORDER BY CAST(l_shipdate AS DATE), l_orderkey, l_linenumber) AS n FROM lineitem JOIN part ON l_partkey = p_partkey),
 fold AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS q, 0.0::DOUBLE AS p, 0.0::DOUBLE AS gain FROM o
 UNION ALL SELECT o.symbol, o.n, q + qty, CASE WHEN q * qty >= 0 THEN CASE WHEN q + qty = 0 THEN 0 ELSE (q * p + qty * price) / (q + qty) END WHEN abs(qty) > abs(q) THEN price WHEN abs(qty) < abs(q) THEN p ELSE 0 END, CASE WHEN q * qty >= 0 THEN 0 ELSE least(abs(q), abs(qty)) * sign(q) * (price - p) END
