@@ -268,12 +268,57 @@ def test_kelly_and_capital_by_hand(spark):
     assert reports.expected_best_sharpe(1) == 0 and 1.8 < reports.expected_best_sharpe(20) < 1.95
 
 
-def test_silence_and_session_basket():
+def test_session_basket():
     import datetime as dt
 
-    alarm, state, at = streams.Silence(10), {}, dt.datetime(2024, 1, 1)
-    assert [alarm.step(state, at + dt.timedelta(seconds=s)) for s in (0, 10, 5, 21, 30)] == [None, None, None, 11, None]
     basket, state, d = streams.SessionBasket(2, 0.0, 1.0, 0.5, dt.date(2024, 1, 2)), {}, dt.date(2024, 1, 1)
     assert basket.step(state, d, True, math.e) == (None, None, None) == basket.step(state, d, False, 1.0) and state["position"] == -1
     d = dt.date(2024, 1, 2)
     assert basket.step(state, d, False, 1.0) == (None, None, None) and basket.step(state, d, True, 1.0) == (0.0, -1, False)
+
+
+def in_batches(spark, tmp_path, parts):
+    """A stream that gives each of some tables as a batch of its own, in order."""
+    import time
+
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # batches go by the files' times, which have seconds
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_streamed_features_are_those_of_the_batch_whatever_the_batches(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = []
+    for symbol in ("a", "b"):
+        price = 100.0
+        for i in range(220):
+            price = max(1.0, price * (1 + rnd.gauss(0, 0.02 if i < 120 else 0.06)))
+            high, low = price * (1 + rnd.random() / 50), price * (1 - rnd.random() / 50)
+            rows.append((symbol, i * 3_600_000 + 1_700_000_000_000, high, low, price, float(rnd.randint(0, 9))))
+    df = spark.createDataFrame(rows, "symbol string, millis long, high double, low double, close double, volume double")
+    want = {(r["symbol"], r["ts"]): tuple(r)[2:] for r in features.feature_rows(df.select("symbol", F.timestamp_millis("millis").alias("ts"), "high", "low", "close", "volume")).collect()}
+    state = features.FeatureState()
+    step = lambda s, x: state.step(s, x.millis, x.high, x.low, x.close, x.volume)
+    schema = "symbol string, millis long, high double, low double, close double, volume double, " + features.FEATURE_SCHEMA
+    edges = [rows[70][1], rows[71][1], rows[150][1]]
+    parts = [df.where((F.col("millis") >= low) & (F.col("millis") < high)) for low, high in zip([0, *edges], [*edges, 2**60])]
+    got = streams.drain(streams.keyed_steps(in_batches(spark, tmp_path, parts), "symbol", ["millis"], step, schema), "feature-twin")
+    found = {(r["symbol"], r["ts"]): tuple(r[c] for c in features.FEATURES) for r in got.withColumn("ts", F.timestamp_millis("millis")).collect()}
+    assert found.keys() == want.keys() and len(want) == 440
+    for k in want:
+        for name, x, y in zip(features.FEATURES, found[k], want[k]):
+            assert x == y if not isinstance(y, float) else abs(x - y) < 1e-7 * max(1, abs(y)), (k, name, x, y)
+    warm = streams.keyed_steps(in_batches(spark, tmp_path / "live", parts[3:]), "symbol", ["millis"], step, schema, df.where(F.col("millis") < edges[2]))
+    live = {(r["symbol"], r["ts"]): r["adx"] for r in streams.drain(warm, "feature-warm").withColumn("ts", F.timestamp_millis("millis")).collect()}
+    at = features.FEATURES.index("adx")
+    assert len(live) == 2 * 70 and all(abs(live[k] - want[k][at]) < 1e-7 for k in live)
+
+
+def test_a_symbol_that_is_never_heard_again_raises_an_alarm(spark, tmp_path):
+    at = lambda s: 1_700_000_000_000 + s * 1000
+    batches = [[("a", 0), ("b", 1), ("a", 8)], [("a", 15), ("a", 40), ("a", 30)], [("a", 44), ("c", 45)], [("c", 100), ("a", 101)]]
+    frames = [spark.createDataFrame([(k, at(s)) for k, s in rows], "k string, millis long").select("k", F.timestamp_millis("millis").alias("ts")) for rows in batches]
+    rows = in_batches(spark, tmp_path, frames).withWatermark("ts", "0 seconds")
+    got = {(r["key"], r["since"]) for r in streams.drain(streams.silence_alarms(rows, "k", 10), "alarms").collect()}
+    assert got == {("b", at(1)), ("a", at(15)), ("a", at(44)), ("c", at(45))}

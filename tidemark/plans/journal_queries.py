@@ -102,18 +102,18 @@ def _(spark, sf):
     return rp.guardrail(v, "y", "pair_id", "1-URGENT").select("y", r("return_gap", 2), r("drawdown_gap", 2))
 
 
-SILENT = "w AS (SELECT *, max(ts) OVER (PARTITION BY symbol ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM ticks WHERE value > 0)"
+SILENT = "+ v AS (SELECT DISTINCT symbol || '/' || user_id % 7 AS feed, epoch_us(ts) // 1000 AS ms FROM ticks WHERE value > 0), n AS (SELECT *, lead(ms) OVER (PARTITION BY feed ORDER BY ms) AS next FROM v), m AS (SELECT max(ms) - 120000 AS mark FROM v), a AS (SELECT feed, ms AS since, ms + 10800000 AS told_at FROM n, m WHERE CASE WHEN next IS NULL THEN ms + 10800000 <= mark ELSE next > ms + 10800000 END)"
 
 
-@query("st06_silence", "ticks", f"+ {SILENT} SELECT event_id, symbol, CAST(floor(epoch(ts - newest)) AS BIGINT) AS seconds FROM w WHERE ts - newest > INTERVAL 3 HOUR UNION ALL SELECT NULL, 'never', NULL")
+@query("st06_silence", "ticks", SILENT + " SELECT feed, since, told_at FROM a UNION ALL SELECT 'never/0', NULL, NULL")
 def _(spark, sf):
-    """Alarms of a stream: a symbol speaks after it was silent for over three hours; and symbols that were never heard."""
-    alarm = st.Silence(3 * 3600)
-    rows = st.read_ticks(spark, sf).select("symbol", "event_id", "ts")
-    out = st.drain(st.fold_stream(rows, "symbol", "string", ["event_id"], lambda s, x: (alarm.step(s, x.ts),), "symbol string, event_id long, ts timestamp, seconds long"), "st06")
-    expected = fx.ticks(spark, sf).select("symbol").distinct().unionByName(spark.createDataFrame([("never",)], "symbol string"))
-    never = expected.join(out.select("symbol").distinct(), "symbol", "left_anti").select(F.lit(None).cast("long").alias("event_id"), "symbol", F.lit(None).cast("long").alias("seconds"))
-    return out.where("seconds is not null").select("event_id", "symbol", "seconds").unionByName(never)
+    """Alarms of a stream while a feed is silent for over three hours, by timers; and feeds that were never heard."""
+    rows = st.read_ticks(spark, sf).select(F.concat_ws("/", "symbol", (F.col("user_id") % 7).cast("string")).alias("feed"), "ts").withWatermark("ts", "2 minutes")
+    out = st.drain(st.silence_alarms(rows, "feed", 3 * 3600), "st06").select(F.col("key").alias("feed"), "since", "told_at")
+    heard = fx.ticks(spark, sf).where("value > 0").select(F.concat_ws("/", "symbol", (F.col("user_id") % 7).cast("string")).alias("feed")).distinct()
+    expected = heard.unionByName(spark.createDataFrame([("never/0",)], "feed string"))
+    never = expected.join(heard, "feed", "left_anti").select("feed", F.lit(None).cast("long").alias("since"), F.lit(None).cast("long").alias("told_at"))
+    return out.unionByName(never)
 
 
 LIVE = "+ c AS (SELECT symbol, ts + INTERVAL 60 SECOND AS closed, ts, value FROM ticks WHERE value > 0), m AS (SELECT max(closed) - INTERVAL 2 MINUTE AS mark FROM c), g AS (SELECT symbol, date_trunc('day', closed) AS start, max_by(value, ts) AS close FROM c GROUP BY 1, 2), d AS (SELECT symbol, CAST(start AS DATE) AS day, round(close, 6) AS close FROM g, m WHERE start + INTERVAL 1 DAY <= mark), n AS (SELECT count(DISTINCT symbol) AS n FROM d), b AS (SELECT t.symbol AS target, t.day, ln(t.close) - (sum(ln(p.close)) / count(*)) AS spread, count(*) AS peers FROM d t JOIN d p ON p.day = t.day AND p.symbol <> t.symbol GROUP BY 1, 2, t.close), z AS (SELECT target, day, round(spread / 0.4, 6) AS z FROM b, n WHERE peers = n - 1), l AS (SELECT *, CASE WHEN z < -0.5 THEN 1 WHEN z > 0.5 THEN -1 END AS signal FROM z), f AS (SELECT *, coalesce(last_value(signal IGNORE NULLS) OVER w, 0) AS position, coalesce(last_value(signal IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l WINDOW w AS (PARTITION BY target ORDER BY day))"

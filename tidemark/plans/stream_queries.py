@@ -56,12 +56,18 @@ def _(spark, sf):
 CLOSED = "+ ct AS (SELECT event_type AS symbol, ts + INTERVAL 60 SECOND AS closed, ts, value FROM events WHERE value > 0), bars AS (SELECT symbol, date_trunc('hour', closed) AS ts, min_by(value, ts) AS open, max(value) AS high, min(value) AS low, max_by(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM ct GROUP BY 1, 2), mark AS (SELECT max(closed) - INTERVAL 2 MINUTE AS mark FROM ct), "
 
 
-def stream_features(spark, sf, name):
-    bars = st.staged(st.bars(st.stamped(ticks(spark, sf))), f"{name}-bars")
-    rows = bars.select("symbol", F.unix_millis("ts").alias("millis"), "high", "low", "close", "volume")
+FEATURE_INPUT = "symbol string, millis long, high double, low double, close double, volume double, "
+
+
+def stream_features(spark, sf, name, live_from=None):
+    """Feature rows of a stream's bars; with ``live_from`` the bars before are the state's history and not the stream's."""
+    columns = ["symbol", F.unix_millis("ts").alias("millis"), "high", "low", "close", "volume"]
+    rows, history = st.staged(st.bars(st.stamped(ticks(spark, sf))), f"{name}-bars"), None
+    if live_from is not None:
+        usable = fx.ticks(spark, sf).where(F.col("value") > 0).withColumn("closed_at", F.timestamp_add("SECOND", F.lit(60), "ts"))
+        history, rows = st.bars(usable).where(F.col("ts") < live_from).select(*columns), rows.where(F.col("ts") >= live_from)
     state = ft.FeatureState()
-    schema = "symbol string, millis long, high double, low double, close double, volume double, " + ft.FEATURE_SCHEMA
-    return st.keyed_steps(rows, "symbol", ["millis"], lambda s, x: state.step(s, x.millis, x.high, x.low, x.close, x.volume), schema)
+    return st.keyed_steps(rows.select(*columns), "symbol", ["millis"], lambda s, x: state.step(s, x.millis, x.high, x.low, x.close, x.volume), FEATURE_INPUT + ft.FEATURE_SCHEMA, history)
 
 
 @query("st07_features", "ticks", f"{CLOSED} {FEATURE} SELECT {T}, {SHOWN} FROM feature, mark WHERE ts + INTERVAL 1 HOUR <= mark")
@@ -70,6 +76,12 @@ def _(spark, sf):
     return shown_features(st.drain(stream_features(spark, sf, "st07"), "st07").withColumn("ts", F.timestamp_millis("millis")))
 
 
+@query("st12_initial_state", "ticks", f"{CLOSED} {FEATURE} SELECT {T}, {SHOWN} FROM feature, mark WHERE ts >= TIMESTAMP '2024-01-20' AND ts + INTERVAL 1 HOUR <= mark")
+def _(spark, sf):
+    """The same over live bars alone, once the bars before them have warmed the state up without a row."""
+    return shown_features(st.drain(stream_features(spark, sf, "st12f", F.lit("2024-01-20").cast("timestamp")), "st12f").withColumn("ts", F.timestamp_millis("millis")))
+
+
 @query("st08_st09_pair_machine", "ticks", None)
 def st09(spark, sf):
     machine = sg.PairMachine()

@@ -191,17 +191,52 @@ class Ema:
         return (state["y"],)
 
 
-class Silence:
-    """Seconds since a key was last heard where they are more than a limit; rows that are late say nothing."""
+class SilenceAlarms(StatefulProcessor):
+    """An alarm while a key is silent: a timer in event time is set with every row and goes off when the watermark passes it.
+
+    A key that is never heard again is told too, as long as others move the watermark. What is told does not depend on how
+    rows fall into batches: a row that comes more than the limit after the one before tells that silence itself, if the
+    timer has not. Rows older than the newest of their key say nothing.
+    """
 
     def __init__(self, limit: float) -> None:
-        self.limit = limit
+        self.limit = int(limit * 1000)
 
-    def step(self, state: dict, ts) -> int | None:
-        newest = state.get("newest")
-        state["newest"] = ts if newest is None or ts > newest else newest
-        silent = 0.0 if newest is None else (ts - newest).total_seconds()
-        return int(silent) if silent > self.limit else None
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "millis long, told boolean")
+
+    def _alarm(self, key, millis: int) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], millis, millis + self.limit)], columns=["key", "since", "told_at"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest, told = self.newest.get() if self.newest.exists() else (None, False)
+        for millis in sorted(int(m) for frame in rows for m in frame["millis"]):
+            if newest is not None and millis <= newest:
+                continue
+            if newest is not None and not told:
+                self.handle.deleteTimer(newest + self.limit)
+                if millis > newest + self.limit:
+                    yield self._alarm(key, newest)
+            newest, told = millis, False
+            self.handle.registerTimer(newest + self.limit)
+        if newest is not None:
+            self.newest.update((newest, told))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        newest, told = self.newest.get()
+        if not told and expiredTimerInfo.getExpiryTimeInMs() == newest + self.limit:
+            self.newest.update((newest, True))
+            yield self._alarm(key, newest)
+
+    def close(self) -> None:
+        pass
+
+
+def silence_alarms(rows: DataFrame, key: str, limit: float) -> DataFrame:
+    """(key, since, told_at) in milliseconds: silences of more than ``limit`` seconds of a stream (key, ts), which has a watermark on ts."""
+    own = rows.select(F.col(key).cast("string").alias("key"), "ts", F.unix_millis("ts").alias("millis"))
+    return own.groupBy("key").transformWithStateInPandas(SilenceAlarms(limit), "key string, since long, told_at long", "Append", "EventTime")
 
 
 class SessionBasket:
