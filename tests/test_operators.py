@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.operators import book, detectors, features, scan, signals, stats, tables
+from tidemark.operators import book, detectors, features, pairs, scan, signals, stats, tables
 from tidemark.streaming import streams
 
 
@@ -126,16 +126,60 @@ def test_fold_is_ordered_whatever_the_partitions(spark):
         assert all(r["n"] == r["ts"] + 1 for r in out.collect())
 
 
-def test_stream_fold_equals_batch_fold(spark):
-    machine = signals.PairMachine(n=10)
-    step = lambda s, x: machine.step(s, x.spread)
-    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("event_type").alias("symbol"), "event_id", F.log("value").alias("spread")).where("value > 0")
-    schema = "symbol string, event_id long, spread double, z double, side int, event string, gain double"
-    batch = scan.fold(rows, "symbol", ["event_id"], step, schema)
-    stream = streams.read_ticks(spark, "/root/testdata/sf0.001").select("symbol", "event_id", F.log("value").alias("spread"))
-    other = streams.drain(streams.fold_stream(stream, "symbol", "string", ["event_id"], step, schema), "twin")
-    plain = lambda d: sorted((r["symbol"], r["event_id"], r["side"], r["event"] or "") for r in d.collect())
-    assert plain(batch) == plain(other) and any(x[3] for x in plain(batch))
+def pair_bars(n=900, seed=5):
+    """Hourly prices of two legs whose spread reverts, with a jump that stops a position."""
+    rnd, spread, out = random.Random(seed), 0.0, []
+    for i in range(n):
+        spread = 0.97 * spread + rnd.gauss(0, 0.01) + (0.15 if i > 400 and i % 50 == 0 else 0.0)
+        b = 50 * math.exp(0.1 * math.sin(i / 90))
+        out.append(("a/b", 1_700_006_400_000 + i * 3_600_000, b**0.8 * math.exp(0.3 + spread), b, 0.3, 0.8, 9.0, 0, 0))
+    return out
+
+
+MONTH = {"enter": 1.0, "leave": 0.3, "stop": 3.0, "window": 6, "longest": 5, "shortest": 1, "close_minute": 1500, "offset_hours": 0}
+
+
+def test_streamed_pair_machine_is_that_of_the_batch(spark, tmp_path):
+    machine = pairs.PairLegs(**MONTH)
+    names = "pair_id string, millis long, price_a double, price_b double, alpha double, beta double, kappa double, max_hold int, blocked_until long"
+    rows = pair_bars()
+    df = spark.createDataFrame(rows, names)
+    step = lambda s, x: machine.step(s, x.millis, x.price_a, x.price_b, x.alpha, x.beta, x.kappa, x.max_hold, x.blocked_until)
+    schema = f"{names}, {pairs.PAIR_COLUMNS}"
+    batch = {r["millis"]: tuple(r) for r in scan.fold(df, "pair_id", ["millis"], step, schema).collect()}
+    edges = [0, rows[300][1], rows[301][1], 2**60]
+    parts = [df.where((F.col("millis") >= low) & (F.col("millis") < high)) for low, high in zip(edges, edges[1:])]
+    stream = {r["millis"]: tuple(r) for r in streams.drain(streams.keyed_steps(in_batches(spark, tmp_path, parts), "pair_id", ["millis"], step, schema), "pair-twin").collect()}
+    assert batch == stream and len(batch) == 900
+    events = [x[13] for x in batch.values() if x[13]]
+    assert {"entry", "reversion", "stop_loss"} <= set(events) and all((a == "entry") != (b == "entry") for a, b in zip(events, events[1:]))
+
+
+def test_pair_machine_rules():
+    def run(rows, **more):
+        machine, state = pairs.PairLegs(**(MONTH | more)), {}
+        return [machine.step(state, *r[1:]) for r in rows]
+
+    rows = pair_bars()
+    plain = run(rows)
+    entries = [i for i, x in enumerate(plain) if x[4] == "entry"]
+    for i in entries:
+        side, price_a = plain[i][3], rows[i][2]
+        assert rows[i][1] % 86_400_000 == 0 and side == (1 if plain[i][1] < 0 else -1) and 1.0 < abs(plain[i][1]) <= 3.0
+        assert plain[i][5] == side * math.floor(10_000 / price_a) and plain[i][6] * side < 0
+        j = next(k for k in range(i + 1, len(plain)) if plain[k][4])
+        assert (plain[j][5], plain[j][6]) == (-plain[i][5], -plain[i][6])
+        if plain[j][4] == "reversion":
+            assert side * plain[j][2] > -0.3
+    assert all(x[4] != "entry" for x in run([(*r[:8], 2**60) for r in rows]))  # blacked out
+    assert {x[4] for x in run([(*r[:7], 1, 0) for r in rows])} >= {"max_hold"}  # held for a day at most
+    assert "eod_close" in {x[4] for x in run(rows, close_minute=1380)}
+    assert "drift_stop" in {x[4] for x in run(rows, drift=0.5)}
+    assert not any(x[4] for x in run(rows, last_hour=0)) and all(x == (None,) * 3 + (0,) + (None,) * 5 for x in run([(r[0], r[1], 0.0, *r[3:]) for r in rows]))
+    intraday = run(rows, intraday=True, confirm=3)
+    assert any(rows[i][1] % 86_400_000 for i, x in enumerate(intraday) if x[4] == "entry")
+    count = lambda **more: sum(x[4] == "entry" for x in run([(*r[:7], 1, 0) for r in pair_bars(4000)], enter=0.5, **more))
+    assert count(cost_bps=1e6) < count()  # five losses pause it
 
 
 def test_adf_separates_reverting_from_walking():

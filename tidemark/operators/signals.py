@@ -246,38 +246,3 @@ class OverlayRule:
 def fixed_overlay(days: DataFrame, picker: str, mode: str) -> DataFrame:
     """Every day the same mode; a sleeve at its full scale."""
     return days.withColumns({"picker": F.lit(picker), "mode": F.lit(mode), "scale": F.lit(1.0 if mode == "sleeve" else 0.0)})
-
-
-class PairMachine:
-    """One pair's positions: frozen context at entry, exits by reversion, stop, drift and age, a pause after losses."""
-
-    def __init__(self, n: int = 40, enter: float = 1.5, leave: float = 0.3, stop: float = 3.0, drift: float = 4.0, longest: int = 20, cool: int = 10) -> None:
-        self.n, self.enter, self.leave, self.stop, self.drift, self.longest, self.cool = n, enter, leave, stop, drift, longest, cool
-
-    def step(self, state: dict, spread: float) -> tuple[float | None, int, str | None, float | None]:
-        past = state.setdefault("past", deque(maxlen=self.n))
-        side, event, gain, z = state.get("side", 0), None, None, None
-        if state.get("wait", 0):
-            state["wait"] -= 1
-        if len(past) == self.n:
-            mean = sum(past) / self.n
-            std = math.sqrt(sum((x - mean) ** 2 for x in past) / self.n)
-            z = (spread - mean) / std if std > 1e-10 else None
-            if side:
-                state["held"] += 1
-                own = (spread - state["mean"]) / state["std"]
-                event = "reversion" if abs(own) <= self.leave or own * side > 0 else "stop" if abs(own) >= self.stop else "drift" if abs(mean - state["mean"]) > self.drift * state["std"] else "max_hold" if state["held"] >= self.longest else None
-                if event:
-                    gain = side * (spread - state["at"])
-                    losses = state.setdefault("losses", deque(maxlen=5))
-                    losses.append((gain < 0, event == "stop"))
-                    if (len(losses) == 5 and all(x for x, _ in losses)) or (len(losses) >= 3 and all(s for _, s in list(losses)[-3:])):
-                        state["wait"] = self.cool
-                        losses.clear()
-                    side = 0
-            elif z is not None and abs(z) >= self.enter and abs(z) < self.stop and not state.get("wait", 0):
-                side, event = (1 if z < 0 else -1), "entry"
-                state.update(mean=mean, std=std, at=spread, held=0)
-        past.append(spread)
-        state["side"] = side
-        return z, side, event, gain

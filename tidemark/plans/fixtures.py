@@ -109,4 +109,4 @@ def with_views(names: str, body: str) -> str:
         for m in [*NEEDS.get(n, []), n]:
             if m not in order:
                 order.append(m)
-    return ("WITH RECURSIVE " if any(f"{v} AS (SELECT" in body for v in ("fold", "fired", "eng")) else "WITH ") + ", ".join(CTE[n] for n in order) + (", " if body.lstrip().startswith("+") else " ") + body.lstrip().removeprefix("+")
+    return ("WITH RECURSIVE " if any(f"{v} AS (SELECT" in body for v in ("fold", "fired", "eng", "pm")) else "WITH ") + ", ".join(CTE[n] for n in order) + (", " if body.lstrip().startswith("+") else " ") + body.lstrip().removeprefix("+")

@@ -154,25 +154,6 @@ def _(spark, sf):
     return sg.pair_z(basket_rows(spark, sf), ["target"], "day", 40).select("target", day(), r("z", 5))
 
 
-MACHINE = f"""{OU}, zz AS (SELECT target, day, spread, row_number() OVER v AS n, count(*) OVER c = 40 AS ready, avg(spread) OVER c AS m, stddev_pop(spread) OVER c AS s FROM sp WINDOW v AS (PARTITION BY target ORDER BY day), c AS (PARTITION BY target ORDER BY day ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)),
-e AS (SELECT *, CASE WHEN ready AND s > 1e-10 THEN (spread - m) / s END AS z FROM zz),
-fold AS (SELECT DISTINCT target, CAST(0 AS BIGINT) AS n, 0 AS side, 0 AS wait, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS std, 0.0::DOUBLE AS base, 0 AS held, 0 AS lost, 0 AS stops, CAST(NULL AS VARCHAR) AS event, CAST(NULL AS DOUBLE) AS gain FROM e
-UNION ALL SELECT target, n, CASE WHEN event = 'entry' THEN CASE WHEN z < 0 THEN 1 ELSE -1 END WHEN event IS NOT NULL THEN 0 ELSE side END, CASE WHEN lost >= 5 OR stops >= 3 THEN 10 ELSE wait END, CASE WHEN event = 'entry' THEN m ELSE mean END, CASE WHEN event = 'entry' THEN s ELSE std END, CASE WHEN event = 'entry' THEN spread ELSE base END, CASE WHEN event = 'entry' THEN 0 ELSE held END, CASE WHEN lost >= 5 OR stops >= 3 THEN 0 ELSE lost END, CASE WHEN lost >= 5 OR stops >= 3 THEN 0 ELSE stops END, event, gain
-FROM (SELECT * EXCLUDE (lost, stops), CASE WHEN gain IS NULL THEN lost WHEN gain < 0 THEN lost + 1 ELSE 0 END AS lost, CASE WHEN gain IS NULL THEN stops WHEN event = 'stop' THEN stops + 1 ELSE 0 END AS stops
-FROM (SELECT *, CASE WHEN side <> 0 AND event IS NOT NULL THEN side * (spread - base) END AS gain
-FROM (SELECT *, CASE WHEN NOT ready THEN NULL WHEN side <> 0 THEN CASE WHEN abs(own) <= 0.3 OR own * side > 0 THEN 'reversion' WHEN abs(own) >= 3 THEN 'stop' WHEN abs(m - mean) > 4 * std THEN 'drift' WHEN held >= 20 THEN 'max_hold' END WHEN abs(z) >= 1.5 AND abs(z) < 3 AND wait = 0 THEN 'entry' END AS event
-FROM (SELECT e.target, e.n, e.spread, e.ready, e.m, e.s, e.z, f.side, greatest(f.wait - 1, 0) AS wait, f.mean, f.std, f.base, CASE WHEN f.side <> 0 THEN f.held + 1 ELSE f.held END AS held, f.lost, f.stops, (e.spread - f.mean) / f.std AS own FROM fold f JOIN e ON e.target = f.target AND e.n = f.n + 1)))))
-SELECT target, day::VARCHAR AS day, round(z, 5) + 0.0 AS z, side, event, round(gain, 5) + 0.0 AS gain FROM fold JOIN e USING (target, n)"""
-
-
-@query("g14_pair_machine", BV, MACHINE)
-def g14(spark, sf):
-    rows = basket_rows(spark, sf).select("target", "day", "spread")
-    machine = sg.PairMachine()
-    out = scan.fold(rows, "target", ["day"], lambda s, x: machine.step(s, x.spread), "target string, day date, spread double, z double, side int, event string, gain double")
-    return out.select("target", day(), r("z", 5), "side", "event", r("gain", 5))
-
-
 @query("g15_persistence", BV, f"{OU}, z AS (SELECT target, day, CASE WHEN count(*) OVER {SPW} = 40 THEN round((spread - avg(spread) OVER {SPW}) / stddev_pop(spread) OVER {SPW}, 5) END AS z FROM sp), ov AS (SELECT *, coalesce(z > 1, false) AS over_, row_number() OVER (PARTITION BY target ORDER BY day) AS n FROM z), gg AS (SELECT *, n - row_number() OVER (PARTITION BY target, over_ ORDER BY day) AS isle FROM ov), s AS (SELECT *, CASE WHEN over_ THEN count(*) OVER (PARTITION BY target, over_, isle ORDER BY day ROWS UNBOUNDED PRECEDING) ELSE 0 END AS streak FROM gg) SELECT target, day::VARCHAR AS day, streak FROM s WHERE streak >= 2")
 def _(spark, sf):
     rows = sg.pair_z(basket_rows(spark, sf), ["target"], "day", 40).withColumn("over", F.coalesce(F.round("z", 5) > 1, F.lit(False)))

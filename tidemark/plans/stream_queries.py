@@ -82,14 +82,6 @@ def _(spark, sf):
     return shown_features(st.drain(stream_features(spark, sf, "st12f", F.lit("2024-01-20").cast("timestamp")), "st12f").withColumn("ts", F.timestamp_millis("millis")))
 
 
-@query("st08_st09_pair_machine", "ticks", None)
-def st09(spark, sf):
-    machine = sg.PairMachine()
-    rows = ticks(spark, sf).select("symbol", "event_id", F.log("value").alias("spread"))
-    out = st.fold_stream(rows, "symbol", "string", ["event_id"], lambda s, x: machine.step(s, x.spread), "symbol string, event_id long, spread double, z double, side int, event string, gain double")
-    return st.drain(out, "st09")
-
-
 @query("st11_st13_batches", "ticks", "SELECT symbol, count(*) AS n, round(sum(value), 4) AS total FROM ticks WHERE value > 0 GROUP BY 1")
 def _(spark, sf):
     rows = st.drain_batches(ticks(spark, sf), "st11")
