@@ -12,9 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Significance levels and critical values of the unit-root tests.
-LEVELS = (0.01, 0.05, 0.10)
-PAIR_CRITICAL = (-3.90, -3.34, -3.04)
-PLAIN_CRITICAL = (-3.43, -2.86, -2.57)
+LEVELS = (0.01, 0.05, 0.10, 0.25)
+PAIR_CRITICAL = (-3.90, -3.34, -3.04, -2.58)
+PLAIN_CRITICAL = (-3.435, -2.864, -2.568, -2.196)
 
 
 def ols(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -178,6 +178,11 @@ def ou_fit(spreads: DataFrame, by: list[str], order: str = "day", value: str = "
     rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(order)))
     rows = spreads.withColumn("__rn", rank).where(F.col("__rn") <= n).withColumn("__x", F.lag(value).over(w)).where(F.col("__x").isNotNull())
     g = rows.groupBy(*by).agg(F.count("*").alias("pairs"), F.regr_slope(value, "__x").alias("b"), F.regr_intercept(value, "__x").alias("a"), F.regr_syy(value, "__x").alias("syy"), F.regr_sxy(value, "__x").alias("sxy"))
+    return _ou_columns(g, by, per_year)
+
+
+def _ou_columns(g: DataFrame, by: list[str], per_year: int) -> DataFrame:
+    """Parameters of the process from the moments (pairs, a, b, syy, sxy) of a regression on the value before."""
     ok = (F.col("b") > 0) & (F.col("b") < 1) & (F.col("pairs") > 2)
     b = F.when(ok, F.col("b"))
     kappa = -F.log(b) * per_year
@@ -304,17 +309,53 @@ def validate_pairs(closes: DataFrame, pairs: DataFrame, window: int = 150, histo
     return out.withColumns({"passed": F.size("reasons") == 0, "score": score(F.coalesce("adf_p", F.lit(1.0)), F.col("half_life"), F.col("beta_cv"), F.col("r2"), F.coalesce("broken", F.lit(True)))})
 
 
-def validate_baskets(closes: DataFrame, baskets: DataFrame, as_of: str | None = None, days: int = 180, least: int = 60, max_p: float = 0.05, max_share: float = 0.70, max_centrality: float = 0.90, cost: float = 0.0005, clip: tuple[float, float] = (0.15, 2.5)) -> DataFrame:
-    """Every basket's fit over the days strictly before ``as_of`` and no older than ``days`` weeks, with the first failing gate.
+def fits_as_of(closes: DataFrame, baskets: DataFrame, dates: DataFrame, window: int = 60, days: int = 180, max_p: float | None = 0.05, max_share: float | None = 0.60, least_centrality: float | None = 0.0, cost: float = 0.0005, clip: tuple[float, float] = (0.15, 2.5), per_year: int = 252) -> DataFrame:
+    """Every basket's fit as of every date (as_of): from the last ``window`` days strictly before it and no older than ``days``.
 
-    k outside ``clip`` is cut to it, which is recorded and fails nothing."""
-    if as_of is not None:
-        closes = closes.where((F.col("day") < F.to_date(F.lit(as_of))) & (F.col("day") >= F.date_sub(F.to_date(F.lit(as_of)), days * 7)))
-    by = ["sector", "target"]
-    spread = basket_spread(closes, baskets)
-    share = contributions(closes, baskets).groupBy(*by).agg(F.max(F.abs("contribution")).alias("dominance"), F.max(F.when(F.col("symbol") == F.col("target"), F.abs("contribution"))).alias("centrality"))
-    out = baskets.select(*by).distinct().join(spread.groupBy(*by).agg(F.count("*").alias("n")), by, "left")
-    out = out.join(with_threshold(ou_fit(spread, by), cost), by, "left").join(adf(spread, by, "day", "spread", PLAIN_CRITICAL), by, "left").join(share, by, "left")
-    first = F.when(F.coalesce("n", F.lit(0)) < least, "short_history").when(~(F.coalesce("adf_p", F.lit(1.0)) < max_p), "not_stationary").when(~(F.coalesce("dominance", F.lit(9.0)) <= max_share), "dominated")
-    first = first.when(~(F.coalesce("centrality", F.lit(9.0)) <= max_centrality), "central_target").when(F.col("kappa").isNull(), "no_reversion").when(F.col("k").isNull(), "no_threshold")
-    return out.withColumns({"reason": first, "clipped": (F.col("k") < clip[0]) | (F.col("k") > clip[1]), "k": F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), F.col("k")))}).withColumn("passed", F.col("reason").isNull())
+    Dates are rows: a basket's days are numbered once, each (basket, date) finds its last day by one pass in order, and its
+    numbers join the days, so that the plan is the same for one date and for hundreds. Gates in order: too little history, a
+    unit root, one leg's share of the spread's variance, the target's share of it, no reversion, no threshold that pays; a
+    gate given as None is off. k outside ``clip`` is cut to it, which is recorded and fails nothing.
+    """
+    by, each = ["sector", "target"], ["sector", "target", "as_of"]
+    own = W.partitionBy(*by).orderBy("day")
+    spread = basket_spread(closes, baskets).withColumns({"i": F.row_number().over(own), "before": F.lag("spread").over(own)})
+    every = baskets.select(*by).distinct().join(dates.select(F.col("as_of").cast("date").alias("as_of")).distinct(), F.lit(True))
+    # the number of a basket's days before each date, and before the oldest that counts: days come after the dates of the same day
+    edges = every.select(*by, F.explode(F.array(F.struct("as_of", F.col("as_of").alias("day"), F.lit(True).alias("last")), F.struct("as_of", F.date_sub("as_of", days).alias("day"), F.lit(False).alias("last")))).alias("e")).select(*by, "e.*", F.lit(None).cast("int").alias("i"))
+    marks = edges.unionByName(spread.select(*by, F.lit(None).cast("date").alias("as_of"), "day", F.lit(None).cast("boolean").alias("last"), "i"))
+    marks = marks.withColumn("known", F.coalesce(F.max("i").over(W.partitionBy(*by).orderBy("day", F.col("as_of").isNull()).rowsBetween(W.unboundedPreceding, 0)), F.lit(0))).where("as_of is not null")
+    ends = marks.groupBy(*each).agg(F.max(F.when(F.col("last"), F.col("known"))).alias("high"), F.max(F.when(~F.col("last"), F.col("known"))).alias("low"))
+    ends = ends.select(*each, "high", (F.col("high") - F.col("low")).alias("n"))
+    used = ends.where(F.col("n") >= window).select(*each, F.explode(F.sequence(F.col("high") - window + 1, F.col("high"))).alias("i"), (F.col("high") - window + 1).alias("first"))
+    rows = used.join(spread, [*by, "i"]).withColumn("before", F.when(F.col("i") > F.col("first"), F.col("before")))
+    pair = F.col("before").isNotNull()
+    g = rows.groupBy(*each).agg(
+        F.count_if(pair).alias("pairs"), F.regr_slope("spread", "before").alias("b"), F.regr_intercept("spread", "before").alias("a"), F.regr_syy("spread", "before").alias("syy"), F.regr_sxy("spread", "before").alias("sxy"),
+        F.sort_array(F.collect_list(F.struct("i", "spread"))).alias("series"),
+    )
+    g = with_threshold(_ou_columns(g, each + ["series"], per_year), cost, per_year)
+    solve = F.pandas_udf(lambda batch: pd.DataFrame([adf_statistic(np.asarray(x, float)) for x in batch], columns=["stat", "lags"]), "stat double, lags int")
+    g = g.withColumn("t", solve(F.transform("series", lambda x: x["spread"]))).withColumn("adf_stat", F.nanvl("t.stat", F.lit(None))).withColumn("adf_p", p_value(F.col("adf_stat"), PLAIN_CRITICAL)).drop("t", "series")
+    g = g.withColumn("adf_p", F.when(F.col("adf_stat").isNotNull(), F.col("adf_p")))
+    size = baskets.groupBy(*by).agg(F.collect_list("peer").alias("peers"))
+    weights = size.select(*by, F.explode(F.concat(F.array(F.struct(F.col("target").alias("symbol"), F.lit(1.0).alias("w"))), F.transform("peers", lambda p: F.struct(p.alias("symbol"), (-1.0 / F.size("peers")).alias("w"))))).alias("leg")).select(*by, "leg.*")
+    shares = rows.select(*each, "day", "spread").join(weights, by).join(closes.select("symbol", "day", F.log("close").alias("p")), ["symbol", "day"]).groupBy(*each, "symbol").agg((F.first("w") * F.covar_samp("p", "spread") / F.var_samp("spread")).alias("share"))
+    shares = shares.groupBy(*each).agg(F.max(F.abs("share")).alias("dominance"), F.max(F.when(F.col("symbol") == F.col("target"), F.abs("share"))).alias("centrality"))
+    out = ends.select(*each, "n").join(g, each, "left").join(shares, each, "left")
+    reason = F.when(F.col("n") < window, "short_history")
+    if max_p is not None:
+        reason = reason.when(~F.coalesce(F.col("adf_p") <= max_p, F.lit(False)), "not_stationary")
+    if max_share is not None:
+        reason = reason.when(~F.coalesce(F.col("dominance") <= max_share, F.lit(False)), "dominated")
+    if least_centrality is not None:
+        reason = reason.when(~F.coalesce(F.col("centrality") >= least_centrality, F.lit(False)), "target_not_central")
+    reason = reason.when(F.col("kappa").isNull(), "no_reversion").when(F.col("k").isNull(), "no_threshold")
+    cut = F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), F.col("k")))
+    return out.withColumns({"reason": reason, "clipped": F.col("k") != cut, "k": F.when(F.col("k").isNotNull(), cut)}).withColumn("passed", F.col("reason").isNull())
+
+
+def validate_baskets(closes: DataFrame, baskets: DataFrame, **limits) -> DataFrame:
+    """``fits_as_of`` the day after the last close, over all days."""
+    dates = closes.agg(F.date_add(F.max("day"), 1).alias("as_of"))
+    return fits_as_of(closes, baskets, dates, **({"days": 100_000} | limits)).drop("as_of")

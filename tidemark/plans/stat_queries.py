@@ -51,12 +51,35 @@ def _(spark, sf):
     return stats.ols_many(rows, ["l_returnflag"], ["l_quantity", "l_discount"], "l_extendedprice").select("l_returnflag", "n", r(F.col("coefficients")[0], 2, "intercept"), r(F.col("coefficients")[1], 4, "per_quantity"), r(F.col("coefficients")[2], 2, "per_discount"), r(F.col("errors")[1], 4, "quantity_error"), r(F.col("errors")[2], 2, "discount_error"))
 
 
-@query("t04_t06_adf", V, None)
+def adf_sql(rows, keys, most):
+    """Views of the unit-root test over rows (keys, i from 1, v): the last, ``adf``, has (keys, stat, lags). For each number of
+    lags the Gram matrix of regressors and difference is swept pivot by pivot, which leaves the inverse, coefficients and rest."""
+    z = lambda i: f"CASE WHEN {i} = 1 THEN 1 WHEN {i} = 2 THEN v[t - 1] WHEN {i} = p + 3 THEN v[t] - v[t - 1] ELSE v[t - {i} + 2] - v[t - {i} + 1] END"
+    swept = """CASE WHEN i = j AND c = j THEN 1 / g[j][j] WHEN i = j THEN g[j][c] / g[j][j] WHEN c = j THEN -g[i][j] / g[j][j] ELSE g[i][c] - g[i][j] * g[j][c] / g[j][j] END"""
+    on = " AND ".join(f"x.{k} = y.{k}" for k in keys.split(", "))
+    return f"""series AS (SELECT {keys}, list(v ORDER BY i) AS v, count(*) AS n FROM {rows} GROUP BY {keys} HAVING count(*) >= 20),
+lagged AS (SELECT *, unnest(range(0, least(greatest(1, CAST(floor(12 * pow(n / 100, 0.25)) AS BIGINT)), n // 4) + 1)) AS p FROM series),
+sweep AS (SELECT {keys}, p, n, 0 AS j0, list_transform(range(1, p + 4), lambda i: list_transform(range(1, p + 4), lambda c: list_sum(list_transform(range(p + 2, n + 1), lambda t: CAST(({z('i')}) * ({z('c')}) AS DOUBLE))))) AS g FROM lagged
+UNION ALL SELECT {keys}, p, n, j, list_transform(range(1, p + 4), lambda i: list_transform(range(1, p + 4), lambda c: {swept})) FROM (SELECT *, j0 + 1 AS j FROM sweep WHERE j0 < p + 2)),
+adfs AS (SELECT {keys}, p, g[2][p + 3] / sqrt(g[p + 3][p + 3] / (n - p - 1 - (p + 2)) * g[2][2]) AS stat, (n - p - 1) * ln(g[p + 3][p + 3] / (n - p - 1)) + 2 * (p + 2) AS aic FROM sweep WHERE j0 = p + 2 AND g[p + 3][p + 3] > 0),
+adf AS (SELECT {keys}, arg_min(stat, aic) AS stat, arg_min(p, aic) AS lags FROM adfs GROUP BY {keys})"""
+
+
+def p_sql(stat, critical, levels=(0.01, 0.05, 0.10, 0.25)):
+    steps = " ".join(f"WHEN {stat} <= {c1} THEN {p0} + ({stat} - ({c0})) / {c1 - c0} * {p1 - p0}" for c0, c1, p0, p1 in zip(critical, critical[1:], levels, levels[1:]))
+    return f"CASE WHEN {stat} <= {critical[0]} THEN {levels[0] / 2} {steps} ELSE least(1, {levels[-1]} + ({stat} - ({critical[-1]})) / {-critical[-1]} * {1 - levels[-1]}) END"
+
+
+ADF = f"ai AS (SELECT leg_a, leg_b, row_number() OVER (PARTITION BY leg_a, leg_b ORDER BY k) AS i, spread AS v FROM s), fold AS (SELECT 1), {adf_sql('ai', 'leg_a, leg_b', 150)}"
+
+
+@query("t04_t06_adf", V, f"{SPREAD}, {ADF} SELECT leg_a, leg_b, round(stat, 4) AS adf_stat, lags AS adf_lags, round({p_sql('stat', stats.PAIR_CRITICAL)}, 5) AS adf_p FROM adf")
 def t04(spark, sf):
-    return stats.adf(spreads(spark, sf), BY, "k", "spread")
+    """Unit-root tests of every pair's residual spread, lags by the information criterion."""
+    return stats.adf(spreads(spark, sf), BY, "k", "spread").select(*BY, r("adf_stat", 4), F.col("adf_lags").cast("long").alias("adf_lags"), r("adf_p", 5))
 
 
-@query("t06_p_value", "", "WITH x AS (SELECT c_custkey AS id, -(c_custkey % 500) / 100.0 AS s FROM customer) SELECT id, round(CASE WHEN s <= -3.9 THEN 0.005 WHEN s <= -3.34 THEN 0.01 + (s + 3.9) / 0.56 * 0.04 WHEN s <= -3.04 THEN 0.05 + (s + 3.34) / 0.3 * 0.05 ELSE least(1, 0.1 + (s + 3.04) / 3.04 * 0.9) END, 6) AS p FROM x")
+@query("t06_p_value", "", "WITH x AS (SELECT c_custkey AS id, -(c_custkey % 500) / 100.0 AS s FROM customer) SELECT id, round(CASE WHEN s <= -3.9 THEN 0.005 WHEN s <= -3.34 THEN 0.01 + (s + 3.9) / 0.56 * 0.04 WHEN s <= -3.04 THEN 0.05 + (s + 3.34) / 0.3 * 0.05 WHEN s <= -2.58 THEN 0.1 + (s + 3.04) / 0.46 * 0.15 ELSE least(1, 0.25 + (s + 2.58) / 2.58 * 0.75) END, 6) AS p FROM x")
 def _(spark, sf):
     s = -(F.col("c_custkey") % 500) / 100.0
     return fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.round(stats.p_value(s), 6).alias("p"))
@@ -121,6 +144,13 @@ def _(spark, sf):
     return basket_rows(spark, sf).select("sector", "target", F.col("day").cast("string").alias("day"), r("spread"))
 
 
+@query("t05_basket_adf", BV, f"{BSPREAD}, bi AS (SELECT sector, target, i, spread AS v FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY day) AS i, row_number() OVER (PARTITION BY target ORDER BY day DESC) AS back FROM sp) WHERE back <= 60), bj AS (SELECT sector, target, row_number() OVER (PARTITION BY target ORDER BY i) AS i, v FROM bi), fold AS (SELECT 1), {adf_sql('bj', 'sector, target', 60)} SELECT sector, target, round(stat, 4) AS adf_stat, lags AS adf_lags, round({p_sql('stat', stats.PLAIN_CRITICAL)}, 5) AS adf_p FROM adf")
+def _(spark, sf):
+    """Unit-root tests of the last days of every basket's spread, a fixed formula and no residual."""
+    out = stats.adf(basket_rows(spark, sf), ["sector", "target"], "day", "spread", stats.PLAIN_CRITICAL, 60)
+    return out.select("sector", "target", r("adf_stat", 4), F.col("adf_lags").cast("long").alias("adf_lags"), r("adf_p", 5))
+
+
 OU = f"""{BSPREAD}, q AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY day DESC) AS rn FROM sp QUALIFY rn <= 60), p AS (SELECT *, lag(spread) OVER (PARTITION BY target ORDER BY day) AS x FROM q),
 g AS (SELECT sector, target, count(*) AS pairs, regr_slope(spread, x) AS b, regr_intercept(spread, x) AS a, regr_syy(spread, x) AS syy, regr_sxy(spread, x) AS sxy FROM p WHERE x IS NOT NULL GROUP BY 1, 2),
 o AS (SELECT *, CASE WHEN b > 0 AND b < 1 AND pairs > 2 THEN b END AS bb FROM g),
@@ -170,19 +200,44 @@ def _(spark, sf):
     return c.groupBy("target").agg(F.round(F.max(F.abs("contribution")), 6).alias("dominance"), F.round(F.max(F.when(F.col("symbol") == F.col("target"), F.abs("contribution"))), 6).alias("centrality"))
 
 
-@query("t31_validate_baskets", BV, None)
+def fits_sql(dates, days, max_p, max_share, least):
+    """Views of the fits as of dates; the last, ``fits``, has a row for each basket and date."""
+    return f"""{BSPREAD}, dates AS ({dates}), sn AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY day) AS i FROM sp),
+every AS (SELECT DISTINCT sector, target, as_of FROM baskets, dates), cnt AS (SELECT e.sector, e.target, e.as_of, count(i) AS n, coalesce(max(i), 0) AS high FROM every e LEFT JOIN sn ON sn.target = e.target AND sn.day < e.as_of AND sn.day >= e.as_of - {days} GROUP BY ALL),
+rw AS (SELECT c.sector, c.target, c.as_of, sn.day, sn.i - high + 60 AS i, spread, spread AS v FROM cnt c JOIN sn ON sn.target = c.target AND sn.i > high - 60 AND sn.i <= high WHERE n >= 60),
+rl AS (SELECT *, lag(spread) OVER (PARTITION BY target, as_of ORDER BY i) AS x FROM rw),
+g AS (SELECT target, as_of, count(x) AS pairs, regr_slope(spread, x) AS b, regr_intercept(spread, x) AS a, regr_syy(spread, x) AS syy, regr_sxy(spread, x) AS sxy FROM rl GROUP BY ALL),
+o AS (SELECT *, CASE WHEN b > 0 AND b < 1 AND pairs > 2 THEN b END AS bb FROM g),
+fits0 AS (SELECT target || '@' || as_of AS target, -ln(bb) * 252 AS kappa, a / (1 - bb) AS mu, sqrt(greatest(0, syy - bb * sxy) / (pairs - 2) / (1 - bb * bb)) AS sigma_eq FROM o), fit AS (SELECT * FROM fits0), {THRESHOLD}, {adf_sql('rw', 'target, as_of', 60)},
+lg AS (SELECT target, peer AS symbol, -1.0 / size AS w FROM baskets JOIN n USING (target) UNION ALL SELECT target, target, 1.0 FROM n),
+sh AS (SELECT rw.target, as_of, lg.symbol, CAST(any_value(w) AS DOUBLE) * covar_samp(ln(c.close), spread) / var_samp(spread) AS share FROM rw JOIN lg USING (target) JOIN closes c ON c.symbol = lg.symbol AND c.day = rw.day GROUP BY ALL),
+dm AS (SELECT target, as_of, max(abs(share)) AS dominance, max(CASE WHEN symbol = target THEN abs(share) END) AS centrality FROM sh GROUP BY ALL),
+fits1 AS (SELECT cnt.sector, cnt.target, cnt.as_of, cnt.n, kappa, mu, sigma_eq, adf.stat, {p_sql('adf.stat', stats.PLAIN_CRITICAL)} AS adf_p, dominance, centrality, k, rate, cycle FROM cnt LEFT JOIN fit ON fit.target = cnt.target || '@' || cnt.as_of LEFT JOIN threshold ON threshold.target = fit.target LEFT JOIN adf ON adf.target = cnt.target AND adf.as_of = cnt.as_of LEFT JOIN dm ON dm.target = cnt.target AND dm.as_of = cnt.as_of),
+fits AS (SELECT *, CASE WHEN n < 60 THEN 'short_history' WHEN NOT coalesce(adf_p <= {max_p}, false) THEN 'not_stationary' WHEN NOT coalesce(dominance <= {max_share}, false) THEN 'dominated' WHEN NOT coalesce(centrality >= {least}, false) THEN 'target_not_central' WHEN kappa IS NULL THEN 'no_reversion' WHEN k IS NULL THEN 'no_threshold' END AS reason FROM fits1)"""
+
+
+FIT = "n, round(kappa, 3) AS kappa, round(mu, 6) + 0.0 AS mu, round(sigma_eq, 6) AS sigma_eq, round(stat, 4) AS adf_stat, round(CASE WHEN stat IS NOT NULL THEN adf_p END, 5) AS adf_p, round(dominance, 6) AS dominance, round(centrality, 6) AS centrality, round(CASE WHEN k IS NOT NULL THEN least(2.5, greatest(0.15, k)) END, 5) AS k, round(rate, 4) AS rate, round(cycle, 4) AS cycle, k < 0.15 OR k > 2.5 AS clipped, reason, reason IS NULL AS passed FROM fits"
+
+
+def shown_fits(rows, *more):
+    return rows.select("sector", "target", *more, F.col("n").cast("long").alias("n"), r("kappa", 3), r("mu"), r("sigma_eq"), r("adf_stat", 4), r("adf_p", 5), r("dominance"), r("centrality"), r("k", 5), r("rate", 4), r("cycle", 4), "clipped", "reason", "passed")
+
+
+@query("t31_validate_baskets", BV, f"{fits_sql('SELECT max(day) + 1 AS as_of FROM closes', 100000, 0.10, 0.60, 0.30)} SELECT sector, target, {FIT}")
 def t31(spark, sf):
-    return stats.validate_baskets(fx.closes(spark, sf), fx.baskets(spark, sf))
+    """Every basket's fit over its last days, with the first gate that it fails."""
+    return shown_fits(stats.validate_baskets(fx.closes(spark, sf), fx.baskets(spark, sf), max_p=0.10, least_centrality=0.30))
+
+
+MONTHS = "SELECT CAST(unnest(generate_series(DATE '1995-06-01', DATE '2001-12-01', INTERVAL 3 MONTH)) AS DATE) AS as_of"
 
 
-@query("t32_fits_as_of", BV, None)
+@query("t32_fits_as_of", BV, f"{fits_sql(MONTHS, 180 * 7, 0.10, 0.60, 0.30)} SELECT sector, target, as_of::VARCHAR AS as_of, {FIT}")
 def t32(spark, sf):
-    """Walk-forward fits: one row for each basket and date."""
-    out = None
-    for day in ("1998-01-05", "1999-01-04", "2000-01-03"):
-        part = stats.validate_baskets(fx.closes(spark, sf), fx.baskets(spark, sf), day).withColumn("as_of", F.lit(day))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Walk-forward fits: a row for each basket and quarter's first day, the dates being rows of the same plan."""
+    dates = spark.range(1).select(F.explode(F.expr("sequence(date'1995-06-01', date'2001-12-01', interval 3 months)")).alias("as_of"))
+    fits = stats.fits_as_of(fx.closes(spark, sf), fx.baskets(spark, sf), dates, days=180 * 7, max_p=0.10, least_centrality=0.30)
+    return shown_fits(fits, F.col("as_of").cast("string").alias("as_of"))
 
 
 KALMAN = f"""{ROWS}, o AS (SELECT leg_a || '/' || leg_b AS pair_id, k, x, y, row_number() OVER (PARTITION BY leg_a, leg_b ORDER BY k) AS i FROM x),
