@@ -56,7 +56,7 @@ def max_mean_shift(rolled: DataFrame, by: list[str], order: str, low: float = 0.
     w = W.partitionBy(*by).orderBy(order)
     run = w.rowsBetween(W.unboundedPreceding, 0)
     rows = rolled.withColumns({"k": F.row_number().over(w), "s": F.sum("beta").over(run), "n": F.count("*").over(W.partitionBy(*by)), "total": F.sum("beta").over(W.partitionBy(*by))})
-    rows = rows.where((F.col("k") >= F.floor(F.col("n") * low)) & (F.col("k") <= F.floor(F.col("n") * high)) & (F.col("k") >= 1) & (F.col("k") < F.col("n")))
+    rows = rows.where((F.col("k") > F.floor(F.col("n") * low)) & (F.col("k") <= F.floor(F.col("n") * high)) & (F.col("k") < F.col("n")))
     shift = F.abs(F.col("s") / F.col("k") - (F.col("total") - F.col("s")) / (F.col("n") - F.col("k"))) / F.abs(F.col("total") / F.col("n"))
     return rows.groupBy(*by).agg(F.max(shift).alias("shift")).withColumn("broken", F.col("shift") > break_threshold())
 
@@ -288,25 +288,126 @@ def score(p: Column, life: Column, cv: Column, r2: Column, broken: Column) -> Co
     return sum((w * x for w, x in parts), F.lit(0.0))
 
 
-def validate_pairs(closes: DataFrame, pairs: DataFrame, window: int = 150, history: int = 90, min_r2: float = 0.30, max_p: float = 0.05, life: tuple[float, float] = (1.0, 40.0), min_crossings: float = 12.0) -> DataFrame:
-    """Every candidate pair with its statistics over the last ``window`` closes, passed and the reasons against it.
-
-    The spread is log a less beta log b. Missing statistics fail their gate.
+#: What a pair has to show by profile: days of history, days looked at, fit, p-value, half-life in days, whether
+#: a broken slope rejects, crossings a year, whether a fund and its component may be a pair, longest hold in days.
+PROFILES = {
+    "stocks": (90, 150, 0.30, 0.05, 1.0, 40.0, True, 12.0, False, 10),
+    "metals": (90, 150, 0.20, 0.20, 1.0, 60.0, False, 8.0, False, 5),
+    "force": (20, 252, 0.0, 1.0, 0.0, 9999.0, False, 0.0, True, 10),
+}
+PROFILE_COLUMNS = "profile string, history int, window int, min_r2 double, max_p double, min_life double, max_life double, break_gate boolean, min_crossings double, funds boolean, hold_cap int"
+UNSTABLE = 0.35  # variation of the rolling slope that is told, but rejects nothing
+ROLLING = 30
+
+
+def _slope(vx, vy, c):
+    with np.errstate(all="ignore"):
+        return np.where(np.abs(c) >= 1e-15, (vy - vx + np.sqrt((vy - vx) ** 2 + 4 * c * c)) / (2 * c), np.nan)
+
+
+def pair_statistics(x: np.ndarray, y: np.ndarray) -> tuple:
+    """Statistics of y on x, logs of prices in order: beta, alpha, r2; unit-root statistic, p-value and lags; half-life; crossings a
+    year; variation and largest mean shift of the rolling slope; mean, sample deviation and z of the spread y - beta x."""
+    out = dict.fromkeys(("beta", "alpha", "r2", "adf_stat", "adf_p", "adf_lags", "half_life", "crossings", "beta_cv", "shift", "mean", "std", "z"))
+    n = len(x)
+    beta = float(_slope(x.var(), y.var(), ((x - x.mean()) * (y - y.mean())).mean())) if n >= 3 else math.nan
+    if math.isnan(beta):
+        return tuple(out.values())
+    alpha, spread = y.mean() - beta * x.mean(), y - beta * x
+    rest, total = ((y - alpha - beta * x) ** 2).sum(), ((y - y.mean()) ** 2).sum()
+    out.update(beta=beta, alpha=alpha, r2=1 - rest / total if total > 0 else None, mean=spread.mean(), std=spread.std(ddof=1))
+    out["z"] = (spread[-1] - out["mean"]) / out["std"] if out["std"] > 1e-12 else None
+    stat, lags = adf_statistic(spread)
+    if not math.isnan(stat):
+        out.update(adf_stat=stat, adf_lags=lags, adf_p=_p(stat, PAIR_CRITICAL))
+    if n >= LEAST_ADF:
+        before, now = spread[:-1], spread[1:]
+        sxx = ((before - before.mean()) ** 2).sum()
+        phi = ((before - before.mean()) * (now - now.mean())).sum() / sxx if sxx > 0 else 0.0
+        out["half_life"] = -math.log(2) / math.log(phi) if 0 < phi < 1 else None
+    if n > LEAST_ADF:
+        side = spread >= spread.mean()
+        out["crossings"] = float((side[1:] != side[:-1]).sum() * 252 / n)
+    if n >= ROLLING + 10:
+        wx, wy = (np.lib.stride_tricks.sliding_window_view(v, ROLLING) for v in (x, y))
+        slopes = _slope(wx.var(1), wy.var(1), ((wx - wx.mean(1, keepdims=True)) * (wy - wy.mean(1, keepdims=True))).mean(1))
+        slopes = slopes[~np.isnan(slopes)]
+        if len(slopes) > 1:
+            m, mid = len(slopes), slopes.mean()
+            out["beta_cv"] = float(slopes.std(ddof=1) / abs(mid)) if abs(mid) > 1e-10 else math.inf
+            k = np.arange(int(m * 0.2) + 1, int(m * 0.8) + 1)
+            run = np.cumsum(slopes)[k - 1]
+            out["shift"] = float(np.abs((run / k - (slopes.sum() - run) / (m - k)) / abs(mid)).max()) if m >= 20 and abs(mid) >= 1e-15 else 0.0
+    return tuple(out.values())
+
+
+def _p(stat: float, critical: tuple) -> float:
+    if stat <= critical[0]:
+        return LEVELS[0] / 2
+    for c0, c1, p0, p1 in zip(critical, critical[1:], LEVELS, LEVELS[1:]):
+        if stat <= c1:
+            return p0 + (stat - c0) / (c1 - c0) * (p1 - p0)
+    return min(1.0, LEVELS[-1] + (stat - critical[-1]) / -critical[-1] * (1 - LEVELS[-1]))
+
+
+PAIR_STATISTICS = "beta double, alpha double, r2 double, adf_stat double, adf_p double, adf_lags int, half_life double, crossings double, beta_cv double, shift double, mean double, std double, z double"
+
+
+def validate_pairs(closes: DataFrame, pairs: DataFrame, profiles: dict[str, tuple] | None = None, components: DataFrame | None = None) -> DataFrame:
+    """Every candidate pair under every profile: statistics over its last closes, the reasons against it, score and verdict.
+
+    A fund with one of its components (fund, component), too short a history of a leg, or a price that is not above zero
+    among those looked at, end it there, without statistics. A slope that varies much is told and rejects nothing. Legs are
+    counted from their own ends. All statistics of a pair come from one grouping: a bounded array of both legs' prices.
     """
-    by = ["leg_a", "leg_b"]
-    rows = pair_spreads(closes, pairs, window)
-    fit = tls(rows, by, "x", "y")
-    spread = rows.join(fit.select(*by, "beta"), by).withColumn("spread", F.col("y") - F.col("beta") * F.col("x"))
-    rolled = rolling_tls(rows, by, "k", "x", "y")
-    out = pairs.join(fit, by, "left")
-    for part in (adf(spread, by, "k", "spread"), half_life(spread, by, "k", "spread").select(*by, "half_life"), crossings(spread, by, "k", "spread"), beta_cv(rolled, by), max_mean_shift(rolled, by, "k")):
-        out = out.join(part, by, "left")
-    gates = {
-        "short_history": F.coalesce(F.col("n"), F.lit(0)) < history, "low_r2": ~(F.coalesce("r2", F.lit(-1.0)) >= min_r2), "not_cointegrated": ~(F.coalesce("adf_p", F.lit(1.0)) < max_p),
-        "half_life": ~F.coalesce(F.col("half_life").between(*life), F.lit(False)), "structural_break": F.coalesce("broken", F.lit(True)), "few_crossings": F.coalesce("crossings", F.lit(0.0)) < min_crossings,
+    spark = closes.sparkSession
+    rules = spark.createDataFrame([(k, *v) for k, v in (profiles or {"stocks": PROFILES["stocks"]}).items()], PROFILE_COLUMNS)
+    by, longest = ["profile", "leg_a", "leg_b"], max(v[1] for v in (profiles or PROFILES).values())
+    rank = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("day")))
+    last = closes.withColumns({"rn": rank, "days": F.count("*").over(W.partitionBy("symbol"))}).where(F.col("rn") <= longest)
+    arrays = last.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct(-F.col("rn"), "close"))).alias("s"), F.max("days").alias("days"))
+    arrays = arrays.select("symbol", F.transform("s", lambda v: v["close"].cast("double")).alias("prices"), "days")
+    rows = pairs.select("leg_a", "leg_b").distinct().join(F.broadcast(rules), F.lit(True))
+    for leg in "ab":
+        rows = rows.join(arrays.select(F.col("symbol").alias(f"leg_{leg}"), F.col("prices").alias(leg), F.col("days").alias(f"days_{leg}")), f"leg_{leg}", "left")
+    if components is not None:
+        both = components.select(F.col("fund").alias("leg_a"), F.col("component").alias("leg_b")).unionByName(components.select(F.col("component").alias("leg_a"), F.col("fund").alias("leg_b"))).distinct()
+        rows = rows.join(both.withColumn("related", F.lit(True)), ["leg_a", "leg_b"], "left")
+    else:
+        rows = rows.withColumn("related", F.lit(None).cast("boolean"))
+    n = F.least(F.size("a"), F.size("b"), F.col("window"))
+    rows = rows.withColumn("n", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), n))
+    rows = rows.withColumns({leg: F.when(F.col("n") > 0, F.slice(leg, -F.col("n"), F.col("n"))) for leg in "ab"})
+    fund = F.coalesce("related", F.lit(False)) & ~F.col("funds")
+    short = F.least(F.coalesce("days_a", F.lit(0)), F.coalesce("days_b", F.lit(0))) < F.col("history")
+    bad = F.exists(F.concat("a", "b"), lambda v: v.isNull() | F.isnan(v) | (v <= 0) | (v == float("inf")))
+    rows = rows.withColumn("barred", F.when(fund, "fund_component").when(short, "short_history").when(F.coalesce(bad, F.lit(True)), "bad_price"))
+    logs = lambda leg: F.when(F.col("barred").isNull(), F.transform(leg, lambda v: F.log(v)))
+
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        names = [c.split()[0] for c in PAIR_STATISTICS.split(", ")]
+        return pd.DataFrame([pair_statistics(np.asarray(p, float), np.asarray(q, float)) if p is not None else (None,) * len(names) for p, q in zip(x, y)], columns=names)
+
+    out = rows.withColumn("s", F.pandas_udf(run, PAIR_STATISTICS)(logs("b"), logs("a"))).select(*by, "n", "barred", "s.*", "min_r2", "max_p", "min_life", "max_life", "break_gate", "min_crossings", "hold_cap")
+    found, known = F.col("barred").isNull() & F.col("beta").isNotNull(), lambda c: F.coalesce(c, F.lit(False))
+    broken = F.coalesce(F.col("shift") > break_threshold(ROLLING), F.lit(False))
+    fails = {
+        "low_r2": ~known(F.col("r2") >= F.col("min_r2")), "not_cointegrated": ~known(F.col("adf_p") < F.col("max_p")), "half_life": ~known(F.col("half_life").between(F.col("min_life"), F.col("max_life"))),
+        "few_crossings": ~known(F.col("crossings") >= F.col("min_crossings")), "structural_break": broken, "unstable_slope": known(F.col("beta_cv") >= UNSTABLE),
     }
-    out = out.withColumn("reasons", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in gates.items()))))
-    return out.withColumns({"passed": F.size("reasons") == 0, "score": score(F.coalesce("adf_p", F.lit(1.0)), F.col("half_life"), F.col("beta_cv"), F.col("r2"), F.coalesce("broken", F.lit(True)))})
+    told = F.array_compact(F.array(*(F.when(c, name) for name, c in fails.items())))
+    reasons = F.when(F.col("barred").isNotNull(), F.array("barred")).when(~found, F.array(F.lit("no_fit"))).otherwise(told)
+    gates = [c for name, c in fails.items() if name not in ("structural_break", "unstable_slope")] + [broken & F.col("break_gate")]
+    failed = gates[0]
+    for c in gates[1:]:
+        failed = failed | c
+    value = score(F.coalesce("adf_p", F.lit(1.0)), F.coalesce("half_life", F.lit(0.0)), F.coalesce("beta_cv", F.lit(1.0)), F.coalesce("r2", F.lit(0.0)), broken)
+    out = out.withColumns({"broken": broken, "reasons": reasons, "passed": found & ~failed, "score": F.when(found, value)})
+    return out.withColumn("max_hold", F.when(F.col("passed"), max_hold_days_capped(F.col("half_life"), F.col("hold_cap")))).drop("barred", "min_r2", "max_p", "min_life", "max_life", "break_gate", "min_crossings", "hold_cap")
+
+
+def max_hold_days_capped(life: Column, cap: Column, factor: float = 2.5) -> Column:
+    return F.least(F.ceil(factor * life), cap).cast("int")
 
 
 def fits_as_of(closes: DataFrame, baskets: DataFrame, dates: DataFrame, window: int = 60, days: int = 180, max_p: float | None = 0.05, max_share: float | None = 0.60, least_centrality: float | None = 0.0, cost: float = 0.0005, clip: tuple[float, float] = (0.15, 2.5), per_year: int = 252) -> DataFrame:

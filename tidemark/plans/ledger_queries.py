@@ -72,13 +72,6 @@ def _(spark, sf):
     return now.join(base, "pair_id").withColumn("matched", F.col("n") == F.col("n0"))
 
 
-@query("t13_profiles", V, f"{ROWS}, {TLS}, c(profile, least) AS (VALUES ('strict', 120), ('loose', 60)) SELECT profile, count(*) AS n, count(*) FILTER (WHERE n >= least) AS enough FROM f, c GROUP BY 1")
-def _(spark, sf):
-    profiles = spark.createDataFrame([("strict", 120), ("loose", 60)], "profile string, least int")
-    f = stats.tls(pair_rows(spark, sf), BY, "x", "y").join(F.broadcast(profiles))
-    return f.groupBy("profile").agg(F.count("*").alias("n"), F.count_if(F.col("n") >= F.col("least")).alias("enough"))
-
-
 @query("t22_rotation", "trades", "+ q AS (SELECT exit_day, max(pnl / 1e4) AS best FROM trades WHERE trade_id % 2 = 1 GROUP BY 1) SELECT trade_id, pnl > 0 AND round(pnl / 1e5, 6) < round(best - 2 * 0.5, 6) AS rotate FROM trades JOIN q USING (exit_day) WHERE trade_id % 2 = 0")
 def _(spark, sf):
     t = fx.trades(spark, sf)

@@ -103,20 +103,84 @@ def _(spark, sf):
     return stats.beta_cv(b, BY).join(some, BY, "left_semi").select(*BY, "windows", F.round(F.least("beta_cv", F.lit(1000.0)), 2).alias("beta_cv"))
 
 
-@query("t11_mean_shift", "closes", "+ b AS (SELECT *, row_number() OVER w AS k, sum(close) OVER w AS s, count(*) OVER p AS n, sum(close) OVER p AS total FROM closes WINDOW w AS (PARTITION BY symbol ORDER BY day), p AS (PARTITION BY symbol)) SELECT symbol, round(max(abs(s / k - (total - s) / (n - k)) / abs(total / n)), 6) AS shift, max(abs(s / k - (total - s) / (n - k)) / abs(total / n)) > 0.45 AS broken FROM b WHERE k >= floor(n * 0.2) AND k <= floor(n * 0.8) GROUP BY 1")
+@query("t11_mean_shift", "closes", "+ b AS (SELECT *, row_number() OVER w AS k, sum(close) OVER w AS s, count(*) OVER p AS n, sum(close) OVER p AS total FROM closes WINDOW w AS (PARTITION BY symbol ORDER BY day), p AS (PARTITION BY symbol)) SELECT symbol, round(max(abs(s / k - (total - s) / (n - k)) / abs(total / n)), 6) AS shift, max(abs(s / k - (total - s) / (n - k)) / abs(total / n)) > 0.45 AS broken FROM b WHERE k > floor(n * 0.2) AND k <= floor(n * 0.8) GROUP BY 1")
 def _(spark, sf):
     return stats.max_mean_shift(fx.closes(spark, sf).withColumnRenamed("close", "beta"), ["symbol"], "day").select("symbol", r("shift"), "broken")
 
 
-@query("t12_t14_validate_pairs", V, None)
+#: A brand stands for a fund of the brands of its sector.
+COMPONENTS = "cp AS (SELECT 'Brand#11' AS fund, symbol AS component FROM sectors WHERE sector = 'S0' AND symbol <> 'Brand#11')"
+PROFILE_ROWS = "pr(profile, history, \"window\", min_r2, max_p, min_life, max_life, break_gate, min_crossings, funds, hold_cap) AS (VALUES " + ", ".join(f"('{k}', " + ", ".join(str(x).lower() if isinstance(x, bool) else repr(x) for x in v) + ")" for k, v in stats.PROFILES.items()) + ")"
+_between = lambda x, low, high: f"CASE WHEN {x} <= {low} THEN 0.0 WHEN {x} >= {high} THEN 1.0 ELSE ({x} - {low}) / ({high} - {low}) END"
+
+
+def validated_sql(where):
+    """A view ``verdict`` of pairs under the profiles that ``where`` takes."""
+    b = "profile, leg_a, leg_b"
+    return f"""+ {COMPONENTS}, {PROFILE_ROWS}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS rn, count(*) OVER (PARTITION BY symbol) AS days FROM closes),
+pp AS (SELECT pr.*, leg_a, leg_b, EXISTS (SELECT 1 FROM cp WHERE (fund = leg_a AND component = leg_b) OR (fund = leg_b AND component = leg_a)) AS related FROM pairs, pr WHERE {where}),
+h AS (SELECT {b}, least(any_value(a.days), any_value(c.days)) AS days FROM pp JOIN l a ON a.symbol = leg_a AND a.rn = 1 JOIN l c ON c.symbol = leg_b AND c.rn = 1 GROUP BY ALL),
+raw AS (SELECT {b}, -a.rn AS k, a.close AS pa, c.close AS pb FROM pp JOIN l a ON a.symbol = leg_a AND a.rn <= pp."window" JOIN l c ON c.symbol = leg_b AND c.rn = a.rn),
+bar AS (SELECT {b}, days, CASE WHEN related AND NOT funds THEN 'fund_component' WHEN coalesce(days, 0) < history THEN 'short_history' WHEN EXISTS (SELECT 1 FROM raw r WHERE r.profile = pp.profile AND r.leg_a = pp.leg_a AND r.leg_b = pp.leg_b AND (pa <= 0 OR pb <= 0)) THEN 'bad_price' END AS barred FROM pp LEFT JOIN h USING ({b})),
+nn AS (SELECT {b}, count(*) AS n FROM raw GROUP BY ALL),
+x AS (SELECT {b}, k, ln(pb) AS x, ln(pa) AS y FROM raw JOIN bar USING ({b}) WHERE barred IS NULL),
+m AS (SELECT {b}, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(y, x) AS c, avg(x) AS mx, avg(y) AS my FROM x GROUP BY ALL),
+f AS (SELECT *, CASE WHEN abs(c) >= 1e-15 THEN (vy - vx + sqrt((vy - vx) ** 2 + 4 * c * c)) / (2 * c) END AS beta FROM m),
+s AS (SELECT {b}, k, y - beta * x AS spread, row_number() OVER (PARTITION BY {b} ORDER BY k) AS i FROM x JOIN f USING ({b}) WHERE beta IS NOT NULL),
+av AS (SELECT {b}, i, spread AS v FROM s), fold AS (SELECT 1), {adf_sql('av', b, 252)},
+hl AS (SELECT {b}, count(*) AS n, regr_slope(spread, x) AS phi, count(*) FILTER ((d >= 0) <> (e >= 0)) AS crossed, avg(spread) AS mean, stddev_samp(spread) AS std, max_by(spread, k) AS final FROM (SELECT *, lag(spread) OVER w AS x, lag(d) OVER w AS e FROM (SELECT *, spread - avg(spread) OVER (PARTITION BY {b}) AS d FROM s) WINDOW w AS (PARTITION BY {b} ORDER BY k)) GROUP BY ALL),
+rw AS (SELECT {b}, k, CASE WHEN abs(c) >= 1e-15 THEN (vy - vx + sqrt((vy - vx) ** 2 + 4 * c * c)) / (2 * c) END AS slope FROM (SELECT *, count(*) OVER q AS m, var_pop(x) OVER q AS vx, var_pop(y) OVER q AS vy, covar_pop(y, x) OVER q AS c FROM x WINDOW q AS (PARTITION BY {b} ORDER BY k ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE m = 30),
+rs AS (SELECT *, row_number() OVER w AS j, sum(slope) OVER w AS run, count(*) OVER p AS m, sum(slope) OVER p AS total FROM rw WHERE slope IS NOT NULL WINDOW w AS (PARTITION BY {b} ORDER BY k), p AS (PARTITION BY {b})),
+st AS (SELECT {b}, stddev_samp(slope) / abs(avg(slope)) AS beta_cv, coalesce(max(CASE WHEN j > floor(m * 0.2) AND j <= floor(m * 0.8) THEN abs((run / j - (total - run) / (m - j)) / abs(total / m)) END), 0) AS shift FROM rs GROUP BY ALL),
+v AS (SELECT pp.*, nn.n, barred, beta, my - beta * mx AS alpha, CASE WHEN vy > 0 THEN 1 - (vy - 2 * beta * c + beta * beta * vx) / vy END AS r2, stat AS adf_stat, {p_sql('stat', stats.PAIR_CRITICAL)} AS adf_p0, CASE WHEN phi > 0 AND phi < 1 THEN -ln(2) / ln(phi) END AS half_life, crossed * 252 / n2 AS crossings, beta_cv, shift, mean, std, CASE WHEN std > 1e-12 THEN (final - mean) / std END AS z
+FROM pp JOIN bar USING ({b}) LEFT JOIN nn USING ({b}) LEFT JOIN f USING ({b}) LEFT JOIN (SELECT {b}, stat FROM adf) ad USING ({b}) LEFT JOIN (SELECT {b}, n AS n2, phi, crossed, mean, std, final FROM hl) hl0 USING ({b}) LEFT JOIN st USING ({b})),
+w AS (SELECT * EXCLUDE (adf_p0), CASE WHEN adf_stat IS NOT NULL THEN adf_p0 END AS adf_p, barred IS NULL AND beta IS NOT NULL AS found, coalesce(shift > 0.45, false) AS broken FROM v),
+verdict AS (SELECT *, CASE WHEN barred IS NOT NULL THEN barred WHEN NOT found THEN 'no_fit' ELSE concat_ws(',', CASE WHEN NOT coalesce(r2 >= min_r2, false) THEN 'low_r2' END, CASE WHEN NOT coalesce(adf_p < max_p, false) THEN 'not_cointegrated' END, CASE WHEN NOT coalesce(half_life BETWEEN min_life AND max_life, false) THEN 'half_life' END, CASE WHEN NOT coalesce(crossings >= min_crossings, false) THEN 'few_crossings' END, CASE WHEN broken THEN 'structural_break' END, CASE WHEN coalesce(beta_cv >= 0.35, false) THEN 'unstable_slope' END) END AS reasons,
+found AND coalesce(r2 >= min_r2, false) AND coalesce(adf_p < max_p, false) AND coalesce(half_life BETWEEN min_life AND max_life, false) AND coalesce(crossings >= min_crossings, false) AND NOT (broken AND break_gate) AS passed,
+CASE WHEN found THEN 0.35 * (1 - {_between('coalesce(adf_p, 1)', 0.01, 0.10)}) + 0.25 * CASE WHEN half_life >= 1 AND half_life < 2 THEN half_life - 1 WHEN half_life >= 2 AND half_life <= 15 THEN 1 WHEN half_life > 15 AND half_life <= 40 THEN 1 - (half_life - 15) / 25 ELSE 0 END + 0.25 * CASE WHEN broken THEN 0 ELSE 1 - {_between('coalesce(beta_cv, 1)', 0.05, 0.20)} END + 0.15 * least(1, greatest(0, coalesce(r2, 0))) END AS score FROM w)"""
+
+
+VERDICT = "leg_a, leg_b, n, round(beta, 4) AS beta, round(alpha, 4) + 0.0 AS alpha, round(r2, 4) + 0.0 AS r2, round(adf_stat, 4) AS adf_stat, round(adf_p, 5) AS adf_p, round(half_life, 4) AS half_life, round(crossings, 4) AS crossings, round(least(beta_cv, 1000), 3) AS beta_cv, broken, reasons, passed, round(score, 5) AS score"
+
+
+def validated(spark, sf, **more):
+    s = fx.sectors(spark, sf)
+    components = s.where("sector = 'S0' and symbol <> 'Brand#11'").select(F.lit("Brand#11").alias("fund"), F.col("symbol").alias("component"))
+    return stats.validate_pairs(fx.closes(spark, sf), fx.candidates(spark, sf), components=components, **more)
+
+
+def shown_pairs(rows, *more):
+    return rows.select(*BY, *more, F.col("n").cast("long").alias("n"), r("beta", 4), r("alpha", 4), r("r2", 4), r("adf_stat", 4), r("adf_p", 5), r("half_life", 4), r("crossings", 4), F.round(F.least("beta_cv", F.lit(1000.0)), 3).alias("beta_cv"), "broken", F.array_join("reasons", ",").alias("reasons"), "passed", r("score", 5))
+
+
+ONE = "pr.profile = 'stocks'"
+
+
+@query("t12_t14_validate_pairs", V, f"{validated_sql(ONE)} SELECT {VERDICT} FROM verdict")
 def t12(spark, sf):
-    return stats.validate_pairs(fx.closes(spark, sf), fx.candidates(spark, sf))
+    """Every pair's statistics, the reasons against it, score and verdict."""
+    return shown_pairs(validated(spark, sf))
 
 
-@query("t15_top_pairs", V, None)
+@query("t13_profiles", V, f"{validated_sql('true')} SELECT profile, passed, reasons, count(*) AS n, round(sum(score), 4) AS score FROM verdict GROUP BY ALL")
+def _(spark, sf):
+    """Verdicts and reasons under each profile: stocks, metals, and one that lets almost all through."""
+    rows = validated(spark, sf, profiles=stats.PROFILES).withColumn("reasons", F.array_join("reasons", ","))
+    return rows.groupBy("profile", "passed", "reasons").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score"))
+
+
+@query("t15_top_pairs", V, f"{validated_sql(ONE)} SELECT leg_a, leg_b, round(score, 5) AS score, passed FROM verdict WHERE score IS NOT NULL QUALIFY row_number() OVER (ORDER BY passed DESC, round(score, 5) DESC, leg_a, leg_b) <= 10")
 def t15(spark, sf):
-    out = t12(spark, sf).select(*BY, "score", F.size("reasons").alias("n_reasons"))
-    return out.orderBy("n_reasons", F.desc("score"), *BY).limit(10)
+    """The ten best pairs: those that passed first, then by score."""
+    out = validated(spark, sf).where("score is not null").select(*BY, r("score", 5), "passed")
+    return out.orderBy(F.desc("passed"), F.desc("score"), *BY).limit(10)
+
+
+@query("t24_scan_pair", V, f"{validated_sql(ONE)} SELECT leg_a || '/' || leg_b AS pair_id, passed, reasons, round(beta, 4) AS beta, round(half_life, 4) AS half_life, round(mean, 4) + 0.0 AS mean, round(std, 5) AS std, round(z, 4) + 0.0 AS z FROM verdict")
+def _(spark, sf):
+    """A scan of every pair: verdict, hedge, and where its spread stands against its own mean and sample deviation."""
+    rows = validated(spark, sf)
+    return rows.select(F.concat_ws("/", *BY).alias("pair_id"), "passed", F.array_join("reasons", ",").alias("reasons"), r("beta", 4), r("half_life", 4), r("mean", 4), r("std", 5), r("z", 4))
 
 
 LIFE = "WITH x AS (SELECT c_custkey AS id, c_acctbal / 100 AS life, (c_custkey % 7) - 3.0 AS z FROM customer)"
