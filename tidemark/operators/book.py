@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def admit(positions: DataFrame, by: list[str], most: int) -> DataFrame:
     """Active positions with their place by |score|, ties by id; the first ``most`` of a day are admitted."""
@@ -154,14 +156,26 @@ def exposure_gate(equity: DataFrame, n: int = 21, worst: float = 0.05) -> DataFr
     return rows.withColumn("scale", F.when(F.col("n") < n, 1.0).when(shut, 0.0).otherwise(1.0))
 
 
-def peak_gross(orders: DataFrame, order: str) -> DataFrame:
-    """(gross): the largest gross notional along a path of orders (symbol, q, price) from nothing."""
-    w = W.partitionBy("symbol").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    held = F.sum("q").over(w)
-    rows = orders.withColumn("held", held).withColumn("delta", (F.abs("held") - F.abs(F.col("held") - F.col("q"))) * F.col("price"))
-    daily = rows.groupBy("day").agg(F.sum("delta").alias("delta"))
-    run = daily.withColumn("gross", F.sum("delta").over(W.orderBy("day")))
-    return run.agg(F.max("gross").alias("peak"))
+def peak_gross(orders: DataFrame, path: str, order: list[str], start: DataFrame | None = None) -> DataFrame:
+    """(path, start, peak, last): gross notional along each path of orders (path, symbol, q, price), one order after the other.
+
+    ``start`` has what a path holds before (path, symbol, shares, price). Each order changes one symbol's notional; the change
+    is a running sum by path and symbol, the gross one by path, both as prefix scans: a path with very many orders is the
+    work of many tasks. Orders without a price count nothing, as their symbol does.
+    """
+    held = start.select(path, "symbol", F.col("shares").alias("__from"), (F.abs("shares") * F.coalesce("price", F.lit(0.0))).alias("__gross")) if start is not None else None
+    rows = orders.join(held.select(path, "symbol", "__from"), [path, "symbol"], "left") if held is not None else orders.withColumn("__from", F.lit(0.0))
+    rows = rows.withColumn("__leg", F.to_json(F.array(F.col(path).cast("string"), F.col("symbol").cast("string"))))
+    rows = scan.affine_scans(rows, "__leg", order, {"__held": scan.Affine(F.lit(1.0), F.col("q").cast("double"), F.coalesce(F.col("__from").cast("double"), F.lit(0.0)))})
+    change = (F.abs("__held") - F.abs(F.col("__held") - F.col("q"))) * F.coalesce("price", F.lit(0.0))
+    rows = scan.affine_scans(rows.withColumn("__change", change), path, order, {"__run": scan.Affine(F.lit(1.0), F.col("__change"), F.lit(0.0))})
+    found = rows.groupBy(path).agg(F.max("__run").alias("__most"), F.sum("__change").alias("__sum"))
+    if held is not None:
+        found = found.join(held.groupBy(path).agg(F.sum("__gross").alias("start")), path, "full")
+    else:
+        found = found.withColumn("start", F.lit(0.0))
+    first = F.coalesce("start", F.lit(0.0))
+    return found.select(path, first.alias("start"), (first + F.greatest(F.lit(0.0), F.coalesce("__most", F.lit(0.0)))).alias("peak"), (first + F.coalesce("__sum", F.lit(0.0))).alias("last"))
 
 
 def gated(book: DataFrame, gate: DataFrame) -> DataFrame:

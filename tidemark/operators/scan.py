@@ -88,7 +88,7 @@ def with_previous(rows: DataFrame, key: str, order: str, columns: list[str]) ->
     return joined.select(*rows.columns, *filled, (edge & F.col("__begins")).alias("first"))
 
 
-def affine_scans(rows: DataFrame, key: str, order: str, maps: dict[str, Affine]) -> DataFrame:
+def affine_scans(rows: DataFrame, key: str, order: str | list[str], maps: dict[str, Affine]) -> DataFrame:
     """The rows with a column for each recurrence ``out: Affine``, by one prefix scan for all.
 
     Maps y -> a y + b compose to maps of the same form. The rows are dealt by ranges of (key, order), so that a key which
@@ -133,7 +133,7 @@ def affine_scans(rows: DataFrame, key: str, order: str, maps: dict[str, Affine])
             at += len(keys)
             yield pa.RecordBatch.from_arrays([*batch.columns, number, *values], names=[*batch.schema.names, "__at", *more])
 
-    done = _sorted(rows, key, [order], more, run)
+    done = _sorted(rows, key, [order] if isinstance(order, str) else order, more, run)
     total = lambda i: (F.col(f"__a{i}") * F.col(f"__P{i}"), F.col(f"__a{i}") * F.col(f"__Q{i}") + F.col(f"__b{i}")) if before[i] else (F.col(f"__P{i}"), F.col(f"__Q{i}"))
     flat = []
     for i in range(len(names)):

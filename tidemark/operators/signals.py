@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import deque
 
@@ -124,6 +125,31 @@ def entry_cap(entries: DataFrame, day: str, score: str, id: str, most: int) -> D
     return entries.withColumn("place", rank).withColumn("admitted", F.col("place") <= most)
 
 
+class EntryCaps:
+    """Entries in the order they come: so many a day at most, and so many open at once; those left out never open.
+
+    ``step`` takes the day, the number of an entry's day and that on which it would be left; a position left on a day makes
+    room on that day. State is numbers and the days on which open positions end, ``open`` of them at most.
+    """
+
+    def __init__(self, daily: int = 4, open: int = 25) -> None:
+        self.daily, self.open = daily, open
+
+    def step(self, state: dict, entered: int, left: int) -> tuple[int, int, bool]:
+        """(entries of the day before it, open positions before it, admitted)."""
+        if state.get("day") != entered:
+            state.update(day=entered, today=0)
+        ends = state.setdefault("ends", [])
+        while ends and ends[0] <= entered:
+            heapq.heappop(ends)
+        today, now = int(state["today"]), len(ends)
+        admitted = not (0 < self.daily <= today or 0 < self.open <= now)
+        if admitted:
+            state["today"] = today + 1
+            heapq.heappush(ends, left)
+        return today, now, admitted
+
+
 def frozen_position(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Position by a latch: 1 once z < -k, -1 once z > k, held till the other; 0 before either. Thresholds k are frozen."""
     side = F.when(F.col("z") < -F.col("k"), 1).when(F.col("z") > F.col("k"), -1)

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import book as bk
+from ..operators import ledger as lg
 from ..operators import reports as rp
 from . import fixtures as fx
 from .registry import query
@@ -147,11 +148,35 @@ def _(spark, sf):
     return fx.books(spark, sf).select("symbol", F.abs(F.col("target_shares") - F.col("current_shares")).alias("delta")).orderBy(F.desc("delta"), "symbol").limit(8)
 
 
-@query("p18_peak_gross", "", "WITH f AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE -l_quantity END AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N'), d AS (SELECT symbol, day, sum(q) AS q FROM f GROUP BY 1, 2), h AS (SELECT *, sum(q) OVER (PARTITION BY symbol ORDER BY day) AS held FROM d), x AS (SELECT day, sum(abs(held) - abs(held - q)) AS delta FROM h GROUP BY 1), g AS (SELECT sum(delta) OVER (ORDER BY day) AS gross FROM x) SELECT round(max(gross), 4) AS peak FROM g")
-def _(spark, sf):
+PATHS = "lc AS (SELECT symbol, arg_max(close, day) AS price FROM closes GROUP BY 1), f AS (SELECT p_brand AS symbol, year(l_shipdate) AS year, o_custkey AS id, CAST(l_shipdate AS DATE) AS day, l_orderkey, l_linenumber, CAST(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE -l_quantity END AS DOUBLE) AS q FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag <> 'N')"
+WALK = "{p} AS (SELECT f.*, price, coalesce(b.shares, 0) + sum(q) OVER (PARTITION BY {k}, f.symbol ORDER BY day, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS held FROM f LEFT JOIN lc USING (symbol) LEFT JOIN ({start}) b USING (symbol)), {p}c AS (SELECT *, (abs(held) - abs(held - q)) * coalesce(price, 0) AS change FROM {p}), {p}r AS (SELECT *, sum(change) OVER (PARTITION BY {k} ORDER BY day, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS run FROM {p}c)"
+
+
+def order_path(spark, sf):
+    """Signed shares of returned and accepted lines, one by one, with each symbol's last price."""
     q = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity")).cast("double")
-    f = fx.lines(spark, sf).where("l_returnflag <> 'N'").groupBy(F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(F.sum(q).alias("q")).withColumn("price", F.lit(1.0))
-    return bk.peak_gross(f, "day").select(r("peak", 4))
+    price = fx.closes(spark, sf).groupBy("symbol").agg(F.max_by("close", "day").alias("price"))
+    owner = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id"))
+    rows = fx.lines(spark, sf).where("l_returnflag <> 'N'").join(owner, "l_orderkey")
+    return rows.select(F.col("p_brand").alias("symbol"), F.year("l_shipdate").alias("year"), "id", F.to_date("l_shipdate").alias("day"), "l_orderkey", "l_linenumber", q.alias("q")).join(price, "symbol", "left"), price
+
+
+@query("p18_peak_gross", "closes books", f"+ {PATHS}, {WALK.format(p='w', k='year', start='SELECT symbol, current_shares AS shares FROM books')}, s AS (SELECT sum(abs(current_shares) * price) AS start FROM books JOIN lc USING (symbol)) SELECT year, round(any_value(start), 2) AS start, round(any_value(start) + greatest(0, max(run)), 2) AS peak, round(any_value(start) + sum(change), 2) AS last FROM wr, s GROUP BY year")
+def _(spark, sf):
+    """Each year's orders, one after the other from the current book: the most gross notional on the way."""
+    rows, price = order_path(spark, sf)
+    start = fx.books(spark, sf).select("symbol", F.col("current_shares").alias("shares")).join(price, "symbol").join(rows.select("year").distinct(), F.lit(True))
+    return bk.peak_gross(rows, "year", ["day", "l_orderkey", "l_linenumber"], start).select("year", r("start", 2), r("peak", 2), r("last", 2))
+
+
+@query("p19_p27_affordability", "closes", f"+ {PATHS}, {WALK.format(p='w', k='id', start='SELECT NULL::VARCHAR AS symbol, 0.0 AS shares')}, pk AS (SELECT id, greatest(0, max(run)) AS peak FROM wr GROUP BY 1) SELECT id, round(peak, 2) AS peak, round(peak, 2) <= round(c_acctbal * 10, 2) + 1 AS affordable, CASE WHEN c_acctbal > 0 THEN least(round(peak, 2), round(c_acctbal * 10, 2)) ELSE round(peak, 2) END AS capital FROM pk JOIN customer ON c_custkey = id")
+def _(spark, sf):
+    """Whether each customer's account covers the most that its own orders hold on their way, and the capital that it leaves."""
+    rows, _ = order_path(spark, sf)
+    paths = bk.peak_gross(rows, "id", ["day", "l_orderkey", "l_linenumber"])
+    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.round(F.col("c_acctbal").cast("double") * 10, 2).alias("power"))
+    paths = paths.select("id", r("peak", 2), "start").join(c, "id")
+    return paths.select("id", "peak", lg.affordable(F.col("peak"), F.col("start"), F.col("power")).alias("affordable"), lg.effective_capital(F.col("peak"), F.col("power")).alias("capital"))
 
 
 EQ = f"{BOOK}, sh AS (SELECT b.day, b.symbol, trunc(notional / close) AS shares FROM book b JOIN closes c ON c.symbol = b.symbol AND c.day = b.day WHERE abs(trunc(notional / close)) >= 1), mv AS (SELECT symbol, day, lead(day) OVER w AS t, lead(close) OVER w - close AS move FROM closes WINDOW w AS (PARTITION BY symbol ORDER BY day)), pl AS (SELECT t AS day, sum(shares * move) AS pnl FROM sh JOIN mv USING (symbol, day) WHERE move IS NOT NULL GROUP BY 1), eq AS (SELECT day, pnl, 10000.0 + sum(pnl) OVER (ORDER BY day) AS equity FROM pl)"

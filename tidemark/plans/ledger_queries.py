@@ -145,12 +145,6 @@ def _(spark, sf):
     return o.join(fx.closes(spark, sf), ["symbol", "day"]).select("order_id", r("close", 6, "price"))
 
 
-@query("p19_p27_affordability", "", "SELECT c_custkey AS id, 5000 - 1000 <= c_acctbal + 1 AS affordable, CASE WHEN c_acctbal > 0 THEN least(4000, round(c_acctbal, 2)) ELSE 4000 END AS capital FROM customer")
-def _(spark, sf):
-    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("b"))
-    return c.select("id", lg.affordable(F.lit(5000.0), F.lit(1000.0), F.col("b")).alias("affordable"), lg.effective_capital(F.lit(4000.0), F.round("b", 2)).alias("capital"))
-
-
 @query("p20_open_orders", "books", "SELECT symbol, current_shares + 0.25 * abs(target_shares) AS shares FROM books WHERE abs(current_shares + 0.25 * abs(target_shares)) >= 0.5")
 def _(spark, sf):
     b = fx.books(spark, sf)

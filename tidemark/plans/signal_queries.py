@@ -177,6 +177,22 @@ def _(spark, sf):
     return sg.entry_cap(fx.trades(spark, sf), "exit_day", "pnl", "trade_id", 3).select("trade_id", day("exit_day"), "place", "admitted")
 
 
+CAPPED = """+ e AS (SELECT trade_id, pair_id, CAST(exit_day - DATE '1990-01-01' AS BIGINT) AS leaves, CAST(exit_day - DATE '1990-01-01' AS BIGINT) - hold_days AS enters, pnl FROM trades), o AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY enters, pnl DESC, trade_id) AS n FROM e),
+fold AS (SELECT DISTINCT pair_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS day, 0 AS today, []::BIGINT[] AS ends, 0 AS before, 0 AS now, false AS admitted FROM o
+UNION ALL SELECT pair_id, n, enters, t + ok::INT, CASE WHEN ok THEN live || [leaves] ELSE live END, t, len(live), ok FROM (SELECT *, t < 2 AND len(live) < 6 AS ok FROM (SELECT o.pair_id, o.n, o.enters, o.leaves, CASE WHEN f.day = o.enters THEN f.today ELSE 0 END AS t, list_filter(f.ends, lambda x: x > o.enters) AS live FROM fold f JOIN o ON o.pair_id = f.pair_id AND o.n = f.n + 1)))
+SELECT trade_id, before AS today, now AS open, admitted FROM fold JOIN o USING (pair_id, n)"""
+
+
+@query("g19_concurrency_cap", "trades", CAPPED)
+def _(spark, sf):
+    """Entries of each run, in order: two a day and six open at most, by the days on which the admitted ones are left."""
+    from_ = lambda c: F.datediff(c, F.lit("1990-01-01").cast("date")).cast("long")
+    rows = fx.trades(spark, sf).select("trade_id", "pair_id", (from_("exit_day") - F.col("hold_days")).alias("enters"), from_("exit_day").alias("leaves"), (-F.col("pnl")).alias("first"))
+    caps = sg.EntryCaps(2, 6)
+    schema = "trade_id long, pair_id string, enters long, leaves long, first double, today int, open int, admitted boolean"
+    return scan.fold(rows, "pair_id", ["enters", "first", "trade_id"], lambda s, x: caps.step(s, x.enters, x.leaves), schema).select("trade_id", "today", "open", "admitted")
+
+
 ZS = f"{OU}, z AS (SELECT sp.target, sp.sector, sp.day, round((spread - mu) / sigma_eq, 5) AS z, 0.9 AS k FROM sp JOIN fit USING (target) WHERE mu IS NOT NULL), pos AS (SELECT *, coalesce(last_value(CASE WHEN z < -k THEN 1 WHEN z > k THEN -1 END IGNORE NULLS) OVER (PARTITION BY target ORDER BY day), 0) AS position FROM z)"
 
 
