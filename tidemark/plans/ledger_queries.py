@@ -184,13 +184,6 @@ def _(spark, sf):
     return b.where("return_1 < -0.2 and fill > 0 and mark is not null").groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum(F.col("mark") / F.col("fill") - 1), 6).alias("total"))
 
 
-@query("r08_removal_value", "trades", "+ a AS (SELECT sum(pnl) AS p FROM trades), b AS (SELECT t.pair_id AS removed, sum(u.pnl) AS p FROM (SELECT DISTINCT pair_id FROM trades) t JOIN trades u ON u.pair_id <> t.pair_id GROUP BY 1) SELECT removed, round(b.p - a.p + 1, 2) AS change FROM a, b")
-def _(spark, sf):
-    by = fx.trades(spark, sf).groupBy("pair_id").agg(F.sum("pnl").alias("p"))
-    total = by.agg(F.sum("p").alias("all"))
-    return by.join(F.broadcast(total)).select(F.col("pair_id").alias("removed"), F.round((F.col("all") - F.col("p")) - F.col("all") + 1, 2).alias("change"))
-
-
 @query("s16_picks", BV, f"{BOOK}, g AS (SELECT day, sum(greatest(notional, 0)) AS l FROM book GROUP BY 1) SELECT day::VARCHAR AS day, symbol, round(notional / l, 6) AS weight FROM book JOIN g USING (day) WHERE l > 0".replace("g AS (SELECT day, sum(greatest", "gk AS (SELECT day, sum(greatest").replace("JOIN g USING", "JOIN gk USING"))
 def _(spark, sf):
     b = target_book(spark, sf)
