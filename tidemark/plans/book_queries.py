@@ -230,31 +230,3 @@ KW = "(PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS UNBOUNDED PRECEDING
 @query("a16_kelly", "trades", f"+ x AS (SELECT trade_id, 2 + count(CASE WHEN pnl > 0 THEN 1 END) OVER {KW} AS a, 2 + count(CASE WHEN pnl <= 0 THEN 1 END) OVER {KW} AS b, coalesce(avg(CASE WHEN pnl > 0 THEN pnl END) OVER {KW}, 1) / greatest(coalesce(avg(CASE WHEN pnl <= 0 THEN -pnl END) OVER {KW}, 1), 1e-10) AS payoff FROM trades), p AS (SELECT *, a / (a + b) AS p, sqrt((a / (a + b)) * (1 - a / (a + b)) / (a + b + 1)) AS sd FROM x) SELECT trade_id, round(p, 9) AS win_rate, round(CASE WHEN p - (1 - p) / payoff <= 0 THEN 0 ELSE least(1, (p - (1 - p) / payoff) * greatest(0.2, 1 - 4 * sd)) END, 6) AS fraction FROM p")
 def _(spark, sf):
     return rp.kelly(fx.trades(spark, sf), ["pair_id"], ["exit_day", "trade_id"]).select("trade_id", r("win_rate", 9), r("fraction"))
-
-
-@query("a23_worst_days", "equity", "SELECT day::VARCHAR AS day, round(pnl, 2) AS pnl FROM (SELECT day, equity - lag(equity) OVER (ORDER BY day) AS pnl FROM equity) WHERE pnl IS NOT NULL ORDER BY pnl, day LIMIT 10")
-def _(spark, sf):
-    e = fx.equity(spark, sf).select("day", (F.col("equity") - F.lag("equity").over(W.orderBy("day"))).alias("pnl")).where("pnl is not null")
-    return e.orderBy("pnl", "day").limit(10).select(day(), r("pnl", 2))
-
-
-@query("a26_attribution", BV, f"{LEGS}, mv AS (SELECT symbol, day, lead(close) OVER (PARTITION BY symbol ORDER BY day) / close - 1 AS move FROM closes) SELECT coalesce(sector, 'ALL') AS sector, coalesce(role, 'ALL') AS role, round(sum(pnl), 3) AS pnl, count(*) AS n FROM (SELECT sector, CASE WHEN lg.symbol = lg.target THEN 'target' ELSE 'peer' END AS role, notional * move AS pnl FROM lg JOIN mv USING (symbol, day) JOIN sectors ON sectors.symbol = lg.target WHERE move IS NOT NULL) GROUP BY CUBE (sector, role)")
-def _(spark, sf):
-    c = fx.closes(spark, sf)
-    mv = c.select("symbol", "day", (F.lead("close").over(W.partitionBy("symbol").orderBy("day")) / F.col("close") - 1).alias("move")).where("move is not null")
-    x = legs(spark, sf).join(mv, ["symbol", "day"]).join(fx.sectors(spark, sf).withColumnRenamed("symbol", "target"), "target")
-    x = x.select("sector", F.when(F.col("symbol") == F.col("target"), "target").otherwise("peer").alias("role"), (F.col("notional") * F.col("move")).alias("pnl"))
-    g = x.cube("sector", "role").agg(F.sum("pnl").alias("pnl"), F.count("*").alias("n"))
-    return g.select(F.coalesce("sector", F.lit("ALL")).alias("sector"), F.coalesce("role", F.lit("ALL")).alias("role"), r("pnl", 3), "n")
-
-
-@query("a27_cap_pressure", BV, f"{ADMIT}, d AS (SELECT day, count(*) AS active, count(*) FILTER (WHERE place > {MOST}) AS excluded FROM a GROUP BY 1) SELECT round(avg(active), 6) AS mean_active, max(active) AS max_active, round(avg(excluded), 6) AS mean_excluded, max(excluded) AS max_excluded FROM d")
-def _(spark, sf):
-    d = admitted(spark, sf).groupBy("day").agg(F.count("*").alias("active"), F.count_if(~F.col("admitted")).alias("excluded"))
-    return d.agg(F.round(F.avg("active"), 6).alias("mean_active"), F.max("active").alias("max_active"), F.round(F.avg("excluded"), 6).alias("mean_excluded"), F.max("excluded").alias("max_excluded"))
-
-
-@query("a28_churn", BV, f"{BOOK}, gr AS (SELECT day, sum(abs(notional)) AS gross, count(*) AS names FROM book GROUP BY 1) SELECT day::VARCHAR AS day, round(gross, 4) AS gross, names, round(gross - lag(gross) OVER (ORDER BY day), 4) AS change FROM gr")
-def _(spark, sf):
-    g = target_book(spark, sf).groupBy("day").agg(F.sum(F.abs("notional")).alias("gross"), F.count("*").alias("names"))
-    return g.select(day(), r("gross", 4), "names", F.round(F.col("gross") - F.lag("gross").over(W.orderBy("day")), 4).alias("change"))

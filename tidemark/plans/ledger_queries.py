@@ -64,14 +64,6 @@ def a21(spark, sf):
     return lg.distribution(fx.ticks(spark, sf), ["symbol"], "value")
 
 
-@query("a25_baseline_comparison", "trades", "+ s AS (SELECT pair_id, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS wins FROM trades GROUP BY 1), b AS (SELECT pair_id, count(*) AS n0 FROM trades WHERE trade_id % 2 = 0 GROUP BY 1) SELECT pair_id, n, n0, n = n0 AS matched FROM s JOIN b USING (pair_id)")
-def _(spark, sf):
-    t = fx.trades(spark, sf)
-    now = rp.trade_statistics(t, "pair_id").select("pair_id", "n")
-    base = t.where("trade_id % 2 = 0").groupBy("pair_id").agg(F.count("*").alias("n0"))
-    return now.join(base, "pair_id").withColumn("matched", F.col("n") == F.col("n0"))
-
-
 @query("t22_rotation", "trades", "+ q AS (SELECT exit_day, max(pnl / 1e4) AS best FROM trades WHERE trade_id % 2 = 1 GROUP BY 1) SELECT trade_id, pnl > 0 AND round(pnl / 1e5, 6) < round(best - 2 * 0.5, 6) AS rotate FROM trades JOIN q USING (exit_day) WHERE trade_id % 2 = 0")
 def _(spark, sf):
     t = fx.trades(spark, sf)

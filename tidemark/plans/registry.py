@@ -26,7 +26,7 @@ def query(name: str, views: str = "", sql: str | None = None):
 
 
 def _load() -> None:
-    from . import book_queries, feature_queries, journal_queries, ledger_queries, machine_queries, pair_machine_queries, run_queries, signal_queries, stat_queries, stream_queries, table_queries  # noqa: F401
+    from . import book_queries, feature_queries, journal_queries, ledger_queries, machine_queries, pair_machine_queries, report_queries, run_queries, signal_queries, stat_queries, stream_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -78,12 +78,6 @@ def _(spark, sf):
     return old.unionByName(new, allowMissingColumns=True)
 
 
-@query("s15_equity_report", "equity", "SELECT day::VARCHAR AS day, round(equity, 2) AS equity, round(equity - lag(equity) OVER (ORDER BY day), 2) AS pnl FROM equity")
-def _(spark, sf):
-    e = fx.equity(spark, sf)
-    return e.select(day(), r("equity", 2), F.round(F.col("equity") - F.lag("equity").over(W.orderBy("day")), 2).alias("pnl"))
-
-
 LOG = "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE)::VARCHAR || ' [' || o_orderstatus || '] EXIT id=' || o_orderkey || ' pnl=' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' reason=' || lower(replace(o_orderpriority, ' ', '_')) AS line FROM orders"
 
 
@@ -93,12 +87,6 @@ def log_lines(spark, sf):
     return o.select(F.col("o_orderkey").alias("id"), F.concat(F.to_date("o_orderdate").cast("string"), F.lit(" ["), "o_orderstatus", F.lit("] EXIT id="), F.col("o_orderkey").cast("string"), F.lit(" pnl="), F.floor("o_totalprice").cast("long").cast("string"), F.lit(" reason="), reason).alias("line"))
 
 
-@query("s17_parse_header_pairs", "", f"WITH log AS ({LOG}) SELECT id, CAST(regexp_extract(line, 'pnl=(-?[0-9]+)', 1) AS BIGINT) AS pnl, regexp_extract(line, 'reason=(\\S+)', 1) AS reason FROM log")
-def _(spark, sf):
-    pairs = F.str_to_map(F.regexp_replace(F.regexp_extract("line", r"EXIT (.*)$", 1), " ", ";"), F.lit(";"), F.lit("="))
-    return log_lines(spark, sf).select("id", pairs["pnl"].cast("long").alias("pnl"), pairs["reason"].alias("reason"))
-
-
 @query("s18_log_events", "", f"WITH log AS ({LOG}) SELECT regexp_extract(line, '\\[(\\w)\\]', 1) AS status, regexp_extract(line, '^(\\d{{4}}-\\d{{2}})', 1) AS month, count(*) AS n FROM log WHERE line LIKE '% EXIT %' GROUP BY 1, 2")
 def _(spark, sf):
     rows = log_lines(spark, sf).where(F.contains("line", F.lit(" EXIT ")))
@@ -298,12 +286,6 @@ def _(spark, sf):
     return spark.sql("SELECT 'orders' AS name, count(*) AS n FROM journal_orders UNION ALL SELECT 'lineitem', count(*) FROM journal_lineitem UNION ALL SELECT 'customer', count(*) FROM journal_customer")
 
 
-@query("a24_variant_matrix", "trades", "+ x AS (SELECT year(exit_day) AS y, pair_id, sum(pnl) AS ret FROM trades GROUP BY 1, 2) SELECT y, count(*) AS variants, max_by(pair_id, ret) AS best, round(max(ret), 2) AS best_return, round(max(ret) - min(ret), 2) AS spread FROM x GROUP BY 1")
-def _(spark, sf):
-    x = fx.trades(spark, sf).groupBy(F.year("exit_day").alias("y"), "pair_id").agg(F.sum("pnl").alias("ret"))
-    return x.groupBy("y").agg(F.count("*").alias("variants"), F.max_by("pair_id", "ret").alias("best"), F.round(F.max("ret"), 2).alias("best_return"), F.round(F.max("ret") - F.min("ret"), 2).alias("spread"))
-
-
 @query("o01_chronological_merge", "bars", "SELECT symbol, CAST(epoch(ts) AS BIGINT) AS t, row_number() OVER (PARTITION BY ts ORDER BY symbol) AS place FROM bars")
 def _(spark, sf):
     return fx.bars(spark, sf).select("symbol", secs(), F.row_number().over(W.partitionBy("ts").orderBy("symbol")).alias("place"))
