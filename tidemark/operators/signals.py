@@ -70,11 +70,11 @@ def combine(votes: DataFrame, by: list[str], least_net: float = 0.2, least_voter
 
 def exit_reason(price: Column, entry: Column, held: Column, atr: Column, vol: Column, stop: float = 2.5, stop_pct: float = 0.05, take_pct: float = 0.10, longest: int = 60) -> Column:
     """Why a long position is left: a stop at ``stop`` times the volatility of returns, or else the mean range; a share of the
-    entry price where neither is known; the profit is reached; it was held too long."""
-    gain = (price - entry) / entry
+    entry price where neither is known; the profit is reached; it was held too long. Comparisons are to nine decimals."""
+    gain = F.round((price - entry) / entry, 9)
     distance = F.when(vol > 0, vol * price).when(atr > 0, atr).otherwise(0.0)
     stops = (F.lit(stop) > 0) & (distance > 0)
-    stopped = F.when(stops, price < entry - distance * stop).otherwise((F.lit(stop_pct) > 0) & (gain < -stop_pct))
+    stopped = F.when(stops, F.round(price - entry + distance * stop, 9) < 0).otherwise((F.lit(stop_pct) > 0) & (gain < -stop_pct))
     return F.when(stopped, F.when(stops, "vol_stop").otherwise("stop")).when((F.lit(take_pct) > 0) & (gain > take_pct), "take_profit").when((F.lit(longest) > 0) & (held >= longest), "max_hold")
 
 
@@ -101,9 +101,9 @@ def pair_z(spreads: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
 
 
 def decayed_exit(z: Column, held: Column, longest: Column, threshold: float = 0.5, floor: float = 0.1) -> Column:
-    """Whether |z| is under a threshold that shrinks in a line to a floor, no higher than itself, as days are held; max hold goes first."""
+    """Whether |z| is under a threshold that shrinks in a line to a floor, no higher than itself, as days are held; max hold goes first. Nine decimals count."""
     now = threshold - (threshold - min(floor, threshold)) * F.least(F.lit(1.0), held / longest)
-    return F.when(held >= longest, "max_hold").when(F.abs(z) < now, "reversion")
+    return F.when(held >= longest, "max_hold").when(F.round(F.abs(z), 9) < F.round(now, 9), "reversion")
 
 
 def trade_bps(ret_a: Column, ret_b: Column, beta: Column, side: Column, cost_bps: float = 10.0) -> Column:
@@ -170,10 +170,12 @@ def day_summary(rows: DataFrame, changes: DataFrame, near: float = 0.75) -> Data
 
 
 class RollingScore:
-    """A gate policy: enters when the score of a spread against the last ones passes a level for some bars, leaves inside another."""
+    """A gate policy: enters when the score of a spread against the last ones passes a level for some bars, leaves inside another.
 
-    def __init__(self, n: int = 60, enter: float = 1.5, leave: float = 0.5, confirm: int = 1) -> None:
-        self.n, self.enter, self.leave, self.confirm = n, enter, leave, confirm
+    With ``raw`` the level of entry is that of the spread itself; leaving goes by the score."""
+
+    def __init__(self, n: int = 60, enter: float = 1.5, leave: float = 0.5, confirm: int = 1, raw: float | None = None) -> None:
+        self.n, self.enter, self.leave, self.confirm, self.raw = n, enter, leave, confirm, raw
 
     def step(self, state: dict, spread: float) -> tuple[float | None, int]:
         past = state.setdefault("past", deque(maxlen=self.n))
@@ -182,7 +184,8 @@ class RollingScore:
             mean = sum(past) / len(past)
             std = math.sqrt(sum((x - mean) ** 2 for x in past) / len(past))
             score = (spread - mean) / std if std > 1e-10 else 0.0
-            side = -1 if score > self.enter else 1 if score < -self.enter else 0
+            level, value = (self.enter, score) if self.raw is None else (self.raw, spread)
+            side = -1 if value > level else 1 if value < -level else 0
             run = state.get("run", 0) + 1 if side and side == state.get("side") else int(side != 0)
             state["side"], state["run"] = side, run
             if position and abs(score) < self.leave:

@@ -87,12 +87,11 @@ def _(spark, sf):
 EXIT = "WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS price, (l_extendedprice / l_quantity) * (0.9 + 0.2 * l_tax / 0.08) AS entry, CAST(l_quantity AS INT) AS held FROM lineitem)"
 
 
-@query("g06_exit_rules", "", EXIT + ", y AS (SELECT *, round((price - entry) / entry, 6) AS gain, CASE held % 3 WHEN 0 THEN price * 0.018 WHEN 1 THEN price * 0.012 ELSE 0 END AS dist FROM x WHERE abs(price / entry - 0.97) > 1e-6 AND abs(price / entry - 1.06) > 1e-6 AND abs(entry / price - 1.045) > 1e-6 AND abs(entry / price - 1.03) > 1e-6) SELECT l_orderkey, l_linenumber, CASE WHEN dist > 0 AND price < entry - 2.5 * dist THEN 'vol_stop' WHEN dist = 0 AND gain < -0.03 THEN 'stop' WHEN gain > 0.06 THEN 'take_profit' WHEN held >= 40 THEN 'max_hold' END AS reason FROM y")
+@query("g06_exit_rules", "", EXIT + ", y AS (SELECT *, round((price - entry) / entry, 9) AS gain, CASE held % 3 WHEN 0 THEN price * 0.018 WHEN 1 THEN price * 0.012 ELSE 0 END AS dist FROM x) SELECT l_orderkey, l_linenumber, CASE WHEN dist > 0 AND round(price - entry + 2.5 * dist, 9) < 0 THEN 'vol_stop' WHEN dist = 0 AND gain < -0.03 THEN 'stop' WHEN gain > 0.06 THEN 'take_profit' WHEN held >= 40 THEN 'max_hold' END AS reason FROM y")
 def _(spark, sf):
     """A third of the positions have a volatility of returns, a third a mean range alone, a third neither."""
     li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), "l_tax", F.col("l_quantity").cast("int").alias("held"))
     li = li.withColumn("entry", F.col("price") * (0.9 + 0.2 * F.col("l_tax").cast("double") / 0.08))
-    li = li.where("abs(price / entry - 0.97) > 1e-6 and abs(price / entry - 1.06) > 1e-6 and abs(entry / price - 1.045) > 1e-6 and abs(entry / price - 1.03) > 1e-6")
     kind = F.col("held") % 3
     return li.select("l_orderkey", "l_linenumber", sg.exit_reason(F.col("price"), F.col("entry"), F.col("held"), F.when(kind == 1, F.col("price") * 0.012).otherwise(0.0), F.when(kind == 0, 0.018).otherwise(0.0), 2.5, 0.03, 0.06, 40).alias("reason"))
 
@@ -160,10 +159,10 @@ def _(spark, sf):
     return rows.select("target", day(), ft.streak(F.col("over"), ["target"], ["day"]).alias("streak")).where("streak >= 2")
 
 
-@query("g16_decayed_exit", "", "WITH x AS (SELECT o_orderkey AS id, (o_orderkey % 100) / 100.0 AS z, o_orderkey % 23 AS held FROM orders) SELECT id, CASE WHEN held >= 20 THEN 'max_hold' WHEN round(abs(z), 6) < round(0.5 - 0.4 * least(1.0, held / 20), 6) THEN 'reversion' END AS reason FROM x WHERE abs(abs(z) - (0.5 - 0.4 * held / 20)) > 1e-6")
+@query("g16_decayed_exit", "", "WITH x AS (SELECT o_orderkey AS id, (o_orderkey % 100) / 100.0 AS z, o_orderkey % 23 AS held FROM orders) SELECT id, CASE WHEN held >= 20 THEN 'max_hold' WHEN round(abs(z), 9) < round(0.5 - 0.4 * least(1.0, held / 20), 9) THEN 'reversion' END AS reason FROM x")
 def _(spark, sf):
     k = F.col("o_orderkey")
-    o = fx.table(spark, sf, "orders").select(k.alias("id"), ((k % 100) / 100.0).cast("double").alias("z"), (k % 23).alias("held")).where("abs(abs(z) - (0.5 - 0.4 * held / 20)) > 1e-6")
+    o = fx.table(spark, sf, "orders").select(k.alias("id"), ((k % 100) / 100.0).cast("double").alias("z"), (k % 23).alias("held"))
     return o.select("id", sg.decayed_exit(F.col("z"), F.col("held"), F.lit(20)).alias("reason"))
 
 
@@ -225,6 +224,14 @@ def g22(spark, sf):
     return out.select("target", day(), r("score", 5), "position")
 
 
+@query("g22_raw_entry", BV, POLICY.replace("CASE WHEN e.z > 1.5 THEN -1 WHEN e.z < -1.5 THEN 1 ELSE 0 END AS side", "CASE WHEN e.spread > 0.05 THEN -1 WHEN e.spread < -0.05 THEN 1 ELSE 0 END AS side").replace("CASE WHEN past >= 2 THEN CASE WHEN s > 1e-10 THEN (spread - m) / s ELSE 0 END END AS z FROM zz", "CASE WHEN past >= 2 THEN CASE WHEN s > 1e-10 THEN (spread - m) / s ELSE 0 END END AS z, spread FROM zz"))
+def _(spark, sf):
+    """The rolling policy whose entries go by the spread itself."""
+    policy = sg.RollingScore(confirm=2, raw=0.05)
+    out = scan.fold(basket_rows(spark, sf).select("target", "day", "spread"), "target", ["day"], lambda s, x: policy.step(s, x.spread), "target string, day date, spread double, score double, position int")
+    return out.select("target", day(), r("score", 5), "position")
+
+
 @query("g23_transitions", BV, f"{ZS}, t AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY target ORDER BY day), 0) AS b FROM pos) SELECT target, day::VARCHAR AS day, position, CASE WHEN b = 0 THEN CASE WHEN position > 0 THEN 'open_long' ELSE 'open_short' END WHEN position = 0 THEN 'close' ELSE 'flip' END AS reason FROM t WHERE position <> b")
 def _(spark, sf):
     return sg.transitions(basket_positions(spark, sf), ["target"], ["day"]).select("target", day(), "position", "reason")
@@ -281,10 +288,23 @@ def overlay_days(spark, sf):
     return d.join(gate, "day").select(F.lit("run").alias("run_id"), "day", (F.col("won") > 0.4).alias("leading"), "conflict", "ret", "drawdown", (0.5 + F.col("won")).alias("room"))
 
 
-@query("g26_overlay_rule", "equity", None)
+OVERLAID = """+ dd AS (SELECT exit_day AS day, count(*) FILTER (pnl > 0) / count(*) AS won, count(*) FILTER (exit_reason = 'P') / count(*) AS conflict FROM trades GROUP BY 1),
+gt AS (SELECT day, equity / first_value(equity) OVER q - 1 AS ret, (max(equity) OVER q - equity) / max(equity) OVER q AS fall FROM equity WINDOW q AS (ORDER BY day ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
+od AS (SELECT day, row_number() OVER (ORDER BY day) AS n, won > 0.4 AS led, conflict, ret, fall, 0.5 + won AS room FROM dd JOIN gt USING (day)),
+fold AS (SELECT CAST(0 AS BIGINT) AS n, 'basket' AS mode, 0 AS dwell, 0 AS off, ''::VARCHAR AS reason
+UNION ALL SELECT n, CASE WHEN split_part(move, ':', 2) IN ('dwell', 'active') THEN mode ELSE split_part(move, ':', 1) END, CASE WHEN dwell > 0 THEN dwell - 1 WHEN mode = 'basket' AND split_part(move, ':', 1) <> 'basket' THEN 5 ELSE 0 END,
+CASE WHEN dwell > 0 THEN off WHEN mode = 'basket' OR split_part(move, ':', 2) = 'cleared' THEN 0 ELSE off1 END, split_part(move, ':', 2)
+FROM (SELECT *, CASE WHEN dwell > 0 THEN mode || ':dwell' WHEN mode <> 'basket' THEN CASE WHEN off1 >= 2 THEN 'basket:cleared' ELSE mode || ':active' END WHEN NOT led THEN 'basket:no_leadership'
+WHEN conflict >= 0.15 AND ret >= 0.03 AND fall <= 0.03 THEN 'suppress:conflict' WHEN room >= 0.70 AND (ret <= 0 OR fall >= 0.05 OR ret <= 0.03) THEN 'sleeve:weak_basket' WHEN room >= 0.85 AND ret <= 0.10 AND conflict < 0.15 THEN 'sleeve:spare_room' WHEN ret <= 0 OR fall >= 0.05 THEN 'basket:crowded' ELSE 'basket:healthy' END AS move
+FROM (SELECT o.*, f.mode, f.dwell, f.off, CASE WHEN NOT led OR (f.mode = 'suppress' AND conflict <= 0.05) THEN f.off + 1 ELSE 0 END AS off1 FROM fold f JOIN od o ON o.n = f.n + 1)))
+SELECT day::VARCHAR AS day, mode, reason, CASE WHEN mode <> 'sleeve' THEN 0.0 WHEN fall >= 0.10 THEN 0.25 WHEN fall >= 0.05 AND ret >= 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS scale FROM fold JOIN od USING (n)"""
+
+
+@query("g26_overlay_rule", "trades equity", OVERLAID)
 def g26(spark, sf):
     rule = sg.OverlayRule()
-    return scan.fold(overlay_days(spark, sf), "run_id", ["day"], lambda s, x: rule.step(s, x.leading, x.conflict, x.ret, x.drawdown, x.room), "run_id string, day date, leading boolean, conflict double, ret double, drawdown double, room double, mode string, reason string, scale double")
+    out = scan.fold(overlay_days(spark, sf), "run_id", ["day"], lambda s, x: rule.step(s, x.leading, x.conflict, x.ret, x.drawdown, x.room), "run_id string, day date, leading boolean, conflict double, ret double, drawdown double, room double, mode string, reason string, scale double")
+    return out.select(day(), "mode", "reason", "scale")
 
 
 @query("g27_fixed_overlay", "equity", "SELECT day::VARCHAR AS day, 'fixed' AS picker, 'suppress' AS mode, 0.0 AS scale FROM equity UNION ALL SELECT day::VARCHAR, 'none', 'basket', 0.0 FROM equity")
