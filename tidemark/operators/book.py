@@ -125,16 +125,29 @@ def apply_orders(book: DataFrame, orders: DataFrame, by: list[str]) -> DataFrame
 
 
 def drift(actual_target: DataFrame, prices: DataFrame) -> DataFrame:
-    """Per symbol the difference of actual and target notional, in basis points of the larger gross."""
-    rows = actual_target.join(prices, "symbol").withColumns({"a": F.col("current_shares") * F.col("close"), "b": F.col("target_shares") * F.col("close")})
-    scale = rows.agg(F.greatest(F.sum(F.abs("a")), F.sum(F.abs("b")), F.lit(1.0)).alias("scale"))
-    return rows.join(F.broadcast(scale)).select("symbol", (F.abs(F.col("a") - F.col("b")) / F.col("scale") * 1e4).alias("bps"))
+    """(symbol, delta_shares, delta_notional, bps): actual less target, in basis points of the larger gross, at least 1."""
+    rows = actual_target.join(prices, "symbol").select("symbol", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("current_shares", "target_shares")), "close")
+    rows = rows.withColumns({"a": F.col("current_shares") * F.col("close"), "b": F.col("target_shares") * F.col("close")})
+    scale = rows.agg(F.greatest(F.sum(F.abs("a")), F.sum(F.abs("b")), F.lit(1.0)).alias("scale"))  # one row
+    return rows.join(F.broadcast(scale)).select("symbol", (F.col("current_shares") - F.col("target_shares")).alias("delta_shares"), F.abs(F.col("a") - F.col("b")).alias("delta_notional"), (F.abs(F.col("a") - F.col("b")) / F.col("scale") * 1e4).alias("bps"))
 
 
-def nearest_rank(rows: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
-    """Order statistics at index round((n - 1) p), of one array of the values: for tables of a row a symbol."""
-    s = rows.agg(F.sort_array(F.collect_list(value)).alias("s"))
-    return s.select(*(F.get("s", F.round((F.size("s") - 1) * p).cast("int")).alias(f"p{round(p * 100)}") for p in shares), F.element_at("s", -1).alias("max"))
+def nearest_rank(rows: DataFrame, value: str, tie: str, shares: tuple[float, ...]) -> DataFrame:
+    """Order statistics at index round((n - 1) p), in one row: values are numbered by a prefix scan over their global order, so
+    that no task holds more than its range."""
+    placed = scan.affine_scans(rows.select(value, tie).withColumn("__all", F.lit(0)), "__all", [value, tie], {"__at": scan.Affine(F.lit(1.0), F.lit(1.0), F.lit(-1.0))})
+    n = placed.agg((F.max("__at") + 1).alias("__n"))  # one row
+    rank = lambda p: F.floor((F.col("__n") - 1) * p + 0.5)
+    pick = [F.max(F.when(F.col("__at") == rank(p), F.col(value))).alias(f"p{round(p * 100)}") for p in shares]
+    return placed.join(F.broadcast(n)).agg(*pick, F.max(value).alias("max"))
+
+
+#: Percent of gross, and median and 95th percentile in basis points, beyond which books have drifted apart.
+DRIFT_LIMITS = (10.0, 50.0, 200.0)
+
+
+def drifted(apart: Column, median: Column, p95: Column) -> Column:
+    return (apart > DRIFT_LIMITS[0]) | (median > DRIFT_LIMITS[1]) | (p95 > DRIFT_LIMITS[2])
 
 
 def equity_curve(books: DataFrame, closes: DataFrame, start: float) -> DataFrame:

@@ -38,10 +38,12 @@ def held_position(baskets: DataFrame, holdings: DataFrame) -> DataFrame:
     return rows.withColumn("position", F.when(F.abs(q) < 0.5, 0).otherwise(F.signum(q)).cast("int")).drop("shares")
 
 
-def reallocation_band(current: Column, target: Column, supported: Column, band: float = 0.2) -> Column:
-    """Keeps the current shares for a small change on the same side that the admitted baskets support."""
-    small = (current * target > 0) & (F.abs(target - current) <= band * F.abs(current)) & supported
-    return F.when(small, current).otherwise(target)
+def reallocation_band(current: Column, target: Column, price: Column, support: Column, most_shares: float, most_notional: float) -> Column:
+    """Keeps the current shares where a change on the same side is small in shares and notional and some admitted basket holds
+    the symbol on that side; a change of sign, an opening and a close are never held back."""
+    delta = F.abs(target - current)
+    small = (current * target > 0) & (delta <= most_shares) & (delta * price <= most_notional) & (support > 0) & (F.abs(current) >= 0.5)
+    return F.when(F.coalesce(small, F.lit(False)), current).otherwise(target)
 
 
 def symbol_support(legs: DataFrame, by: list[str]) -> DataFrame:

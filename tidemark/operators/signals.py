@@ -78,14 +78,6 @@ def exit_reason(price: Column, entry: Column, held: Column, atr: Column, vol: Co
     return F.when(stopped, F.when(stops, "vol_stop").otherwise("stop")).when((F.lit(take_pct) > 0) & (gain > take_pct), "take_profit").when((F.lit(longest) > 0) & (held >= longest), "max_hold")
 
 
-def sized(price: Column, notional: Column, drawdown: Column, kelly: Column, killed: Column, edge: Column, cost: float = 0.001, most_price: float = 1000.0, most: int = 100) -> tuple[Column, Column]:
-    """(shares, reason): whole shares after the kill switch, the cost filter, drawdown and Kelly scaling; 0 with a reason."""
-    scale = F.when(drawdown < 0.05, 1.0).when(drawdown < 0.10, 0.5).when(drawdown < 0.15, 0.25).otherwise(0.0)
-    shares = F.least(F.lit(most), F.floor(notional * scale * kelly / price)).cast("int")
-    reason = F.when(killed, "killed").when(edge <= cost, "cost").when(price > most_price, "price").when(scale == 0, "drawdown").when(shares < 1, "size")
-    return F.when(reason.isNull(), shares).otherwise(0), reason
-
-
 def kill_flags(trades: DataFrame, limit: float, by: list[str], order: list[str]) -> DataFrame:
     """Trades with the day's running profit and whether it has fallen below -limit by then."""
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

@@ -172,6 +172,17 @@ def sized(signal: Signal, price: float, holding: float, day_pnl: float, killed:
     return (float(shares), None) if shares > 0 else (None, "position_size")
 
 
+def kelly_columns(wins: Column, losses: Column, won: Column, lost: Column, limits: dict | None = None) -> Column:
+    """``kelly_share`` as a column expression."""
+    c = LIMITS | (limits or {})
+    a, b = c["prior_wins"] + wins, c["prior_losses"] + losses
+    p = a / (a + b)
+    ratio = F.when(wins > 0, won / wins).otherwise(1.0) / F.greatest(F.when(losses > 0, lost / losses).otherwise(1.0), F.lit(1e-10))
+    share = (p * ratio - (1 - p)) / ratio
+    spread = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+    return F.when(share > 0, F.least(F.lit(1.0), share * F.greatest(F.lit(0.2), 1 - 4 * spread))).otherwise(0.0)
+
+
 def sized_columns(side: Column, score: Column, price: Column, holding: Column, day_pnl: Column, killed: Column, kelly: Column, regime: Column, limits: dict | None = None) -> tuple[Column, Column]:
     """``sized`` as column expressions."""
     c = LIMITS | (limits or {})

@@ -131,10 +131,27 @@ def _(spark, sf):
     return kinds.join(have, "kind", "left").groupBy("kind").agg(F.count("one").alias("n"))
 
 
-@query("a11_position_drift", "books closes", "+ l AS (SELECT symbol, max_by(close, day) AS close FROM closes GROUP BY 1), d AS (SELECT symbol, current_shares * close AS a, target_shares * close AS b FROM books JOIN l USING (symbol)), s AS (SELECT greatest(sum(abs(a)), sum(abs(b)), 1.0) AS scale FROM d), v AS (SELECT list_sort(list(abs(a - b) / scale * 1e4)) AS s FROM d, s) SELECT round(s[1 + CAST(round((len(s) - 1) * 0.5) AS INT)], 5) AS p50, round(s[1 + CAST(round((len(s) - 1) * 0.95) AS INT)], 5) AS p95, round(s[len(s)], 5) AS max FROM v")
+DRIFT = "+ l AS (SELECT symbol, max_by(close, day) AS close FROM closes GROUP BY 1), d AS (SELECT symbol, current_shares - target_shares AS delta, current_shares * close AS a, target_shares * close AS b FROM books JOIN l USING (symbol)), s AS (SELECT sum(abs(a)) AS ga, sum(abs(b)) AS gb, greatest(sum(abs(a)), sum(abs(b)), 1.0) AS scale FROM d), v AS (SELECT list_sort(list(abs(a - b) / scale * 1e4)) AS s FROM d, s), o AS (SELECT s[1 + CAST(floor((len(s) - 1) * 0.5 + 0.5) AS INT)] AS p50, s[1 + CAST(floor((len(s) - 1) * 0.95 + 0.5) AS INT)] AS p95, s[len(s)] AS most FROM v)"
+
+
+def drifts(spark, sf):
+    return bk.drift(fx.books(spark, sf), fx.closes(spark, sf).groupBy("symbol").agg(F.max_by("close", "day").alias("close")))
+
+
+@query("a11_position_drift", "books closes", DRIFT + " SELECT round(p50, 5) AS p50, round(p95, 5) AS p95, round(most, 5) AS max, round(100 * abs(ga - gb) / greatest(gb, 1), 5) AS apart, 100 * abs(ga - gb) / greatest(gb, 1) > 10 OR p50 > 50 OR p95 > 200 AS breach FROM o, s")
 def _(spark, sf):
+    """Order statistics of the books' drift, how far their gross is apart in percent, and whether that is too much."""
     last = fx.closes(spark, sf).groupBy("symbol").agg(F.max_by("close", "day").alias("close"))
-    return bk.nearest_rank(bk.drift(fx.books(spark, sf), last), "bps", (0.5, 0.95)).select(r("p50", 5), r("p95", 5), r("max", 5))
+    gross = fx.books(spark, sf).join(last, "symbol").agg(F.sum(F.abs("current_shares") * F.col("close")).alias("ga"), F.sum(F.abs("target_shares") * F.col("close")).alias("gb"))
+    row = bk.nearest_rank(drifts(spark, sf), "bps", "symbol", (0.5, 0.95)).join(F.broadcast(gross))
+    apart = 100 * F.abs(F.col("ga") - F.col("gb")) / F.greatest(F.col("gb"), F.lit(1.0))
+    return row.select(r("p50", 5), r("p95", 5), r("max", 5), F.round(apart, 5).alias("apart"), bk.drifted(apart, F.col("p50"), F.col("p95")).alias("breach"))
+
+
+@query("a11_drift_sample", "books closes", DRIFT + " SELECT symbol, delta AS delta_shares, round(abs(a - b), 2) AS delta_notional, round(abs(a - b) / scale * 1e4, 5) AS bps FROM d, s QUALIFY row_number() OVER (ORDER BY round(abs(a - b), 2) DESC, symbol) <= 8")
+def _(spark, sf):
+    """The eight symbols that have drifted most."""
+    return drifts(spark, sf).select("symbol", "delta_shares", r("delta_notional", 2), r("bps", 5)).orderBy(F.desc("delta_notional"), "symbol").limit(8)
 
 
 @query("p17_apply_orders", "books", "SELECT symbol, current_shares + CASE WHEN target_shares > current_shares THEN 1 ELSE -1 END * round(abs(target_shares - current_shares)) AS shares FROM books WHERE abs(current_shares + CASE WHEN target_shares > current_shares THEN 1 ELSE -1 END * round(abs(target_shares - current_shares))) >= 0.5")

@@ -64,12 +64,17 @@ def a21(spark, sf):
     return lg.distribution(fx.ticks(spark, sf), ["symbol"], "value")
 
 
-@query("t22_rotation", "trades", "+ q AS (SELECT exit_day, max(pnl / 1e4) AS best FROM trades WHERE trade_id % 2 = 1 GROUP BY 1) SELECT trade_id, pnl > 0 AND round(pnl / 1e5, 6) < round(best - 2 * 0.5, 6) AS rotate FROM trades JOIN q USING (exit_day) WHERE trade_id % 2 = 0")
+ROTATE = "+ t AS (SELECT *, round(pnl / 1e4, 6) AS edge FROM trades), q AS (SELECT exit_day, max(edge) AS best FROM t WHERE exit_reason = 'F' GROUP BY 1), c AS (SELECT t.*, best, pnl > 0 AND edge < round(best - 2 * 0.5, 6) AS wants FROM t JOIN q USING (exit_day) WHERE exit_reason <> 'F'), k AS (SELECT *, row_number() OVER (PARTITION BY exit_day, wants ORDER BY edge, trade_id) AS place FROM c) SELECT trade_id, wants AND place <= 2 AS rotate FROM k"
+
+
+@query("t22_rotation", "trades", ROTATE)
 def _(spark, sf):
-    t = fx.trades(spark, sf)
-    queue = t.where("trade_id % 2 = 1").groupBy("exit_day").agg(F.max(F.col("pnl") / 1e4).alias("best"))
-    rows = t.where("trade_id % 2 = 0").join(queue, "exit_day")
-    return rows.select("trade_id", lg.should_rotate(F.col("pnl"), F.round(F.col("pnl") / 1e5, 6), F.round(F.col("best"), 6), 0.5).alias("rotate"))
+    """Which open trades make room for the best finished one of their day: the weakest two that gain less by two costs."""
+    t = fx.trades(spark, sf).withColumn("edge", F.round(F.col("pnl") / 1e4, 6))
+    queue = t.where("exit_reason = 'F'").groupBy("exit_day").agg(F.max("edge").alias("best"))
+    rows = t.where("exit_reason <> 'F'").join(queue, "exit_day").withColumn("wants", lg.should_rotate(F.col("pnl"), F.col("edge"), F.col("best"), 0.5))
+    place = F.row_number().over(W.partitionBy("exit_day", "wants").orderBy("edge", "trade_id"))
+    return rows.select("trade_id", (F.col("wants") & (place <= 2)).alias("rotate"))
 
 
 @query("t23_beta_refresh", V, f"{ROWS}, {TLS}, g AS (SELECT leg_a, leg_b, beta, n >= 30 AND vy > 0 AND 1 - (vy - 2 * beta * c + beta * beta * vx) / vy >= 0.3 AND abs(beta) <= 5 AS good FROM f) SELECT leg_a, leg_b, round(CASE WHEN good THEN beta ELSE 1 END, 4) AS beta, coalesce(good, false) AS refreshed FROM pairs LEFT JOIN g USING (leg_a, leg_b)")
@@ -111,9 +116,14 @@ def _(spark, sf):
     return b.select("symbol", lg.trade_class(F.col("current_shares"), F.col("target_shares"), F.lit(1), F.lit(0)).alias("class"))
 
 
-@query("p16_reallocation_band", "books", "SELECT symbol, CASE WHEN current_shares * target_shares > 0 AND abs(target_shares - current_shares) <= 0.5 * abs(current_shares) THEN current_shares ELSE target_shares END AS shares FROM books")
+@query("p16_reallocation_band", f"{BV} books", f"{LEGS}, su AS (SELECT day, symbol, count(*) FILTER (WHERE notional > 0) AS long, count(*) FILTER (WHERE notional < 0) AS short FROM lg GROUP BY 1, 2), ls AS (SELECT symbol, arg_max(long, day) AS long, arg_max(short, day) AS short FROM su GROUP BY 1), lc AS (SELECT symbol, arg_max(close, day) AS price FROM closes GROUP BY 1) SELECT symbol, CASE WHEN current_shares * target_shares > 0 AND abs(target_shares - current_shares) <= 800 AND abs(target_shares - current_shares) * price <= 1000000 AND CASE WHEN current_shares > 0 THEN long ELSE short END > 0 AND abs(current_shares) >= 0.5 THEN current_shares ELSE target_shares END AS shares FROM books LEFT JOIN ls USING (symbol) LEFT JOIN lc USING (symbol)")
 def _(spark, sf):
-    return fx.books(spark, sf).select("symbol", lg.reallocation_band(F.col("current_shares"), F.col("target_shares"), F.lit(True), 0.5).alias("shares"))
+    """Target shares, current ones kept where a change is small and baskets of the symbol's last day support its side."""
+    support = lg.symbol_support(legs(spark, sf), ["day"]).groupBy("symbol").agg(F.max_by("long", "day").alias("long"), F.max_by("short", "day").alias("short"))
+    last = fx.closes(spark, sf).groupBy("symbol").agg(F.max_by("close", "day").alias("price"))
+    rows = fx.books(spark, sf).join(support, "symbol", "left").join(last, "symbol", "left")
+    side = F.when(F.col("current_shares") > 0, F.col("long")).otherwise(F.col("short"))
+    return rows.select("symbol", lg.reallocation_band(F.col("current_shares"), F.col("target_shares"), F.col("price"), side, 800, 1_000_000).alias("shares"))
 
 
 FILLS = "+ o AS (SELECT o_orderkey AS order_id, 'Brand#' || (11 + (o_orderkey % 5) * 10 + o_orderkey % 3) AS symbol, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side FROM orders)"

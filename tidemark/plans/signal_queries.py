@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
-from ..operators import scan, signals as sg, stats
+from ..operators import scan, signals as sg, single as sn, stats
 from . import fixtures as fx
 from .feature_queries import ADX, RANK, T, TR, WS, ret, seeded, win
 from .registry import query
@@ -96,17 +96,6 @@ def _(spark, sf):
     return li.select("l_orderkey", "l_linenumber", sg.exit_reason(F.col("price"), F.col("entry"), F.col("held"), F.when(kind == 1, F.col("price") * 0.012).otherwise(0.0), F.when(kind == 0, 0.018).otherwise(0.0), 2.5, 0.03, 0.06, 40).alias("reason"))
 
 
-SIZED = "WITH x AS (SELECT o_orderkey AS id, o_totalprice / 200 AS price, (o_orderkey % 20) / 100.0 AS dd, (o_orderkey % 5) / 4.0 AS kelly, o_orderstatus = 'P' AS killed, (o_orderkey % 7) / 1000.0 AS edge FROM orders), y AS (SELECT *, CASE WHEN dd < 0.05 THEN 1.0 WHEN dd < 0.1 THEN 0.5 WHEN dd < 0.15 THEN 0.25 ELSE 0.0 END AS sc FROM x), z AS (SELECT *, CAST(least(100, floor(10000.0 * sc * kelly / price)) AS INT) AS n FROM y)"
-
-
-@query("g07_risk_sizing", "", SIZED + " SELECT id, CASE WHEN NOT killed AND edge > 0.001 AND price <= 1000 AND sc > 0 AND n >= 1 THEN n ELSE 0 END AS shares, CASE WHEN killed THEN 'killed' WHEN edge <= 0.001 THEN 'cost' WHEN price > 1000 THEN 'price' WHEN sc = 0 THEN 'drawdown' WHEN n < 1 THEN 'size' END AS reason FROM z")
-def _(spark, sf):
-    k = F.col("o_orderkey")
-    o = fx.table(spark, sf, "orders").select(k.alias("id"), (F.col("o_totalprice") / 200).cast("double").alias("price"), ((k % 20) / 100.0).alias("dd"), ((k % 5) / 4.0).alias("kelly"), (F.col("o_orderstatus") == "P").alias("killed"), ((k % 7) / 1000.0).alias("edge"))
-    shares, reason = sg.sized(F.col("price"), F.lit(10000.0), F.col("dd"), F.col("kelly"), F.col("killed"), F.col("edge"))
-    return o.select("id", shares.alias("shares"), reason.alias("reason"))
-
-
 DAYW = "(PARTITION BY pair_id, exit_day ORDER BY trade_id ROWS UNBOUNDED PRECEDING)"
 
 
@@ -166,6 +155,31 @@ def _(spark, sf):
     return o.select("id", sg.decayed_exit(F.col("z"), F.col("held"), F.lit(20)).alias("reason"))
 
 
+BEFORE = "(PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+KELLY = "(({p}) * ({b}) - (1 - {p})) / ({b})".format(p="((12 + w) / (20 + w + l))", b="(CASE WHEN w > 0 THEN won / w ELSE 1 END / greatest(CASE WHEN l > 0 THEN lost / l ELSE 1 END, 1e-10))")
+SIZED = f"""+ x AS (SELECT *, round(sum(pnl) OVER {DAYW}, 2) AS d, coalesce(count(*) FILTER (pnl > 0) OVER {BEFORE}, 0) AS w, coalesce(count(*) FILTER (pnl <= 0) OVER {BEFORE}, 0) AS l, coalesce(sum(pnl) FILTER (pnl > 0) OVER {BEFORE}, 0) AS won, coalesce(-sum(pnl) FILTER (pnl <= 0) OVER {BEFORE}, 0) AS lost FROM trades),
+y AS (SELECT *, min(d) OVER {DAYW} < -200000 AS killed, CASE WHEN pnl > 0 THEN 'buy' ELSE 'sell' END AS side, round(abs(pnl) / capital_per_leg / 20, 6) AS score, round(capital_per_leg / 200, 2) AS price, CASE WHEN hold_days > 2 THEN hold_days ELSE 0 END::DOUBLE AS holding, CASE exit_reason WHEN 'F' THEN 'low_vol' WHEN 'P' THEN 'crisis' ELSE 'high_vol' END AS regime,
+CASE WHEN {KELLY} > 0 THEN least(1, ({KELLY}) * greatest(0.2, 1 - 4 * sqrt((12 + w) * (8 + l) / ((20 + w + l) * (20 + w + l) * (21.0 + w + l))))) ELSE 0 END AS kelly FROM x),
+z AS (SELECT *, 10000 / price * least(0.8, greatest(0.05, kelly * CASE regime WHEN 'low_vol' THEN 0.6 WHEN 'crisis' THEN 0.1 ELSE 0.25 END * pow(1 - CASE WHEN d < 0 THEN least(1.0, -d / 200000) ELSE 0 END, 2))) AS size FROM y),
+v AS (SELECT *, CASE WHEN price > 1000 THEN size ELSE floor(least(size, 100)) END AS shares FROM z),
+u AS (SELECT *, CASE WHEN killed THEN 'kill_switch' WHEN score < 0.006 THEN 'cost_filter' WHEN side = 'sell' AND holding <= 0 THEN 'no_position' WHEN side = 'buy' AND kelly <= 0 THEN 'no_edge' WHEN side = 'buy' AND shares <= 0 THEN 'position_size' END AS reason FROM v)
+SELECT trade_id, side, round(kelly, 6) AS kelly, round(CASE WHEN reason IS NULL THEN CASE WHEN side = 'sell' THEN holding ELSE shares END END, 5) AS quantity, reason FROM u"""
+
+
+@query("g07_risk_sizing", "trades", SIZED)
+def _(spark, sf):
+    """Sizes of trades as if they were signals: by their day's loss so far, Kelly's share of the pair's trades before, and regime."""
+    w = W.partitionBy("pair_id").orderBy("exit_day", "trade_id").rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy("pair_id", "exit_day").orderBy("trade_id").rowsBetween(W.unboundedPreceding, 0)
+    up, pnl = F.col("pnl") > 0, F.col("pnl")
+    past = lambda x: F.coalesce(F.sum(x).over(w), F.lit(0.0))
+    t = fx.trades(spark, sf).withColumns({"d": F.round(F.sum("pnl").over(own), 2), "wins": past(up.cast("double")), "losses": past((~up).cast("double")), "won": past(F.when(up, pnl).otherwise(0.0)), "lost": past(F.when(up, 0.0).otherwise(-pnl))})
+    regime = F.when(F.col("exit_reason") == "F", "low_vol").when(F.col("exit_reason") == "P", "crisis").otherwise("high_vol")
+    t = t.withColumns({"killed": F.min("d").over(own) < -200_000, "side": F.when(up, "buy").otherwise("sell"), "score": F.round(F.abs("pnl") / F.col("capital_per_leg") / 20, 6), "price": F.round(F.col("capital_per_leg") / 200, 2), "holding": F.when(F.col("hold_days") > 2, F.col("hold_days")).otherwise(0).cast("double"), "regime": regime, "kelly": sn.kelly_columns(F.col("wins"), F.col("losses"), F.col("won"), F.col("lost"))})
+    shares, reason = sn.sized_columns(*(F.col(c) for c in ("side", "score", "price", "holding", "d", "killed", "kelly", "regime")), limits={"kelly": True, "daily_loss": 200_000.0})
+    return t.select("trade_id", "side", r("kelly"), F.round(shares, 5).alias("quantity"), reason.alias("reason"))
+
+
 @query("g18_loss_pause", "trades", "SELECT trade_id, (count(*) OVER l = 5 AND max(pnl) OVER l < 0) OR (count(*) OVER s = 3 AND bool_and(exit_reason = 'F') OVER s) AS pause FROM trades WINDOW l AS (PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), s AS (PARTITION BY pair_id ORDER BY exit_day, trade_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
 def _(spark, sf):
     return sg.loss_pause(fx.trades(spark, sf), ["pair_id"], ["exit_day", "trade_id"]).select("trade_id", "pause")
