@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.operators import book, detectors, features, pairs, scan, signals, stats, tables
+from tidemark.operators import book, detectors, features, pairs, runs, scan, signals, single, stats, tables
+from tidemark.sources import equity_reports
 from tidemark.streaming import streams
 
 
@@ -366,3 +367,101 @@ def test_a_symbol_that_is_never_heard_again_raises_an_alarm(spark, tmp_path):
     rows = in_batches(spark, tmp_path, frames).withWatermark("ts", "0 seconds")
     got = {(r["key"], r["since"]) for r in streams.drain(streams.silence_alarms(rows, "k", 10), "alarms").collect()}
     assert got == {("b", at(1)), ("a", at(15)), ("a", at(44)), ("c", at(45))}
+
+
+def test_peak_gross_is_the_walk_order_by_order(spark):
+    rnd = random.Random(3)
+    price = {f"s{i}": rnd.uniform(1, 50) for i in range(5)}
+    start = {("p", s): float(rnd.randint(-20, 20)) for s in price}
+    orders = [("p" if rnd.random() < 0.8 else "q", i, rnd.choice([*price, "unpriced"]), float(rnd.randint(-9, 9))) for i in range(300)]
+    df = spark.createDataFrame([(*o, price.get(o[2])) for o in orders], "path string, i long, symbol string, q double, price double").repartition(4)
+    held = spark.createDataFrame([(k, s, v, price[s]) for (k, s), v in start.items()], "path string, symbol string, shares double, price double")
+    with partitions(spark, 6):
+        got = {r["path"]: (r["start"], r["peak"], r["last"]) for r in book.peak_gross(df, "path", ["i"], held).collect()}
+    for path in ("p", "q"):
+        now = {s: v for (k, s), v in start.items() if k == path}
+        gross = lambda: sum(abs(v) * price.get(s, 0.0) for s, v in now.items())  # noqa: E731,B023
+        walk = [gross()]
+        for k, _, s, q in orders:
+            if k == path:
+                now[s] = now.get(s, 0.0) + q
+                walk.append(gross())
+        assert np.allclose(got[path], (walk[0], max(walk), walk[-1]))
+
+
+def test_entry_caps_by_hand():
+    caps, state = signals.EntryCaps(2, 3), {}
+    rows = [(1, 5), (1, 2), (1, 9), (2, 4), (2, 9), (3, 9), (4, 9), (5, 9)]
+    assert [caps.step(state, a, b) for a, b in rows] == [(0, 0, True), (1, 1, True), (2, 2, False), (0, 1, True), (1, 2, True), (0, 3, False), (0, 2, True), (0, 2, True)]
+
+
+def test_nearest_rank_whatever_the_partitions(spark):
+    rnd = random.Random(9)
+    values = [round(rnd.random(), 2) for _ in range(501)]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v double").repartition(5)
+    with partitions(spark, 8):
+        row = book.nearest_rank(df, "v", "id", (0.5, 0.95)).first()
+    s = sorted(values)
+    assert tuple(row) == (s[250], s[475], s[500])
+
+
+def test_run_that_is_excluded_needs_a_new_signal():
+    run, state = runs.BasketRun(), {}
+    assert run.step(state, ["a", "b", "c"], [-2.0, 3.0, 0.0], 1.0, 1) == (["a", "b"], [1, -1], [2, 1])
+    assert run.step(state, ["a", "b", "c"], [-0.5, 0.5, 0.0], 1.0, 1) == (["b"], [-1], [1])  # a is flat again
+    assert run.step(state, ["a", "c"], [-1.5, 0.0], 1.0, 2) == (["a", "b"], [1, -1], [1, 2])  # b has no score and keeps its side
+    assert run.step(state, ["b"], [-4.0], 1.0, 2) == (["a", "b"], [1, 1], [2, 1])
+
+
+def test_equity_report_survives_the_round_trip(spark):
+    import datetime as dt
+
+    curve = spark.createDataFrame([("r", dt.date(2024, 1, i + 1), float(i), 100.0 + i) for i in range(9)] + [("x y", dt.date(2024, 1, 1), -1.5, 98.5)], "run_id string, day date, pnl double, equity double")
+    rows, numbers = equity_reports.read_equity_report(spark, equity_reports.write_equity_report(curve, runs.run_stats(curve, 100.0)))
+    assert sorted(map(tuple, rows.collect())) == sorted((r["run_id"], r["day"], r["equity"], r["pnl"]) for r in curve.collect())
+    found = {(r["run_id"], r["key"]): r["value"] for r in numbers.collect()}
+    assert found["r", "days"] == 9 and abs(found["r", "total"] - 0.36) < 1e-9 and found["x y", "sharpe"] is None
+
+
+def test_pair_statistics_of_a_known_pair():
+    rng = np.random.default_rng(4)
+    x = np.cumsum(rng.normal(0, 0.02, 150)) + 3
+    s = np.zeros(150)
+    for i in range(1, 150):
+        s[i] = 0.8 * s[i - 1] + rng.normal(0, 0.01)
+    beta, alpha, r2, stat, p, lags, life, crossings, cv, shift, mean, std, z = stats.pair_statistics(x, 0.5 + 1.3 * x + s)
+    assert abs(beta - 1.3) < 0.05 and r2 > 0.95 and p < 0.05 and 1.5 < life < 6 and crossings > 12 and cv < 0.5 and abs(mean - 0.5) < 0.2
+    assert stats.pair_statistics(x[:2], x[:2]) == (None,) * 13 and stats.pair_statistics(np.ones(50), x[:50]) == (None,) * 13
+    assert stats.adf_statistic(s[:19])[0] != stats.adf_statistic(s[:19])[0]  # too short
+
+
+def test_pair_gates(spark):
+    import datetime as dt
+
+    rng = np.random.default_rng(4)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(150)]
+    a, s = np.exp(np.cumsum(rng.normal(0, 0.02, 150)) + 3), [0.0]
+    for e in rng.normal(0, 0.01, 149):
+        s.append(0.8 * s[-1] + e)
+    rows = [("a", d, float(v)) for d, v in zip(days, a)] + [("b", d, float(v * math.exp(e))) for d, v, e in zip(days, a, s)] + [("c", d, 5.0) for d in days[:50]] + [("d", d, 0.0 if i == 140 else float(i + 1)) for i, d in enumerate(days)]
+    closes = spark.createDataFrame(rows, "symbol string, day date, close double")
+    pairs_ = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("a", "none"), ("b", "d")], "leg_a string, leg_b string")
+    funds = spark.createDataFrame([("d", "b")], "fund string, component string")
+    got = {(r["leg_a"], r["leg_b"]): (r["passed"], list(r["reasons"])) for r in stats.validate_pairs(closes, pairs_, components=funds).collect()}
+    assert got["a", "c"] == got["a", "none"] == (False, ["short_history"]) and got["a", "d"] == (False, ["bad_price"]) and got["b", "d"] == (False, ["fund_component"])
+    assert "not_cointegrated" not in got["a", "b"][1]
+    forced = {(r["leg_a"], r["leg_b"]): (r["passed"], list(r["reasons"])) for r in stats.validate_pairs(closes, pairs_, {"force": stats.PROFILES["force"]}, funds).collect()}
+    assert forced["b", "d"] == (False, ["bad_price"]) and forced["a", "b"][0]
+
+
+def test_machine_exits_votes_and_sizes_by_hand():
+    c = single.LIMITS
+    assert single.exit_rule(90, 100, 3, 2.0, 0.0, c) == "stop_loss" and single.exit_rule(96, 100, 3, 2.0, 0.0, c) is None and single.exit_rule(96, 100, 100, 2.0, 0.0, c) == "max_hold_time"
+    assert single.exit_rule(99, 100, 3, 50.0, 0.001, c) == "stop_loss"  # the volatility of returns goes before the range
+    assert single.exit_rule(90, 100, 1, 0.0, 0.0, c | {"stop_share": 0.05}) == "stop_loss" and single.exit_rule(120, 100, 1, 0.0, 0.0, c | {"take": 0.1}) == "take_profit"
+    buy, sell = single.Signal("buy", 1.0, "x"), single.Signal("sell", 1.0, "x")
+    assert single.sized(buy, 50, 0, 0, True, 1, "normal", c) == (None, "kill_switch") and single.sized(single.Signal("buy", 0.005, "x"), 50, 0, 0, False, 1, "normal", c) == (None, "cost_filter")
+    assert single.sized(buy, 500, 0, 0, False, 1, "normal", c) == (20.0, None) and single.sized(buy, 500, 0, -250, False, 1, "normal", c) == (5.0, None) and single.sized(buy, 4000, 0, 0, False, 1, "normal", c) == (2.5, None)
+    assert single.sized(buy, 1, 0, 0, False, 1, "normal", c) == (100.0, None) and single.sized(buy, 500, 0, 0, False, 0.0, "crisis", c | {"kelly": True}) == (None, "no_edge") and single.sized(buy, 500, 0, 0, False, 1.0, "crisis", c | {"kelly": True}) == (2.0, None)
+    assert single.sized(sell, 50, 0, 0, False, 1, "normal", c) == (None, "no_position") and single.sized(sell, 50, 7, 0, False, 1, "normal", c) == (7, None)
+    assert 0 < single.kelly_share(0, 0, 0, 0, c) < 0.2 and single.kelly_share(0, 30, 0, 30, c) == 0.0

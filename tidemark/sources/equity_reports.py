@@ -14,7 +14,7 @@ def write_equity_report(curve: DataFrame, stats: DataFrame, name: str = "equity-
     """The path of reports of curves (run_id, day, pnl, equity) and their statistics (run_id, numbers): ``# key=value`` lines,
     column names, then day, equity and pnl between tabs. A run's lines are one file in order."""
     numbers = [f.name for f in stats.schema.fields if f.name != "run_id"]
-    head = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.concat(F.lit(f"# {c}="), F.coalesce(F.format_string("%.6f", F.col(c).cast("double")), F.lit(""))).alias("value")) for i, c in enumerate(numbers)))).alias("l")
+    head = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.concat(F.lit(f"# {c}="), F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.6f", F.col(c).cast("double")))).alias("value")) for i, c in enumerate(numbers)))).alias("l")
     lines = stats.select("run_id", F.lit("").alias("day"), head).select("run_id", "day", "l.at", "l.value")
     names = stats.select("run_id", F.lit("").alias("day"), F.lit(len(numbers)).alias("at"), F.lit("date\tequity\tdaily_pnl").alias("value"))
     rows = curve.select("run_id", F.col("day").cast("string").alias("day"), F.lit(0).alias("at"), F.format_string("%s\t%.4f\t%.4f", F.col("day").cast("string"), F.col("equity"), F.col("pnl")).alias("value"))
@@ -29,4 +29,4 @@ def read_equity_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     parts = F.split("value", "\t")
     rows = lines.where(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}\t[^\t]+\t[^\t]+$")).select("run_id", parts[0].cast("date").alias("day"), parts[1].cast("double").alias("equity"), parts[2].cast("double").alias("pnl"))
     key, value = (F.regexp_extract("value", r"^# (\w+)=(.*)$", i) for i in (1, 2))
-    return rows, lines.where(F.col("value").rlike(r"^# \w+=")).select("run_id", key.alias("key"), F.when(value != "", value.cast("double")).alias("value"))
+    return rows, lines.where(F.col("value").rlike(r"^# \w+=")).select("run_id", key.alias("key"), value.try_cast("double").alias("value"))

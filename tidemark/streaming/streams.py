@@ -182,15 +182,6 @@ class LateCounter:
         return newest is not None and ts < newest, newest is not None and ts == newest
 
 
-class Ema:
-    def __init__(self, alpha: float) -> None:
-        self.alpha = alpha
-
-    def step(self, state: dict, x: float) -> tuple[float]:
-        state["y"] = x if "y" not in state else (1 - self.alpha) * state["y"] + self.alpha * x
-        return (state["y"],)
-
-
 class SilenceAlarms(StatefulProcessor):
     """An alarm while a key is silent: a timer in event time is set with every row and goes off when the watermark passes it.
 
