@@ -156,7 +156,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
 
     before = parts.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     order = W.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = pieces.withColumn("own", F.row_number().over(order) - 1).join(F.broadcast(before), ["length", "salt"])
+    ranked = pieces.withColumn("own", F.row_number().over(order) - 1).join(before, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("own") + F.col("before"))
     # the plan has a few rows a length and at most a few thousand in all
     placed = ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).drop(plan["length"])
