@@ -136,3 +136,29 @@ def test_only_anchors_of_two_documents_are_sent(spark):
     got = {r["doc"]: set(r["keys"]) for r in spans.shared_anchors(spark.createDataFrame(rows, "doc long, text string").repartition(3)).collect()}
     assert set(got) == {1, 2} and got[1] == got[2] and got[1]
     assert spans.shared_anchors(spark.createDataFrame([], "doc long, text string")).count() == 0
+
+
+def passages(df):
+    return sorted(tuple(r) for r in suffixes.repeated_passages(df).collect())
+
+
+def test_suffix_spans_and_sources_do_not_depend_on_the_layout(spark, monkeypatch):
+    """One file or many, groups in memory or dealt by content: the same spans with the same sources."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one = passages(docs.coalesce(1))
+    assert len(one) > 100
+    assert passages(docs.repartition(16)) == one
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    assert passages(docs.repartition(7)) == one
+
+
+def test_a_passage_that_very_many_documents_share(spark, monkeypatch):
+    """A licence head in most documents, with different words around: every later document names the first that has it."""
+    monkeypatch.setattr(suffixes, "HOT", 50)
+    rnd = random.Random(8)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    head = words(70)
+    rows = [(i, " ".join(words(30) + head + words(20))) for i in range(300)] + [(400, None), (None, " ".join(head)), (401, ""), (500, " ".join(words(100_000) + head)), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r[0]: r[1:] for r in passages(df)}
+    assert got == {i: (30, 70, 0) for i in range(1, 300)} | {500: (100_000, 70, 0)}

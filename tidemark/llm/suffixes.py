@@ -6,26 +6,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import bounded_batches
+from .common import bounded_batches, cut, small_side
 
 MIN_WORDS = 50
 ANCHOR = 5
 SPREAD = 40  # shingles among which a suffix's place is the smallest
 SYMBOL = 3  # bytes of a word
-ROWS = "key long, doc long, pos long, suffix binary, before binary"
+HOT = 2_000  # suffixes with the same first words that are compared in one task's memory; more go by their windows
+ROWS = "key long, doc long, pos long, suffix binary, before binary, twin long, twin_pos long"
 
 
-def sparse_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR, spread: int = SPREAD) -> DataFrame:
+def sparse_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR, spread: int = SPREAD, keys_only: bool = False) -> DataFrame:
     """The suffixes at minimiser positions, three bytes of hash a word: ``min_words`` words of each, and the words before it.
 
     Any passage of ``min_words`` words has a minimiser in its first ``spread`` shingles, so what two documents share
     begins at most spread - 1 words before a suffix of both, whose first min_words - spread + 1 words are equal.
     Inside a chunk of texts, of suffixes with the same words around only the smallest document's is sent; the others
-    are repeats for certain and say so in a row without ``suffix`` that names that document in ``key``.
+    are repeats for certain and say so in a row without ``suffix`` that names that document and place in ``twin`` and
+    ``twin_pos``, with the words around in number alone. ``keys_only`` gives just the keys of what is sent.
     """
     least, back = min_words - spread + 1, spread - 1
 
@@ -50,21 +53,25 @@ def sparse_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR
                 order = np.lexsort((doc, content))
                 head = np.ones(len(order), bool)
                 head[1:] = content[order][1:] != content[order][:-1]
-                smallest = np.zeros(len(order), np.int64)
-                smallest[order] = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-                later = doc > smallest
+                twin = np.zeros(len(order), np.int64)
+                twin[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+                later = doc > doc[twin]
+                if keys_only:
+                    yield pa.record_batch({"key": pa.array(key[~later].view(np.int64))})
+                    continue
+                pos = anchor - begin
                 symbol = h.view(np.uint8).reshape(-1, 8)[:, :SYMBOL]
                 own = ~later
                 right, left = words.gather(symbol, anchor[own], high[own]), words.gather(symbol, low[own], anchor[own])
                 yield pa.record_batch(
-                    {"key": pa.array(key[own].view(np.int64)), "doc": pa.array(doc[own]), "pos": pa.array((anchor - begin)[own]), "suffix": words.binary_array(right[0], right[1] * SYMBOL), "before": words.binary_array(left[0], left[1] * SYMBOL)}
+                    {"key": pa.array(key[own].view(np.int64)), "doc": pa.array(doc[own]), "pos": pa.array(pos[own]), "suffix": words.binary_array(right[0], right[1] * SYMBOL), "before": words.binary_array(left[0], left[1] * SYMBOL), "twin": pa.nulls(int(own.sum()), pa.int64()), "twin_pos": pa.nulls(int(own.sum()), pa.int64())}
                 )
                 if later.any():
                     n = int(later.sum())
-                    size = words.binary_array(np.zeros(int((high - low)[later].sum()) * SYMBOL, np.uint8), np.append(0, np.cumsum((high - low)[later])) * SYMBOL)
-                    yield pa.record_batch({"key": pa.array(smallest[later]), "doc": pa.array(doc[later]), "pos": pa.array((low - begin)[later]), "suffix": pa.nulls(n, pa.binary()), "before": size})
+                    # key and pos hold the words before and after the place
+                    yield pa.record_batch({"key": pa.array((anchor - low)[later]), "doc": pa.array(doc[later]), "pos": pa.array(pos[later]), "suffix": pa.nulls(n, pa.binary()), "before": words.binary_array(np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)), "twin": pa.array(doc[twin][later]), "twin_pos": pa.array(((high - anchor)[later] << 40) | pos[twin][later])})
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(run, "key long" if keys_only else ROWS)
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -80,46 +87,53 @@ def _common_end(x: bytes, y: bytes) -> int:
     return _common(x[::-1], y[::-1])
 
 
-def _extend(run: list[tuple[int, int, bytes, bytes]], min_words: int) -> list[tuple[int, int, int, int]]:
-    """(doc, low, high, source) for a run of neighbouring suffixes (doc, pos, suffix, before) that begin alike."""
+def _windows(s: bytes, b: bytes, min_words: int) -> Iterator[tuple[int, bytes]]:
+    """The passages of min_words words around a suffix, by the number of words before it."""
+    text, back = b + s, len(b) // SYMBOL
+    for o in range(back, max(0, min_words - len(s) // SYMBOL) - 1, -1):
+        yield o, text[(back - o) * SYMBOL : (back - o + min_words) * SYMBOL]
+
+
+def _extend(run: list[tuple[int, int, bytes, bytes]], min_words: int) -> list[tuple[int, int, int, int, int]]:
+    """(doc, pos, low, high, source) for a run of neighbouring suffixes (doc, pos, suffix, before) that begin alike."""
     out = []
     if len(run) == 2:
         (d1, p1, s1, b1), (d2, p2, s2, b2) = sorted(run)
         if d1 != d2:
             right, left = _common(s1, s2), _common_end(b1, b2)
             if left + right >= min_words:
-                out.append((d2, p2 - left, p2 + right, d1))
+                out.append((d2, p2, p2 - left, p2 + right, d1))
         return out
     if len({r[0] for r in run}) == 1:
         return out
     first: dict[bytes, int] = {}
-
-    def windows(s: bytes, b: bytes) -> Iterator[tuple[int, bytes]]:
-        """The passages of min_words words around a suffix, by the number of words before it."""
-        text, back = b + s, len(b) // SYMBOL
-        for o in range(back, max(0, min_words - len(s) // SYMBOL) - 1, -1):
-            yield o, text[(back - o) * SYMBOL : (back - o + min_words) * SYMBOL]
-
     for d, _, s, b in run:
-        for _, x in windows(s, b):
+        for _, x in _windows(s, b, min_words):
             if first.get(x, d) >= d:
                 first[x] = d
     for d, p, s, b in run:
-        own: list[tuple[int, int, int, int]] = []
-        for o, x in windows(s, b):
+        own: list[tuple[int, int, int, int, int]] = []
+        for o, x in _windows(s, b, min_words):
             if (f := first[x]) < d:
-                if own and own[-1][3] == f and own[-1][2] >= p - o:
-                    own[-1] = (d, own[-1][1], p - o + min_words, f)
+                if own and own[-1][4] == f and own[-1][3] >= p - o:
+                    own[-1] = (d, p, own[-1][2], p - o + min_words, f)
                 else:
-                    own.append((d, p - o, p - o + min_words, f))
+                    own.append((d, p, p - o, p - o + min_words, f))
         out += own
     return out
 
 
+FOUND = ("doc", "pos", "low", "high", "source")
+
+
+def _batch(found: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch(dict(zip(FOUND, (pa.array(x, pa.int64()) for x in zip(*found)))))
+
+
 def _neighbours(min_words: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, int, bytes, bytes]] = []
-        found: list[tuple[int, int, int, int]] = []
+        found: list[tuple[int, int, int, int, int]] = []
 
         def close() -> None:
             if len(group) > 1:
@@ -127,25 +141,45 @@ def _neighbours(min_words: int, least: int):
             group.clear()
 
         for batch in batches:
-            doc, pos, key = (batch.column(c).to_numpy() for c in ("doc", "pos", "key"))
-            suffix, before = batch.column("suffix"), batch.column("before")
-            for i, s in enumerate(suffix.to_pylist()):
-                if s is None:
-                    found.append((int(doc[i]), int(pos[i]), int(pos[i]) + len(before[i].as_py()) // SYMBOL, int(key[i])))
-                    continue
+            doc, pos = (batch.column(c).to_numpy() for c in ("doc", "pos"))
+            before = batch.column("before")
+            for i, s in enumerate(batch.column("suffix").to_pylist()):
                 if group and group[-1][2][: least * SYMBOL] != s[: least * SYMBOL]:
                     close()
                 group.append((int(doc[i]), int(pos[i]), s, before[i].as_py()))
             if found:
-                yield pa.record_batch(dict(zip(("doc", "low", "high", "source"), (pa.array(x, pa.int64()) for x in zip(*found)))))
+                yield _batch(found)
                 found.clear()
         close()
         if found:
-            yield pa.record_batch(dict(zip(("doc", "low", "high", "source"), (pa.array(x, pa.int64()) for x in zip(*found)))))
+            yield _batch(found)
 
     return run
 
 
+def _window_rows(min_words: int):
+    """A row for each passage around a suffix: a 128-bit digest of its words, the document, the suffix's place and the passage's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                rows = [(xxhash.xxh3_128_digest(x), d, p, p - o) for d, p, s, b in zip(*(part.column(c).to_pylist() for c in ("doc", "pos", "suffix", "before"))) for o, x in _windows(s, b, min_words)]
+                if rows:
+                    h, doc, pos, at = zip(*rows)
+                    yield pa.record_batch({"window": pa.array(h, pa.binary()), "doc": pa.array(doc, pa.int64()), "pos": pa.array(pos, pa.int64()), "low": pa.array(at, pa.int64())})
+
+    return run
+
+
+def _hot_passages(rows: DataFrame, min_words: int) -> DataFrame:
+    """What ``_neighbours`` finds among suffixes of which very many begin alike: passages meet under their digests, where a
+    grouping with map-side minima knows the smallest document; a join brings it back, which Spark splits where one is hot."""
+    every = rows.mapInArrow(_window_rows(min_words), "window binary, doc long, pos long, low long")
+    first = every.groupBy("window").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last").select("window", "source")
+    return every.join(first, "window").where("doc > source").select("doc", "pos", "low", (F.col("low") + min_words).alias("high"), "source")
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlapping parts of a passage become one maximal span, whose source is the smallest of theirs."""
     for batch in batches:
@@ -168,16 +202,30 @@ def repeated_passages(docs: DataFrame, text: str = "text", id: str = "doc_id", m
     a smaller id has too; ``source`` is the smallest such document of the run.
 
     Words are as in ``words``; a null text has none, a null id is left out, and rows that share an id must be one row
-    repeated. Suffixes are dealt by their first words, sorted in each task, and compared with their neighbours: those
-    that begin alike stand together, and matches are extended to the right and to the left of the position.
+    repeated. Other columns are not read. Suffixes are dealt by their first words, sorted in each task, and compared with their
+    neighbours: those that begin alike stand together, and matches are extended to the right and to the left of the place.
+    Where more than HOT begin alike, their passages are dealt by content instead. A suffix that a chunk has left out takes the
+    sources of its twin as well, so that spans and sources are the same however rows lie in files.
     """
-    bounded_batches(docs.sparkSession, 1000)
+    spark = docs.sparkSession
+    bounded_batches(spark, 1000)
     docs = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sparse_suffixes(docs, min_words)
-    dealt = rows.repartition(parts, F.when(F.col("suffix").isNull(), F.xxhash64("doc", "pos")).otherwise(F.col("key"))).sortWithinPartitions("suffix", "doc")
-    found = dealt.mapInArrow(_neighbours(min_words, min_words - SPREAD + 1), "doc long, low long, high long, source long")
-    return found.groupBy("doc").agg(F.collect_set(F.struct("low", "high", "source")).alias("parts")).mapInArrow(_merged, "doc long, start long, n_words long, source long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = cut(sparse_suffixes(docs, min_words, keys_only=True).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
+    some = hot.count()
+    kinds = sparse_suffixes(docs, min_words)
+    sent, twins = kinds.where("twin is null"), kinds.where("twin is not null")
+    usual = sent if not some else sent.join(small_side(hot, some), "key", "left_anti")
+    found = usual.repartition(parts, "key").sortWithinPartitions("suffix", "doc").mapInArrow(_neighbours(min_words, min_words - SPREAD + 1), ", ".join(f"{c} long" for c in FOUND))
+    if some:
+        found = found.unionByName(_hot_passages(sent.join(small_side(hot, some), "key", "left_semi").select("doc", "pos", "suffix", "before"), min_words))
+    twins = twins.select("doc", "pos", F.col("twin").alias("source"), F.col("twin_pos").bitwiseAND((1 << 40) - 1).alias("from"), (F.col("pos") - F.col("key")).alias("low"), (F.col("pos") + F.shiftright("twin_pos", 40)).alias("high"))
+    found, twins = cut(found), cut(twins)
+    known = found.select(F.col("doc").alias("source"), F.col("pos").alias("from"), F.col("low").alias("l"), F.col("high").alias("h"), F.col("source").alias("first"))
+    shift = F.col("pos") - F.col("from")
+    passed = twins.join(known, ["source", "from"]).select("doc", (F.col("l") + shift).alias("low"), (F.col("h") + shift).alias("high"), F.col("first").alias("source"))
+    every = found.select("doc", "low", "high", "source").unionByName(twins.select("doc", "low", "high", "source")).unionByName(passed)
+    return every.groupBy("doc").agg(F.collect_set(F.struct("low", "high", "source")).alias("parts")).mapInArrow(_merged, "doc long, start long, n_words long, source long")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
