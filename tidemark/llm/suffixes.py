@@ -17,7 +17,7 @@ MIN_WORDS = 50
 ANCHOR = 5
 SPREAD = 40  # shingles among which a suffix's place is the smallest
 SYMBOL = 3  # bytes of a word
-HOT = 2_000  # suffixes with the same first words that are compared in one task's memory; more go by their windows
+HOT = 10_000  # suffixes with the same first words that are compared in one task's memory; more go by their windows
 ROWS = "key long, doc long, pos long, suffix binary, before binary, twin long, twin_pos long"
 
 
@@ -123,17 +123,18 @@ def _extend(run: list[tuple[int, int, bytes, bytes]], min_words: int) -> list[tu
     return out
 
 
-FOUND = ("doc", "pos", "low", "high", "source")
+FOUND = ("doc", "pos", "low", "high", "source", "twin_pos")
 
 
 def _batch(found: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch(dict(zip(FOUND, (pa.array(x, pa.int64()) for x in zip(*found)))))
+    """Rows of FOUND; ``twin_pos`` is null but for suffixes that a chunk has left out, whose source is their twin."""
+    return pa.record_batch(dict(zip(FOUND, (pa.array(x, pa.int64()) for x in zip(*(r if len(r) == 6 else (*r, None) for r in found))))))
 
 
 def _neighbours(min_words: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, int, bytes, bytes]] = []
-        found: list[tuple[int, int, int, int, int]] = []
+        found: list[tuple] = []
 
         def close() -> None:
             if len(group) > 1:
@@ -141,9 +142,13 @@ def _neighbours(min_words: int, least: int):
             group.clear()
 
         for batch in batches:
-            doc, pos = (batch.column(c).to_numpy() for c in ("doc", "pos"))
-            before = batch.column("before")
+            doc, pos, key = (batch.column(c).to_numpy() for c in ("doc", "pos", "key"))
+            before, twin, place = (batch.column(c) for c in ("before", "twin", "twin_pos"))
             for i, s in enumerate(batch.column("suffix").to_pylist()):
+                if s is None:
+                    at = place[i].as_py()
+                    found.append((int(doc[i]), int(pos[i]), int(pos[i] - key[i]), int(pos[i]) + (at >> 40), twin[i].as_py(), at & ((1 << 40) - 1)))
+                    continue
                 if group and group[-1][2][: least * SYMBOL] != s[: least * SYMBOL]:
                     close()
                 group.append((int(doc[i]), int(pos[i]), s, before[i].as_py()))
@@ -177,7 +182,11 @@ def _hot_passages(rows: DataFrame, min_words: int) -> DataFrame:
     grouping with map-side minima knows the smallest document; a join brings it back, which Spark splits where one is hot."""
     every = rows.mapInArrow(_window_rows(min_words), "window binary, doc long, pos long, low long")
     first = every.groupBy("window").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last").select("window", "source")
-    return every.join(first, "window").where("doc > source").select("doc", "pos", "low", (F.col("low") + min_words).alias("high"), "source")
+    later = every.join(first, "window").where("doc > source").groupBy("doc", "pos", "source").agg(F.collect_set("low").alias("lows"))
+    # the passages around one suffix mostly follow each other: then they are one row
+    low, high = F.array_min("lows"), F.array_max("lows")
+    joined = F.when(high - low + 1 == F.size("lows"), F.array(F.struct(low.alias("low"), (high + min_words).alias("high")))).otherwise(F.transform("lows", lambda x: F.struct(x.alias("low"), (x + min_words).alias("high"))))
+    return later.select("doc", "pos", F.explode(joined).alias("x"), "source").select("doc", "pos", "x.low", "x.high", "source", F.lit(None).cast("long").alias("twin_pos"))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,14 +222,15 @@ def repeated_passages(docs: DataFrame, text: str = "text", id: str = "doc_id", m
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = cut(sparse_suffixes(docs, min_words, keys_only=True).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
     some = hot.count()
-    kinds = sparse_suffixes(docs, min_words)
-    sent, twins = kinds.where("twin is null"), kinds.where("twin is not null")
-    usual = sent if not some else sent.join(small_side(hot, some), "key", "left_anti")
-    found = usual.repartition(parts, "key").sortWithinPartitions("suffix", "doc").mapInArrow(_neighbours(min_words, min_words - SPREAD + 1), ", ".join(f"{c} long" for c in FOUND))
+    rows = sparse_suffixes(docs, min_words)
+    usual = rows if not some else rows.join(small_side(hot.withColumn("hot", F.lit(True)), some), "key", "left").where(F.col("hot").isNull() | F.col("twin").isNotNull()).drop("hot")
+    dealt = usual.repartition(parts, F.when(F.col("twin").isNotNull(), F.xxhash64("doc", "pos")).otherwise(F.col("key"))).sortWithinPartitions("suffix", "doc")
+    found = dealt.mapInArrow(_neighbours(min_words, min_words - SPREAD + 1), ", ".join(f"{c} long" for c in FOUND))
     if some:
-        found = found.unionByName(_hot_passages(sent.join(small_side(hot, some), "key", "left_semi").select("doc", "pos", "suffix", "before"), min_words))
-    twins = twins.select("doc", "pos", F.col("twin").alias("source"), F.col("twin_pos").bitwiseAND((1 << 40) - 1).alias("from"), (F.col("pos") - F.col("key")).alias("low"), (F.col("pos") + F.shiftright("twin_pos", 40)).alias("high"))
-    found, twins = cut(found), cut(twins)
+        found = found.unionByName(_hot_passages(rows.where("twin is null").join(small_side(hot, some), "key", "left_semi").select("doc", "pos", "suffix", "before"), min_words))
+    found = cut(found)
+    twins = found.where("twin_pos is not null").withColumnRenamed("twin_pos", "from")
+    found = found.where("twin_pos is null")
     known = found.select(F.col("doc").alias("source"), F.col("pos").alias("from"), F.col("low").alias("l"), F.col("high").alias("h"), F.col("source").alias("first"))
     shift = F.col("pos") - F.col("from")
     passed = twins.join(known, ["source", "from"]).select("doc", (F.col("l") + shift).alias("low"), (F.col("h") + shift).alias("high"), F.col("first").alias("source"))
