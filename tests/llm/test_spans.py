@@ -142,19 +142,17 @@ def passages(df):
     return sorted(tuple(r) for r in suffixes.repeated_passages(df).collect())
 
 
-def test_suffix_spans_and_sources_do_not_depend_on_the_layout(spark, monkeypatch):
-    """One file or many, groups in memory or dealt by content: the same spans with the same sources."""
+def test_suffix_spans_and_sources_do_not_depend_on_the_layout(spark):
+    """One file or many: the same spans with the same sources."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     one = passages(docs.coalesce(1))
     assert len(one) > 100
     assert passages(docs.repartition(16)) == one
-    monkeypatch.setattr(suffixes, "HOT", 3)
-    assert passages(docs.repartition(7)) == one
+    assert passages(docs.repartition(3)) == one
 
 
-def test_a_passage_that_very_many_documents_share(spark, monkeypatch):
+def test_a_passage_that_very_many_documents_share(spark):
     """A licence head in most documents, with different words around: every later document names the first that has it."""
-    monkeypatch.setattr(suffixes, "HOT", 50)
     rnd = random.Random(8)
     words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
     head = words(70)

@@ -6,29 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import bounded_batches, cut, small_side
+from .common import bounded_batches, cut
 
 MIN_WORDS = 50
 ANCHOR = 5
 SPREAD = 40  # shingles among which a suffix's place is the smallest
 SYMBOL = 3  # bytes of a word
-HOT = 10_000  # suffixes with the same first words that are compared in one task's memory; more go by their windows
 ROWS = "key long, doc long, pos long, suffix binary, before binary, twin long, twin_pos long"
 
 
-def sparse_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR, spread: int = SPREAD, keys_only: bool = False) -> DataFrame:
+def sparse_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR, spread: int = SPREAD) -> DataFrame:
     """The suffixes at minimiser positions, three bytes of hash a word: ``min_words`` words of each, and the words before it.
 
     Any passage of ``min_words`` words has a minimiser in its first ``spread`` shingles, so what two documents share
     begins at most spread - 1 words before a suffix of both, whose first min_words - spread + 1 words are equal.
     Inside a chunk of texts, of suffixes with the same words around only the smallest document's is sent; the others
     are repeats for certain and say so in a row without ``suffix`` that names that document and place in ``twin`` and
-    ``twin_pos``, with the words around in number alone. ``keys_only`` gives just the keys of what is sent.
+    ``twin_pos``, with the words around in number alone.
     """
     least, back = min_words - spread + 1, spread - 1
 
@@ -56,9 +54,6 @@ def sparse_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR
                 twin = np.zeros(len(order), np.int64)
                 twin[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
                 later = doc > doc[twin]
-                if keys_only:
-                    yield pa.record_batch({"key": pa.array(key[~later].view(np.int64))})
-                    continue
                 pos = anchor - begin
                 symbol = h.view(np.uint8).reshape(-1, 8)[:, :SYMBOL]
                 own = ~later
@@ -71,7 +66,7 @@ def sparse_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR
                     # key and pos hold the words before and after the place
                     yield pa.record_batch({"key": pa.array((anchor - low)[later]), "doc": pa.array(doc[later]), "pos": pa.array(pos[later]), "suffix": pa.nulls(n, pa.binary()), "before": words.binary_array(np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)), "twin": pa.array(doc[twin][later]), "twin_pos": pa.array(((high - anchor)[later] << 40) | pos[twin][later])})
 
-    return docs.mapInArrow(run, "key long" if keys_only else ROWS)
+    return docs.mapInArrow(run, ROWS)
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -162,33 +157,6 @@ def _neighbours(min_words: int, least: int):
     return run
 
 
-def _window_rows(min_words: int):
-    """A row for each passage around a suffix: a 128-bit digest of its words, the document, the suffix's place and the passage's."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                rows = [(xxhash.xxh3_128_digest(x), d, p, p - o) for d, p, s, b in zip(*(part.column(c).to_pylist() for c in ("doc", "pos", "suffix", "before"))) for o, x in _windows(s, b, min_words)]
-                if rows:
-                    h, doc, pos, at = zip(*rows)
-                    yield pa.record_batch({"window": pa.array(h, pa.binary()), "doc": pa.array(doc, pa.int64()), "pos": pa.array(pos, pa.int64()), "low": pa.array(at, pa.int64())})
-
-    return run
-
-
-def _hot_passages(rows: DataFrame, min_words: int) -> DataFrame:
-    """What ``_neighbours`` finds among suffixes of which very many begin alike: passages meet under their digests, where a
-    grouping with map-side minima knows the smallest document; a join brings it back, which Spark splits where one is hot."""
-    every = rows.mapInArrow(_window_rows(min_words), "window binary, doc long, pos long, low long")
-    first = every.groupBy("window").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last").select("window", "source")
-    later = every.join(first, "window").where("doc > source").groupBy("doc", "pos", "source").agg(F.collect_set("low").alias("lows"))
-    # the passages around one suffix mostly follow each other: then they are one row
-    low, high = F.array_min("lows"), F.array_max("lows")
-    joined = F.when(high - low + 1 == F.size("lows"), F.array(F.struct(low.alias("low"), (high + min_words).alias("high")))).otherwise(F.transform("lows", lambda x: F.struct(x.alias("low"), (x + min_words).alias("high"))))
-    return later.select("doc", "pos", F.explode(joined).alias("x"), "source").select("doc", "pos", "x.low", "x.high", "source", F.lit(None).cast("long").alias("twin_pos"))
-
-
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlapping parts of a passage become one maximal span, whose source is the smallest of theirs."""
     for batch in batches:
@@ -213,21 +181,16 @@ def repeated_passages(docs: DataFrame, text: str = "text", id: str = "doc_id", m
     Words are as in ``words``; a null text has none, a null id is left out, and rows that share an id must be one row
     repeated. Other columns are not read. Suffixes are dealt by their first words, sorted in each task, and compared with their
     neighbours: those that begin alike stand together, and matches are extended to the right and to the left of the place.
-    Where more than HOT begin alike, their passages are dealt by content instead. A suffix that a chunk has left out takes the
-    sources of its twin as well, so that spans and sources are the same however rows lie in files.
+    Those are one task's work and stand in its memory. A suffix that a chunk has left out takes the sources of its twin as
+    well, so that spans and sources are the same however rows lie in files.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 1000)
     docs = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = cut(sparse_suffixes(docs, min_words, keys_only=True).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
-    some = hot.count()
     rows = sparse_suffixes(docs, min_words)
-    usual = rows if not some else rows.join(small_side(hot.withColumn("hot", F.lit(True)), some), "key", "left").where(F.col("hot").isNull() | F.col("twin").isNotNull()).drop("hot")
-    dealt = usual.repartition(parts, F.when(F.col("twin").isNotNull(), F.xxhash64("doc", "pos")).otherwise(F.col("key"))).sortWithinPartitions("suffix", "doc")
+    dealt = rows.repartition(parts, F.when(F.col("twin").isNotNull(), F.xxhash64("doc", "pos")).otherwise(F.col("key"))).sortWithinPartitions("suffix", "doc")
     found = dealt.mapInArrow(_neighbours(min_words, min_words - SPREAD + 1), ", ".join(f"{c} long" for c in FOUND))
-    if some:
-        found = found.unionByName(_hot_passages(rows.where("twin is null").join(small_side(hot, some), "key", "left_semi").select("doc", "pos", "suffix", "before"), min_words))
     found = cut(found)
     twins = found.where("twin_pos is not null").withColumnRenamed("twin_pos", "from")
     found = found.where("twin_pos is null")
