@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; in one of this machine where it is unset, as in tests."""
+    """A new path in the folder that spark.checkpoint.dir names; in one of this machine where it is unset, as in tests: on a
+    cluster, whose executors would not see that, it has to be set."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         top = spark.sparkContext.getCheckpointDir()
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
