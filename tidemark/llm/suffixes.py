@@ -194,10 +194,10 @@ def repeated_passages(docs: DataFrame, text: str = "text", id: str = "doc_id", m
     found = cut(found)
     twins = found.where("twin_pos is not null").withColumnRenamed("twin_pos", "from")
     found = found.where("twin_pos is null")
-    known = found.select(F.col("doc").alias("source"), F.col("pos").alias("from"), F.col("low").alias("l"), F.col("high").alias("h"), F.col("source").alias("first"))
-    shift = F.col("pos") - F.col("from")
-    passed = twins.join(known, ["source", "from"]).select("doc", (F.col("l") + shift).alias("low"), (F.col("h") + shift).alias("high"), F.col("first").alias("source"))
-    every = found.select("doc", "low", "high", "source").unionByName(twins.select("doc", "low", "high", "source")).unionByName(passed)
+    # all that a twin shares around the place lies inside the words around, so the least of its sources is the suffix's too
+    known = found.groupBy(F.col("doc").alias("source"), F.col("pos").alias("from")).agg(F.min("source").alias("first"))
+    twins = twins.join(known, ["source", "from"], "left").select("doc", "low", "high", F.coalesce("first", "source").alias("source"))
+    every = found.select("doc", "low", "high", "source").unionByName(twins)
     return every.groupBy("doc").agg(F.collect_set(F.struct("low", "high", "source")).alias("parts")).mapInArrow(_merged, "doc long, start long, n_words long, source long")
 
 
