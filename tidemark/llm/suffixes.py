@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import words
@@ -195,8 +196,10 @@ def repeated_passages(docs: DataFrame, text: str = "text", id: str = "doc_id", m
     twins = found.where("twin_pos is not null").withColumnRenamed("twin_pos", "from")
     found = found.where("twin_pos is null")
     # all that a twin shares around the place lies inside the words around, so the least of its sources is the suffix's too
-    known = found.groupBy(F.col("doc").alias("source"), F.col("pos").alias("from")).agg(F.min("source").alias("first"))
-    twins = twins.join(known, ["source", "from"], "left").select("doc", "low", "high", F.coalesce("first", "source").alias("source"))
+    none = F.lit(None).cast("long")
+    known = found.select(F.col("doc").alias("source"), F.col("pos").alias("from"), F.col("source").alias("first"), none.alias("doc"), none.alias("low"), none.alias("high"))
+    twins = twins.select("source", "from", none.alias("first"), "doc", "low", "high").unionByName(known)
+    twins = twins.withColumn("first", F.min("first").over(W.partitionBy("source", "from"))).where("doc is not null").select("doc", "low", "high", F.coalesce("first", "source").alias("source"))
     every = found.select("doc", "low", "high", "source").unionByName(twins)
     return every.groupBy("doc").agg(F.collect_set(F.struct("low", "high", "source")).alias("parts")).mapInArrow(_merged, "doc long, start long, n_words long, source long")
 
