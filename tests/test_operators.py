@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.operators import book, detectors, features, pairs, runs, scan, signals, single, stats, tables
+from tidemark.operators import book, detectors, features, ledger, pairs, runs, scan, signals, single, stats, tables
 from tidemark.sources import equity_reports
 from tidemark.streaming import streams
 
@@ -405,6 +405,17 @@ def test_nearest_rank_whatever_the_partitions(spark):
     assert tuple(row) == (s[250], s[475], s[500])
 
 
+def test_distribution_is_exact_beyond_ten_thousand_values(spark):
+    rnd = random.Random(4)
+    values = {"a": [round(rnd.uniform(0, 5000), 2) for _ in range(30_000)], "b": [2.0, 1.0], "none": [None]}
+    rows = [(k, v) for k, own in values.items() for v in own] + [("b", None)]
+    with partitions(spark, 7):
+        got = {r["k"]: tuple(r)[1:] for r in ledger.distribution(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v").collect()}
+    s = sorted(values["a"])
+    assert got["a"] == (30_000, s[0], s[-1], s[14_999], s[28_499], s[29_699])
+    assert got["b"] == (3, 1.0, 2.0, 1.0, 2.0, 2.0) and got["none"] == (1, None, None, None, None, None)
+
+
 def test_run_that_is_excluded_needs_a_new_signal():
     run, state = runs.BasketRun(), {}
     assert run.step(state, ["a", "b", "c"], [-2.0, 3.0, 0.0], 1.0, 1) == (["a", "b"], [1, -1], [2, 1])

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def paired_trades(events: DataFrame, by: str, order: list[str]) -> DataFrame:
     """(by, n, entry_at, exit_at, entry_price, exit_price): the n-th exit of a key with its n-th entry."""
@@ -94,7 +98,18 @@ def should_rotate(gained: Column, remaining: Column, best_queued: Column, cost:
     return (gained > 0) & (remaining < best_queued - 2 * cost)
 
 
-def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Count, range and approximate quantiles, as a metric's histogram."""
-    q = F.percentile_approx(value, [0.5, 0.95, 0.99], 10000)
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), q.alias("q")).select(*by, "n", "min", "max", *(F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("p50", "p95", "p99"))))
+def distribution(rows: DataFrame, by: list[str], value: str, shares: tuple[str, ...] = ("0.5", "0.95", "0.99")) -> DataFrame:
+    """Count, range and exact order statistics of a metric: the least value that so large a share of the values does not exceed.
+
+    Equal values are counted first; their running count is a prefix scan, so that no task holds more than its range of a key.
+    Shares are decimals in text, as n times a binary fraction could miss a whole rank by a bit.
+    """
+    totals = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("__n"))
+    key = F.to_json(F.array(*(F.col(c).cast("string") for c in by)))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c")).select(key.alias("__of"), value, "__c")
+    placed = scan.affine_scans(counted, "__of", [value], {"__at": scan.Affine(F.lit(1.0), F.col("__c"), F.lit(0.0))})
+    totals = totals.withColumn("__of", key)
+    rank = lambda p: F.ceil(F.col("__n") * F.lit(Decimal(p))).cast("long")
+    names = [f"p{Decimal(p) * 100:.0f}" for p in shares]
+    picked = placed.join(totals.select("__of", "__n"), "__of").groupBy("__of").agg(*(F.min(F.when(F.col("__at") >= rank(p), F.col(value))).alias(c) for p, c in zip(shares, names)))
+    return totals.join(picked, "__of", "left").select(*by, "n", "min", "max", *names)
