@@ -369,6 +369,19 @@ def test_a_symbol_that_is_never_heard_again_raises_an_alarm(spark, tmp_path):
     assert got == {("b", at(1)), ("a", at(15)), ("a", at(44)), ("c", at(45))}
 
 
+def test_late_rows_are_of_every_tick(spark, tmp_path):
+    """Rows that are of no use as prices are late or repeated like others, and move the newest time."""
+    from tidemark.plans import registry
+
+    rows = [(1, "a", 10, 5.0), (2, "a", 30, 0.0), (3, "a", 20, 5.0), (4, "a", 30, None), (5, "a", None, 1.0), (6, "a", 40, -1.0), (7, "b", 5, float("nan")), (8, "a", 39, 5.0)]
+    made = spark.createDataFrame([(i, k, t, 0, v) for i, k, t, v in rows], "event_id long, event_type string, ts long, user_id long, value double").withColumn("ts", F.timestamp_seconds("ts"))
+    made.coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    got = {r["event_id"]: (r["late"], r["repeated"]) for r in registry.queries()["st03_late_rows"](spark, str(tmp_path)).collect()}
+    no, late, again = (False, False), (True, False), (False, True)
+    assert got == {1: no, 2: no, 3: late, 4: again, 5: no, 6: no, 7: no, 8: late}
+
+
 def test_peak_gross_is_the_walk_order_by_order(spark):
     rnd = random.Random(3)
     price = {f"s{i}": rnd.uniform(1, 50) for i in range(5)}

@@ -16,12 +16,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from ..sources.shared import shared_path
 
 
-def read_ticks(spark: SparkSession, folder: str, names: str = "events.parquet", files: int = 8) -> DataFrame:
-    """A stream of ticks from the Parquet files of a folder that have such names; only usable values pass."""
+def read_ticks(spark: SparkSession, folder: str, names: str = "events.parquet", files: int = 8, usable: bool = True) -> DataFrame:
+    """A stream of ticks from the Parquet files of a folder that have such names; only usable values pass, or every row."""
     schema = spark.read.parquet(f"{folder}/{names}").schema
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", names).parquet(folder)
     rows = raw.select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
-    return rows.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") > 0))
+    return rows if not usable else rows.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") > 0))
 
 
 def stamped(ticks: DataFrame, seconds: int = 60, delay: str = "2 minutes") -> DataFrame:
@@ -174,10 +174,12 @@ def drain_batches(stream: DataFrame, name: str) -> DataFrame:
 
 
 class LateCounter:
-    """Whether a row is older than, or equal to, the newest of its key before it."""
+    """Whether a row is older than, or equal to, the newest of its key before it; a row without a time is neither."""
 
     def step(self, state: dict, ts) -> tuple[bool, bool]:
         newest = state.get("newest")
+        if pd.isna(ts):
+            return False, False
         state["newest"] = ts if newest is None or ts > newest else newest
         return newest is not None and ts < newest, newest is not None and ts == newest
 
