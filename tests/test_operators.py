@@ -5,6 +5,7 @@ import random
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -369,6 +370,39 @@ def test_a_symbol_that_is_never_heard_again_raises_an_alarm(spark, tmp_path):
     assert got == {("b", at(1)), ("a", at(15)), ("a", at(44)), ("c", at(45))}
 
 
+def test_silence_calls_the_store_by_key_and_batch_not_by_row():
+    class Counted:
+        def __init__(self):
+            self.calls, self.timers, self.held = 0, set(), None
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.calls += 1
+            self.timers.remove(at)
+
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+    alarms = streams.SilenceAlarms(10)
+    alarms.handle = alarms.newest = store = Counted()
+    told = lambda frames: [tuple(r) for f in frames for r in f.itertuples(index=False)]
+    frames = [pd.DataFrame({"millis": [t * 1000 for t in ts]}) for ts in (range(500, 1000), [*range(500), 1020, 1020])]
+    assert told(alarms.handleInputRows(("k",), iter(frames), None)) == [("k", 999_000, 1_009_000)]
+    assert store.calls == 1 and store.timers == {1_030_000} and store.held == (1_020_000, False)
+    assert told(alarms.handleInputRows(("k",), iter([pd.DataFrame({"millis": [1_031_000, 1_000]})]), None)) == [("k", 1_020_000, 1_030_000)]
+    assert store.calls == 3 and store.timers == {1_041_000}
+    store.held = (1_031_000, True)
+    store.timers.clear()
+    assert told(alarms.handleInputRows(("k",), iter([pd.DataFrame({"millis": [1_060_000]})]), None)) == [] and store.timers == {1_070_000}
+    assert told(alarms.handleInputRows(("k",), iter([pd.DataFrame({"millis": [1_000]})]), None)) == [] and store.timers == {1_070_000}
+
+
 def test_late_rows_are_of_every_tick(spark, tmp_path):
     """Rows that are of no use as prices are late or repeated like others, and move the newest time."""
     from tidemark.plans import registry

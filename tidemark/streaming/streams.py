@@ -199,28 +199,33 @@ class SilenceAlarms(StatefulProcessor):
         self.handle = handle
         self.newest = handle.getValueState("newest", "millis long, told boolean")
 
-    def _alarm(self, key, millis: int) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], millis, millis + self.limit)], columns=["key", "since", "told_at"])
+    def _alarms(self, key, since: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]] * len(since), "since": since, "told_at": since + self.limit})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """Silences inside a batch are gaps of its sorted times; only the newest one needs a timer, so the store is called a
+        few times a key and batch, whatever the rows."""
         newest, told = self.newest.get() if self.newest.exists() else (None, False)
-        for millis in sorted(int(m) for frame in rows for m in frame["millis"]):
-            if newest is not None and millis <= newest:
-                continue
-            if newest is not None and not told:
-                self.handle.deleteTimer(newest + self.limit)
-                if millis > newest + self.limit:
-                    yield self._alarm(key, newest)
-            newest, told = millis, False
-            self.handle.registerTimer(newest + self.limit)
+        millis = np.unique(np.concatenate([frame["millis"].to_numpy(dtype="int64") for frame in rows]))
         if newest is not None:
-            self.newest.update((newest, told))
+            millis = millis[millis > newest]
+        if not len(millis):
+            return
+        before = millis[:-1] if newest is None or told else np.concatenate([[newest], millis[:-1]])
+        after = millis[len(millis) - len(before) :]
+        if newest is not None and not told:
+            self.handle.deleteTimer(newest + self.limit)
+        self.handle.registerTimer(int(millis[-1]) + self.limit)
+        self.newest.update((int(millis[-1]), False))
+        silent = before[after > before + self.limit]
+        if len(silent):
+            yield self._alarms(key, silent)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         newest, told = self.newest.get()
         if not told and expiredTimerInfo.getExpiryTimeInMs() == newest + self.limit:
             self.newest.update((newest, True))
-            yield self._alarm(key, newest)
+            yield self._alarms(key, np.array([newest], dtype="int64"))
 
     def close(self) -> None:
         pass
