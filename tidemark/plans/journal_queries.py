@@ -122,11 +122,11 @@ LIVE = "+ c AS (SELECT symbol, ts + INTERVAL 60 SECOND AS closed, ts, value FROM
 def basket_stream(spark, sf, live_from=None):
     """Daily closes of a stream, each fanned out by a static join to the baskets that it is part of; positions by basket."""
     daily = st.windowed(st.stamped(st.read_ticks(spark, sf)), "1 day").select("symbol", F.to_date("start").alias("day"), F.round("close", 6).alias("close"))
-    symbols = fx.ticks(spark, sf).select("symbol").distinct()
+    symbols = written(fx.ticks(spark, sf).select("symbol").distinct(), "st10-symbols")
     legs = symbols.select(F.col("symbol").alias("target")).join(symbols, F.lit(True))  # a few symbols: every one against the others
     size = symbols.count()
     machine = st.SessionBasket(size, 0.0, 0.4, 0.5, live_from)
-    rows = daily.join(F.broadcast(legs), "symbol").select("target", "day", "symbol", "close")
+    rows = st.fanned(daily, legs, "symbol", "st10-legs").select("target", "day", "symbol", "close")
     rows = st.staged(rows, "st10-closes")  # one stateful step a query: the closes are a table that the next stream reads
     out = st.fold_stream(rows, "target", "string", ["day", "symbol"], lambda s, x: machine.step(s, x.day, x.symbol == x.target, x.close), "target string, day date, symbol string, close double, z double, position int, changed boolean")
     return st.drain(out, "st10").where("z is not null").select("target", day(), r("z"), "position", "changed")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 
 
 def read_ticks(spark: SparkSession, folder: str, names: str = "events.parquet", files: int = 8, usable: bool = True) -> DataFrame:
@@ -86,6 +86,12 @@ def staged(stream: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(out)
 
 
+def fanned(stream: DataFrame, table: DataFrame, on: str, name: str) -> DataFrame:
+    """A stream joined with a static table. The table is written once, not computed anew for every batch, and merged: a hash
+    table would go through the driver with each batch, in pages of tens of MB however few its rows are."""
+    return stream.join(written(table, name).hint("merge"), on)
+
+
 def bars(ticks: DataFrame, length: str = "1 hour") -> DataFrame:
     """Bars (symbol, ts, open, high, low, close, volume) of stamped ticks, each when the watermark has passed its end."""
     g = ticks.groupBy("symbol", F.window("closed_at", length).alias("w")).agg(
