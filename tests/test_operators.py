@@ -370,6 +370,31 @@ def test_a_symbol_that_is_never_heard_again_raises_an_alarm(spark, tmp_path):
     assert got == {("b", at(1)), ("a", at(15)), ("a", at(44)), ("c", at(45))}
 
 
+def test_static_tables_are_merged_into_streams_not_broadcast_with_each_batch(spark, tmp_path):
+    from tidemark.plans import journal_queries, registry
+
+    plans, drain = [], streams._drained
+
+    def kept(stream, name):
+        runs = set()
+        start = type(stream.writeStream).start
+        type(stream.writeStream).start = lambda self, *a, **b: runs.add(run := start(self, *a, **b)) or run
+        try:
+            return drain(stream, name)
+        finally:
+            type(stream.writeStream).start = start
+            plans.extend(run._jsq.explainInternal(False) for run in runs)
+
+    streams._drained = kept
+    try:
+        assert journal_queries.basket_stream(spark, "/root/testdata/sf0.001").count() > 0
+        assert registry.queries()["st09_pair_machine"](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        streams._drained = drain
+    assert len(plans) == 5 and any("SortMergeJoin" in p for p in plans)
+    assert not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_silence_calls_the_store_by_key_and_batch_not_by_row():
     class Counted:
         def __init__(self):

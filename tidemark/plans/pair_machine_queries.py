@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pairs as pr
 from ..operators import scan
+from ..sources.shared import written
 from ..streaming import streams as st
 from . import fixtures as fx
 from .registry import query
@@ -28,15 +29,15 @@ def legs(symbols):
     return both.select(F.col("leg_a").alias("symbol"), "pair_id", F.lit("a").alias("leg")).unionByName(both.select(F.col("leg_b").alias("symbol"), "pair_id", F.lit("b").alias("leg")))
 
 
-def configured(rows, fits):
-    """Pair bars (pair_id, millis, price_a, price_b) with the pair's fit."""
+def configured(rows):
+    """Pair bars (pair_id, millis, price_a, price_b) with the pair's fit (alpha, beta), and the pair's limits."""
     slow = F.when(F.col("pair_id").startswith("click"), BLOCKED).otherwise(0).cast("long")
-    return rows.join(fits, "pair_id").select("pair_id", "millis", "price_a", "price_b", "alpha", "beta", F.lit(9.0).alias("kappa"), F.when(F.col("pair_id").endswith("view"), 2).otherwise(0).cast("int").alias("max_hold"), slow.alias("blocked_until"))
+    return rows.select("pair_id", "millis", "price_a", "price_b", "alpha", "beta", F.lit(9.0).alias("kappa"), F.when(F.col("pair_id").endswith("view"), 2).otherwise(0).cast("int").alias("max_hold"), slow.alias("blocked_until"))
 
 
 def paired(bars, known):
     """Bars of both legs of each pair at the same hour: each symbol's bars fan out to its pairs, and the legs meet again."""
-    out = bars.select("symbol", "ts", "close").join(F.broadcast(known), "symbol")
+    out = bars.select("symbol", "ts", "close").join(known.hint("merge"), "symbol")
     a, b = (out.where(F.col("leg") == leg).select("pair_id", "ts", F.col("close").alias(f"price_{leg}")) for leg in "ab")
     return a.join(b, ["pair_id", "ts"]).select("pair_id", F.unix_millis("ts").alias("millis"), "price_a", "price_b")
 
@@ -94,7 +95,7 @@ def _(spark, sf):
     """Every pair's spread, z, position and orders bar by bar, over real legs."""
     bars = fx.bars(spark, sf).where("close > 0")
     rows = paired(bars, legs(bars.select("symbol").distinct()))
-    rows = configured(rows, fitted(rows)).select(*COLUMNS)
+    rows = configured(rows.join(fitted(rows), "pair_id")).select(*COLUMNS)
     return shown(scan.fold(rows, "pair_id", ["millis"], step(pr.PairLegs(**MONTH)), f"{INPUT}, {pr.PAIR_COLUMNS}"))
 
 
@@ -103,11 +104,11 @@ def _(spark, sf):
     """The same as a stream: bars fan out to pairs by a static join, both legs of an hour meet in a watermarked join, and each
     pair's machine is a state; the fits are a static table."""
     usable = fx.ticks(spark, sf).where(F.col("value") > 0).withColumn("closed_at", F.timestamp_add("SECOND", F.lit(60), "ts"))
-    known = legs(usable.select("symbol").distinct())
+    known = written(legs(usable.select("symbol").distinct()), "st09-legs")
     fits = fitted(paired(st.bars(usable), known))
     bars = st.staged(st.bars(st.stamped(ticks(spark, sf))), "st09-bars")
-    out = bars.withWatermark("ts", "1 hour").select("symbol", "ts", "close").join(F.broadcast(known), "symbol")
+    out = st.fanned(bars.withWatermark("ts", "1 hour").select("symbol", "ts", "close"), known, "symbol", "st09-known")
     a, b = (out.where(F.col("leg") == leg).select("pair_id", "ts", F.col("close").alias(f"price_{leg}")) for leg in "ab")
     both = a.join(b, ["pair_id", "ts"]).select("pair_id", F.unix_millis("ts").alias("millis"), "price_a", "price_b")
-    rows = configured(st.staged(both, "st09-pairs"), fits).select(*COLUMNS)
+    rows = configured(st.fanned(st.staged(both, "st09-pairs"), fits, "pair_id", "st09-fits")).select(*COLUMNS)
     return shown(st.drain(st.keyed_steps(rows, "pair_id", ["millis"], step(pr.PairLegs(**MONTH)), f"{INPUT}, {pr.PAIR_COLUMNS}"), "st09"))
