@@ -461,6 +461,33 @@ def test_peak_gross_is_the_walk_order_by_order(spark):
         assert np.allclose(got[path], (walk[0], max(walk), walk[-1]))
 
 
+def test_running_sums_of_long_and_short_stretches_equal_a_loop(spark):
+    rnd = random.Random(6)
+    rows = [(k, i, rnd.uniform(-1, 1)) for k, n in [(None, 900), ("long", 2_000), *((f"s{j}", 2) for j in range(600))] for i in range(n)]
+    maps = {"sum": scan.Affine(F.lit(1.0), F.col("v"), F.lit(3.0)), "found": scan.Affine(F.lit(1.0), F.col("v"), F.lit(3.0), before=True)}
+    with partitions(spark, 5):
+        got = {(r["k"], r["i"]): (r["sum"], r["found"]) for r in scan.affine_scans(spark.createDataFrame(rows, "k string, i long, v double").repartition(3), "k", "i", maps).collect()}
+    now = {}
+    for k, i, v in rows:
+        now[k], was = now.get(k, 3.0) + v, now.get(k, 3.0)
+        assert np.allclose(got[k, i], (now[k], was), atol=1e-9)
+    assert len(got) == len(rows)
+
+
+def test_walk_moves_its_own_columns_and_ties_do_not_depend_on_the_layout(spark, monkeypatch):
+    """Tied lines of one symbol, in and out: whichever lies first, both sums take them in the same order."""
+    moved, sort = [], scan._sorted
+    monkeypatch.setattr(scan, "_sorted", lambda rows, *a: moved.append(rows.columns) or sort(rows, *a))
+    rows = [("p", 1, f"s{i % 3}", q, 10.0, "x" * 50) for i in range(6) for q in (-3.0, 5.0, 2.0)]
+    found = set()
+    for seed in (1, 2, 3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "path string, i long, symbol string, q double, price double, note string").repartition(1 + seed)
+        found.add(tuple(book.peak_gross(df, "path", ["i"]).first()))
+    assert found == {("p", 0.0, 240.0, 240.0)} and not any("note" in c for c in moved)
+    assert all("price" not in c for c in moved[1::2])
+
+
 def test_entry_caps_by_hand():
     caps, state = signals.EntryCaps(2, 3), {}
     rows = [(1, 5), (1, 2), (1, 9), (2, 4), (2, 9), (3, 9), (4, 9), (5, 9)]

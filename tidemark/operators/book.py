@@ -174,14 +174,17 @@ def peak_gross(orders: DataFrame, path: str, order: list[str], start: DataFrame
 
     ``start`` has what a path holds before (path, symbol, shares, price). Each order changes one symbol's notional; the change
     is a running sum by path and symbol, the gross one by path, both as prefix scans: a path with very many orders is the
-    work of many tasks. Orders without a price count nothing, as their symbol does.
+    work of many tasks, which take the walk's own columns along and no others. Orders without a price count nothing, as their
+    symbol does. Orders that ``order`` leaves tied go by symbol and quantity, in both sums.
     """
     held = start.select(path, "symbol", F.col("shares").alias("__from"), (F.abs("shares") * F.coalesce("price", F.lit(0.0))).alias("__gross")) if start is not None else None
-    rows = orders.join(held.select(path, "symbol", "__from"), [path, "symbol"], "left") if held is not None else orders.withColumn("__from", F.lit(0.0))
+    rows = orders.select(*dict.fromkeys([path, "symbol", *order, "q", "price"]))
+    rows = rows.join(held.select(path, "symbol", "__from"), [path, "symbol"], "left") if held is not None else rows.withColumn("__from", F.lit(0.0))
     rows = rows.withColumn("__leg", F.to_json(F.array(F.col(path).cast("string"), F.col("symbol").cast("string"))))
-    rows = scan.affine_scans(rows, "__leg", order, {"__held": scan.Affine(F.lit(1.0), F.col("q").cast("double"), F.coalesce(F.col("__from").cast("double"), F.lit(0.0)))})
+    rows = scan.affine_scans(rows, "__leg", [*order, "q"], {"__held": scan.Affine(F.lit(1.0), F.col("q").cast("double"), F.coalesce(F.col("__from").cast("double"), F.lit(0.0)))})
     change = (F.abs("__held") - F.abs(F.col("__held") - F.col("q"))) * F.coalesce("price", F.lit(0.0))
-    rows = scan.affine_scans(rows.withColumn("__change", change), path, order, {"__run": scan.Affine(F.lit(1.0), F.col("__change"), F.lit(0.0))})
+    rows = rows.select(*dict.fromkeys([path, *order, "symbol", "q"]), change.alias("__change"))
+    rows = scan.affine_scans(rows, path, [*order, "symbol", "q"], {"__run": scan.Affine(F.lit(1.0), F.col("__change"), F.lit(0.0))})
     found = rows.groupBy(path).agg(F.max("__run").alias("__most"), F.sum("__change").alias("__sum"))
     if held is not None:
         found = found.join(held.groupBy(path).agg(F.sum("__gross").alias("start")), path, "full")

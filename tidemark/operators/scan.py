@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,10 +34,11 @@ class Affine:
 
 def _blocks(keys: pa.Array) -> list[tuple[int, int]]:
     """Stretches [low, high) of rows with one key."""
-    edges = [0]
-    values = keys.to_pylist()
-    edges += [i for i in range(1, len(values)) if values[i] != values[i - 1]]
-    return list(zip(edges, [*edges[1:], len(values)])) if values else []
+    if not len(keys):
+        return []
+    codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+    return list(zip(edges, edges[1:]))
 
 
 def _sorted(rows: DataFrame, key: str, order: list[str], more: list[str], run: Callable) -> DataFrame:
@@ -88,6 +90,25 @@ def with_previous(rows: DataFrame, key: str, order: str, columns: list[str]) ->
     return joined.select(*rows.columns, *filled, (edge & F.col("__begins")).alias("first"))
 
 
+#: Rows of a key in a batch, in the mean, from which an array operation for each key is faster than a loop over rows.
+LONG = 16
+
+
+def _composed(a: list, b: list, blocks: list, reset: list, x: float, y: float, before: bool) -> tuple[list, list]:
+    """The maps composed up to every row, from (x, y) on or anew from where ``reset`` says; and at the end the last one."""
+    out_x, out_y = [0.0] * len(a), [0.0] * len(a)
+    for (low, high), anew in zip(blocks, reset):
+        if anew:
+            x, y = 1.0, 0.0
+        for j in range(low, high):
+            if before:
+                out_x[j], out_y[j] = x, y
+            x, y = a[j] * x, a[j] * y + b[j]
+            if not before:
+                out_x[j], out_y[j] = x, y
+    return [*out_x, x], [*out_y, y]
+
+
 def affine_scans(rows: DataFrame, key: str, order: str | list[str], maps: dict[str, Affine]) -> DataFrame:
     """The rows with a column for each recurrence ``out: Affine``, by one prefix scan for all.
 
@@ -114,18 +135,18 @@ def affine_scans(rows: DataFrame, key: str, order: str | list[str], maps: dict[s
             state = totals or [(1.0, 0.0)] * len(names)
             totals = []
             for i in range(len(names)):
-                a, b = batch.column(f"__a{i}").to_pylist(), batch.column(f"__b{i}").to_pylist()
+                a, b = batch.column(f"__a{i}").to_numpy(), batch.column(f"__b{i}").to_numpy()
                 x, y = state[i]
-                out_x, out_y = [0.0] * len(a), [0.0] * len(a)
-                for (low, high), anew in zip(blocks, reset):
-                    if anew:
-                        x, y = 1.0, 0.0
-                    for j in range(low, high):
-                        if before[i]:
-                            out_x[j], out_y[j] = x, y
-                        x, y = a[j] * x, a[j] * y + b[j]
-                        if not before[i]:
-                            out_x[j], out_y[j] = x, y
+                out_x, out_y = np.zeros(len(a)), np.zeros(len(a))
+                if LONG * len(blocks) <= len(a) and (a == 1).all():  # running sums of long stretches
+                    for (low, high), anew in zip(blocks, reset):
+                        if anew:
+                            x, y = 1.0, 0.0
+                        sums = np.cumsum(np.concatenate(([y], b[low:high])))
+                        out_x[low:high], out_y[low:high], y = x, sums[:-1] if before[i] else sums[1:], float(sums[-1])
+                else:
+                    out_x, out_y = _composed(a.tolist(), b.tolist(), blocks, reset, x, y, before[i])
+                    x, y = out_x.pop(), out_y.pop()
                 totals.append((x, y))
                 values += [pa.array(out_x), pa.array(out_y)]
             last_key = keys[len(keys) - 1].as_py()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import book as bk
 from ..operators import ledger as lg
 from ..operators import reports as rp
+from ..sources.shared import written
 from . import fixtures as fx
 from .registry import query
 from .signal_queries import ZS, basket_positions
@@ -170,12 +171,14 @@ WALK = "{p} AS (SELECT f.*, price, coalesce(b.shares, 0) + sum(q) OVER (PARTITIO
 
 
 def order_path(spark, sf):
-    """Signed shares of returned and accepted lines, one by one, with each symbol's last price."""
+    """Signed shares of returned and accepted lines, one by one, with each symbol's last price. Both tables are written, as
+    they are read several times: for the ranges of a global order, for the paths that there are, and by the walk."""
     q = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity")).cast("double")
-    price = fx.closes(spark, sf).groupBy("symbol").agg(F.max_by("close", "day").alias("price"))
+    price = written(fx.closes(spark, sf).groupBy("symbol").agg(F.max_by("close", "day").alias("price")), "prices")
     owner = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id"))
     rows = fx.lines(spark, sf).where("l_returnflag <> 'N'").join(owner, "l_orderkey")
-    return rows.select(F.col("p_brand").alias("symbol"), F.year("l_shipdate").alias("year"), "id", F.to_date("l_shipdate").alias("day"), "l_orderkey", "l_linenumber", q.alias("q")).join(price, "symbol", "left"), price
+    rows = rows.select(F.col("p_brand").alias("symbol"), F.year("l_shipdate").alias("year"), "id", F.to_date("l_shipdate").alias("day"), "l_orderkey", "l_linenumber", q.alias("q"))
+    return written(rows.join(price, "symbol", "left"), "order-path"), price
 
 
 @query("p18_peak_gross", "closes books", f"+ {PATHS}, {WALK.format(p='w', k='year', start='SELECT symbol, current_shares AS shares FROM books')}, s AS (SELECT sum(abs(current_shares) * price) AS start FROM books JOIN lc USING (symbol)) SELECT year, round(any_value(start), 2) AS start, round(any_value(start) + greatest(0, max(run)), 2) AS peak, round(any_value(start) + sum(change), 2) AS last FROM wr, s GROUP BY year")
