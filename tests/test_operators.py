@@ -575,3 +575,27 @@ def test_machine_exits_votes_and_sizes_by_hand():
     assert single.sized(buy, 1, 0, 0, False, 1, "normal", c) == (100.0, None) and single.sized(buy, 500, 0, 0, False, 0.0, "crisis", c | {"kelly": True}) == (None, "no_edge") and single.sized(buy, 500, 0, 0, False, 1.0, "crisis", c | {"kelly": True}) == (2.0, None)
     assert single.sized(sell, 50, 0, 0, False, 1, "normal", c) == (None, "no_position") and single.sized(sell, 50, 7, 0, False, 1, "normal", c) == (7, None)
     assert 0 < single.kelly_share(0, 0, 0, 0, c) < 0.2 and single.kelly_share(0, 30, 0, 30, c) == 0.0
+
+
+def test_fold_after_a_join_that_reads_its_rows_where_they_lie(spark):
+    """A join turned into a broadcast at run time does not gather its rows by key: those of a key come to one task all the same."""
+    # 4k is less than what is estimated for the table of sizes and more than it has; so few rows would be read as one partition
+    n, conf = 20_000, {"spark.sql.autoBroadcastJoinThreshold": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+    def step(state, row):
+        state["n"] = state.get("n", 0) + 1
+        return (state["n"],)
+
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, n, 1, 8).select((F.col("id") * 7919 % n).alias("ts"), F.concat(F.lit("k"), F.col("id") % 3).alias("symbol"))
+        rows = rows.join(rows.groupBy("symbol").agg(F.count("*").alias("size")), "symbol").select("symbol", "ts", "size")
+        got = scan.fold(rows, "symbol", ["ts"], step, "symbol string, ts long, size long, n int").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == n
+    for k in range(3):
+        assert [r["n"] for r in sorted(got, key=lambda r: r["ts"]) if r["symbol"] == f"k{k}"] == list(range(1, len(range(k, n, 3)) + 1))

@@ -234,6 +234,9 @@ def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[dict, obje
     ``step`` takes the key's state and a row and returns what is put after the row's columns named in ``schema``, which
     begins with the columns of ``rows``. Rows of a key come in order to one task, in Arrow batches, so that a long history
     never stands in memory; state does not leave the task. ``dealt`` says that rows of a key are in one partition already.
+
+    The rows are dealt by a hash of the key, not by the key: below a dealing by the key itself that a join has made already
+    Spark leaves the second one out, and may then split a key's rows for the join, since nothing asks it not to.
     """
     names = rows.columns
     at = names.index(key)
@@ -249,7 +252,7 @@ def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[dict, obje
                 out.append(step(state, row))
             yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(out, columns=more)], axis=1)
 
-    return (rows if dealt else rows.repartition(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return (rows if dealt else rows.repartition(F.xxhash64(key))).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def latch(set_to: Column, by: list[str], order: list[str]) -> Column:
