@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import lines
 
 
@@ -140,3 +142,29 @@ def test_repetitive_long_lines(spark):
     docs = [(1, "The " * 3000), (2, "The " * 3001 + "x"), (3, "abcdefghijklm" * 900), (4, "abcdefghijklm" * 700 + "q")]
     got = {r["doc"]: list(r["removed"]) for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert set(got) <= set(brute(docs))
+
+
+def test_sketches_rule_out_no_similar_pair(spark):
+    docs = [t for _, d in corpus() for t in (d or "").split("\n") if t.strip(" ")][:120] + [t for _, t in edited(20, 90, 40, 5)] + ["abc", "abd", "x" * 400, "x" * 399 + "y"]
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, line string")
+    known = lines.sketches(df)
+    x, y = known.alias("x"), known.alias("y")
+    left = {tuple(r) for r in x.join(y, F.expr("x.id < y.id")).where(lines.may_be_similar("x", "y", 0.8)).select("x.id", "y.id").collect()}
+    sets = [shingles(t) for t in docs]
+    due = {(i, j) for j in range(len(docs)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert due <= left and len(due) > 20 and len(left) < 0.2 * len(docs) * (len(docs) - 1) / 2
+
+
+def test_buckets_of_lines_that_are_not_similar_list_few_pairs(spark, monkeypatch):
+    """Lines that share most bands and no link: their texts are not compared pair by pair."""
+    rnd, n, compared, similar = random.Random(2), 200, [], lines.similar
+    base = [rnd.choice("abcdefghij klmnop") for _ in range(160)]
+    docs = []
+    for d in range(n):
+        line = list(base)
+        for at in rnd.sample(range(160), 4):
+            line[at] = rnd.choice("QRSTUVWXYZ")
+        docs.append((d, "".join(line)))
+    monkeypatch.setattr(lines, "similar", lambda pairs, *a: compared.append(pairs.count()) or similar(pairs, *a))
+    got = {r["doc"] for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got <= set(brute(docs)) and 0 < sum(compared) <= lines.BANDS * n

@@ -93,14 +93,15 @@ def prefix_pairs(items: DataFrame, groups: DataFrame, threshold: float) -> DataF
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 1.0, stars: int = 2) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 1.0, stars: int = 2, direct: int = DIRECT, bound: tuple[DataFrame, Callable] | None = None) -> DataFrame:
     """Components (id, component) of the verified links between members (bucket, id) that share a bucket.
 
     Never all pairs of a large bucket: in each of ``stars`` rounds the components that a bucket holds are each compared with
     one member of the bucket's first component, and what is verified is merged. What then still shares a bucket without
-    being in one component is compared pair by pair in buckets of DIRECT members at most, and by ``prefix_pairs`` over the
+    being in one component is compared pair by pair in buckets of ``direct`` members at most, and by ``prefix_pairs`` over the
     items of their members in larger ones, so that no link can be missed. ``items`` gives the sets' items (id, item) for a
-    table of ids; without it large buckets are compared pair by pair too. ``verify`` takes distinct pairs (a, b), a < b, and
+    table of ids; without it large buckets are compared pair by pair too. ``bound`` is a table with a row for each id and a
+    function that gives, of two aliases of it, a condition which all links meet: pairs that don't are not listed. ``verify`` takes distinct pairs (a, b), a < b, and
     returns those that are links.
     """
     spark = members.sparkSession
@@ -122,11 +123,13 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
             head = one.groupBy("bucket").agg(F.min(F.struct("component", "id")).alias("head"))
             found = one.join(head, "bucket").where(F.col("component") != F.col("head.component")).select(*pairs_of(F.col("id"), F.col("head.id")))
         else:
-            some = placed if items is None else placed.where(F.col("size") <= DIRECT)
-            x, y = some.alias("x"), some.alias("y")
-            found = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))).select(*pairs_of(F.col("x.id"), F.col("y.id")))
+            some = placed if items is None else placed.where(F.col("size") <= direct)
+            on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))
+            if bound is not None:
+                some, on = some.join(bound[0], "id"), on & bound[1]("x", "y")
+            found = some.alias("x").join(some.alias("y"), on).select(*pairs_of(F.col("x.id"), F.col("y.id")))
             if items is not None:
-                large = cut(placed.where(F.col("size") > DIRECT).select("id").distinct())
+                large = cut(placed.where(F.col("size") > direct).select("id").distinct())
                 if not large.isEmpty():
                     found = found.unionAll(prefix_pairs(items(large), groups, threshold).select(*pairs_of(F.col("a"), F.col("b"))))
         found = found.distinct()

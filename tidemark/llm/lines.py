@@ -15,6 +15,8 @@ SHINGLE_CHARS = 5
 SIMILARITY = 0.8
 BINS = 20  # of a signature
 BANDS, BAND_ROWS = 12, 5
+WORDS = 16  # of 64 bits in a line's sketch
+DIRECT = 1000  # members of a bucket whose sketches are compared pair by pair: some nanoseconds each
 SEED = 9  # of the choice of bins for the bands: 0.94 of pairs at a similarity of 0.8 share a band, 0.98 at 0.85
 
 
@@ -41,6 +43,17 @@ def line_rows(docs: DataFrame, text: str = "text", id: str = "doc_id", min_chars
     return rows.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"), "doc", "no", "line")
 
 
+def shingle_hashes(lines: DataFrame, *names: str, chars: int = SHINGLE_CHARS) -> DataFrame:
+    """(names, s): a 64-bit hash of the run of characters that begins at each character of a line; a shorter line is one run.
+
+    Lines are cut in UTF-32, in which each character has four bytes, so that no cut looks for its place.
+    """
+    n = F.greatest(F.length("line") - (chars - 1), F.lit(1))
+    each = _held(lines.select(*names, "line"), runs=F.encode("line", "UTF-32"), n=n)
+    each = each.select(*names, "runs", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
+    return each.select(*names, F.xxhash64(F.substr("runs", 4 * F.col("at") + 1, F.lit(4 * chars))).alias("s"))
+
+
 def bands() -> list[list[int]]:
     """The bins of each band."""
     draw = random.Random(SEED)
@@ -51,14 +64,10 @@ def signatures(lines: DataFrame, chars: int = SHINGLE_CHARS) -> DataFrame:
     """(h, buckets): the band hashes of the one-permutation MinHash of each distinct line.
 
     A shingle's hash falls into one of BINS bins, and each bin keeps its least value; an empty bin borrows that of the next
-    one that isn't, marked with the distance. Lines are cut in UTF-32, in which each character has four bytes, so that no
-    cut looks for its place. The grouping takes minima alone and equal lines have equal minima, so copies collapse before
+    one that isn't, marked with the distance. The grouping takes minima alone and equal lines have equal minima, so copies collapse before
     the shuffle, and no text is shuffled.
     """
-    n = F.greatest(F.length("line") - (chars - 1), F.lit(1))
-    each = _held(lines.select("h", "line"), runs=F.encode("line", "UTF-32"), n=n)
-    each = each.select("h", "runs", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
-    each = each.select("h", F.xxhash64(F.substr("runs", 4 * F.col("at") + 1, F.lit(4 * chars))).alias("s"))
+    each = shingle_hashes(lines, "h", chars=chars)
     bin = F.shiftright(F.col("s").bitwiseAND(F.lit(65535)).cast("int") * BINS, 16)
     each = each.select("h", bin.alias("bin"), F.shiftrightunsigned("s", 33).cast("int").alias("v"))
     none = 2**31 - 1
@@ -81,8 +90,32 @@ def in_company(members: DataFrame) -> DataFrame:
     return both.where("__before is not null or __after is not null").select("bucket", "id")
 
 
-def similar(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (a, b) of lines (id, line) whose sets of shingles have at least this Jaccard similarity."""
+def sketches(lines: DataFrame) -> DataFrame:
+    """(id, n, w0, w1, ...): of each line (id, line) its number of runs, repeats included, and the bits that their hashes set."""
+    each = shingle_hashes(lines, "id")
+    word, bit = F.col("s").bitwiseAND(F.lit(WORDS - 1)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("s", 58).cast("int"))
+    each = each.select("id", word.alias("word"), bit.alias("bit"))
+    return each.groupBy("id").agg(F.count("*").alias("n"), *(F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)))
+
+
+def may_be_similar(x: str, y: str, threshold: float):
+    """Whether the sketches x and y leave it open that their lines have the similarity, as a column; false for no pair that has.
+
+    A bit that one line sets alone is a shingle at least that the other hasn't. Of n and m shingles, c in common, n + m - 2 c are
+    on one side alone, which the threshold bounds by its share of n + m.
+    """
+    differ = sum((F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))))
+    return differ * (1 + threshold) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (1 - threshold) + 1e-6
+
+
+def similar(pairs: DataFrame, lines: DataFrame, threshold: float, sketched: DataFrame | None = None) -> DataFrame:
+    """Those pairs (a, b) of lines (id, line) whose sets of shingles have at least this Jaccard similarity.
+
+    Pairs whose sketches rule that out are left before the texts are fetched.
+    """
+    if sketched is not None:
+        p = pairs.alias("p").join(sketched.alias("x"), F.col("p.a") == F.col("x.id")).join(sketched.alias("y"), F.col("p.b") == F.col("y.id"))
+        pairs = p.where(may_be_similar("x", "y", threshold)).select("p.a", "p.b")
     x, y = lines.select(F.col("id").alias("a"), F.col("line").alias("x")), lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
     sets = _held(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), u=shingle_set(F.col("x")), v=shingle_set(F.col("y")))
     # two sets of n and m items with c in common: c / (n + m - c) is to reach the threshold
@@ -113,7 +146,9 @@ def repeated_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", thre
     texts = lines.select("h", "line").join(small_side(near, near.count()), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     texts = cut(texts.withColumnRenamed("h", "id"))
     items = lambda ids: items_of(texts.join(ids, "id", "left_semi"))
-    groups = link_buckets(members, lambda pairs: similar(pairs, texts, threshold), items, threshold)
+    sketched = cut(sketches(texts))
+    bound = (sketched, lambda x, y: may_be_similar(x, y, threshold))
+    groups = link_buckets(members, lambda pairs: similar(pairs, texts, threshold, sketched), items, threshold, direct=DIRECT, bound=bound)
     placed = first.join(groups.select(F.col("id").alias("h"), "component"), "h", "left").where("n > 1 or component is not null")
     keep = placed.where("component is not null").groupBy("component").agg(F.min("place").alias("kept"))
     placed = placed.join(keep, "component", "left").select("h", "g", F.coalesce("kept", "place").alias("kept"))
