@@ -168,3 +168,17 @@ def test_buckets_of_lines_that_are_not_similar_list_few_pairs(spark, monkeypatch
     monkeypatch.setattr(lines, "similar", lambda pairs, *a: compared.append(pairs.count()) or similar(pairs, *a))
     got = {r["doc"] for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got <= set(brute(docs)) and 0 < sum(compared) <= lines.BANDS * n
+
+
+def test_sketches_rule_out_long_lines_under_the_threshold(spark):
+    """Long lines that share most shingles: what they have in common fills no bits in which they would differ."""
+    rnd, docs = random.Random(6), []
+    base = [rnd.choice("abcdefghij klmnop") for _ in range(1500)]
+    for d in range(12):
+        line = list(base)
+        for at in rnd.sample(range(1500), 45):
+            line[at] = rnd.choice("QRSTUVWXYZ")
+        docs.append((d, "".join(line)))
+    known = lines.sketches(spark.createDataFrame(docs, "id long, line string"))
+    x, y = known.alias("x"), known.alias("y")
+    assert known.count() == 12 and x.join(y, F.expr("x.id < y.id")).where(lines.may_be_similar("x", "y", 0.8)).count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -15,8 +16,9 @@ SHINGLE_CHARS = 5
 SIMILARITY = 0.8
 BINS = 20  # of a signature
 BANDS, BAND_ROWS = 12, 5
+BLOCK = 8  # shingles that meet the bins at once
 WORDS = 16  # of 64 bits in a line's sketch
-DIRECT = 1000  # members of a bucket whose sketches are compared pair by pair: some nanoseconds each
+DIRECT = 20_000  # members of a bucket whose sketches are compared pair by pair: some nanoseconds each, where the prefix filter takes milliseconds a member
 SEED = 9  # of the choice of bins for the bands: 0.94 of pairs at a similarity of 0.8 share a band, 0.98 at 0.85
 
 
@@ -27,12 +29,6 @@ def _held(df: DataFrame, **columns) -> DataFrame:
     return held.select(*df.columns, *(F.col(f"__held.{n}").alias(n) for n in columns))
 
 
-def shingle_set(line, chars: int = SHINGLE_CHARS):
-    """The distinct runs of ``chars`` characters that begin at each character, as a column; a shorter line is one run."""
-    runs = F.regexp_extract_all(line, F.lit(r"(?s)(?![\uDC00-\uDFFF])(?=(.{%d}))" % chars), F.lit(1))
-    return F.when(F.length(line) < chars, F.array(line)).otherwise(F.array_distinct(runs))
-
-
 def line_rows(docs: DataFrame, text: str = "text", id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, doc, no, line): the lines between \\n of at least min_chars characters, without spaces at their ends.
 
@@ -54,6 +50,14 @@ def shingle_hashes(lines: DataFrame, *names: str, chars: int = SHINGLE_CHARS) ->
     return each.select(*names, F.xxhash64(F.substr("runs", 4 * F.col("at") + 1, F.lit(4 * chars))).alias("s"))
 
 
+def shingle_set(line, chars: int = SHINGLE_CHARS):
+    """The same hashes of one line as an array, each once, as a column. The outer function names the line's UTF-32 form, which
+    would be copied for each shingle as a column."""
+    places = F.sequence(F.lit(1), F.greatest(4 * (F.length(line) - chars) + 1, F.lit(1)), F.lit(4))
+    hashes = lambda runs: F.transform(places, lambda at: F.xxhash64(F.substr(runs, at, F.lit(4 * chars))))
+    return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-32")), hashes), F.lit(0)))
+
+
 def bands() -> list[list[int]]:
     """The bins of each band."""
     draw = random.Random(SEED)
@@ -63,24 +67,21 @@ def bands() -> list[list[int]]:
 def signatures(lines: DataFrame, chars: int = SHINGLE_CHARS) -> DataFrame:
     """(h, buckets): the band hashes of the one-permutation MinHash of each distinct line.
 
-    A shingle's hash falls into one of BINS bins, and each bin keeps its least value; an empty bin borrows that of the next
-    one that isn't, marked with the distance. The grouping takes minima alone and equal lines have equal minima, so copies collapse before
-    the shuffle, and no text is shuffled.
+    BINS marks lie at even distances, and each bin keeps the shingle whose hash is nearest to its mark, by the bits in which they
+    differ: one of the bin's own range if there is any, or else of the range beside it. Hashes are met BLOCK at a time, so that a
+    minimum in the grouping is touched once a block. The grouping takes minima alone and equal lines have equal minima, so copies
+    collapse before the shuffle, and no text is shuffled.
     """
-    each = shingle_hashes(lines, "h", chars=chars)
-    bin = F.shiftright(F.col("s").bitwiseAND(F.lit(65535)).cast("int") * BINS, 16)
-    each = each.select("h", bin.alias("bin"), F.shiftrightunsigned("s", 33).cast("int").alias("v"))
-    none = 2**31 - 1
-    least = [F.min(F.when(F.col("bin") == i, F.col("v")).otherwise(none)).alias(f"m{i}") for i in range(BINS)]
-    own = each.groupBy("h").agg(*least).select("h", F.array(*(F.col(f"m{i}").cast("long") for i in range(BINS))).alias("m"))
-    # twice round the bins from the last, each empty one taking the value after it, 2**32 more a step
-    step = lambda a, x: F.concat(a, F.array(F.when(x < none, x).otherwise(F.element_at(a, -1) + 2**32)))
-    round_ = F.aggregate(F.reverse(F.concat("m", "m")), F.array(F.lit(0).cast("long")), step)
-    # places run from the last bin to the first in both cases
-    full = F.when(F.array_contains("m", F.lit(none).cast("long")), F.slice(round_, BINS + 2, BINS)).otherwise(F.reverse("m"))
-    own = own.select("h", full.alias("m"))
-    bucket = [F.xxhash64(F.lit(b), *(F.get("m", F.lit(j)) for j in bins)) for b, bins in enumerate(bands())]
-    return own.select("h", F.array(*bucket).alias("buckets"))
+    n = F.greatest(F.length("line") - (chars - 1), F.lit(1))
+    each = _held(lines.select("h", "line"), runs=F.encode("line", "UTF-32"), n=n)
+    each = each.select("h", "runs", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(BLOCK))).alias("at"))
+    at = [F.least(F.col("at") + j, F.col("n") - 1) for j in range(BLOCK)]  # the last shingle fills the last block
+    high = [F.shiftright(F.xxhash64(F.substr("runs", 4 * i + 1, F.lit(4 * chars))), 32).cast("int") for i in at]
+    each = each.select("h", *(v.alias(f"v{j}") for j, v in enumerate(high)))
+    marks = [i * 2**32 // BINS - 2**31 for i in range(BINS)]
+    least = [F.min(F.least(*(F.col(f"v{j}").bitwiseXOR(F.lit(x)) for j in range(BLOCK)))).alias(f"m{i}") for i, x in enumerate(marks)]
+    bucket = [F.xxhash64(F.lit(b), *(F.col(f"m{j}") for j in bins)) for b, bins in enumerate(bands())]
+    return each.groupBy("h").agg(*least).select("h", F.array(*bucket).alias("buckets"))
 
 
 def in_company(members: DataFrame) -> DataFrame:
@@ -91,41 +92,45 @@ def in_company(members: DataFrame) -> DataFrame:
 
 
 def sketches(lines: DataFrame) -> DataFrame:
-    """(id, n, w0, w1, ...): of each line (id, line) its number of runs, repeats included, and the bits that their hashes set."""
-    each = shingle_hashes(lines, "id")
-    word, bit = F.col("s").bitwiseAND(F.lit(WORDS - 1)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("s", 58).cast("int"))
-    each = each.select("id", word.alias("word"), bit.alias("bit"))
-    return each.groupBy("id").agg(F.count("*").alias("n"), *(F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)))
+    """(id, n, w0, w1, ...): of each line (id, line) its number of distinct shingles, and for each of 64 * WORDS cells, a bit each,
+    whether an odd number of them fall there. What two lines have in common cancels out in the difference of their bits."""
+    each = _held(lines.select("id", "line"), items=shingle_set(F.col("line"))).select("id", "items")
+    each = each.select("id", "items", F.explode(F.sequence(F.lit(0), F.size("items") - 1, F.lit(BLOCK))).alias("at"))
+    items = [F.get("items", F.col("at") + j) for j in range(BLOCK)]  # null beyond the last: in no word
+    bit = lambda item: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(item, 58).cast("int"))
+    word = [item.bitwiseAND(F.lit(WORDS - 1)).cast("int").alias(f"word{j}") for j, item in enumerate(items)]
+    each = each.select("id", F.size("items").alias("n"), *word, *(bit(item).alias(f"bit{j}") for j, item in enumerate(items)))
+    in_word = lambda i, j: F.when(F.col(f"word{j}") == i, F.col(f"bit{j}")).otherwise(F.lit(0).cast("long"))
+    odd = [F.bit_xor(reduce(lambda x, j: x.bitwiseXOR(in_word(i, j)), range(1, BLOCK), in_word(i, 0))).alias(f"w{i}") for i in range(WORDS)]
+    return each.groupBy("id").agg(F.max("n").alias("n"), *odd)
 
 
 def may_be_similar(x: str, y: str, threshold: float):
     """Whether the sketches x and y leave it open that their lines have the similarity, as a column; false for no pair that has.
 
-    A bit that one line sets alone is a shingle at least that the other hasn't. Of n and m shingles, c in common, n + m - 2 c are
+    A bit in which they differ is a shingle at least that one line has alone. Of n and m shingles, c in common, n + m - 2 c are
     on one side alone, which the threshold bounds by its share of n + m.
     """
     differ = sum((F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))))
     return differ * (1 + threshold) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (1 - threshold) + 1e-6
 
 
-def similar(pairs: DataFrame, lines: DataFrame, threshold: float, sketched: DataFrame | None = None) -> DataFrame:
+def similar(pairs: DataFrame, lines: DataFrame, threshold: float, sketched: DataFrame) -> DataFrame:
     """Those pairs (a, b) of lines (id, line) whose sets of shingles have at least this Jaccard similarity.
 
     Pairs whose sketches rule that out are left before the texts are fetched.
     """
-    if sketched is not None:
-        p = pairs.alias("p").join(sketched.alias("x"), F.col("p.a") == F.col("x.id")).join(sketched.alias("y"), F.col("p.b") == F.col("y.id"))
-        pairs = p.where(may_be_similar("x", "y", threshold)).select("p.a", "p.b")
+    p = pairs.alias("p").join(sketched.alias("x"), F.col("p.a") == F.col("x.id")).join(sketched.alias("y"), F.col("p.b") == F.col("y.id"))
+    open_ = p.where(may_be_similar("x", "y", threshold)).select("p.a", "p.b", (F.col("x.n") + F.col("y.n")).alias("total"))
     x, y = lines.select(F.col("id").alias("a"), F.col("line").alias("x")), lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    sets = _held(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), u=shingle_set(F.col("x")), v=shingle_set(F.col("y")))
+    common = F.size(F.array_intersect(shingle_set(F.col("x")), shingle_set(F.col("y"))))
     # two sets of n and m items with c in common: c / (n + m - c) is to reach the threshold
-    enough = F.size(F.array_intersect("u", "v")) * (1 + threshold) >= (F.size("u") + F.size("v")) * threshold - 1e-9
-    return sets.where(enough).select("a", "b")
+    return open_.join(x, "a").join(y, "b").where(common * (1 + threshold) >= F.col("total") * threshold - 1e-9).select("a", "b")
 
 
 def items_of(lines: DataFrame) -> DataFrame:
-    """(id, item): the shingles of lines (id, line), each once."""
-    return lines.select("id", F.explode(shingle_set(F.col("line"))).alias("item")).select("id", F.xxhash64("item").alias("item"))
+    """(id, item): the hashes of the shingles of lines (id, line), each once."""
+    return lines.select("id", F.explode(shingle_set(F.col("line"))).alias("item"))
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
