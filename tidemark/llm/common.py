@@ -126,7 +126,10 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
             some = placed if items is None else placed.where(F.col("size") <= direct)
             on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))
             if bound is not None:
-                some, on = some.join(bound[0], "id"), on & bound[1]("x", "y")
+                own = some.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
+                # a pair is listed in the first bucket that it shares, not in each
+                first = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")
+                some, on = some.join(bound[0], "id").join(own, "id"), on & bound[1]("x", "y") & first
             found = some.alias("x").join(some.alias("y"), on).select(*pairs_of(F.col("x.id"), F.col("y.id")))
             if items is not None:
                 large = cut(placed.where(F.col("size") > direct).select("id").distinct())
