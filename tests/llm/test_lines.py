@@ -182,3 +182,17 @@ def test_sketches_rule_out_long_lines_under_the_threshold(spark):
     known = lines.sketches(spark.createDataFrame(docs, "id long, line string"))
     x, y = known.alias("x"), known.alias("y")
     assert known.count() == 12 and x.join(y, F.expr("x.id < y.id")).where(lines.may_be_similar("x", "y", 0.8)).count() == 0
+
+
+def test_members_come_with_size_and_head_of_their_bucket(spark):
+    members = spark.createDataFrame([(1, 5), (1, 3), (1, 9), (2, 4), (3, 8), (3, 7)], "bucket long, id long")
+    got = {(r["bucket"], r["id"]): (r["size"], r["head"]) for r in lines.in_company(members).collect()}
+    assert got == {(1, 5): (3, 3), (1, 3): (3, 3), (1, 9): (3, 3), (3, 8): (2, 7), (3, 7): (2, 7)}
+
+
+def test_similar_fetches_the_lines_of_its_pairs_alone(spark):
+    texts = spark.createDataFrame([(i, f"line number {i} of many {'abcdefgh' * (i % 7)}") for i in range(50)] + [(99, "line number 1 of many abcdefgh.")], "id long, line string")
+    pairs = spark.createDataFrame([(1, 99), (2, 3)], "a long, b long")
+    assert {r["id"] for r in lines.of_pairs(texts, pairs).collect()} == {1, 2, 3, 99}
+    assert lines.of_pairs(texts.where("id < 4"), pairs).count() == 4
+    assert [tuple(r) for r in lines.similar(pairs, texts, 0.8, lines.sketches(texts)).collect()] == [(1, 99)]

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 
-from tidemark.llm import near
+from tidemark.llm import common, near
 from tidemark.llm.common import components, link_buckets
 
 
@@ -103,3 +103,14 @@ def test_repeated_blocks_do_not_hide_a_copy(spark):
     base = [f"w{rnd.randrange(500)}" for _ in range(80)]
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base * 10)), (3, " ".join(base[:79] + ["new"] + base))], "doc_id long, text string")
     assert dict(map(tuple, near.near_duplicates(df).collect())) == brute_classes([tuple(r) for r in df.collect()]) == {1: 1, 2: 1, 3: 1}
+
+
+def test_links_of_a_later_round_contract_components_alone(spark, monkeypatch):
+    """Links that have been contracted are not contracted once more with each round."""
+    seen, whole = [], components
+    monkeypatch.setattr(common, "components", lambda links: seen.append(links.count()) or whole(links))
+    members = spark.createDataFrame([(b, i) for b in range(3) for i in range(60) if i % (b + 1) == 0] + [(9, 100), (9, 101)], "bucket long, id long")
+    verified, verify = [], lambda p: p.where("(b - a) % 4 = 0 or a = 100")
+    got = dict(map(tuple, link_buckets(members, lambda p: verified.append(verify(p).count()) or verify(p)).collect()))
+    assert got == {i: i % 4 for i in range(60)} | {100: 100, 101: 100}
+    assert len(seen) > 1 and sum(seen) <= sum(verified)

@@ -62,6 +62,16 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(roots).distinct()
 
 
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Those components (id, component) with more links (a, b) between any ids: only components that a link meets are contracted anew."""
+    of = lambda end: groups.select(F.col("id").alias(end), F.col("component").alias(f"{end}_in"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+    over = components(ends).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    single = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(groups, "id", "left_anti")
+    every = groups.select("id", "component").unionAll(single.select("id", F.col("id").alias("component")))
+    return every.join(over, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
 def shared(members: DataFrame) -> DataFrame:
     """Those members (bucket, ...) whose bucket has another."""
     many = members.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1").select("bucket")
@@ -102,21 +112,26 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
     items of their members in larger ones, so that no link can be missed. ``items`` gives the sets' items (id, item) for a
     table of ids; without it large buckets are compared pair by pair too. ``bound`` is a table with a row for each id and a
     function that gives, of two aliases of it, a condition which all links meet: pairs that don't are not listed. ``verify`` takes distinct pairs (a, b), a < b, and
-    returns those that are links.
+    returns those that are links. Members may come with the size and the least id (head) of their bucket, which are not counted then.
     """
     spark = members.sparkSession
-    links = groups = tried = None
-    members = cut(members)
+    groups = tried = None
+    headed = {"size", "head"} <= set(members.columns)
+    members = members if headed else cut(members)
     pairs_of = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     for turn in range(stars + 1):
-        placed = members if groups is None else members.join(groups, "id", "left")
+        if turn == 1 and headed:
+            members = members.where("size > 2").select("bucket", "id")
+        placed = members if groups is None else members.join(small_side(groups, groups.count()), "id", "left")
         placed = placed.withColumn("component", F.coalesce("component", "id") if groups is not None else F.col("id"))
         if groups is not None:
             mixed = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("size"))
             # the one pair of a bucket of two has been compared
             placed = cut(placed.join(mixed.where("p <> q and size > 2").select("bucket", "size"), "bucket"))
-        if turn < stars:
+        if turn == 0 and headed:
+            found = members.where("id <> head").select(*pairs_of(F.col("id"), F.col("head")))
+        elif turn < stars:
             # a different member stands for its component in each turn
             order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id") if turn else F.struct(F.lit(0).alias("h"), "id")
             one = placed.groupBy("bucket", "component").agg(F.min(order).alias("o")).select("bucket", "component", F.col("o.id").alias("id"))
@@ -143,9 +158,10 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
             continue
         tried = found if tried is None else tried.unionAll(found)
         good = cut(verify(found).select("a", "b"))
-        links = good if links is None else links.unionAll(good)
-        if turn == 0 or not good.isEmpty():
-            groups = cut(components(links))
+        if groups is None:
+            groups = cut(components(good))
+        elif not good.isEmpty():
+            groups = cut(merged(groups, good))
     if groups is None:
         kind = members.schema["id"].dataType
         return spark.createDataFrame([], f"id {kind.simpleString()}, component {kind.simpleString()}")

@@ -16,7 +16,8 @@ SHINGLE_CHARS = 5
 SIMILARITY = 0.8
 BINS = 20  # of a signature
 BANDS, BAND_ROWS = 12, 5
-BLOCK = 8  # shingles that meet the bins at once
+BLOCK = 16  # shingles that meet the bins at once
+SET_BLOCK = 8  # and the words of a sketch
 WORDS = 16  # of 64 bits in a line's sketch
 DIRECT = 20_000  # members of a bucket whose sketches are compared pair by pair: some nanoseconds each, where the prefix filter takes milliseconds a member
 SEED = 9  # of the choice of bins for the bands: 0.94 of pairs at a similarity of 0.8 share a band, 0.98 at 0.85
@@ -35,7 +36,7 @@ def line_rows(docs: DataFrame, text: str = "text", id: str = "doc_id", min_chars
     ``key`` is two 64-bit hashes of the line.
     """
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("no", "line"))
-    rows = rows.select("doc", "no", F.trim("line").alias("line")).where((F.length("line") >= min_chars) & F.col("line").rlike(r"\S"))
+    rows = rows.select("doc", "no", F.trim("line").alias("line")).where((F.length("line") >= min_chars) & ((F.ascii("line") > 32) | F.col("line").rlike(r"\S")))
     return rows.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"), "doc", "no", "line")
 
 
@@ -50,12 +51,17 @@ def shingle_hashes(lines: DataFrame, *names: str, chars: int = SHINGLE_CHARS) ->
     return each.select(*names, F.xxhash64(F.substr("runs", 4 * F.col("at") + 1, F.lit(4 * chars))).alias("s"))
 
 
-def shingle_set(line, chars: int = SHINGLE_CHARS):
-    """The same hashes of one line as an array, each once, as a column. The outer function names the line's UTF-32 form, which
+def shingle_list(line, chars: int = SHINGLE_CHARS):
+    """The same hashes of one line as an array, in their order, as a column. The outer function names the line's UTF-32 form, which
     would be copied for each shingle as a column."""
     places = F.sequence(F.lit(1), F.greatest(4 * (F.length(line) - chars) + 1, F.lit(1)), F.lit(4))
     hashes = lambda runs: F.transform(places, lambda at: F.xxhash64(F.substr(runs, at, F.lit(4 * chars))))
-    return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-32")), hashes), F.lit(0)))
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), hashes), F.lit(0))
+
+
+def shingle_set(line, chars: int = SHINGLE_CHARS):
+    """The same array with each hash once."""
+    return F.array_distinct(shingle_list(line, chars))
 
 
 def bands() -> list[list[int]]:
@@ -75,7 +81,7 @@ def signatures(lines: DataFrame, chars: int = SHINGLE_CHARS) -> DataFrame:
     n = F.greatest(F.length("line") - (chars - 1), F.lit(1))
     each = _held(lines.select("h", "line"), runs=F.encode("line", "UTF-32"), n=n)
     each = each.select("h", "runs", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(BLOCK))).alias("at"))
-    at = [F.least(F.col("at") + j, F.col("n") - 1) for j in range(BLOCK)]  # the last shingle fills the last block
+    at = [F.expr(f"if(at + {j} < n, at + {j}, n - 1)") for j in range(BLOCK)]  # the last shingle fills the last block
     high = [F.shiftright(F.xxhash64(F.substr("runs", 4 * i + 1, F.lit(4 * chars))), 32).cast("int") for i in at]
     each = each.select("h", *(v.alias(f"v{j}") for j, v in enumerate(high)))
     marks = [i * 2**32 // BINS - 2**31 for i in range(BINS)]
@@ -85,23 +91,26 @@ def signatures(lines: DataFrame, chars: int = SHINGLE_CHARS) -> DataFrame:
 
 
 def in_company(members: DataFrame) -> DataFrame:
-    """Those members (bucket, id) whose bucket has another: each looks at its neighbours in the bucket's order, in one shuffle."""
-    order = W.partitionBy("bucket").orderBy("id")
-    both = members.withColumns({"__before": F.lag("id").over(order), "__after": F.lead("id").over(order)})
-    return both.where("__before is not null or __after is not null").select("bucket", "id")
+    """(bucket, id, size, head): those members (bucket, id) whose bucket has another, with the bucket's size and its least id, in one
+    shuffle. Nothing but the bucket is sorted by, which is one number."""
+    bucket = W.partitionBy("bucket")
+    return members.select("bucket", "id", F.count("*").over(bucket).alias("size"), F.min("id").over(bucket).alias("head")).where("size > 1")
 
 
 def sketches(lines: DataFrame) -> DataFrame:
     """(id, n, w0, w1, ...): of each line (id, line) its number of distinct shingles, and for each of 64 * WORDS cells, a bit each,
     whether an odd number of them fall there. What two lines have in common cancels out in the difference of their bits."""
-    each = _held(lines.select("id", "line"), items=shingle_set(F.col("line"))).select("id", "items")
-    each = each.select("id", "items", F.explode(F.sequence(F.lit(0), F.size("items") - 1, F.lit(BLOCK))).alias("at"))
-    items = [F.get("items", F.col("at") + j) for j in range(BLOCK)]  # null beyond the last: in no word
-    bit = lambda item: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(item, 58).cast("int"))
-    word = [item.bitwiseAND(F.lit(WORDS - 1)).cast("int").alias(f"word{j}") for j, item in enumerate(items)]
-    each = each.select("id", F.size("items").alias("n"), *word, *(bit(item).alias(f"bit{j}") for j, item in enumerate(items)))
-    in_word = lambda i, j: F.when(F.col(f"word{j}") == i, F.col(f"bit{j}")).otherwise(F.lit(0).cast("long"))
-    odd = [F.bit_xor(reduce(lambda x, j: x.bitwiseXOR(in_word(i, j)), range(1, BLOCK), in_word(i, 0))).alias(f"w{i}") for i in range(WORDS)]
+    each = lines.select("id", shingle_set(F.col("line")).alias("items"))
+    # outer, though no set is empty: for an inner one Spark adds a filter on its size, which would work out the set once more
+    each = each.select("id", "items", F.explode_outer(F.sequence(F.lit(0), F.size("items") - 1, F.lit(SET_BLOCK))).alias("at"))
+    items = [F.get("items", F.col("at") + j) for j in range(SET_BLOCK)]  # null beyond the last: no bit
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+    bit = [F.coalesce(one(F.shiftrightunsigned(item, 58)), F.lit(0).cast("long")).alias(f"bit{j}") for j, item in enumerate(items)]
+    word = [F.coalesce(one(item.bitwiseAND(F.lit(WORDS - 1))), F.lit(0).cast("long")).alias(f"word{j}") for j, item in enumerate(items)]
+    each = each.select("id", F.size("items").alias("n"), *word, *bit)
+    # the word's own bit, moved to the sign and spread over all bits: no branch for a shingle and word
+    in_word = lambda i, j: F.shiftright(F.shiftleft(f"word{j}", 63 - i), 63).bitwiseAND(F.col(f"bit{j}"))
+    odd = [F.bit_xor(reduce(lambda x, j: x.bitwiseXOR(in_word(i, j)), range(1, SET_BLOCK), in_word(i, 0))).alias(f"w{i}") for i in range(WORDS)]
     return each.groupBy("id").agg(F.max("n").alias("n"), *odd)
 
 
@@ -109,10 +118,19 @@ def may_be_similar(x: str, y: str, threshold: float):
     """Whether the sketches x and y leave it open that their lines have the similarity, as a column; false for no pair that has.
 
     A bit in which they differ is a shingle at least that one line has alone. Of n and m shingles, c in common, n + m - 2 c are
-    on one side alone, which the threshold bounds by its share of n + m.
+    on one side alone, which the threshold bounds by its share of n + m. The smaller set has at least the threshold's share of the larger.
     """
+    sizes = F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= threshold * F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n")) - 1e-6
     differ = sum((F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))))
-    return differ * (1 + threshold) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (1 - threshold) + 1e-6
+    return sizes & (differ * (1 + threshold) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (1 - threshold) + 1e-6)
+
+
+def of_pairs(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of table (id, ...) that the pairs (a, b) name, where these are fewer; else all: what is joined is moved and sorted whole."""
+    rows = 2 * pairs.count()
+    if rows >= table.count():
+        return table
+    return table.join(small_side(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), rows), "id", "left_semi")
 
 
 def similar(pairs: DataFrame, lines: DataFrame, threshold: float, sketched: DataFrame) -> DataFrame:
@@ -120,10 +138,12 @@ def similar(pairs: DataFrame, lines: DataFrame, threshold: float, sketched: Data
 
     Pairs whose sketches rule that out are left before the texts are fetched.
     """
-    p = pairs.alias("p").join(sketched.alias("x"), F.col("p.a") == F.col("x.id")).join(sketched.alias("y"), F.col("p.b") == F.col("y.id"))
-    open_ = p.where(may_be_similar("x", "y", threshold)).select("p.a", "p.b", (F.col("x.n") + F.col("y.n")).alias("total"))
-    x, y = lines.select(F.col("id").alias("a"), F.col("line").alias("x")), lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    common = F.size(F.array_intersect(shingle_set(F.col("x")), shingle_set(F.col("y"))))
+    known = of_pairs(sketched, pairs)
+    p = pairs.alias("p").join(known.alias("x"), F.col("p.a") == F.col("x.id")).join(known.alias("y"), F.col("p.b") == F.col("y.id"))
+    open_ = cut(p.where(may_be_similar("x", "y", threshold)).select("p.a", "p.b", (F.col("x.n") + F.col("y.n")).alias("total")))
+    texts = of_pairs(lines, open_)
+    x, y = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    common = F.size(F.array_intersect(shingle_list(F.col("x")), shingle_list(F.col("y"))))  # each once
     # two sets of n and m items with c in common: c / (n + m - c) is to reach the threshold
     return open_.join(x, "a").join(y, "b").where(common * (1 + threshold) >= F.col("total") * threshold - 1e-9).select("a", "b")
 
@@ -154,7 +174,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", thre
     sketched = cut(sketches(texts))
     bound = (sketched, lambda x, y: may_be_similar(x, y, threshold))
     groups = link_buckets(members, lambda pairs: similar(pairs, texts, threshold, sketched), items, threshold, direct=DIRECT, bound=bound)
-    placed = first.join(groups.select(F.col("id").alias("h"), "component"), "h", "left").where("n > 1 or component is not null")
+    placed = first.join(small_side(groups.select(F.col("id").alias("h"), "component"), groups.count()), "h", "left").where("n > 1 or component is not null")
     keep = placed.where("component is not null").groupBy("component").agg(F.min("place").alias("kept"))
     placed = placed.join(keep, "component", "left").select("h", "g", F.coalesce("kept", "place").alias("kept"))
     gone = places.join(placed, ["h", "g"]).where(F.struct("doc", "no") != F.col("kept"))
